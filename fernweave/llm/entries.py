@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing, sharding
+from . import chat_format, exact_dedup, mixing, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_mixing": mixing.op2_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_sharding": sharding.op8_sharding,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 SQL = {
