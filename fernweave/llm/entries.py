@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing, quality_classifier, quality_rules, sharding
+from . import chat_format, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 SQL = {
