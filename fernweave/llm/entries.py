@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding
+from . import chat_format, exact_dedup, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_mixing": mixing.op2_mixing,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_sharding": sharding.op8_sharding,
