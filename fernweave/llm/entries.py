@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding
+from . import bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_mixing": mixing.op2_mixing,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
