@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NORM_TOLERANCE = 1e-3
@@ -49,20 +49,22 @@ def l2_normalize(v: Column) -> Column:
     return F.when(size > 0, F.transform(_double(v), lambda x: x / size))
 
 
-def combine_views(*views: Column) -> Column:
-    """The normalised mean of the views that have the commonest size (of equally common ones the first).
+def with_combined(df: DataFrame, name: str, *views: str) -> DataFrame:
+    """df with the normalised mean of those views that have the commonest size (of equally common ones the first).
 
-    Null if no view is there or the mean is zero.
+    Null if no view is there or the mean is zero. The steps are columns of their own, lest lambdas compute them again for
+    each element.
     """
-    there = F.filter(F.array(*map(_double, views)), lambda v: v.isNotNull() & (F.size(v) > 0))
-    sizes = F.transform(there, lambda v: F.size(v))
-    ranked = F.transform(sizes, lambda n, i: F.struct(F.size(F.filter(sizes, lambda m: m == n)).alias("votes"), (-i).alias("first"), n.alias("n")))
-    common = F.array_max(ranked)["n"]
-    same = F.filter(there, lambda v: F.size(v) == common)
-    zero = F.transform(F.sequence(F.lit(1), common), lambda i: F.lit(0.0))
-    total = F.aggregate(same, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-    mean = F.transform(total, lambda x: x / F.size(same))
-    return F.when(F.size(there) > 0, l2_normalize(mean))
+    there = F.filter(F.array(*[_double(F.col(v)) for v in views]), lambda v: v.isNotNull() & (F.size(v) > 0))
+    out = df.withColumn("_there", there).withColumn("_sizes", F.transform("_there", lambda v: F.size(v)))
+    votes = F.transform("_sizes", lambda n, i: F.struct(F.size(F.filter("_sizes", lambda m: m == n)).alias("votes"), (-i).alias("first"), n.alias("n")))
+    out = out.withColumn("_size", F.array_max(votes)["n"])
+    out = out.withColumn("_same", F.filter("_there", lambda v: F.size(v) == F.col("_size")))
+    total = F.aggregate(F.slice("_same", 2, len(views)), F.get("_same", 0), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    out = out.withColumn("_total", total).withColumn("_norm", norm(F.col("_total")))
+    # the mean's norm is the sum's over the number of views, which cancels out
+    unit = F.transform("_total", lambda x: x / F.col("_norm"))
+    return out.withColumn(name, F.when((F.size("_there") > 0) & (F.col("_norm") > 0), unit)).drop("_there", "_sizes", "_size", "_same", "_total", "_norm")
 
 
 def best_of(v: Column, prompts: Column) -> Column:

@@ -216,7 +216,7 @@ def model_status(spark: SparkSession, d: str) -> DataFrame:
 select model, i::int as place, {M.format("mean[i] / sqrt(list_dot_product(mean, mean))")} as value_micro from sums, range(1, 65) as t(i)"""
 )
 def visual_combine(spark: SparkSession, d: str) -> DataFrame:
-    combined = T.views(spark, d).select("model", F.posexplode(V.combine_views(F.col("main"), F.col("pers"), F.col("side"))).alias("place", "value"))
+    combined = V.with_combined(T.views(spark, d), "visual", "main", "pers", "side").select("model", F.posexplode("visual").alias("place", "value"))
     return combined.select("model", (F.col("place") + 1).alias("place"), micro(F.col("value")).alias("value_micro"))
 
 
