@@ -15,6 +15,7 @@ from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import calibration, customers, decisions, encoders, integrity, metrics, purchases, ranking, retrieval, towers
 from ..sources import snapshots
+from ..streaming import customers as streams
 from . import tables as T
 from .tables import with_tables
 
@@ -645,3 +646,22 @@ def tower_scores(spark: SparkSession, d: str) -> DataFrame:
     weights = towers.random_weights(T.DIMENSION, 64, sizes, ages.count() + 2, len(S.NUMERIC_FEATURES), seed=42)
     models = towers.model_vectors(indexed.select("model", "visual", F.array(*[F.col(f"_{f}") for f in fields]).alias("categories")), weights)
     return ranking.rank_models(towers.customer_vectors(now, models, weights), models, 6).select("customer_id", "rank_for_customer", "model", micro(F.col("score")).alias("score_micro"))
+
+
+@query(
+    """with marked as (
+  select user_id, ts, value, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
+numbered as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as n from marked)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as events, floor(sum(value) * 1000 + 0.5)::bigint as value_milli from numbered group by user_id, n"""
+)
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """An extension beyond the retail operators."""
+    out = streams.sessions(T.read(spark, d, "events"))
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", F.floor(F.col("value") * 1000 + 0.5).cast("long").alias("value_milli"))
+
+
+@query("select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H') as hour, event_type, count(*) as events, floor(sum(value) * 1000 + 0.5)::bigint as value_milli from events group by all")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """An extension beyond the retail operators."""
+    out = streams.window_counts(T.read(spark, d, "events"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "events", F.floor(F.col("value") * 1000 + 0.5).cast("long").alias("value_milli"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .schemas import require_columns
 
@@ -90,6 +91,12 @@ def unwrap_payload(responses: DataFrame, item: str, column: str = "body") -> Dat
     rows = f"array<{item}>"
     wrapped = F.from_json(column, f"struct<data:{rows},rows:{rows},result:{rows},records:{rows}>")
     table = F.from_json(column, "struct<fields:array<string>,values:array<array<string>>>")
-    zipped = F.transform(table["values"], lambda v: F.from_json(F.to_json(F.map_from_arrays(table["fields"], v)), item))
+    fields = T.DataType.fromDDL(item).fields
+
+    def named(values: Column) -> Column:
+        by_name = F.map_from_arrays(table["fields"], values)
+        return F.struct(*[F.try_element_at(by_name, F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in fields])
+
+    zipped = F.transform(table["values"], named)
     found = F.coalesce(wrapped["data"], wrapped["rows"], wrapped["result"], wrapped["records"], F.when(table["fields"].isNotNull(), zipped), F.when(F.trim(column).startswith("["), F.from_json(column, rows)))
     return responses.select(F.explode(found).alias("row")).select("row.*")
