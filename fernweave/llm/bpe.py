@@ -8,10 +8,10 @@ and skipped. Each merge costs a few steps, however long the pre-token is.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,9 @@ from .common import fresh, reachable, table, without
 from .pretokens import Recent, pre_tokens, ranks_of, read_vocabulary
 
 WIDTH = 8  # 2**8 ranks a word of the bitmap
+LAST = (1 << WIDTH) - 1
 #: Pre-tokens of each generation of a Python worker's cache.
-CACHE = 250_000
+CACHE = 400_000
 
 
 class Encoder:
@@ -34,47 +35,47 @@ class Encoder:
         self.ranks, self.pattern = ranks, pattern
         self.tokens = dict(zip(ranks.values(), ranks))
         self.bytes = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.cache = Recent(CACHE)
-
-    def _rank(self, a: int, b: int) -> int:
-        """The rank of the merged token; -1 if there is none."""
-        rank = self.pairs.get((a, b))
-        if rank is None:
-            if len(self.pairs) >= 4 * CACHE:
-                self.pairs.clear()
-            rank = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+        self.pairs: dict[int, int] = {}  # first id << 32 | second id: the rank of the merged token, -1 if there is none
+        self.cache = Recent(CACHE)  # pre-token: its ids, as little-endian unsigned 32-bit integers
+        lengths = np.zeros(max(self.tokens) + 1, np.int64)
+        lengths[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.lengths, self.ends = lengths, np.cumsum(lengths)
+        self.spelled = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(len(lengths))), np.uint8)
+
+    def _rank(self, pair: int) -> int:
+        if len(self.pairs) >= CACHE:
+            self.pairs.clear()
+        rank = self.pairs[pair] = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], -1)
         return rank
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
+    def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
-        ids = [self.bytes[b] for b in piece]
+            return [whole]
+        known, rank_of = self.pairs.get, self._rank
+        ids = list(map(self.bytes.__getitem__, piece))
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the pair that begins here
+        ranks = [-1] * n  # of the pair that begins here
         buckets: dict[int, list[int]] = {}
+        for i in range(n - 1):
+            pair = ids[i] << 32 | ids[i + 1]
+            rank = known(pair)
+            if rank is None:
+                rank = rank_of(pair)
+            if rank >= 0:
+                ranks[i] = rank
+                if rank in buckets:
+                    buckets[rank].append(i)  # places rise, so the list is a heap
+                else:
+                    buckets[rank] = [i]
         words: dict[int, int] = {}
         top = 0
-
-        def push(rank: int, at: int) -> None:
-            nonlocal top
-            bucket = buckets.get(rank)
-            if bucket:
-                heappush(bucket, at)
-                return
-            buckets[rank] = [at]
+        for rank in buckets:
             word = rank >> WIDTH
-            words[word] = words.get(word, 0) | 1 << (rank & (1 << WIDTH) - 1)
+            words[word] = words.get(word, 0) | 1 << (rank & LAST)
             top |= 1 << word
-
-        for i in range(n - 1):
-            rank = self._rank(ids[i], ids[i + 1])
-            if rank >= 0:
-                pair[i] = rank
-                push(rank, i)
         while top:
             word = (top & -top).bit_length() - 1
             bits = words[word]
@@ -82,44 +83,60 @@ class Encoder:
             bucket = buckets[rank]
             at = heappop(bucket)
             if not bucket:
+                del buckets[rank]
                 bits &= bits - 1
                 words[word] = bits
                 if not bits:
                     top &= top - 1
-            if pair[at] != rank:
+            if ranks[at] != rank:
                 continue  # stale
             gone = after[at]
             then = after[gone]
-            ids[at], after[at], pair[gone] = rank, then, -1
-            pair[at] = -1
+            ids[at], after[at] = rank, then
+            ranks[gone] = ranks[at] = -1
+            near = []
             if then < n:
                 before[then] = at
-                new = self._rank(rank, ids[then])
+                near.append((at, rank << 32 | ids[then]))
+            if (last := before[at]) >= 0:
+                near.append((last, ids[last] << 32 | rank))
+            for place, pair in near:
+                new = known(pair)
+                if new is None:
+                    new = rank_of(pair)
+                if new == ranks[place]:
+                    continue
+                ranks[place] = new
                 if new >= 0:
-                    pair[at] = new
-                    push(new, at)
-            last = before[at]
-            if last >= 0:
-                new = self._rank(ids[last], rank)
-                if new != pair[last]:
-                    pair[last] = new
-                    if new >= 0:
-                        push(new, last)
+                    if new in buckets:
+                        heappush(buckets[new], place)
+                    else:
+                        buckets[new] = [place]
+                        word = new >> WIDTH
+                        words[word] = words.get(word, 0) | 1 << (new & LAST)
+                        top |= 1 << word
         out, at = [], 0
         while at < n:
             out.append(ids[at])
             at = after[at]
-        return tuple(out)
+        return out
+
+    def _pack(self, word: str) -> bytes:
+        ids = self.merge(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> np.ndarray:
         parts = []
         for some in pre_tokens(text, self.pattern):
-            self.cache.hold(some, lambda x: self.merge(x.encode()))
-            parts.append(np.fromiter(chain.from_iterable(map(self.cache.__getitem__, some)), "<u4"))
-        return np.concatenate(parts) if len(parts) != 1 else parts[0]
+            parts.append(b"".join(map(self.cache.hold(some, self._pack).__getitem__, some)))
+        return np.frombuffer(b"".join(parts), "<u4")
 
-    def decode(self, ids: Sequence[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, one token after the other."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        shift = self.ends[ids] - ends  # from a token's place in the result to its place among the spelled tokens
+        return self.spelled[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 @lru_cache(2)
@@ -156,7 +173,7 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, outputs: Sequence[str] =
                 if "ids_sha256" in out:
                     made["ids_sha256"] = digest(ids.tobytes())
                 if "decoded" in out or "decoded_sha256" in out:
-                    decoded = own.decode(ids.tolist())
+                    decoded = own.decode(ids)
                     made |= {"decoded": decoded, "decoded_sha256": digest(decoded)}
                 for k in outputs:
                     out[k].append(made[k])
@@ -176,9 +193,9 @@ def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFr
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {v: k for k, v in ranks_of(file.value).items()}
+        own = encoder(file.value, "")
         for batch in batches:
-            decoded = [None if x is None else b"".join(map(tokens.__getitem__, x)) for x in batch.column(at).to_pylist()]
+            decoded = [None if x is None else own.decode(np.array(x, np.int64)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -28,23 +28,25 @@ def pre_tokens(text: str, pattern: str) -> Iterator[list[str]]:
         yield some
 
 
-class Recent(dict):
+class Recent:
     """A bounded cache of two generations: what wasn't asked for while the younger one filled up goes."""
 
     def __init__(self, size: int) -> None:
-        super().__init__()
-        self.size, self.old = size, {}
+        self.size = size
+        self.young: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
 
-    def hold(self, keys: Iterable[str], make: Callable[[str], Any]) -> None:
-        """Afterwards all keys are in the younger generation."""
+    def hold(self, keys: Iterable[str], make: Callable[[str], Any]) -> dict[str, Any]:
+        """The younger generation, with all keys."""
         keys = set(keys)
-        if len(self) + len(keys) > self.size:
-            self.old = dict(self)
-            self.clear()
+        if len(self.young) + len(keys) > self.size:
+            self.old, self.young = self.young, {}
+        young = self.young
         for k in keys:
-            if k not in self:
+            if k not in young:
                 value = self.old.get(k)
-                self[k] = make(k) if value is None else value
+                young[k] = make(k) if value is None else value
+        return young
 
 
 @lru_cache(4)

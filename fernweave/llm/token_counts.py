@@ -19,7 +19,7 @@ from .common import fresh, reachable, table, without
 from .pretokens import Recent, pre_tokens, ranks_of, read_vocabulary
 
 UNIT = 1 << 16  # scores are whole numbers of 1 / UNIT, so that sums and ties are exact
-NODES, WORDS = 800_000, 250_000  # that a worker keeps: nodes, and words of each generation
+NODES, WORDS = 400_000, 120_000  # that a worker keeps: nodes, and words of each generation
 ADDED = ("n_pretokens", "n_tokens", "score")
 
 
@@ -81,9 +81,9 @@ class Counter:
         """(pre-tokens, tokens, score) of the text."""
         n = tokens = score = 0
         for some in pre_tokens(text, pattern):
-            self.words.hold(some, self.fresh_word)
+            counts = self.words.hold(some, self.fresh_word)
             n += len(some)
-            for t, s in map(self.words.__getitem__, some):
+            for t, s in map(counts.__getitem__, some):
                 tokens += t
                 score += s
         return n, tokens, score
