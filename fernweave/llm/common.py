@@ -14,11 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, at most, unless the session asks for less. Texts vary so much in
+#: length that a number of rows bounds nothing.
+BATCH_BYTES = 8 << 20
+
+
 def reachable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it. Clusters without it there need --py-files."""
+    """Makes the session fit for this package's Python workers: it can be imported, and batches are small.
+
+    Workers import it from where the driver has it; clusters without that folder need --py-files.
+    """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, (env.get("PYTHONPATH"), root)))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64m", f"{64 << 20}b"):  # the default
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def text_of(df: DataFrame, column: str) -> Column:

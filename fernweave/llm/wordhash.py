@@ -44,7 +44,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 17) -> Iterator[Chunk]:
     """Chunks of about limit bytes; nulls are empty texts. A longer text is a chunk of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -67,7 +67,7 @@ class Chunk:
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
         self.space = SPACE[data]
-        size = 1 << max(10, len(data).bit_length())
+        size = 1 << max(17, len(data).bit_length())
         self._power, self._inverse = _powers(size)
         self._sums = np.zeros(len(data) + 1, U)
         np.cumsum((data.astype(U) + U(1)) * self._power[: len(data)], out=self._sums[1:])
@@ -130,9 +130,9 @@ def shingles(text: np.ndarray, words: np.ndarray, k: int = 5) -> tuple[np.ndarra
 
 
 def repeated(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries have an equal one in the same text, and which have an equal one before them there."""
+    """Which entries have an equal one in the same text, and which are left over when one of each equal ones is taken out."""
     key = mixed(value ^ (text.astype(U) + U(1)) * PLACES[0])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = key[order[1:]] == key[order[:-1]]
     any_, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
     later[order[1:][same]] = True
