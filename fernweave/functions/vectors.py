@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NORM_TOLERANCE = 1e-3
@@ -24,6 +25,12 @@ def _double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: inside lambdas, and when filters are pushed through projections, plain
+    references are replaced by the whole expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Null for vectors of different sizes."""
     products = F.zip_with(_double(a), _double(b), lambda x, y: x * y)
@@ -45,26 +52,31 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Null for a vector of norm 0."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(_double(v), lambda x: x / size))
+
+    def divided(v: Column) -> Column:
+        return let(norm(v), lambda size: F.when(size > 0, F.transform(v, lambda x: x / size)))
+
+    return let(_double(v), divided)
 
 
-def with_combined(df: DataFrame, name: str, *views: str) -> DataFrame:
-    """df with the normalised mean of those views that have the commonest size (of equally common ones the first).
+def combine_views(*views: Column) -> Column:
+    """The normalised mean of those views that have the commonest size (of equally common ones the first).
 
-    Null if no view is there or the mean is zero. The steps are columns of their own, lest lambdas compute them again for
-    each element.
+    Null if no view is there or the mean is zero.
     """
-    there = F.filter(F.array(*[_double(F.col(v)) for v in views]), lambda v: v.isNotNull() & (F.size(v) > 0))
-    out = df.withColumn("_there", there).withColumn("_sizes", F.transform("_there", lambda v: F.size(v)))
-    votes = F.transform("_sizes", lambda n, i: F.struct(F.size(F.filter("_sizes", lambda m: m == n)).alias("votes"), (-i).alias("first"), n.alias("n")))
-    out = out.withColumn("_size", F.array_max(votes)["n"])
-    out = out.withColumn("_same", F.filter("_there", lambda v: F.size(v) == F.col("_size")))
-    total = F.aggregate(F.slice("_same", 2, len(views)), F.get("_same", 0), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-    out = out.withColumn("_total", total).withColumn("_norm", norm(F.col("_total")))
+
+    def common_size(there: Column) -> Column:
+        def ranked(sizes: Column) -> Column:
+            return F.array_max(F.transform(sizes, lambda n, i: F.struct(F.size(F.filter(sizes, lambda m: m == n)).alias("votes"), (-i).alias("first"), n.alias("n"))))["n"]
+
+        return let(F.transform(there, lambda v: F.size(v)), ranked)
+
+    def total(same: Column) -> Column:
+        return F.aggregate(F.slice(same, 2, len(views)), F.get(same, 0), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+
     # the mean's norm is the sum's over the number of views, which cancels out
-    unit = F.transform("_total", lambda x: x / F.col("_norm"))
-    return out.withColumn(name, F.when((F.size("_there") > 0) & (F.col("_norm") > 0), unit)).drop("_there", "_sizes", "_size", "_same", "_total", "_norm")
+    there = F.filter(F.array(*map(_double, views)), lambda v: v.isNotNull() & (F.size(v) > 0))
+    return let(there, lambda t: let(common_size(t), lambda n: let(F.filter(t, lambda v: F.size(v) == n), lambda same: l2_normalize(total(same)))))
 
 
 def best_of(v: Column, prompts: Column) -> Column:

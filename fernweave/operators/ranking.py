@@ -21,15 +21,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
 
 
-def _blocks(models: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
-    """The models' vectors, BLOCK at a time by ranges of their hash: what is held at once doesn't grow with the models."""
+def _blocks(models: DataFrame, *more: str) -> Iterator[tuple]:
+    """The models' codes, more columns and vectors, about BLOCK at a time by their hash: what is held at once is bounded."""
     n = models.count()
     parts = max(1, -(-n // (BLOCK // 2)))
     hashed = models.withColumn("_part", F.pmod(F.xxhash64("model"), F.lit(parts)))
     for i in range(parts):
-        some = hashed.filter(F.col("_part") == i).select("model", F.col("vector").cast("array<double>").alias("vector")).orderBy("model").toArrow()
+        some = hashed.filter(F.col("_part") == i).select("model", *more, F.col("vector").cast("array<double>").alias("vector")).orderBy("model").toArrow()
         if some.num_rows:
-            yield some["model"].to_pylist(), _matrix(some["vector"].combine_chunks())
+            yield some["model"].to_pylist(), *[some[c].to_pylist() for c in more], _matrix(some["vector"].combine_chunks())
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -85,9 +85,34 @@ def rank_models(customers: DataFrame, models: DataFrame, k: int = 6) -> DataFram
     return _ranked(_scored(customers, models, True, k), "customer_id", "model", "rank_for_customer", k).select("customer_id", "rank_for_customer", "model", "score")
 
 
-def rank_all(customers: DataFrame, models: DataFrame) -> DataFrame:
-    """customer_id, model, score of every pair, for offline evaluation on held-out customers."""
-    return _scored(customers, models, True, 1 << 60)
+def target_ranks(customers: DataFrame, models: DataFrame) -> DataFrame:
+    """customer_id, rank of the customer's target among all models: 1 + those that score more, or as much at an earlier position.
+
+    customers: customer_id, vector, target, target_position, target_vector. models: model, position, vector. A row of
+    counts a customer and block of models leaves the tasks, never one a pair.
+    """
+    parts = []
+    for codes, positions, matrix in _blocks(models, "position"):
+
+        def count(batches: Iterator[pa.RecordBatch], codes=np.array(codes), positions=np.array(positions), matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                vectors = _matrix(batch.column(1))
+                scores = vectors @ matrix.T
+                own = np.einsum("ij,ij->i", vectors, _matrix(batch.column(4)))[:, None]
+                place = batch.column(3).to_numpy()[:, None]
+                ahead = ((scores > own) | ((scores == own) & (positions[None, :] < place))) & (codes[None, :] != np.array(batch.column(2).to_pylist())[:, None])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ahead.sum(axis=1).astype(np.int64))], ["customer_id", "ahead"])
+
+        asked = customers.select("customer_id", F.col("vector").cast("array<double>"), "target", F.col("target_position").cast("long"), F.col("target_vector").cast("array<double>"))
+        parts.append(asked.mapInArrow(count, "customer_id string, ahead long"))
+    if not parts:
+        return customers.select("customer_id", F.lit(1).cast("long").alias("rank")).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("customer_id").agg((1 + F.sum("ahead")).alias("rank"))
 
 
 def rank_eligible(customers: DataFrame, models: DataFrame, as_of: str, k: int = 100) -> DataFrame:

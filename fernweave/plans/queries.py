@@ -217,7 +217,9 @@ def model_status(spark: SparkSession, d: str) -> DataFrame:
 select model, i::int as place, {M.format("mean[i] / sqrt(list_dot_product(mean, mean))")} as value_micro from sums, range(1, 65) as t(i)"""
 )
 def visual_combine(spark: SparkSession, d: str) -> DataFrame:
-    combined = V.with_combined(T.views(spark, d), "visual", "main", "pers", "side").select("model", F.posexplode("visual").alias("place", "value"))
+    visual = V.combine_views(F.col("main"), F.col("pers"), F.col("side"))
+    # outer: else the optimizer computes the vector once more, to leave out empty ones before the joins
+    combined = T.views(spark, d).select("model", F.posexplode_outer(visual).alias("place", "value"))
     return combined.select("model", (F.col("place") + 1).alias("place"), micro(F.col("value")).alias("value_micro"))
 
 
@@ -495,11 +497,10 @@ select {M.format("avg(case when rank <= 5 then 1.0 else 0.0 end)")} as recall_5,
 )
 def eval_rank_metrics(spark: SparkSession, d: str) -> DataFrame:
     now = _current(spark, d).filter("excluded is null")
-    own = customers.mean_vectors(now, T.catalog(spark, d)).join(now.select("customer_id", F.element_at("catalog_history", -1).alias("target")), "customer_id")
-    models = T.catalog(spark, d).filter("visual is not null").select("model", F.col("model_id").alias("position"), F.col("visual").alias("m"))
-    pairs = ranking.rank_all(own.select("customer_id", "vector"), models.select("model", F.col("m").alias("vector")))
-    scores = pairs.join(own.select("customer_id", "target"), "customer_id").join(models.select("model", "position"), "model")
-    ranks = metrics.target_ranks(scores.select(F.col("customer_id").alias("query_id"), "position", "score", (F.col("model") == F.col("target")).alias("is_target")))
+    models = T.catalog(spark, d).filter("visual is not null").select("model", F.col("model_id").alias("position"), F.col("visual").alias("vector"))
+    target = models.select(F.col("model").alias("target"), F.col("position").alias("target_position"), F.col("vector").alias("target_vector"))
+    own = now.select("customer_id", F.element_at("catalog_history", -1).alias("target")).join(target, "target")
+    ranks = ranking.target_ranks(customers.mean_vectors(now, T.catalog(spark, d)).join(own, "customer_id"), models)
     out = metrics.ranking_metrics(ranks)
     return out.select(*[micro(F.col(c)).alias(c) for c in out.columns[:-1]], "examples")
 

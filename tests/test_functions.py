@@ -59,7 +59,7 @@ def test_parse_vectors(spark):
 ])
 def test_combine_views(spark, views, want):
     df = spark.createDataFrame([tuple([float(x) for x in v] if v else None for v in views)], "a array<double>, b array<double>, c array<double>")
-    (row,) = V.with_combined(df, "out", "a", "b", "c").collect()
+    (row,) = df.select(V.combine_views(*[F.col(c) for c in "abc"]).alias("out")).collect()
     assert row.out is None if want is None else row.out == pytest.approx(want)
 
 

@@ -111,6 +111,13 @@ def test_ties_beyond_k_and_blocks_of_models(spark, monkeypatch):
     assert ranking.rank_models(c, m, 2).filter("customer_id = '07'").orderBy("rank_for_customer").collect()[1].model == "m1"
 
 
+def test_target_ranks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK", 2)
+    models = spark.createDataFrame([("A", 0, [1.0, 0.0]), ("B", 1, [0.0, 1.0]), ("C", 2, [1.0, 0.0]), ("D", 3, [2.0, 0.0])], "model string, position long, vector array<double>")
+    people = spark.createDataFrame([("x", [1.0, 0.0], "C", 2, [1.0, 0.0]), ("y", [0.0, 1.0], "B", 1, [0.0, 1.0])], "customer_id string, vector array<double>, target string, target_position long, target_vector array<double>")
+    assert dict(ranking.target_ranks(people, models).collect()) == {"x": 3, "y": 1}
+
+
 def test_overlap_and_violations(spark):
     rows = [(m, 1, "1", 0.9) for m in "ABC"] + [(m, 2, m, 0.5) for m in "ABC"]
     ranked = spark.createDataFrame(rows, "model string, customer_rank int, customer_id string, score double")
