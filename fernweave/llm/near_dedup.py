@@ -212,6 +212,99 @@ def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
+def _share_counts(sets: DataFrame) -> np.ndarray:
+    """A count-min sketch, as of document_frequencies, of the 32-bit shingles of these sets alone."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(2 * CELLS, np.int32)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                for cell in _cells(mixed(np.unique(np.frombuffer(x, np.uint32)).astype(U)) >> U(64 - BITS)):
+                    np.add.at(cells, cell, 1)
+        full = np.flatnonzero(cells)
+        for at in range(0, len(full), 1 << 16):
+            some = full[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], ["cell", "n"])
+
+    sums = sets.select("shingles").mapInArrow(count, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * CELLS, np.int64)
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
+GRAIN = np.log(1.05)  # of the classes of total weights in the prefix join
+
+
+def _prefixes(sets: DataFrame, counts: Broadcast, least: float) -> DataFrame:
+    """sets: k1, label, shingles, weights. A row for each shingle that may be the rarest common one of an alike pair.
+
+    With the shingles from rare to common, all that a pair has in common is in what follows the rarest common shingle, in
+    both. For a pair at the threshold t that rest weighs t / (1 + t) of the pair's total weight or more, in both. So a row
+    holds the rest's weight. longer: a row for the longer of the pair, in its class of total weights; the shorter has a
+    row in each class that the longer may have. Shingles that one set alone has are left out.
+    """
+    t = least * (1 - 1e-6)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = counts.value
+        for batch in batches:
+            keys, labels = (batch.column(i).to_numpy() for i in (0, 1))
+            for at, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                shingle, weight = np.frombuffer(x, np.uint32), np.frombuffer(y, np.float32).astype(float)
+                a, b = _cells(mixed(shingle.astype(U)) >> U(64 - BITS))
+                held = np.minimum(cells[a], cells[b])
+                order = np.lexsort((shingle, held))
+                shingle, held, weight = shingle[order], held[order], weight[order]
+                rest = np.cumsum(weight[::-1])[::-1]
+                total = rest[0]
+                own = int(np.floor(np.log(total) / GRAIN))
+                longer = np.flatnonzero((rest >= t * total) & (held > 1))
+                # the largest partner for which this shingle is in the prefix
+                most = rest * (1 + t) / t - total
+                shorter = np.flatnonzero((most >= total * (1 - 1e-9)) & (held > 1))
+                last = np.floor(np.log(np.maximum(most[shorter], total)) / GRAIN).astype(np.int64)
+                times = last - own + 1
+                turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                places = np.concatenate([longer, np.repeat(shorter, times)])
+                n = len(places)
+                if n:
+                    sizes = np.concatenate([np.full(len(longer), own), own + turn]).astype(np.int32)
+                    kind = np.arange(n) < len(longer)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(shingle[places].view(np.int32)), pa.array(sizes), pa.array(kind), pa.array(np.full(n, keys[at])), pa.array(np.full(n, labels[at])), pa.array(np.full(n, total)), pa.array(rest[places])],
+                        ["shingle", "size", "longer", "k1", "label", "total", "rest"],
+                    )
+
+    return sets.select("k1", "label", "shingles", "weights").mapInArrow(cut, "shingle int, size int, longer boolean, k1 long, label long, total double, rest double")
+
+
+def _missed_links(met: DataFrame, sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity: the alike pairs of different classes among the members of buckets that leaders left in several classes.
+
+    met: v, key of bucket members that are no leaders. Exact: a prefix join on the rarest shingles proposes the pairs.
+    """
+    spark = met.sparkSession
+    label = F.xxhash64(F.coalesce("label", "v"))
+    met = written(met.join(labels, "v", "left").select("v", "key", label.alias("label")))
+    mixed_keys = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    open_ones = written(met.join(mixed_keys, "key", "left_semi").select("v", "label").distinct())
+    sets = written(sets.join(open_ones, "v").select("v", F.col("v.k1").alias("k1"), "label", "shingles", "weights"))
+    counts = spark.sparkContext.broadcast(_share_counts(sets))
+    rows = written(_prefixes(sets, counts, least))
+    key = ["shingle", "size"]
+    several = rows.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select(*key)
+    rows = written(rows.join(several, key, "left_semi"))
+    long = rows.filter("longer").select(*key, F.col("k1").alias("x"), F.col("label").alias("lx"), F.col("total").alias("tx"), F.col("rest").alias("rx"))
+    short = rows.filter("not longer").select(*key, F.col("k1").alias("y"), F.col("label").alias("ly"), F.col("total").alias("ty"), F.col("rest").alias("ry"))
+    t = least * (1 - 1e-6)
+    near = (F.col("lx") != F.col("ly")) & (F.col("tx") >= F.col("ty")) & (F.least("rx", "ry") >= F.lit(t / (1 + t)) * (F.col("tx") + F.col("ty")))
+    found = long.join(short, [long[c] == short[c] for c in key] + [near]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    found = written(found.distinct())
+    left = sets.select(F.col("k1").alias("x"), F.col("v").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
+    right = sets.select(F.col("k1").alias("y"), F.col("v").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
+    return _alike(found.join(left, "x").join(right, "y"), least)
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, text_hash, class_id (the smallest id of its class), kept (one row of each class).
 
@@ -221,7 +314,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     Texts of equal words collapse to one content first, so thousands of copies cost one signature. In each band bucket
     a content is compared with two leaders, the content of the smallest id and one that a hash picks by band: pairs grow
     with the members of buckets, not with their squares, and a group's members meet some leader in each of the bands
-    that they share. No bucket is capped or left out.
+    that they share. Where the leaders leave a bucket's other members in several classes, as where unlike documents share
+    a long passage, a prefix join on rare shingles finds the alike pairs among those members. No bucket is capped or left out.
 
     Texts without words (null ones too) are one class. Ties go to the smaller id, nulls first; rows that repeat in full
     are copies, one of which is kept. Other columns are not read. An empty table gives an empty result.
@@ -235,8 +329,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     members = contents.select("v", F.posexplode("keys").alias("band", "key"))
     by_hash = F.struct(F.xxhash64("v", "band").alias("h"), F.col("v").alias("v"))
     leaders = members.groupBy("band", "key").agg(F.min("v").alias("first"), F.min(by_hash)["v"].alias("other"), F.count(F.lit(1)).alias("n"))
-    leaders = written(leaders.filter("n > 1").select("band", "key", "first", "other"))
-    met = members.join(leaders, ["band", "key"]).select("v", F.explode(F.array_distinct(F.array("first", "other"))).alias("w")).filter("v != w")
+    leaders = written(leaders.filter("n > 1"))
+    held = members.join(leaders, ["band", "key"])
+    met = held.select("v", F.explode(F.array_distinct(F.array("first", "other"))).alias("w")).filter("v != w")
     pairs = written(met.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct())
     asked = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct().select("v.*")
     sets = _weighted_sets(plain.select("id", "text"), sketch, settings).dropDuplicates(["id", "k1", "k2"])
@@ -246,6 +341,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     right = sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
     links = _alike(pairs.join(left, "a").join(right, "b"), settings.least)
     labels = connected_components(links)
+    others = held.filter("n > 2 and v != first and v != other").select("v", "key")
+    more = written(_missed_links(others, sets, labels, settings.least).select("a", "b"))
+    if not more.isEmpty():
+        # links between classes: their labels' components
+        of = [labels.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
+        ends = more.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        above = connected_components(ends).select(F.col("v").alias("label"), F.col("label").alias("above"))
+        whole = contents.select("v").join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
+        labels = written(whole.join(above, "label", "left").select("v", F.coalesce("above", "label").alias("label")))
     homes = written(contents.join(labels, "v", "left").select("v.*", F.coalesce("label", "v").alias("class")).select("k1", "k2", F.col("id").alias("first_id"), F.col("class.id").alias("class_id"), (F.col("class") == F.struct("id", "k1", "k2")).alias("head")))
     # of a class's first content, the first of the rows with its id; counted before the join, which may then split a hot content
     turn = F.row_number().over(W.partitionBy("id", "k1", "k2").orderBy("own"))

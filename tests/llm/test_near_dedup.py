@@ -101,6 +101,42 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def test_pairs_among_documents_that_share_a_passage(spark):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(344)]
+    rows = []
+    for g in range(1000):
+        own = [f"o{g}-{i}" for i in range(60)]
+        rows.append(" ".join(passage + own))
+        if g % 2:
+            rows.append(" ".join(passage + own[: 60 - rng.randrange(5, 20)] + [f"q{g}-{i}" for i in range(25)]))
+        else:
+            rows.append(" ".join(passage + [f"r{g}-{i}" for i in range(60)]))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in run(spark, list(enumerate(rows)))}
+    # all pairs, by the shingles that two or more documents hold; the weights are nearly plain counts
+    sets = [set(shingle_counts(t)) for t in rows]
+    held = {}
+    for s in sets:
+        for g in s:
+            held[g] = held.get(g, 0) + 1
+    column = {g: i for i, g in enumerate(g for g, n in held.items() if n > 1)}
+    holds = np.zeros((len(rows), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        holds[i, [column[g] for g in s if g in column]] = 1
+    common = holds @ holds.T
+    size = np.array([len(s) for s in sets])
+    jaccard = common / (size[:, None] + size[None, :] - common)
+    alike = {(a, b) for a, b in np.argwhere(np.triu(jaccard >= 0.8, 1)).tolist()}
+    assert len(alike) > 300
+    assert [p for p in alike if got[p[0]] != got[p[1]]] == []
+    maybe = {(a, b) for a, b in np.argwhere(np.triu(jaccard >= 0.78, 1)).tolist()}
+    classes = {}
+    for i, c in got.items():
+        classes.setdefault(c, []).append(i)
+    assert all(len(m) <= 2 and (len(m) == 1 or tuple(sorted(m)) in maybe) for m in classes.values())
+
+
 def test_query_over_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = N.op10_near_dedup(spark, "/root/testdata/sf0.001")
