@@ -12,11 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, reachable, table, without
+from .common import fresh, reachable, table, without, written
 from .text_stats import CLASSES, COMMON, stats
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -25,6 +24,19 @@ ADDED = (*BASE, "base_failed", "class_distance", "word_distance", "kept")
 
 References = list[tuple[str, np.ndarray, np.ndarray]]
 
+#: Rare languages' references go to all tasks up to so many languages, else they are joined plainly.
+MOST_SENT = 10_000
+WIDTH = len(CLASSES) + len(COMMON) + 1
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """common: the references that serve all documents. rare: lang, own (the sums of its histograms; null: too few words)."""
+
+    common: References
+    rare: DataFrame
+    n_rare: int
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -37,7 +49,8 @@ class Rules:
     class_per_word: float = 10.0
     word_base: float = 0.27
     word_per_word: float = 4.0
-    min_share: float = 0.005  # of all words: a language with less gives no reference, so there are 200 at most
+    min_share: float = 0.005  # of all words: the references of languages with more (200 at most) serve all documents
+    lang_words: int = 1000  # a rarer language with so many words has a reference for its own documents; with fewer, distances don't decide
 
 
 #: For the references alone: documents farther than this from the mean of all documents take no part in them. Junk that
@@ -45,44 +58,69 @@ class Rules:
 DRAFT = Rules(class_base=0.16, class_per_word=5.0, word_base=0.285, word_per_word=2.5)
 
 
-def _sums(docs: DataFrame, text_col: str, lang_col: str, draft: References | None) -> DataFrame:
+def _with_own(docs: DataFrame, corpus: Corpus, lang: str, names: list[str]) -> DataFrame:
+    """docs with names[0], whether the language is a rare one, and names[1], its own sums."""
+    rare = corpus.rare.select(F.col("lang").alias(names[2]), F.col("own").alias(names[1]), F.lit(True).alias(names[0]))
+    rare = F.broadcast(rare) if corpus.n_rare <= MOST_SENT else rare
+    return docs.join(rare, F.coalesce(docs[lang].cast("string"), F.lit("")) == rare[names[2]], "left").drop(names[2])
+
+
+def _own(rare: pa.Array, sums: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch: whether a row's language is rare, the rows with a reference of their own, and these sums."""
+    at = np.flatnonzero(sums.is_valid().to_numpy(zero_copy_only=False))
+    own = sums.drop_null().flatten().to_numpy().astype(float).reshape(len(at), WIDTH)
+    return rare.is_valid().to_numpy(zero_copy_only=False), at, own
+
+
+def _sums(docs: DataFrame, text_col: str, lang_col: str, draft: Corpus | None) -> DataFrame:
     """A row for each language and Arrow batch: the sums of its histograms, with draft those of what it would keep."""
+    common = draft.common if draft else None
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = stats(batch.column(0))
             rows = np.concatenate([s["classes"], s["common"]], axis=1)
-            if draft:
-                rows[~judged(s, draft, DRAFT)["kept"]] = 0
+            if common is not None:
+                rows[~judged(s, common, DRAFT, _own(batch.column(2), batch.column(3)))["kept"]] = 0
             langs, at = np.unique(np.array([x or "" for x in batch.column(1).to_pylist()], object).astype(str), return_inverse=True)
             sums = np.zeros((len(langs), rows.shape[1]), np.int64)
             np.add.at(sums, at, rows)
             yield pa.RecordBatch.from_arrays([pa.array(langs.tolist(), pa.string()), pa.array(list(sums), pa.list_(pa.int64()))], ["lang", "sums"])
 
-    return docs.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(gather, "lang string, sums array<long>")
+    asked = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    if draft:
+        asked = _with_own(asked, draft, "lang", ["rare", "own", "_lang"]).select("text", "lang", "rare", "own")
+    return asked.mapInArrow(gather, "lang string, sums array<long>")
 
 
-def language_references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> References:
-    """(language, class histogram, common-word histogram) over all documents, in order of the language's name.
+def language_references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> Corpus:
+    """The class and common-word histograms of each language, over all documents.
 
     A second pass leaves out what lies far from the first pass's references. A null language counts as the language "".
-    The result is bounded: languages below min_share of all words are left out, unless none is above it.
+    Languages of min_share of all words or more (or the largest, if none is) are few and held here, in order of the
+    name; those of the others stay a table, however many they are.
     """
     reachable(docs.sparkSession)
     draft = _references(docs, rules, text_col, lang_col, None)
-    return draft and (_references(docs, rules, text_col, lang_col, draft) or draft)
+    if not draft.common:
+        return draft
+    final = _references(docs, rules, text_col, lang_col, draft)
+    return final if final.common else draft
 
 
-def _references(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, draft: References | None) -> References:
-    width = len(CLASSES) + len(COMMON) + 1
-    by_lang = _sums(docs, text_col, lang_col, draft).groupBy("lang").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums"))
+def _references(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, draft: Corpus | None) -> Corpus:
+    by_lang = _sums(docs, text_col, lang_col, draft).groupBy("lang").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(WIDTH)]).alias("sums"))
     words = F.aggregate(F.slice("sums", len(CLASSES) + 1, len(COMMON) + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-    # a few numbers a language
-    by_lang = by_lang.withColumn("words", words).filter("words > 0").withColumn("all", F.sum("words").over(W.partitionBy()))
-    share = F.col("words") / F.col("all")
-    rows = by_lang.withColumn("most", F.max("words").over(W.partitionBy())).filter((share >= rules.min_share) | (F.col("words") == F.col("most"))).collect()
+    by_lang = written(by_lang.withColumn("words", words))
+    every, most = by_lang.agg(F.sum("words"), F.max("words")).first()
+    if not every:
+        return Corpus([], by_lang.select("lang", F.col("sums").alias("own")).limit(0), 0)
+    large = (F.col("words") >= rules.min_share * every) | (F.col("words") == most)
+    rows = by_lang.filter(large).collect()
     made = [(r.lang, np.array(r.sums, float)) for r in sorted(rows, key=lambda r: r.lang)]
-    return [(lang, x[: len(CLASSES)] / x[: len(CLASSES)].sum(), x[len(CLASSES) :] / x[len(CLASSES) :].sum()) for lang, x in made]
+    common = [(lang, x[: len(CLASSES)] / x[: len(CLASSES)].sum(), x[len(CLASSES) :] / x[len(CLASSES) :].sum()) for lang, x in made]
+    rare = by_lang.filter(~large).select("lang", F.when(F.col("words") >= rules.lang_words, F.col("sums")).alias("own"))
+    return Corpus(common, rare, rare.count())
 
 
 def jensen_shannon(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -95,16 +133,21 @@ def jensen_shannon(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip(bits / 2, 0, 1)), 1.0)
 
 
-def judged(s: dict[str, np.ndarray], references: References, rules: Rules) -> dict[str, np.ndarray]:
-    """ADDED as arrays, from statistics."""
+def judged(s: dict[str, np.ndarray], references: References, rules: Rules, own: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+    """ADDED as arrays, from statistics. own: as _own gives it."""
+    rare, at, sums = own
     n = s["n_words"]
     out = {k: s[k] for k in BASE}
     out["base_failed"] = (n < rules.min_words) | (100 * s["n_repeat_words"] > rules.max_repeat_percent * n)
-    for name, hist, i in (("class_distance", s["classes"], 1), ("word_distance", s["common"], 2)):
+    for name, hist, i, part in (("class_distance", s["classes"], 1, sums[:, : len(CLASSES)]), ("word_distance", s["common"], 2, sums[:, len(CLASSES) :])):
         out[name] = np.min([jensen_shannon(hist, r[i]) for r in references], axis=0) if references else np.zeros(len(n))
+        if len(at):
+            out[name][at] = np.minimum(out[name][at], jensen_shannon(hist[at], part / part.sum(1, keepdims=True)))
     some = np.maximum(1, n)
     far = (out["class_distance"] > rules.class_base + rules.class_per_word / some) | (out["word_distance"] > rules.word_base + rules.word_per_word / some)
-    out["kept"] = ~out["base_failed"] & ~(far & (n >= rules.guard_words))
+    unknown = rare.copy()
+    unknown[at] = False
+    out["kept"] = ~out["base_failed"] & ~(far & (n >= rules.guard_words) & ~unknown)
     return out
 
 
@@ -112,23 +155,29 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
 
     Texts are read three times: twice for the languages' references, once for the verdicts; nothing is shuffled but the
-    references' sums. The distances are those to the nearest reference, whatever language the row claims.
+    references' sums. The distances are those to the nearest reference of a language of min_share or more, whatever
+    language the row claims, or of the row's own language. Where that is rarer and has under lang_words words, the
+    distances don't decide.
 
     Null texts count as empty; an empty text has distance 1 and fails the base rules. Rows that repeat get equal
     verdicts. Input columns named like the new ones are replaced. An empty table gives an empty result.
     """
     docs = without(docs, *ADDED)
     references = language_references(docs, rules, text_col, lang_col)
-    (text,) = fresh(docs, "text_")
+    common = references.common
+    text, rare, own, lang = fresh(docs, "text_", "rare_", "own_", "lang_")
+    names = docs.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = judged(stats(batch.column(batch.num_columns - 1)), references, rules)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(v[k]) for k in ADDED]], [*batch.schema.names[:-1], *ADDED])
+            texts, is_rare, sums = batch.columns[-3:]
+            v = judged(stats(texts), common, rules, _own(is_rare, sums))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *[pa.array(v[k]) for k in ADDED]], [*names, *ADDED])
 
     kinds = {"base_failed": T.BooleanType(), "kept": T.BooleanType(), "class_distance": T.DoubleType(), "word_distance": T.DoubleType()}
     schema = T.StructType([*docs.schema.fields, *[T.StructField(k, kinds.get(k, T.LongType())) for k in ADDED]])
-    return docs.withColumn(text, docs[text_col].cast("string")).mapInArrow(judge, schema)
+    asked = _with_own(docs.withColumn(text, docs[text_col].cast("string")), references, lang_col, [rare, own, lang])
+    return asked.select(*names, text, rare, own).mapInArrow(judge, schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
@@ -51,3 +53,29 @@ def test_edge_cases(spark):
     got = Q.quality_rules(df).collect()
     assert len(got) == 5 and [r.base_failed for r in got] == [True, True, True, False, False]
     assert got[3] == got[4] and Q.quality_rules(df.limit(0)).collect() == []
+
+
+def test_rare_languages(spark):
+    rng = random.Random(3)
+
+    def text(words, n, common):
+        return " ".join(rng.choice(words) if rng.random() < 0.55 else rng.choice(common) for _ in range(n))
+
+    made = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    english = "the of and to in is that it for was on are with as by this be at from or an have not".split()
+    rows = [(i, text(made, 500, english), "en") for i in range(3000)]
+    # 0.1% of all words, without any common word; two more with too few words for a reference
+    other = ["".join(rng.choices("κλμνξοπ", k=5)) for _ in range(900)]
+    rows += [(10_000 + i, text(other, 500, other), "el") for i in range(3)]
+    rows += [(20_000 + i, text(other, 100, other), lang) for i, lang in enumerate(("xa", "xb"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in Q.quality_rules(df).collect()}
+    assert not any(got[i].base_failed for i in got if i >= 10_000)
+    assert all(got[i].kept for i in got if i >= 10_000)
+    assert max(got[10_000 + i].word_distance for i in range(3)) < 0.27
+    # in a rare language with a reference, junk still goes
+    plain = [(30_000 + i, text(other, 500, other), "ru") for i in range(10)]
+    junk = " ".join(f"#{i}$%%&&||" for i in range(60))
+    more = df.union(spark.createDataFrame([*plain, (40_000, junk, "ru")], df.schema))
+    got = {r.doc_id: r.kept for r in Q.quality_rules(more).collect()}
+    assert not got[40_000] and all(got[i] for i, _, _ in plain)
