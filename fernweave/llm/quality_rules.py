@@ -93,7 +93,12 @@ def _sums(docs: DataFrame, text_col: str, lang_col: str, draft: Corpus | None) -
     return asked.mapInArrow(gather, "lang string, sums array<long>")
 
 
-def language_references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> Corpus:
+def language_references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> References:
+    """(language, class histogram, common-word histogram) of the languages that corpus_references holds for all documents."""
+    return corpus_references(docs, rules, text_col, lang_col).common
+
+
+def corpus_references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> Corpus:
     """The class and common-word histograms of each language, over all documents.
 
     A second pass leaves out what lies far from the first pass's references. A null language counts as the language "".
@@ -133,10 +138,10 @@ def jensen_shannon(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip(bits / 2, 0, 1)), 1.0)
 
 
-def judged(s: dict[str, np.ndarray], references: References, rules: Rules, own: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
-    """ADDED as arrays, from statistics. own: as _own gives it."""
-    rare, at, sums = own
+def judged(s: dict[str, np.ndarray], references: References, rules: Rules, own: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """ADDED as arrays, from statistics. own: as _own gives it; without it, no language is rare."""
     n = s["n_words"]
+    rare, at, sums = own or (np.zeros(len(n), bool), np.zeros(0, np.int64), np.zeros((0, WIDTH)))
     out = {k: s[k] for k in BASE}
     out["base_failed"] = (n < rules.min_words) | (100 * s["n_repeat_words"] > rules.max_repeat_percent * n)
     for name, hist, i, part in (("class_distance", s["classes"], 1, sums[:, : len(CLASSES)]), ("word_distance", s["common"], 2, sums[:, len(CLASSES) :])):
@@ -163,7 +168,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text
     verdicts. Input columns named like the new ones are replaced. An empty table gives an empty result.
     """
     docs = without(docs, *ADDED)
-    references = language_references(docs, rules, text_col, lang_col)
+    references = corpus_references(docs, rules, text_col, lang_col)
     common = references.common
     text, rare, own, lang = fresh(docs, "text_", "rare_", "own_", "lang_")
     names = docs.columns
