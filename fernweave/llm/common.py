@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,26 +39,44 @@ def text_of(df: DataFrame, column: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where none is set, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where none is set, one of our own, on a local master alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fernweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="fernweave-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def _place(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again.
 
     That cuts the lineage, so a lost executor costs only the stage at hand, and what is used twice is computed once.
-    The files go when the driver's JVM ends.
+    discard deletes the files; what is left of them goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written gave and that nothing reads any more."""
+    for df in tables:
+        files, place = _place(df.sparkSession, df._written_to)
+        files.delete(place, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -1,14 +1,15 @@
 """Near-duplicate documents by improved consistent weighted sampling (Ioffe, 2010).
 
-Documents are weighted sets of five-word shingles: term frequency times a smoothed inverse document frequency. Each of
-BANDS * ROWS samples of a document agrees with another's with a probability near their weighted Jaccard similarity;
-ROWS samples form a band. Documents that share a band are candidates; the exact weighted Jaccard similarity of their
-shingles decides.
+A document is a weighted set of elements: its five-word shingles, a repeated one as often as it occurs (the j-th
+occurrence is an element of its own, so that sets of elements have the term frequencies in them), each weighted by its
+inverse document frequency. Each of bands * rows samples of a document agrees with another's with a probability of their
+weighted Jaccard similarity; rows samples form a band. Documents that share a band are candidates; the weighted Jaccard
+similarity of their elements and, after it, the plain one decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, reachable, table, written
+from .common import discard, fresh, reachable, table, written
 from .components import connected_components
 from .wordhash import Chunk, U, chunks, mixed, shingles
 
@@ -27,10 +28,10 @@ from .wordhash import Chunk, U, chunks, mixed, shingles
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.8
-    bands: int = 12
+    bands: int = 14
     rows: int = 3
     words: int = 5
-    idf_gain: float = 0.05  # the rarest shingle weighs 1 + idf_gain times the commonest
+    idf_gain: float = 0.5  # the rarest shingle weighs 1 + idf_gain times the commonest
     rare: float = 1e-3  # shingles in less than this part of the documents all count as rarest
     seed: int = 5
 
@@ -42,46 +43,59 @@ class Settings:
 
 
 CELLS = 1 << 20  # of each of the two rows of the document-frequency sketch
-BITS = 44  # of a shingle's hash
-BUCKETS = 12  # bits of the bucket that picks a shingle's random numbers
-LEVELS, STEP = 64, np.log(1.05)  # weights for sampling, on a logarithmic grid
+FIELD = 12  # bits of an element's hash, times a sample's factor, that pick one of its random numbers
+AGAIN = U(0x9FB21C651E98DF25)  # tells a shingle's occurrences apart
 
 
-def shingle_sets(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each distinct shingle of each text: text, hash, count; and for all texts two content keys.
+def elements(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each element of each text: text, and hash, rising within the text; and for all texts two halves of a content key.
 
-    A text of fewer words than a shingle has one shingle, of all its words. Texts of the same words in the same order
-    have the same content keys.
+    A text of fewer words than a shingle has one shingle, of all its words. The content key is a cryptographic digest:
+    texts of the same words in the same order have the same one.
     """
-    text, _, _, value = c.words()
+    text, starts, _, value = c.words()
     n = np.bincount(text, minlength=c.n)
-    first = np.concatenate([[0], np.cumsum(n)])
-    place = (np.arange(len(value)) - first[text]).astype(U)
-    keys = []
-    for odd in (0x9FB21C651E98DF25, 0xD1B54A32D192ED03):
-        sums = np.zeros(len(value) + 1, U)
-        np.cumsum(mixed(value ^ mixed(place * U(odd) + U(1))), out=sums[1:])
-        keys.append(mixed((sums[first[1:]] - sums[first[:-1]]) ^ n.astype(U) * U(odd)))
+    k1, k2 = c.contents(text, starts)
     at, hashes = shingles(text, value, words)
     owner = text[at]
     short = np.flatnonzero((n > 0) & (n < words))
-    owner, hashes = np.concatenate([owner, short]), np.concatenate([hashes, keys[0][short]])
-    whole = np.sort((owner.astype(U) << U(BITS)) | (hashes >> U(64 - BITS)))
-    new = np.ones(len(whole), bool)
-    new[1:] = whole[1:] != whole[:-1]
-    start = np.flatnonzero(new)
-    whole, count = whole[start], np.diff(np.append(start, len(whole)))
-    return (whole >> U(BITS)).astype(np.int64), whole & U((1 << BITS) - 1), count, keys[0], keys[1]
+    owner, hashes = np.concatenate([owner, short]), np.concatenate([hashes, k1[short].view(U)])
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    again = np.zeros(len(order), bool)
+    again[1:] = (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])
+    if again.any():
+        index = np.arange(len(order))
+        turn = (index - np.maximum.accumulate(np.where(again, 0, index))).astype(U)
+        hashes = np.where(again, mixed(hashes + turn * AGAIN), hashes)
+        order = np.lexsort((hashes, owner))
+        hashes = hashes[order]
+    return owner, hashes, k1, k2
 
 
 def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes & U(CELLS - 1)).astype(np.int64), ((hashes >> U(BITS - 20)) & U(CELLS - 1)).astype(np.int64) + CELLS
+    return (hashes & U(CELLS - 1)).astype(np.int32), ((hashes >> U(44)) & U(CELLS - 1)).astype(np.int32) + CELLS
+
+
+def _added(counts: DataFrame) -> np.ndarray:
+    """A sketch from rows of cell and n: 2 * CELLS numbers whatever the input."""
+    sums = counts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * CELLS, np.float32)
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
+def _filled(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    full = np.flatnonzero(cells)
+    for at in range(0, len(full), 1 << 16):
+        some = full[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], ["cell", "n"])
 
 
 def document_frequencies(docs: DataFrame, settings: Settings, text_col: str) -> tuple[np.ndarray, int]:
-    """A count-min sketch of the shingles' document frequencies, 2 * CELLS numbers whatever the input, and the number of documents.
+    """A count-min sketch of the elements' document frequencies, and the number of documents.
 
-    A cell adds the frequencies of the shingles that share it, on average about 1/2000 of the documents for texts of 500
+    A cell adds the frequencies of the elements that share it, on average about 1/2000 of the documents for texts of 500
     words; counts below Settings.rare of the documents make no difference.
     """
     words = settings.words
@@ -90,61 +104,59 @@ def document_frequencies(docs: DataFrame, settings: Settings, text_col: str) ->
         cells = np.zeros(2 * CELLS, np.int32)
         for batch in batches:
             for c in chunks(batch.column(0)):
-                for cell in _cells(shingle_sets(c, words)[1]):
+                for cell in _cells(elements(c, words)[1]):
                     np.add.at(cells, cell, 1)
-        full = np.flatnonzero(cells)
-        for at in range(0, len(full), 1 << 16):
-            some = full[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], ["cell", "n"])
+        yield from _filled(cells)
 
-    sums = docs.select(docs[text_col].cast("string")).mapInArrow(count, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * CELLS, np.int64)
-    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
-    return out, docs.count()
+    return _added(docs.select(docs[text_col].cast("string")).mapInArrow(count, "cell int, n int")), docs.count()
 
 
 def idf(hashes: np.ndarray, cells: np.ndarray, documents: int, settings: Settings) -> np.ndarray:
-    """Between 1 and 1 + idf_gain."""
+    """Between 1 and 1 + idf_gain, by the logarithm of the share of documents."""
     a, b = _cells(hashes)
-    share = np.minimum(cells[a], cells[b]) / max(1, documents)
-    return 1 + settings.idf_gain * np.log(np.clip(share, settings.rare, 1)) / np.log(settings.rare)
+    share = np.minimum(cells[a], cells[b]) / np.float32(max(1, documents))
+    return 1 + np.float32(settings.idf_gain / np.log(settings.rare)) * np.log(np.clip(share, np.float32(settings.rare), np.float32(1)))
 
 
 @lru_cache(2)
-def _tables(settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """For each sample: an odd factor that picks a shingle's bucket, and the rank of (level, bucket) in order of ln a.
-
-    The numbers r, c (gamma) and beta (uniform) of a bucket give t = floor(ln S / r + beta) and ln a = ln c - r (t - beta) - r
-    for weight S. Levels of equal t have equal ranks: they are the same sample.
-    """
-    samples, size = settings.bands * settings.rows, 1 << BUCKETS
+def _numbers(settings: Settings) -> tuple[np.ndarray, ...]:
+    """For each sample an odd factor; for each value of a field r (gamma), 1 / r, ln c (c gamma) and beta (uniform)."""
     random = np.random.default_rng(settings.seed)
-    factors = random.integers(0, 1 << 63, samples).astype(U) * U(2) + U(1)
-    ranks = np.empty((samples, LEVELS * size), U)
-    log_s = (np.arange(LEVELS) * STEP)[:, None]
-    for i in range(samples):
-        r, c, beta = random.gamma(2, 1, size), random.gamma(2, 1, size), random.uniform(0, 1, size)
-        log_a = np.log(c) - r * (np.floor(log_s / r + beta) - beta) - r
-        ranks[i] = np.unique(log_a.ravel(), return_inverse=True)[1].astype(U)
-    return factors, ranks
+    factors = random.integers(0, 1 << 63, settings.bands * settings.rows).astype(U) * U(2) + U(1)
+    r, c, beta = random.gamma(2, 1, 1 << FIELD), random.gamma(2, 1, 1 << FIELD), random.uniform(0, 1, 1 << FIELD)
+    return factors, r, 1 / r, np.log(c), beta
 
 
 def band_keys(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with a shingle, and for each its keys of all bands."""
+    """The texts with an element, and for each its keys of all bands.
+
+    An element's numbers r, c and beta, picked by three fields of its hash times the sample's factor, give t = floor(ln S /
+    r + beta) and ln a = ln c - r (t - beta) - r for weight S. The sample is the element and t of the least ln a, which
+    itself stands for both: equal elements of equal t have the same bits.
+    """
     start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
     out = np.empty((len(start), settings.bands), U)
     if not len(start):
         return owner, out
-    factors, ranks = _tables(settings)
-    level = np.clip(np.round(np.log(weights) / STEP), 0, LEVELS - 1).astype(np.int64) << BUCKETS
-    low = hashes & U((1 << 42) - 1)
+    factors, r, inverse, log_c, beta = _numbers(settings)
+    log_s = np.log(weights)
+    size, mask = U(FIELD), U((1 << FIELD) - 1)
     for band in range(settings.bands):
         key = np.full(len(start), band + 1, U)
         for i in range(band * settings.rows, (band + 1) * settings.rows):
-            bucket = ((hashes * factors[i]) >> U(64 - BUCKETS)).astype(np.int64)
-            # the least rank, among equal ranks the least shingle: a consistent sample (shingle, t)
-            sample = np.minimum.reduceat((ranks[i][level | bucket] << U(42)) | low, start)
-            key = mixed(key * U(0x9E3779B97F4A7C15) + sample)
+            x = hashes * factors[i]
+            first = (x >> U(64 - FIELD)).astype(np.int32)
+            own_beta = beta[((x >> U(64 - 3 * FIELD)) & mask).astype(np.int32)]
+            t = inverse[first]
+            t *= log_s
+            t += own_beta
+            np.floor(t, out=t)
+            t -= own_beta
+            t += 1
+            t *= r[first]
+            log_a = log_c[((x >> U(64 - 2 * FIELD)) & mask).astype(np.int32)]
+            log_a -= t
+            key = mixed(key * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(log_a, start).view(U))
         out[:, band] = key
     return owner[start], out
 
@@ -157,109 +169,104 @@ def _signatures(docs: DataFrame, sketch: Broadcast, settings: Settings) -> DataF
         for batch in batches:
             at = 0
             for c in chunks(batch.column(2)):
-                owner, hashes, count, k1, k2 = shingle_sets(c, settings.words)
-                texts, keys = band_keys(owner, hashes, count * idf(hashes, cells, documents, settings), settings)
+                owner, hashes, k1, k2 = elements(c, settings.words)
+                texts, keys = band_keys(owner, hashes, idf(hashes, cells, documents, settings), settings)
                 offsets = np.zeros(c.n + 1, np.int32)
                 offsets[texts + 1] = settings.bands
                 rows = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets), pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 part = batch.slice(at, c.n)
                 at += c.n
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), rows], ["id", "own", "k1", "k2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(k1), pa.array(k2), rows], ["id", "own", "k1", "k2", "keys"])
 
     return docs.mapInArrow(sign, f"id {docs.schema['id'].dataType.simpleString()}, own long, k1 long, k2 long, keys array<long>")
 
 
-def _weighted_sets(docs: DataFrame, sketch: Broadcast, settings: Settings) -> DataFrame:
-    """docs: id, text. id, k1, k2, shingles (32 bits each, rising), weights (float32 each)."""
+def _sets(docs: DataFrame, settings: Settings) -> DataFrame:
+    """docs: id, text. id, k1, k2, elements (64 bits each, rising)."""
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, documents = sketch.value
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for c in chunks(batch.column(1)):
-                owner, hashes, count, k1, k2 = shingle_sets(c, settings.words)
-                weights = (count * idf(hashes, cells, documents, settings)).astype(np.float32)
-                cut = np.searchsorted(owner, np.arange(c.n + 1))
-                short = (hashes >> U(BITS - 32)).astype(np.uint32)
-                sets = [short[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                own = [weights[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, c.n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sets, pa.binary()), pa.array(own, pa.binary())], ["id", "k1", "k2", "shingles", "weights"])
+                owner, hashes, k1, k2 = elements(c, settings.words)
+                cut = np.searchsorted(owner, np.arange(c.n + 1)) * 8
+                raw = hashes.tobytes()
+                sets = [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, c.n), pa.array(k1), pa.array(k2), pa.array(sets, pa.binary())], ["id", "k1", "k2", "elements"])
                 at += c.n
 
-    return docs.mapInArrow(weigh, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, shingles binary, weights binary")
+    return docs.mapInArrow(gather, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, elements binary")
 
 
-def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Sum of the smaller weights over sum of the larger ones; two empty sets are alike."""
-    total = float(wa.sum(dtype=float) + wb.sum(dtype=float))
-    at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
-    same = b[at] == a if len(b) else np.zeros(len(a), bool)
-    common = float(np.minimum(wa[same], wb[at[same]]).sum(dtype=float))
-    return common / (total - common) if total else 1.0
+def similarities(a: np.ndarray, b: np.ndarray, weigh: Callable[[np.ndarray], np.ndarray]) -> tuple[float, float]:
+    """Weighted and plain Jaccard similarity of two rising sets; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return (0.0, 0.0) if len(a) or len(b) else (1.0, 1.0)
+    common = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+    n = int(common.sum())
+    plain = n / (len(a) + len(b) - n)
+    wa = weigh(a)
+    low = float(wa[common].sum(dtype=float))
+    return low / (float(wa.sum(dtype=float)) + float(weigh(b).sum(dtype=float)) - low), plain
 
 
-def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
-    """pairs: a, b, sa, wa, sb, wb. a, b, similarity of the pairs that reach the threshold."""
+def _alike(pairs: DataFrame, sketch: Broadcast, settings: Settings) -> DataFrame:
+    """pairs: a, b, sa, sb. a, b of the pairs whose weighted similarity reaches Settings.least and whose plain one reaches the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, documents = sketch.value
         for batch in batches:
-            views = [[np.frombuffer(x, kind) for x in batch.column(i).to_pylist()] for i, kind in ((2, np.uint32), (3, np.float32), (4, np.uint32), (5, np.float32))]
-            value = np.array([weighted_jaccard(*x) for x in zip(*views)], float)
-            yes = pa.array(value >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(yes), batch.column(1).filter(yes), pa.array(value).filter(yes)], ["a", "b", "similarity"])
+            views = [[np.frombuffer(x, U) for x in batch.column(i).to_pylist()] for i in (2, 3)]
+            made = [similarities(x, y, lambda s: idf(s, cells, documents, settings)) for x, y in zip(*views)]
+            yes = pa.array([w >= settings.least and p >= settings.threshold for w, p in made], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(yes), batch.column(1).filter(yes)], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def _share_counts(sets: DataFrame) -> np.ndarray:
-    """A count-min sketch, as of document_frequencies, of the 32-bit shingles of these sets alone."""
+    """A sketch, as of document_frequencies, of the elements of these sets alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(2 * CELLS, np.int32)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                for cell in _cells(mixed(np.unique(np.frombuffer(x, np.uint32)).astype(U)) >> U(64 - BITS)):
+                for cell in _cells(np.frombuffer(x, U)):
                     np.add.at(cells, cell, 1)
-        full = np.flatnonzero(cells)
-        for at in range(0, len(full), 1 << 16):
-            some = full[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], ["cell", "n"])
+        yield from _filled(cells)
 
-    sums = sets.select("shingles").mapInArrow(count, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * CELLS, np.int64)
-    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
-    return out
+    return _added(sets.select("elements").mapInArrow(count, "cell int, n int"))
 
 
-GRAIN = np.log(1.05)  # of the classes of total weights in the prefix join
+GRAIN = np.log(1.05)  # of the classes of sizes in the prefix join
 
 
-def _prefixes(sets: DataFrame, counts: Broadcast, least: float) -> DataFrame:
-    """sets: k1, label, shingles, weights. A row for each shingle that may be the rarest common one of an alike pair.
+def _prefixes(sets: DataFrame, counts: Broadcast, threshold: float) -> DataFrame:
+    """sets: k1, label, elements. A row for each element that may be the rarest common one of an alike pair.
 
-    With the shingles from rare to common, all that a pair has in common is in what follows the rarest common shingle, in
-    both. For a pair at the threshold t that rest weighs t / (1 + t) of the pair's total weight or more, in both. So a row
-    holds the rest's weight. longer: a row for the longer of the pair, in its class of total weights; the shorter has a
-    row in each class that the longer may have. Shingles that one set alone has are left out.
+    With the elements from rare to common, all that a pair has in common is in what follows the rarest common element, in
+    both. For a pair at the threshold t that rest has t / (1 + t) of the pair's elements or more, in both. So a row holds
+    the rest's size. longer: a row for the longer of the pair, in its class of sizes; the shorter has a row in each class
+    that the longer may have. Elements that one set alone has are left out.
     """
-    t = least * (1 - 1e-6)
+    t = threshold * (1 - 1e-9)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = counts.value
         for batch in batches:
             keys, labels = (batch.column(i).to_numpy() for i in (0, 1))
-            for at, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                shingle, weight = np.frombuffer(x, np.uint32), np.frombuffer(y, np.float32).astype(float)
-                a, b = _cells(mixed(shingle.astype(U)) >> U(64 - BITS))
+            for at, x in enumerate(batch.column(2).to_pylist()):
+                element = np.frombuffer(x, U)
+                a, b = _cells(element)
                 held = np.minimum(cells[a], cells[b])
-                order = np.lexsort((shingle, held))
-                shingle, held, weight = shingle[order], held[order], weight[order]
-                rest = np.cumsum(weight[::-1])[::-1]
-                total = rest[0]
+                total = len(element)
+                first = np.lexsort((element, held))[: int(total * (1 - t)) + 1]  # no rest behind it is large enough
+                element, held = element[first], held[first]
+                rest = total - np.arange(len(first))
                 own = int(np.floor(np.log(total) / GRAIN))
                 longer = np.flatnonzero((rest >= t * total) & (held > 1))
-                # the largest partner for which this shingle is in the prefix
+                # the largest partner for which this element is in the prefix
                 most = rest * (1 + t) / t - total
                 shorter = np.flatnonzero((most >= total * (1 - 1e-9)) & (held > 1))
                 last = np.floor(np.log(np.maximum(most[shorter], total)) / GRAIN).astype(np.int64)
@@ -271,54 +278,60 @@ def _prefixes(sets: DataFrame, counts: Broadcast, least: float) -> DataFrame:
                     sizes = np.concatenate([np.full(len(longer), own), own + turn]).astype(np.int32)
                     kind = np.arange(n) < len(longer)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(shingle[places].view(np.int32)), pa.array(sizes), pa.array(kind), pa.array(np.full(n, keys[at])), pa.array(np.full(n, labels[at])), pa.array(np.full(n, total)), pa.array(rest[places])],
-                        ["shingle", "size", "longer", "k1", "label", "total", "rest"],
+                        [pa.array(element[places].view(np.int64)), pa.array(sizes), pa.array(kind), pa.array(np.full(n, keys[at])), pa.array(np.full(n, labels[at])), pa.array(np.full(n, total, np.int32)), pa.array(rest[places].astype(np.int32))],
+                        ["element", "size", "longer", "k1", "label", "total", "rest"],
                     )
 
-    return sets.select("k1", "label", "shingles", "weights").mapInArrow(cut, "shingle int, size int, longer boolean, k1 long, label long, total double, rest double")
+    return sets.select("k1", "label", "elements").mapInArrow(cut, "element long, size int, longer boolean, k1 long, label long, total int, rest int")
 
 
-def _missed_links(met: DataFrame, sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """a, b, similarity: the alike pairs of different classes among the members of buckets that leaders left in several classes.
+def _missed_links(met: DataFrame, sets: DataFrame, labels: DataFrame, sketch: Broadcast, settings: Settings) -> DataFrame:
+    """a, b: the alike pairs of different classes among the members of buckets that leaders left in several classes.
 
-    met: v, key of bucket members that are no leaders. Exact: a prefix join on the rarest shingles proposes the pairs.
+    met: v, key of bucket members that are no leaders. Exact: a prefix join on the rarest elements proposes the pairs.
     """
     spark = met.sparkSession
     label = F.xxhash64(F.coalesce("label", "v"))
     met = written(met.join(labels, "v", "left").select("v", "key", label.alias("label")))
     mixed_keys = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
     open_ones = written(met.join(mixed_keys, "key", "left_semi").select("v", "label").distinct())
-    sets = written(sets.join(open_ones, "v").select("v", F.col("v.k1").alias("k1"), "label", "shingles", "weights"))
+    discard(met)
+    sets = written(sets.join(open_ones, "v").select("v", F.col("v.k1").alias("k1"), "label", "elements"))
     counts = spark.sparkContext.broadcast(_share_counts(sets))
-    rows = written(_prefixes(sets, counts, least))
-    key = ["shingle", "size"]
+    rows = written(_prefixes(sets, counts, settings.threshold))
+    key = ["element", "size"]
     several = rows.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select(*key)
-    rows = written(rows.join(several, key, "left_semi"))
-    long = rows.filter("longer").select(*key, F.col("k1").alias("x"), F.col("label").alias("lx"), F.col("total").alias("tx"), F.col("rest").alias("rx"))
-    short = rows.filter("not longer").select(*key, F.col("k1").alias("y"), F.col("label").alias("ly"), F.col("total").alias("ty"), F.col("rest").alias("ry"))
-    t = least * (1 - 1e-6)
+    some = written(rows.join(several, key, "left_semi"))
+    discard(rows, open_ones)
+    long = some.filter("longer").select(*key, F.col("k1").alias("x"), F.col("label").alias("lx"), F.col("total").alias("tx"), F.col("rest").alias("rx"))
+    short = some.filter("not longer").select(*key, F.col("k1").alias("y"), F.col("label").alias("ly"), F.col("total").alias("ty"), F.col("rest").alias("ry"))
+    t = settings.threshold * (1 - 1e-9)
     near = (F.col("lx") != F.col("ly")) & (F.col("tx") >= F.col("ty")) & (F.least("rx", "ry") >= F.lit(t / (1 + t)) * (F.col("tx") + F.col("ty")))
     found = long.join(short, [long[c] == short[c] for c in key] + [near]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     found = written(found.distinct())
-    left = sets.select(F.col("k1").alias("x"), F.col("v").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
-    right = sets.select(F.col("k1").alias("y"), F.col("v").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    return _alike(found.join(left, "x").join(right, "y"), least)
+    discard(some)
+    left = sets.select(F.col("k1").alias("x"), F.col("v").alias("a"), F.col("elements").alias("sa"))
+    right = sets.select(F.col("k1").alias("y"), F.col("v").alias("b"), F.col("elements").alias("sb"))
+    links = written(_alike(found.join(left, "x").join(right, "y"), sketch, settings))
+    discard(found, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, text_hash, class_id (the smallest id of its class), kept (one row of each class).
 
-    A class is a connected component of documents at a weighted Jaccard similarity of Settings.least or more, so that any
-    pair at Settings.threshold by term frequencies alone is within it.
+    A class is a connected component of documents at a plain Jaccard similarity of Settings.threshold or more, counting
+    repeated shingles as often as they occur; the weighted similarity of such a pair is Settings.least or more.
 
     Texts of equal words collapse to one content first, so thousands of copies cost one signature. In each band bucket
     a content is compared with two leaders, the content of the smallest id and one that a hash picks by band: pairs grow
     with the members of buckets, not with their squares, and a group's members meet some leader in each of the bands
     that they share. Where the leaders leave a bucket's other members in several classes, as where unlike documents share
-    a long passage, a prefix join on rare shingles finds the alike pairs among those members. No bucket is capped or left out.
+    a long passage, a prefix join on rare elements finds the alike pairs among those members. No bucket is capped or left out.
 
-    Texts without words (null ones too) are one class. Ties go to the smaller id, nulls first; rows that repeat in full
-    are copies, one of which is kept. Other columns are not read. An empty table gives an empty result.
+    Texts without words (null and empty ones too) are one class. Very long texts are read in chunks of their own. Ties go
+    to the smaller id, nulls first; rows that repeat in full are copies, one of which is kept. Other columns are not
+    read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     reachable(spark)
@@ -334,15 +347,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     met = held.select("v", F.explode(F.array_distinct(F.array("first", "other"))).alias("w")).filter("v != w")
     pairs = written(met.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct())
     asked = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct().select("v.*")
-    sets = _weighted_sets(plain.select("id", "text"), sketch, settings).dropDuplicates(["id", "k1", "k2"])
+    sets = _sets(plain.select("id", "text"), settings).dropDuplicates(["id", "k1", "k2"])
     same = [sets[c].eqNullSafe(asked[c]) for c in ("id", "k1", "k2")]
-    sets = written(sets.join(asked, same[0] & same[1] & same[2], "left_semi").select(F.struct("id", "k1", "k2").alias("v"), "shingles", "weights"))
-    left = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
-    right = sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    links = _alike(pairs.join(left, "a").join(right, "b"), settings.least)
+    sets = written(sets.join(asked, same[0] & same[1] & same[2], "left_semi").select(F.struct("id", "k1", "k2").alias("v"), "elements"))
+    left = sets.select(F.col("v").alias("a"), F.col("elements").alias("sa"))
+    right = sets.select(F.col("v").alias("b"), F.col("elements").alias("sb"))
+    links = _alike(pairs.join(left, "a").join(right, "b"), sketch, settings)
     labels = connected_components(links)
+    discard(pairs)
     others = held.filter("n > 2 and v != first and v != other").select("v", "key")
-    more = written(_missed_links(others, sets, labels, settings.least).select("a", "b"))
+    more = _missed_links(others, sets, labels, sketch, settings)
+    discard(leaders, sets)
     if not more.isEmpty():
         # links between classes: their labels' components
         of = [labels.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
@@ -350,7 +365,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         above = connected_components(ends).select(F.col("v").alias("label"), F.col("label").alias("above"))
         whole = contents.select("v").join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
         labels = written(whole.join(above, "label", "left").select("v", F.coalesce("above", "label").alias("label")))
+    discard(more)
     homes = written(contents.join(labels, "v", "left").select("v.*", F.coalesce("label", "v").alias("class")).select("k1", "k2", F.col("id").alias("first_id"), F.col("class.id").alias("class_id"), (F.col("class") == F.struct("id", "k1", "k2")).alias("head")))
+    discard(contents)
     # of a class's first content, the first of the rows with its id; counted before the join, which may then split a hot content
     turn = F.row_number().over(W.partitionBy("id", "k1", "k2").orderBy("own"))
     placed = signed.select("id", "own", "k1", "k2", turn.alias("turn")).join(homes, ["k1", "k2"])
@@ -360,7 +377,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each class of near duplicates."""
+    """docs without all but one row of each class of near duplicates: that of the smallest id, nulls first.
+
+    Null and empty texts are one class, of which one row stays; of rows that repeat in full one stays. Other columns
+    are kept as they are, whatever their names. An empty table gives an empty result.
+    """
     own, turn = fresh(docs, "own", "turn")
     kept = near_duplicates(docs, settings, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
     keyed = docs.withColumn(own, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .wordhash import Chunk, chunks, repeated, shingles
+from .wordhash import SLAB, Chunk, chunks, repeated, shingles
 
 #: Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -51,24 +51,31 @@ def chunk_stats(c: Chunk) -> dict[str, np.ndarray]:
     n = c.n
     begins = (c.data & 0xC0) != 0x80
     out = {"n_words": np.bincount(text, minlength=n), "word_chars": c.total(begins & ~c.space), "n_chars": c.total(begins), "n_symbols": c.total(SYMBOL[c.data])}
-    line_text, _, _, line, full = c.lines()
-    line_text, line = line_text[full], line[full]
+    line_text, start, end, full = c.lines()
+    line_text, line = line_text[full], c.spans(start[full], end[full])
     out["n_lines"] = np.bincount(line_text, minlength=n)
     out["n_dup_lines"] = np.bincount(line_text[repeated(line_text, line)[1]], minlength=n)
     at, shingle = shingles(text, value)
     twice = at[repeated(text[at], shingle)[0]]
-    cover = np.zeros(len(value) + 6, np.int64)
+    cover = np.zeros(len(value) + 6, np.int32)
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + 5, -1)
     out["n_repeat_words"] = np.bincount(text[np.cumsum(cover)[: len(value)] > 0], minlength=n)
     out["n_distinct_words"] = out["n_words"] - np.bincount(text[repeated(text, value)[1]], minlength=n)
-    places = np.flatnonzero(begins)
     k = len(CLASSES)
-    out["classes"] = np.bincount(c.text_of(places) * k + CLASS[c.data[places]], minlength=n * k).reshape(n, k)
-    found = np.minimum(np.searchsorted(COMMON, value), len(COMMON) - 1)
-    found[COMMON[found] != value] = len(COMMON)
+    classes = np.zeros(n * k, np.int64)
+    for slab in c.slabs():
+        places = np.flatnonzero(begins[slab])
+        classes += np.bincount(c.text_of(places + slab.start) * k + CLASS[c.data[slab][places]], minlength=n * k)
+    out["classes"] = classes.reshape(n, k)
     k = len(COMMON) + 1
-    out["common"] = np.bincount(text * k + found, minlength=n * k).reshape(n, k)
+    common = np.zeros(n * k, np.int64)
+    for i in range(0, len(value), SLAB):
+        own = value[i : i + SLAB]
+        found = np.minimum(np.searchsorted(COMMON, own), len(COMMON) - 1)
+        found[COMMON[found] != own] = len(COMMON)
+        common += np.bincount(text[i : i + SLAB] * k + found, minlength=n * k)
+    out["common"] = common.reshape(n, k)
     return out
 
 

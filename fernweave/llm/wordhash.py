@@ -1,36 +1,29 @@
 """Words, lines and shingles of whole Arrow batches as NumPy arrays.
 
-A word is a run of bytes other than space, tab, newline, vertical tab, form feed and carriage return. The bytes of many
-texts are hashed at once: prefix sums of byte * BASE**position, modulo 2**64, give any span's hash by one subtraction
-and one multiplication by a power of BASE's inverse.
+A word is a run of bytes other than space, tab, newline, vertical tab, form feed and carriage return. Spans of bytes are
+hashed eight bytes a step, all spans at once, through a state of two 64-bit lanes that each step mixes; very long spans
+have a cryptographic digest instead. Neither is linear in the bytes, so no patterns of letters collide by structure.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 2**64)
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 #: Odd factors of the words of a shingle, by place.
 PLACES = tuple(U(x) for x in (0xD6E8FEB86659FD93, 0xA5A5B2A9C3D1E57B, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        x = np.full(n, base, U)
-        x[0] = 1
-        return np.cumprod(x, dtype=U)
-
-    return run(BASE), run(INVERSE)
+LANES = (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9))
+LONG = 64  # bytes: longer spans are digested one by one
+SLAB = 1 << 20  # bytes that are looked at together, so that what a long text needs beside itself stays small
+#: For a number of bytes from 0 to 8: the mask that keeps so many of a little-endian word.
+MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -67,54 +60,95 @@ class Chunk:
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
         self.space = SPACE[data]
-        size = 1 << max(17, len(data).bit_length())
-        self._power, self._inverse = _powers(size)
-        self._sums = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * self._power[: len(data)], out=self._sums[1:])
-        if len(data) > 16 << 20:
-            _powers.cache_clear()
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The hashes of spans of bytes."""
-        return mixed((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(U))
+        out = np.empty(len(starts), U)
+        for at in range(0, len(starts), SLAB // 8):
+            part = slice(at, at + SLAB // 8)
+            out[part] = self._spans(starts[part], ends[part])
+        return out
+
+    def _spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        if not len(size):
+            return np.zeros(0, U)
+        low, high = int(starts.min()), int(ends.max())
+        raw = np.zeros(high - low + 8, np.uint8)
+        raw[:-8] = self.data[low:high]
+        eight = np.ndarray(high - low + 1, "<u8", raw.data, strides=(1,))  # the eight bytes from each place on
+        one = mixed(size.astype(U) * LANES[0] + LANES[1])
+        two = one ^ LANES[0]
+        at = np.flatnonzero(size <= LONG)
+        step = 0
+        while len(at := at[size[at] > step]):
+            word = eight[starts[at] - low + step] & MASKS[np.minimum(size[at] - step, 8)]
+            x = mixed(one[at] ^ word)
+            two[at] = mixed((two[at] + word) * LANES[1] + x)
+            one[at] = x ^ (two[at] >> U(32))
+            step += 8
+        out = mixed(one + two * LANES[0])
+        far = np.flatnonzero(size > LONG)
+        if len(far):
+            out[far] = self.digests(starts[far], ends[far])[0].view(U)
+        return out
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two halves of a cryptographic digest of each span."""
+        raw = memoryview(np.ascontiguousarray(self.data))
+        made = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+        view = np.frombuffer(made, "<i8").reshape(-1, 2)
+        return view[:, 0].copy(), view[:, 1].copy()
 
     def total(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each text the mask holds."""
-        sums = np.zeros(len(mask) + 1, np.int64)
-        np.cumsum(mask, out=sums[1:])
-        return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
+        return np.add.reduceat(np.append(mask, False), self.offsets[:-1], dtype=np.int64) * (np.diff(self.offsets) > 0)
 
     def text_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.offsets, places, "right") - 1
+        return (np.searchsorted(self.offsets, places, "right") - 1).astype(np.int32)
+
+    def slabs(self) -> Iterator[slice]:
+        for at in range(0, len(self.data), SLAB):
+            yield slice(at, min(at + SLAB, len(self.data)))
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each word: its text, start, end and hash."""
+        starts, ends = self.bounds()
+        return self.text_of(starts), starts, ends, self.spans(starts, ends)
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start and end."""
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.offsets] = True
         full = ~self.space
-        before = np.ones(len(self.data), bool)
-        before[1:] = self.space[:-1]
-        after = np.ones(len(self.data), bool)
-        after[:-1] = self.space[1:]
-        starts = np.flatnonzero(full & (before | edge[:-1]))
-        ends = np.flatnonzero(full & (after | edge[1:])) + 1
-        return self.text_of(starts), starts, ends, self.spans(starts, ends)
-
-    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each line (texts split at newlines): its text, start, end, hash, and whether it has a word."""
+        first, last = full & edge[:-1], full & edge[1:]
+        first[1:] |= full[1:] & self.space[:-1]
+        last[:-1] |= full[:-1] & self.space[1:]
+        return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+    def contents(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two halves of a cryptographic digest of each text's words, one space between. text, starts: of the words."""
+        keep = ~self.space
+        later = np.flatnonzero(text[1:] == text[:-1]) + 1
+        keep[starts[later] - 1] = True
+        kept = self.data[keep]
+        kept[SPACE[kept]] = 32
+        size = self.total(keep)
+        ends = np.cumsum(size)
+        return Chunk(kept, np.append(0, ends)).digests(ends - size, ends)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each line (texts split at newlines): its text, start, end, and whether it has a word."""
         cuts = np.flatnonzero(self.data == 10)
         kept = np.flatnonzero(np.diff(self.offsets) > 0)
-        starts = np.sort(np.concatenate([self.offsets[:-1][kept], cuts + 1]))
+        starts = np.unique(np.concatenate([self.offsets[:-1][kept], cuts + 1]))
         # a newline at a text's end opens an empty last line, which has no word
-        starts = starts[(starts < len(self.data))]
+        starts = starts[starts < len(self.data)]
         text = self.text_of(starts)
-        _, first = np.unique(starts, return_index=True)
-        starts, text = starts[first], text[first]
         ends = np.minimum(np.append(starts[1:], len(self.data)), self.offsets[text + 1])
         ends = ends - ((ends > starts) & (self.data[np.maximum(ends - 1, 0)] == 10))
-        full = np.zeros(len(self.data) + 1, np.int64)
-        np.cumsum(~self.space, out=full[1:])
-        return text, starts, ends, self.spans(starts, ends), full[ends] > full[starts]
+        words = self.bounds()[0]
+        return text, starts, ends, np.searchsorted(words, ends) > np.searchsorted(words, starts)
 
 
 def shingles(text: np.ndarray, words: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -36,42 +36,47 @@ def longest_increasing(values):
     return out[::-1]
 
 
-def line_dedup(rows, min_words=5):
-    """rows: (id, text), ids distinct. {id: text without aligned lines}"""
-    homes, out = {}, {}
+def _blocks(lines, min_words):
+    """{(passage of at least min_words words, occurrence): (first, last)} for the bare lines of a text: the shortest from and to each line."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+    spans = set()
+    for i in range(len(lines)):
+        j = next((j for j in range(i, len(lines)) if sum(size[i : j + 1]) >= min_words), None)
+        k = next((k for k in range(i, -1, -1) if sum(size[k : i + 1]) >= min_words), None)
+        spans |= {(i, j)} if j is not None else set()
+        spans |= {(k, i)} if k is not None else set()
+    seen, out = Counter(), {}
+    for i, j in sorted(spans):
+        passage = tuple(lines[i : j + 1])
+        out[passage, seen[passage]] = i, j
+        seen[passage] += 1
+    return out
+
+
+def line_bounds(rows, min_words=5):
+    """rows: (id, text), ids distinct. For each id: its bare lines, the places that must go, and those that may go.
+
+    A line may go if an earlier document has a passage with it. It must go if the alignment with one of the earlier
+    documents, each by all that the two share, takes it.
+    """
+    bare, out, earlier, holders = {}, {}, [], defaultdict(list)
     for ident, text in sorted(rows, key=lambda r: r[0]):
-        lines, seen, met, place = (text or "").split("\n"), Counter(), defaultdict(list), 0
-        for line in lines:
-            bare = line.strip(WHITE)
-            if not bare:
-                continue
-            key = bare, seen[bare]
-            seen[bare] += 1
-            if key in homes:
-                met[homes[key][0]].append((place, homes[key][1], len(re.findall(r"[^\x20\x09-\x0D]+", bare))))
-            else:
-                homes[key] = ident, place
-            place += 1
-        aligned = {}
-        for hits in met.values():
-            hits.sort()
-            aligned |= {hits[i][0]: hits[i][2] for i in longest_increasing([h[1] for h in hits])}
-        gone = set()
-        for p in sorted(aligned):
-            run = [p]
-            while run[-1] + 1 in aligned:
-                run.append(run[-1] + 1)
-            if p - 1 not in aligned and sum(aligned[q] for q in run) >= min_words:
-                gone |= set(run)
-        kept, place = [], 0
-        for line in lines:
-            if line.strip(WHITE):
-                if place not in gone:
-                    kept.append(line)
-                place += 1
-            else:
-                kept.append(line)
-        out[ident] = "\n".join(kept)
+        bare[ident] = [x.strip(WHITE) for x in (text or "").split("\n") if x.strip(WHITE)]
+        own = _blocks(bare[ident], min_words)
+        must, may, partners = set(), set(), set()
+        for passage, (i, j) in own.items():
+            if holders[passage]:
+                may |= set(range(i, j + 1))
+                partners |= set(holders[passage])
+        for p in partners:
+            theirs = earlier[p]
+            common = sorted((i, j, theirs[k][0]) for k, (i, j) in own.items() if k in theirs)
+            for at in longest_increasing([(t, j - i) for i, j, t in common]):
+                must |= set(range(common[at][0], common[at][1] + 1))
+        for passage in own:
+            holders[passage].append(len(earlier))
+        earlier.append(own)
+        out[ident] = bare[ident], must, may
     return out
 
 
@@ -83,16 +88,8 @@ def shingle_counts(text):
 
 
 def near_classes(rows, settings):
-    """rows: (id, text). {id: smallest id of its class}, from all pairs."""
+    """rows: (id, text). {id: smallest id of its class}, from all pairs: classes of the Jaccard similarity of shingle counts."""
     sets = {i: shingle_counts(t) for i, t in rows}
-    df = Counter(g for s in sets.values() for g in s)
-    n = len(rows)
-
-    def weight(g, tf):
-        share = min(1, max(settings.rare, df[g] / n))
-        return tf * (1 + settings.idf_gain * math.log(share) / math.log(settings.rare))
-
-    weights = {i: {g: weight(g, tf) for g, tf in s.items()} for i, s in sets.items()}
     parent = {i: i for i in sets}
 
     def find(i):
@@ -101,13 +98,13 @@ def near_classes(rows, settings):
         return i
 
     ids = sorted(sets)
+    size = {i: sum(s.values()) for i, s in sets.items()}
     for a in ids:
         for b in ids:
-            if a < b:
-                x, y = weights[a], weights[b]
-                low = sum(min(x[g], y[g]) for g in x.keys() & y.keys())
-                total = sum(x.values()) + sum(y.values()) - low
-                if (low / total if total else 1.0) >= settings.least:
+            if a < b and min(size[a], size[b]) >= settings.threshold * max(size[a], size[b]):
+                low = (sets[a] & sets[b]).total()
+                high = size[a] + size[b] - low
+                if not high or low / high >= settings.threshold:
                     p, q = sorted((find(a), find(b)))
                     parent[q] = p
     return {i: find(i) for i in ids}

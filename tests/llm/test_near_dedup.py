@@ -57,15 +57,42 @@ def test_copies_repeats_null_ids(spark):
 
 
 def test_sets_and_similarity():
-    texts = ["a b c d e f a b c d e", "x", "", "p q r s t u"]
+    texts = ["a b c d e f a b c d e", "x", "", "p q r s t u", "z " * 40]
     (c,) = chunks(pa.array(texts))
-    owner, _, count, _, _ = N.shingle_sets(c, 5)
+    owner, hashes, _, _ = N.elements(c, 5)
     for i, t in enumerate(texts):
-        assert sorted(count[owner == i]) == sorted(shingle_counts(t).values())
-    a, b = np.array([1, 4, 7], np.uint32), np.array([4, 7, 9, 11], np.uint32)
-    assert N.weighted_jaccard(a, np.array([1, 2, 1.0]), b, np.array([1, 1, 1, 1.0])) == 2 / 6
-    none = np.zeros(0)
-    assert N.weighted_jaccard(none, none, none, none) == 1 and N.weighted_jaccard(a, np.ones(3), none, none) == 0
+        assert len(set(hashes[owner == i].tolist())) == shingle_counts(t).total()
+        assert (np.diff(hashes[owner == i].astype(object)) > 0).all()
+    a, b = np.array([1, 4, 7], np.uint64), np.array([4, 7, 9, 11], np.uint64)
+    assert N.similarities(a, b, lambda s: np.where(s == 7, 3.0, 1.0)) == (4 / 7, 2 / 5)
+    none = np.zeros(0, np.uint64)
+    assert N.similarities(none, none, len) == (1, 1) and N.similarities(a, none, len) == (0, 0)
+
+
+def test_words_that_differ_never_collide_by_structure():
+    # Thue-Morse words collide under any polynomial hash modulo a power of two
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, " ".join(word[i : i + 60] for i in range(0, 4000, 60)), " ".join(other[i : i + 60] for i in range(0, 4000, 60))]
+    (c,) = chunks(pa.array(texts))
+    _, _, k1, k2 = N.elements(c, 5)
+    assert len(set(k1.tolist())) == len(set(k2.tolist())) == 4
+    starts, ends = c.bounds()
+    spelled = {c.data[a:b].tobytes(): h for a, b, h in zip(starts, ends, c.spans(starts, ends).tolist())}
+    assert len(set(spelled.values())) == len(spelled)
+
+
+def test_idf_has_many_levels_and_bounds():
+    settings = N.Settings()
+    cells = np.full(2 * N.CELLS, 1, np.float32)
+    made = []
+    for n in (1, 10, 100, 1000, 10_000):
+        cells[:] = n
+        made.append(float(N.idf(np.array([5], np.uint64), cells, 10_000, settings)[0]))
+    assert made == sorted(made, reverse=True) and len(set(made)) == 4
+    assert abs(made[0] - 1 - settings.idf_gain) < 1e-6 and abs(made[-1] - 1) < 1e-6
 
 
 def test_samples_agree_as_often_as_weights_overlap():
@@ -114,7 +141,7 @@ def test_pairs_among_documents_that_share_a_passage(spark):
             rows.append(" ".join(passage + [f"r{g}-{i}" for i in range(60)]))
     rng.shuffle(rows)
     got = {r.doc_id: r.class_id for r in run(spark, list(enumerate(rows)))}
-    # all pairs, by the shingles that two or more documents hold; the weights are nearly plain counts
+    # all pairs, by the shingles that two or more documents hold
     sets = [set(shingle_counts(t)) for t in rows]
     held = {}
     for s in sets:
@@ -130,11 +157,40 @@ def test_pairs_among_documents_that_share_a_passage(spark):
     alike = {(a, b) for a, b in np.argwhere(np.triu(jaccard >= 0.8, 1)).tolist()}
     assert len(alike) > 300
     assert [p for p in alike if got[p[0]] != got[p[1]]] == []
-    maybe = {(a, b) for a, b in np.argwhere(np.triu(jaccard >= 0.78, 1)).tolist()}
     classes = {}
     for i, c in got.items():
         classes.setdefault(c, []).append(i)
-    assert all(len(m) <= 2 and (len(m) == 1 or tuple(sorted(m)) in maybe) for m in classes.values())
+    assert all(len(m) <= 2 and (len(m) == 1 or tuple(sorted(m)) in alike) for m in classes.values())
+
+
+def test_pairs_inside_a_group_that_shares_most_words(spark):
+    # documents that share 800 words of 914, pairwise below the threshold, in planted pairs above it
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(800)]
+    rows = []
+    for g in range(60):
+        own = [f"o{g}-{i}" for i in range(114)]
+        twin = [w if rng.random() > 0.2 else f"t{g}-{i}" for i, w in enumerate(own)]
+        for words in (own, twin):
+            # own words lie apart, so that each breaks five shingles of what is shared
+            rows.append(" ".join(x for i in range(800) for x in ([shared[i], words[i // 7]] if i % 7 == 0 and i // 7 < 114 else [shared[i]])))
+    rows.append(" ".join(shared))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = near_classes(rows, N.Settings())
+    assert 20 < len(set(want.values())) < 121
+    assert {r.doc_id: r.class_id for r in run(spark, rows)} == want
+
+
+def test_texts_that_repeat_a_passage_very_often(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [" ".join([passage] * 1000 + [f"w{g}-{i}" for i in range(2000)]) for g in range(3)] + [" ".join(f"v{g}-{i}" for i in range(100)) for g in range(40)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = near_classes(rows, N.Settings())
+    assert len(set(want.values())) == 41
+    assert {r.doc_id: r.class_id for r in run(spark, rows)} == want
 
 
 def test_query_over_documents(spark):
