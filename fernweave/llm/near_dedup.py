@@ -32,7 +32,7 @@ class Settings:
     rows: int = 3
     words: int = 5
     idf_gain: float = 0.5  # the rarest shingle weighs 1 + idf_gain times the commonest
-    rare: float = 1e-3  # shingles in less than this part of the documents all count as rarest
+    rare: float = 1e-2  # shingles in less than this part of the documents all count as rarest
     seed: int = 5
 
     @property
@@ -42,8 +42,8 @@ class Settings:
         return self.threshold / (self.threshold + (1 - self.threshold) * (1 + self.idf_gain)) - 1e-6
 
 
-CELLS = 1 << 20  # of each of the two rows of the document-frequency sketch
-FIELD = 12  # bits of an element's hash, times a sample's factor, that pick one of its random numbers
+CELLS = 1 << 18  # of each of the two rows of the document-frequency sketch
+FIELD = 10  # bits of an element's hash, times a sample's factor, that pick one of its random numbers
 AGAIN = U(0x9FB21C651E98DF25)  # tells a shingle's occurrences apart
 
 
@@ -60,19 +60,29 @@ def elements(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     owner = text[at]
     short = np.flatnonzero((n > 0) & (n < words))
     owner, hashes = np.concatenate([owner, short]), np.concatenate([hashes, k1[short].view(U)])
-    order = np.lexsort((hashes, owner))
-    owner, hashes = owner[order], hashes[order]
-    again = np.zeros(len(order), bool)
+    owner, hashes = _sorted(owner, hashes)
+    again = np.zeros(len(owner), bool)
     again[1:] = (owner[1:] == owner[:-1]) & (hashes[1:] == hashes[:-1])
     if again.any():
-        index = np.arange(len(order))
+        index = np.arange(len(owner))
         turn = (index - np.maximum.accumulate(np.where(again, 0, index))).astype(U)
-        hashes = np.where(again, mixed(hashes + turn * AGAIN), hashes)
-        order = np.lexsort((hashes, owner))
-        hashes = hashes[order]
+        owner, hashes = _sorted(owner, np.where(again, mixed(hashes + turn * AGAIN), hashes))
     return owner, hashes, k1, k2
 
 
+def _sorted(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By owner, then hash. owner rises but for a tail; a sort of each text's own part."""
+    cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    if (np.diff(owner) < 0).any():
+        order = np.argsort(owner, kind="stable")
+        owner, hashes = owner[order], hashes[order]
+        cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    hashes = hashes.copy()
+    for part in np.split(hashes, cuts):
+        part.sort()
+    return owner, hashes
+
+
 def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & U(CELLS - 1)).astype(np.int32), ((hashes >> U(44)) & U(CELLS - 1)).astype(np.int32) + CELLS
 
@@ -95,7 +105,7 @@ def _filled(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
 def document_frequencies(docs: DataFrame, settings: Settings, text_col: str) -> tuple[np.ndarray, int]:
     """A count-min sketch of the elements' document frequencies, and the number of documents.
 
-    A cell adds the frequencies of the elements that share it, on average about 1/2000 of the documents for texts of 500
+    A cell adds the frequencies of the elements that share it, on average about 1/500 of the documents for texts of 500
     words; counts below Settings.rare of the documents make no difference.
     """
     words = settings.words
@@ -120,11 +130,11 @@ def idf(hashes: np.ndarray, cells: np.ndarray, documents: int, settings: Setting
 
 @lru_cache(2)
 def _numbers(settings: Settings) -> tuple[np.ndarray, ...]:
-    """For each sample an odd factor; for each value of a field r (gamma), 1 / r, ln c (c gamma) and beta (uniform)."""
+    """For each sample an odd factor; for each value of a field r (gamma), 1 / r, ln c - r (c gamma) and beta (uniform)."""
     random = np.random.default_rng(settings.seed)
-    factors = random.integers(0, 1 << 63, settings.bands * settings.rows).astype(U) * U(2) + U(1)
+    factors = random.integers(0, 1 << 31, settings.bands * settings.rows).astype(np.uint32) * np.uint32(2) + np.uint32(1)
     r, c, beta = random.gamma(2, 1, 1 << FIELD), random.gamma(2, 1, 1 << FIELD), random.uniform(0, 1, 1 << FIELD)
-    return factors, r, 1 / r, np.log(c), beta
+    return factors, *[x.astype(np.float32) for x in (r, 1 / r, np.log(c), beta)]
 
 
 def band_keys(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -139,24 +149,24 @@ def band_keys(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, settin
     if not len(start):
         return owner, out
     factors, r, inverse, log_c, beta = _numbers(settings)
-    log_s = np.log(weights)
-    size, mask = U(FIELD), U((1 << FIELD) - 1)
+    log_s = np.log(weights).astype(np.float32)
+    short, size, mask = (hashes >> U(32)).astype(np.uint32), np.uint32(FIELD), np.uint32((1 << FIELD) - 1)
     for band in range(settings.bands):
         key = np.full(len(start), band + 1, U)
         for i in range(band * settings.rows, (band + 1) * settings.rows):
-            x = hashes * factors[i]
-            first = (x >> U(64 - FIELD)).astype(np.int32)
-            own_beta = beta[((x >> U(64 - 3 * FIELD)) & mask).astype(np.int32)]
-            t = inverse[first]
+            x = short * factors[i]
+            own_beta = beta[(x >> np.uint32(32 - 3 * FIELD)) & mask]
+            log_a = log_c[(x >> np.uint32(32 - 2 * FIELD)) & mask]
+            x >>= np.uint32(32 - FIELD)
+            t = inverse[x]
             t *= log_s
             t += own_beta
             np.floor(t, out=t)
             t -= own_beta
-            t += 1
-            t *= r[first]
-            log_a = log_c[((x >> U(64 - 2 * FIELD)) & mask).astype(np.int32)]
+            t += np.float32(1)
+            t *= r[x]
             log_a -= t
-            key = mixed(key * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(log_a, start).view(U))
+            key = mixed(key * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(log_a, start).view(np.uint32).astype(U))
         out[:, band] = key
     return owner[start], out
 
@@ -346,10 +356,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     held = members.join(leaders, ["band", "key"])
     met = held.select("v", F.explode(F.array_distinct(F.array("first", "other"))).alias("w")).filter("v != w")
     pairs = written(met.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct())
-    asked = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct().select("v.*")
-    sets = _sets(plain.select("id", "text"), settings).dropDuplicates(["id", "k1", "k2"])
-    same = [sets[c].eqNullSafe(asked[c]) for c in ("id", "k1", "k2")]
-    sets = written(sets.join(asked, same[0] & same[1] & same[2], "left_semi").select(F.struct("id", "k1", "k2").alias("v"), "elements"))
+    asked = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+    # one row of each content that is asked for, then its text: as texts, sets that compress badly needn't be shuffled
+    whose = written(signed.select(F.struct("id", "k1", "k2").alias("v"), "own").groupBy("v").agg(F.min("own").alias("own")).join(asked, "v", "left_semi").select(F.struct("v.id", "own").alias("row")))
+    texts = plain.groupBy(F.struct("id", "own").alias("row")).agg(F.min("text").alias("text")).join(whose, "row", "left_semi").select("row.id", "text")
+    sets = written(_sets(texts, settings).select(F.struct("id", "k1", "k2").alias("v"), "elements"))
+    discard(whose)
     left = sets.select(F.col("v").alias("a"), F.col("elements").alias("sa"))
     right = sets.select(F.col("v").alias("b"), F.col("elements").alias("sb"))
     links = _alike(pairs.join(left, "a").join(right, "b"), sketch, settings)
