@@ -47,15 +47,16 @@ FIELD = 10  # bits of an element's hash, times a sample's factor, that pick one
 AGAIN = U(0x9FB21C651E98DF25)  # tells a shingle's occurrences apart
 
 
-def elements(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def elements(c: Chunk, words: int, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each element of each text: text, and hash, rising within the text; and for all texts two halves of a content key.
 
     A text of fewer words than a shingle has one shingle, of all its words. The content key is a cryptographic digest:
-    texts of the same words in the same order have the same one.
+    texts of the same words in the same order have the same one. known: c.words() and the halves, if they are there already.
     """
-    text, starts, _, value = c.words()
+    (text, starts, _, value), k1, k2 = known or (c.words(), None, None)
     n = np.bincount(text, minlength=c.n)
-    k1, k2 = c.contents(text, starts)
+    if k1 is None:
+        k1, k2 = c.contents(text, starts)
     at, hashes = shingles(text, value, words)
     owner = text[at]
     short = np.flatnonzero((n > 0) & (n < words))
@@ -191,21 +192,66 @@ def _signatures(docs: DataFrame, sketch: Broadcast, settings: Settings) -> DataF
     return docs.mapInArrow(sign, f"id {docs.schema['id'].dataType.simpleString()}, own long, k1 long, k2 long, keys array<long>")
 
 
-def _sets(docs: DataFrame, settings: Settings) -> DataFrame:
-    """docs: id, text. id, k1, k2, elements (64 bits each, rising)."""
+FILTER, PICKS = 1 << 20, 4  # 32-bit words of the filter of asked contents, and bits that each sets
+
+
+def _bits(ident: np.ndarray, k1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each pick the word, and the bit in it, of (hash of the id, half of the content key)."""
+    x = mixed(ident.view(U) ^ mixed(k1.view(U)))
+    for i in range(PICKS):
+        y = mixed(x + U(i) * AGAIN)
+        yield (y >> U(44)).astype(np.int32), np.uint32(1) << (y & U(31)).astype(np.uint32)
+
+
+def _filter_of(asked: DataFrame) -> np.ndarray:
+    """asked: v. A Bloom filter of FILTER words whatever the input; where contents fill it up, it only lets more pass."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(FILTER, np.uint32)
+        for batch in batches:
+            for at, bit in _bits(batch.column(0).to_numpy(), batch.column(1).to_numpy()):
+                np.bitwise_or.at(words, at, bit)
+        yield from _filled(words.view(np.int32))
+
+    rows = asked.select(F.xxhash64("v.id").alias("ident"), F.col("v.k1").alias("half")).mapInArrow(count, "cell int, n int").groupBy("cell").agg(F.bit_or("n").alias("n")).toArrow()
+    out = np.zeros(FILTER, np.int32)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return out.view(np.uint32)
+
+
+def _sets(docs: DataFrame, asked: DataFrame, settings: Settings) -> DataFrame:
+    """docs: id, text. v, elements (64 bits each, rising) of the contents that asked (v) has.
+
+    A filter that every task has lets few others pass, so that hardly more than what is asked for is shuffled.
+    """
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(_filter_of(asked))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bits.value
         for batch in batches:
             at = 0
             for c in chunks(batch.column(1)):
-                owner, hashes, k1, k2 = elements(c, settings.words)
+                text, starts, _, _ = found = c.words()
+                k1, k2 = c.contents(text, starts)
+                part = batch.slice(at, c.n)
+                at += c.n
+                passed = np.ones(c.n, bool)
+                for word, bit in _bits(part.column(2).to_numpy(), k1):
+                    passed &= (words[word] & bit) > 0
+                if not passed.any():
+                    continue
+                owner, hashes, _, _ = elements(c, settings.words, (found, k1, k2))
                 cut = np.searchsorted(owner, np.arange(c.n + 1)) * 8
                 raw = hashes.tobytes()
-                sets = [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, c.n), pa.array(k1), pa.array(k2), pa.array(sets, pa.binary())], ["id", "k1", "k2", "elements"])
-                at += c.n
+                rows = np.flatnonzero(passed)
+                sets = [raw[cut[i] : cut[i + 1]] for i in rows.tolist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(k1[rows]), pa.array(k2[rows]), pa.array(sets, pa.binary())], ["id", "k1", "k2", "elements"])
 
-    return docs.mapInArrow(gather, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, elements binary")
+    made = docs.select("id", "text", F.xxhash64("id").alias("hash")).mapInArrow(gather, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, elements binary")
+    made = made.dropDuplicates(["id", "k1", "k2"]).select(F.struct("id", "k1", "k2").alias("v"), "elements")
+    # both sides grow with the input
+    return made.hint("merge").join(asked.hint("merge"), "v", "left_semi")
 
 
 def similarities(a: np.ndarray, b: np.ndarray, weigh: Callable[[np.ndarray], np.ndarray]) -> tuple[float, float]:
@@ -306,7 +352,7 @@ def _missed_links(met: DataFrame, sets: DataFrame, labels: DataFrame, sketch: Br
     mixed_keys = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
     open_ones = written(met.join(mixed_keys, "key", "left_semi").select("v", "label").distinct())
     discard(met)
-    sets = written(sets.join(open_ones, "v").select("v", F.col("v.k1").alias("k1"), "label", "elements"))
+    sets = written(sets.hint("merge").join(open_ones.hint("merge"), "v").select("v", F.col("v.k1").alias("k1"), "label", "elements"))
     counts = spark.sparkContext.broadcast(_share_counts(sets))
     rows = written(_prefixes(sets, counts, settings.threshold))
     key = ["element", "size"]
@@ -353,15 +399,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     by_hash = F.struct(F.xxhash64("v", "band").alias("h"), F.col("v").alias("v"))
     leaders = members.groupBy("band", "key").agg(F.min("v").alias("first"), F.min(by_hash)["v"].alias("other"), F.count(F.lit(1)).alias("n"))
     leaders = written(leaders.filter("n > 1"))
-    held = members.join(leaders, ["band", "key"])
+    held = written(members.join(leaders, ["band", "key"]).select("v", "key", "first", "other", "n"))
+    discard(leaders)
     met = held.select("v", F.explode(F.array_distinct(F.array("first", "other"))).alias("w")).filter("v != w")
     pairs = written(met.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct())
     asked = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-    # one row of each content that is asked for, then its text: as texts, sets that compress badly needn't be shuffled
-    whose = written(signed.select(F.struct("id", "k1", "k2").alias("v"), "own").groupBy("v").agg(F.min("own").alias("own")).join(asked, "v", "left_semi").select(F.struct("v.id", "own").alias("row")))
-    texts = plain.groupBy(F.struct("id", "own").alias("row")).agg(F.min("text").alias("text")).join(whose, "row", "left_semi").select("row.id", "text")
-    sets = written(_sets(texts, settings).select(F.struct("id", "k1", "k2").alias("v"), "elements"))
-    discard(whose)
+    sets = written(_sets(plain.select("id", "text"), written(asked), settings))
     left = sets.select(F.col("v").alias("a"), F.col("elements").alias("sa"))
     right = sets.select(F.col("v").alias("b"), F.col("elements").alias("sb"))
     links = _alike(pairs.join(left, "a").join(right, "b"), sketch, settings)
@@ -369,7 +412,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     discard(pairs)
     others = held.filter("n > 2 and v != first and v != other").select("v", "key")
     more = _missed_links(others, sets, labels, sketch, settings)
-    discard(leaders, sets)
+    discard(held, sets)
     if not more.isEmpty():
         # links between classes: their labels' components
         of = [labels.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
