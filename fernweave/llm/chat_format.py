@@ -1,28 +1,31 @@
 """Chat formatting by schema fingerprints, in DataFrame expressions only.
 
-A record's layout is known by its fingerprint: the hash of the nested field paths that the record fills. Each
-fingerprint selects a declarative mapping to canonical turns; a template with control strings then renders the turns,
-and the same template reads them back.
+A record's layout is known by its fingerprint: the hash of the nested field paths that the record fills. A fingerprint
+selects a declarative mapping to canonical turns, or, where it is none of the mappings' own, the first mapping whose
+required paths are all filled. A template with control strings then renders the turns, and reads them back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, without
 
-#: The fields that records may have. Records of other sources are cast or parsed to this (absent fields are null).
+#: The fields of records that parse_records gives. Typed records may have some of them, in any order, and others.
+SCALARS = ("system", "prompt", "completion", "response", "instruction", "input", "output", "question", "answer")
+PART = "struct<type:string,text:string>"
 RECORD = (
-    "struct<system:string, prompt:string, completion:string, response:string, instruction:string, input:string, output:string,"
-    " messages:array<struct<role:string,content:string>>, conversations:array<struct<`from`:string,value:string>>>"
+    f"struct<{', '.join(f'{c}:string' for c in SCALARS)}, messages:array<struct<role:string,content:string,parts:array<{PART}>>>,"
+    " conversations:array<struct<`from`:string,value:string>>>"
 )
-SCALARS = ("system", "prompt", "completion", "response", "instruction", "input", "output")
-LISTS = {"messages": ("messages[].content", "messages[].role"), "conversations": ("conversations[].from", "conversations[].value")}
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
+#: Paths that an empty string doesn't fill: records carry them along for all rows, used or not.
+OPTIONAL = ("input", "system")
 
 Turns = Callable[[Column], Column]
 
@@ -32,8 +35,12 @@ def _turn(role: Column | str, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _pair(ask: Callable[[Column], Column], answer: str) -> Turns:
-    return lambda r: F.array(_turn("user", ask(r)), _turn("assistant", r[answer]))
+def _pair(ask: str, answer: str, more: str = "") -> Turns:
+    def turns(r: Column) -> Column:
+        asked = F.concat(r[ask], F.lit("\n\n"), r[more]) if more else r[ask]
+        return F.array(_turn("user", asked), _turn("assistant", r[answer]))
+
+    return turns
 
 
 def _canonical(role: Column) -> Column:
@@ -45,34 +52,64 @@ def _canonical(role: Column) -> Column:
 
 @dataclass(frozen=True)
 class Layout:
-    """A layout: the paths that its records fill, and its turns."""
+    """A layout: the paths that its records must fill, those that they may fill besides, and its turns."""
 
     name: str
     paths: tuple[str, ...]
     turns: Turns
+    optional: tuple[str, ...] = ()
+
+
+def _parts(message: Column, own: bool) -> Column:
+    """The text of a message: its content, or its parts' texts joined, if it has parts."""
+    if not own:
+        return message["content"]
+    return F.coalesce(message["content"], F.array_join(F.transform(message["parts"], lambda p: p["text"]), "\n"))
 
 
 BASE = (
-    Layout("messages", LISTS["messages"], lambda r: F.transform(r["messages"], lambda m: _turn(m["role"], m["content"]))),
-    Layout("from_value", LISTS["conversations"], lambda r: F.transform(r["conversations"], lambda m: _turn(_canonical(m["from"]), m["value"]))),
-    Layout("prompt_completion", ("completion", "prompt"), _pair(lambda r: r["prompt"], "completion")),
-    Layout("prompt_response", ("prompt", "response"), _pair(lambda r: r["prompt"], "response")),
-    Layout("instruction", ("instruction", "output"), _pair(lambda r: r["instruction"], "output")),
-    Layout("instruction_input", ("input", "instruction", "output"), _pair(lambda r: F.concat(r["instruction"], F.lit("\n\n"), r["input"]), "output")),
+    Layout("messages", ("messages[]",), lambda r: F.transform(r["messages"], lambda m: _turn(m["role"], m["content"])), ("messages[].content", "messages[].role")),
+    Layout("messages_parts", ("messages[].parts[].text",), lambda r: F.transform(r["messages"], lambda m: _turn(m["role"], _parts(m, True))), ("messages[]", "messages[].content", "messages[].role", "messages[].parts[]", "messages[].parts[].type")),
+    Layout("from_value", ("conversations[]",), lambda r: F.transform(r["conversations"], lambda m: _turn(_canonical(m["from"]), m["value"])), ("conversations[].from", "conversations[].value")),
+    Layout("prompt_completion", ("completion", "prompt"), _pair("prompt", "completion")),
+    Layout("prompt_response", ("prompt", "response"), _pair("prompt", "response")),
+    Layout("instruction_input", ("input", "instruction", "output"), _pair("instruction", "output", "input")),
+    Layout("instruction", ("instruction", "output"), _pair("instruction", "output")),
+    Layout("question_answer", ("answer", "question"), _pair("question", "answer")),
 )
 
 
 def with_system(layout: Layout) -> Layout:
-    return Layout(f"system_{layout.name}", tuple(sorted((*layout.paths, "system"))), lambda r: F.concat(F.array(_turn("system", r["system"])), layout.turns(r)))
+    return Layout(f"system_{layout.name}", (*layout.paths, "system"), lambda r: F.concat(F.array(_turn("system", r["system"])), layout.turns(r)), layout.optional)
+
 
+#: In order of priority: of each layout first the form with a system text; parts before plain messages.
+LAYOUTS = tuple(x for b in (BASE[1], BASE[0], *BASE[2:]) for x in (with_system(b), b))
 
-LAYOUTS = (*BASE, *map(with_system, BASE))
 
+def paths_of(kind: T.DataType, value: Column, path: str = "") -> Iterator[tuple[str, Column]]:
+    """The nested paths of a type, with whether the value fills them. A list fills "path[]" unless it is null, and a path
+    inside it if any item fills that."""
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            yield from paths_of(f.dataType, value[f.name], f"{path}.{f.name}" if path else f.name)
+    elif isinstance(kind, T.ArrayType):
+        yield f"{path}[]", value.isNotNull()
+        for inner, _ in paths_of(kind.elementType, F.lit(None), f"{path}[]"):
+            if inner != f"{path}[]":
+                yield inner, F.coalesce(F.exists(value, _filling(kind.elementType, f"{path}[]", inner)), F.lit(False))
+    else:
+        filled = value.isNotNull()
+        yield path, filled & (value.cast("string") != "") if path in OPTIONAL else filled
 
-def fingerprint(record: Column) -> Column:
-    """The hash of the sorted nested field paths that the record fills. A list is filled unless it is null."""
-    paths = {name: record[name] for name in SCALARS} | {path: record[name] for name, both in LISTS.items() for path in both}
-    return fingerprint_of(F.array_compact(F.array(*[F.when(filled.isNotNull(), F.lit(path)) for path, filled in sorted(paths.items())])))
+
+def _filling(kind: T.DataType, path: str, inner: str) -> Callable[[Column], Column]:
+    return lambda x: dict(paths_of(kind, x, path))[inner]
+
+
+def filled_paths(kind: T.DataType, record: Column) -> Column:
+    """The sorted paths that the record fills."""
+    return F.array_compact(F.array(*[F.when(filled, F.lit(path)) for path, filled in sorted(paths_of(kind, record), key=lambda x: x[0])]))
 
 
 def fingerprint_of(paths: Column) -> Column:
@@ -80,23 +117,43 @@ def fingerprint_of(paths: Column) -> Column:
 
 
 def parse_records(json: Column) -> Column:
-    """A record from JSON text; fields that RECORD lacks are passed over, text that isn't an object gives null fields."""
-    return F.from_json(json, RECORD)
+    """A record from JSON text; fields that RECORD lacks are passed over, text that isn't an object gives null fields.
+
+    A message's content may be a text or a list of parts with texts; a list goes to parts.
+    """
+    typed = F.from_json(json, RECORD.replace("content:string", "content:variant"))
+
+    def message(m: Column) -> Column:
+        several = F.startswith(F.schema_of_variant(m["content"]), F.lit("ARRAY"))
+        parts = F.when(several, F.from_json(F.to_json(m["content"]), f"array<{PART}>"))
+        return F.struct(m["role"].alias("role"), F.when(~several, F.try_variant_get(m["content"], "$", "string")).alias("content"), F.coalesce(parts, m["parts"]).alias("parts"))
+
+    return F.when(typed.isNotNull(), F.struct(*[typed[c].alias(c) for c in SCALARS], F.transform(typed["messages"], message).alias("messages"), typed["conversations"].alias("conversations")))
 
 
 def canonical_turns(docs: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """docs with fingerprint, layout (its name) and turns: array of role and text, nulls as empty strings.
+    """docs with fingerprint, layout (its name), surplus (filled paths that the layout doesn't use) and turns.
 
-    A fingerprint that no layout has gives a null layout and no turns, as does a null record.
+    Mappings whose paths the record's type lacks are left out. A record that fits none, as a null one, has a null layout
+    and null turns, and all its paths are surplus.
     """
-    docs = without(docs, "fingerprint", "layout", "turns")
-    record = docs[record_col]
-    out = docs.withColumn("fingerprint", fingerprint(record))
-    name, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
-    for x in reversed(layouts):
-        own = F.col("fingerprint") == fingerprint_of(F.array(*map(F.lit, x.paths)))
+    docs = without(docs, "fingerprint", "layout", "surplus", "turns")
+    record, kind = docs[record_col], docs.schema[record_col].dataType
+    known = {path for path, _ in paths_of(kind, record)}
+    out = docs.withColumn("surplus", filled_paths(kind, record)).withColumn("fingerprint", fingerprint_of(F.col("surplus")))
+    fit = [x for x in layouts if set(x.paths) <= known]
+    # a mapping's own fingerprint is a shortcut: it fits as its required paths are filled
+    number = F.lit(None).cast("int")
+    for i in reversed(range(len(fit))):
+        own = F.forall(F.array(*map(F.lit, fit[i].paths)), lambda p: F.array_contains("surplus", p))
+        number = F.when(own, F.lit(i)).otherwise(number)
+    out = out.withColumn("layout", number)
+    name, turns, left = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>"), F.col("surplus")
+    for i, x in enumerate(fit):
+        own = F.col("layout") == i
         name, turns = F.when(own, F.lit(x.name)).otherwise(name), F.when(own, x.turns(record)).otherwise(turns)
-    return out.withColumns({"layout": name, "turns": turns})
+        left = F.when(own, F.array_except("surplus", F.array(*map(F.lit, (*x.paths, *x.optional))))).otherwise(left)
+    return out.withColumn("turns", turns).withColumns({"surplus": left, "layout": name})
 
 
 #: The template's control strings. A turn is its role's opening, a blank, the text, a blank and the closing.
@@ -133,7 +190,8 @@ def format_turns(docs: DataFrame, turns_col: str = "turns") -> DataFrame:
     """docs with formatted (the rendered turns) and loss_spans: array of start (from 0) and length, in code points of formatted.
 
     The spans cover each assistant text, escapes included, and nothing else. Control strings inside texts and role names
-    are escaped, so that the marks of turns can't be forged. No turns: formatted is the start mark alone.
+    are escaped, so that the marks of turns can't be forged. No turns: formatted is the start mark alone. Null turns:
+    both are null. One pass carries the running offset.
     """
     docs = without(docs, "formatted", "loss_spans")
     pieces = F.transform(docs[turns_col], lambda t: F.struct(_opening(t).alias("a"), escape(t["text"]).alias("b"), _closing(t).alias("c"), (t["role"] == "assistant").alias("loss")))
@@ -143,13 +201,14 @@ def format_turns(docs: DataFrame, turns_col: str = "turns") -> DataFrame:
     out = out.withColumn("formatted", formatted)
     sizes = F.transform(pieces, lambda p: F.struct(F.length(p["a"]).alias("a"), F.length(p["b"]).alias("b"), F.length(p["c"]).alias("c"), p["loss"].alias("loss")))
     out = out.withColumn("loss_spans", sizes)
-    sizes = F.col("loss_spans")
 
-    def span(p: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(len(START)), lambda n, q: n + q["a"] + q["b"] + q["c"])
-        return F.when(p["loss"], F.struct((before + p["a"]).alias("start"), p["b"].alias("length")))
+    def step(state: Column, p: Column) -> Column:
+        start = state["at"] + p["a"]
+        span = F.struct(start.alias("start"), p["b"].alias("length"))
+        return F.struct((start + p["b"] + p["c"]).alias("at"), F.when(p["loss"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return out.withColumn("loss_spans", F.array_compact(F.transform(sizes, span)))
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    return out.withColumn("loss_spans", F.aggregate("loss_spans", F.struct(F.lit(len(START)).alias("at"), none.alias("spans")), step)["spans"])
 
 
 def read_turns(formatted: Column) -> Column:
@@ -186,14 +245,32 @@ def gather_turns(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     """
     turn = F.struct(rows[turn_col].alias("turn"), F.coalesce(rows[role_col], F.lit("")).alias("role"), F.coalesce(rows[text_col], F.lit("")).alias("content"))
     grouped = rows.groupBy(rows[id_col].alias(id_col)).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    absent = [F.lit(None).cast("string").alias(c) for c in SCALARS]
-    other = F.lit(None).cast("array<struct<`from`:string,value:string>>").alias("conversations")
-    return grouped.select(id_col, F.struct(*absent, messages.alias("messages"), other).alias("record"))
+    return grouped.select(id_col, F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")).alias("record"))
+
+
+def as_layouts(conversations: DataFrame) -> DataFrame:
+    """conversations with record in the layout that its turns allow: a question and its answer as prompt and completion, with
+    a system text before them as instruction and output, turns of users and assistants alone as from and value, others as messages."""
+    m = F.col("record.messages")
+    roles, text = F.array_join(F.transform(m, lambda x: x["role"]), "\n"), lambda i: F.get(m, i)["content"]
+    pair, told = roles == "user\nassistant", roles == "system\nuser\nassistant"
+    spoken = ~pair & (F.size(m) > 0) & F.forall(m, lambda x: x["role"].isin("user", "assistant"))
+    named = F.transform(m, lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["content"].alias("value")))
+    record = F.struct(
+        F.when(told, text(0)).alias("system"), F.when(pair, text(0)).alias("prompt"), F.when(pair, text(1)).alias("completion"),
+        F.when(told, text(1)).alias("instruction"), F.when(told, F.lit("")).alias("input"), F.when(told, text(2)).alias("output"),
+        F.when(~pair & ~told & ~spoken, m).alias("messages"), F.when(spoken, named).alias("conversations"),
+    )
+    return conversations.withColumn("record", record)
 
 
 def chat_format(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """records with fingerprint, layout, turns, formatted and loss_spans. Input columns of these names are replaced."""
+    """records with fingerprint, layout, surplus, turns, formatted and loss_spans. Input columns of these names are replaced.
+
+    Null texts and roles are empty. A null record, or one that no mapping fits, has a null layout and is not rendered:
+    turns, formatted and loss_spans are null. Long texts and many turns cost time in proportion. Rows that repeat are
+    formatted alike; an empty table gives an empty result.
+    """
     return format_turns(canonical_turns(records, record_col))
 
 
@@ -201,7 +278,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    done = chat_format(gather_turns(rows.unionByName(own))).select("conv_id", "formatted", "loss_spans", "layout", "fingerprint")
+    done = chat_format(as_layouts(gather_turns(rows.unionByName(own)))).select("conv_id", "formatted", "loss_spans", "layout")
     read = done.select("*", read_turns(F.col("formatted")).alias("read"), read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     told = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
@@ -230,6 +307,9 @@ select conv_id, count(*) as n_turns,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        (3 + sum(marks + length(escaped)))::bigint as formatted_chars,
-       'messages' as layout
+       case when string_agg(role, ',' order by turn, role, text) = 'user,assistant' then 'prompt_completion'
+            when string_agg(role, ',' order by turn, role, text) = 'system,user,assistant'
+              then case when first(text order by turn, role, text) = '' then 'instruction' else 'system_instruction' end
+            when count(*) filter (role not in ('user', 'assistant')) = 0 then 'from_value' else 'messages' end as layout
 from marked group by conv_id
 """

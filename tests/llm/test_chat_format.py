@@ -27,14 +27,51 @@ def test_layouts_map_to_the_same_turns(spark):
     assert len({r.fingerprint for r in rows}) == 5
 
 
+def formatted(spark, records):
+    df = spark.createDataFrame([(i, r if r is None or isinstance(r, str) else json.dumps(r)) for i, r in enumerate(records)], "i int, j string")
+    return C.chat_format(df.withColumn("record", C.parse_records(F.col("j")))).orderBy("i").collect()
+
+
 def test_system_input_unknown_and_bad_records(spark):
-    texts = ['{"system":"s","instruction":"i","input":"x","output":"o"}', '{"prompt":"alone"}', "not json", None, '{"messages":[]}']
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, j string").withColumn("record", C.parse_records(F.col("j")))
-    rows = C.chat_format(df).orderBy("i").collect()
+    rows = formatted(spark, ['{"system":"s","instruction":"i","input":"x","output":"o"}', '{"prompt":"alone"}', "not json", None, '{"messages":[]}'])
     assert [r.layout for r in rows] == ["system_instruction_input", None, None, None, "messages"]
     assert [(t.role, t.text) for t in rows[0].turns] == [("system", "s"), ("user", "i\n\nx"), ("assistant", "o")]
-    assert [r.formatted for r in rows[1:]] == ["<s>"] * 4
-    assert all(r.turns == [] and r.loss_spans == [] for r in rows[1:])
+    # what no mapping fits is reported, not rendered
+    assert all(r.turns is None and r.formatted is None and r.loss_spans is None for r in rows[1:4])
+    assert rows[1].surplus == ["prompt"] and (rows[4].formatted, rows[4].turns, rows[4].loss_spans) == ("<s>", [], [])
+
+
+def test_surplus_and_empty_fields_lose_no_conversation(spark):
+    said = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    records = [
+        {"messages": said, "prompt": "stray"},
+        {"prompt": "q", "completion": "a", "input": ""},
+        {"instruction": "q", "input": "", "output": "a"},
+        {"question": "q", "answer": "a"},
+        {"system": "", "prompt": "q", "response": "a"},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": "a"}]},
+    ]
+    rows = formatted(spark, records)
+    assert [r.layout for r in rows] == ["messages", "prompt_completion", "instruction", "question_answer", "prompt_response", "messages_parts"]
+    assert {tuple((t.role, t.text) for t in r.turns) for r in rows} == {(("user", "q"), ("assistant", "a"))}
+    assert len({r.formatted for r in rows}) == 1 and [r.surplus for r in rows] == [["prompt"], [], [], [], [], []]
+
+
+def test_paths_come_from_the_records(spark):
+    df = spark.createDataFrame([({"m": [{"role": "user", "n": None}, {"role": None, "n": {"deep": 1}}], "x": None},)], "record struct<m:array<struct<role:string,n:struct<deep:int>>>,x:string>")
+    row = C.canonical_turns(df).first()
+    assert row.surplus == ["m[]", "m[].n.deep", "m[].role"] and row.layout is None
+
+
+def test_many_turns_take_linear_time(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"said {i}") for i in range(20_000)]
+    (row,) = read(C.chat_format(C.gather_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()
+    assert len(row.read) == 20_000 and row.loss == "".join(f"said {i}" for i in range(1, 20_000, 2))
+
+
+def test_query_has_several_layouts(spark):
+    got = C.op1_chat_format(spark, "/root/testdata/sf0.01").collect()
+    assert {"prompt_completion", "system_instruction", "from_value", "messages"} <= {r.layout for r in got}
 
 
 def test_round_trip_with_control_strings_and_any_role(spark):
