@@ -131,6 +131,13 @@ class Encoder:
             parts.append(b"".join(map(self.cache.hold(some, self._pack).__getitem__, some)))
         return np.frombuffer(b"".join(parts), "<u4")
 
+    def known(self, ids: list[int | None]) -> np.ndarray:
+        """The ids as an array, if the vocabulary has all of them."""
+        bad = [x for x in ids if x is None or not 0 <= x < len(self.lengths) or not self.lengths[x]]
+        if bad:
+            raise ValueError(f"ids that the vocabulary lacks: {bad[:5]}")
+        return np.array(ids, np.int64)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, one token after the other."""
         lengths = self.lengths[ids]
@@ -151,8 +158,10 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, outputs: Sequence[str] =
     """docs with some of: n_tokens, ids, decoded (the bytes that the ids stand for), ids_sha256 (ids as little-endian
     unsigned 32-bit integers), decoded_sha256.
 
-    vocabulary is the path of a file of ranks on the driver. Null and empty texts have no tokens. Input columns named
-    like the outputs are replaced. Nothing is shuffled; what a worker keeps is bounded by CACHE.
+    vocabulary is the path of a file of ranks on the driver. Null and empty texts have no tokens; very long texts are cut
+    into pre-tokens bit by bit. Rows that repeat are encoded alike, and an empty table gives an empty result. Input
+    columns named like the outputs are replaced. Nothing is shuffled; what a worker keeps is bounded by CACHE pre-tokens of
+    pretokens.KEPT characters at most, as longer ones aren't kept.
     """
     spark = docs.sparkSession
     reachable(spark)
@@ -185,7 +194,11 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, outputs: Sequence[str] =
 
 
 def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
-    """rows with decoded: the bytes of the ids. Null ids give null."""
+    """rows with decoded: the bytes of the ids. Null ids give null, no ids no bytes.
+
+    An id that the vocabulary lacks, or a null one in a list, ends the job with a ValueError. Rows that repeat are decoded
+    alike, and an empty table gives an empty result. An input column named decoded is replaced.
+    """
     spark = rows.sparkSession
     reachable(spark)
     rows = without(rows, "decoded")
@@ -195,7 +208,7 @@ def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file.value, "")
         for batch in batches:
-            decoded = [None if x is None else own.decode(np.array(x, np.int64)) for x in batch.column(at).to_pylist()]
+            decoded = [None if x is None else own.decode(own.known(x)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))

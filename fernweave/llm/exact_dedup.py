@@ -26,7 +26,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spreads over `salts` ranges. Each range compares neighbours byte by byte; the heads of the ranges, at most `salts`
     a group, then meet by digest.
 
-    Null and empty texts are equal to each other and to texts of white space. Rows that repeat in full count as copies:
+    A very long text is one row of one range's sort, which spills. Null and empty texts are equal to each other and to texts of white space. Rows that repeat in full count as copies:
     one of them stays. Null ids compare last. Other columns are not read. An empty table gives an empty result.
     """
     text = text_of(docs, text_col)
@@ -35,7 +35,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs[id_col].alias("id"),
         normal.alias("normal"),
         F.length(text).alias("chars"),
-        F.pmod(F.xxhash64(docs[id_col]), F.lit(salts)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(docs[id_col], F.spark_partition_id()), F.lit(salts)).cast("int").alias("salt"),
     ).withColumns({"prefix": F.substring("normal", 1, prefix_chars), "sha": F.sha2("normal", 256)})
     rows = rows.repartitionByRange("prefix", "sha", "salt")
     equal = W.partitionBy("prefix", "sha", "salt", "normal")

@@ -32,7 +32,8 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, te
         named = counts.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()] or [("", 0.0)], "source string, weight double")
         counts = counts.join(named, "source", "left").fillna(0.0, ["weight"])
     counts = written(counts)
-    n, weight = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    # summed as decimals, so that the total doesn't depend on the order of rows
+    n, weight = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("weight").cast("decimal(38,12)")).cast("double"), F.lit(0.0))).first()
     share = F.lit(float(epochs * n)) * F.col("weight") / F.lit(weight or 1.0)
     return counts.select("source", "n", (share / F.col("n")).alias("rate"))
 
@@ -46,8 +47,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     The rates, a row per source, are broadcast up to max_broadcast_sources of them; beyond, the join is a plain one
     whose hot keys adaptive execution splits.
 
-    A null source is a source of its own, the empty one. Rows with equal ids, or null ids, get equal draws. Texts are not
-    looked at. Input columns named like the three new ones are replaced. An empty table gives an empty result.
+    A null source is a source of its own, the empty one. Rows with equal ids, or null ids, get equal draws, as rows that
+    repeat do. Texts, null, empty or very long, are copied with their rows and not looked at. Input columns named like the three new ones are replaced. An empty table gives an empty result.
     """
     docs = without(docs, "replica", "n_replicas", "shuffle_key")
     s, rate, parts, cdf, u = fresh(docs, "source_key", "rate", "parts", "cdf", "u")
@@ -72,7 +73,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     drawn = drawn.withColumn("n_replicas", count).filter("n_replicas > 0")
     out = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("n_replicas"))).alias("replica"), "n_replicas")
     key = F.substring(F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(out[id_col].cast("string"), F.lit("")), out["replica"].cast("string"))), 1, 16)
-    return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    spread = F.pmod(F.xxhash64(*[c for c in docs.columns if c != id_col]), F.lit(64)) if docs.columns != [id_col] else F.lit(0)
+    # rows of one id, or without one, share a key but not all of them a partition
+    return out.withColumn("shuffle_key", key).repartition("shuffle_key", spread).sortWithinPartitions("shuffle_key")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,10 @@ def pre_tokens(text: str, pattern: str) -> Iterator[list[str]]:
         yield some
 
 
+#: Characters: longer pre-tokens (encoded data, code without spaces) are not kept, so that entries bound a cache's bytes.
+KEPT = 256
+
+
 class Recent:
     """A bounded cache of two generations: what wasn't asked for while the younger one filled up goes."""
 
@@ -37,16 +41,22 @@ class Recent:
         self.old: dict[str, Any] = {}
 
     def hold(self, keys: Iterable[str], make: Callable[[str], Any]) -> dict[str, Any]:
-        """The younger generation, with all keys."""
+        """A dictionary with all keys: the younger generation, or one of these keys alone if some are too long to keep."""
         keys = set(keys)
         if len(self.young) + len(keys) > self.size:
             self.old, self.young = self.young, {}
         young = self.young
+        passing: dict[str, Any] = {}
         for k in keys:
             if k not in young:
                 value = self.old.get(k)
-                young[k] = make(k) if value is None else value
-        return young
+                if value is None:
+                    value = make(k)
+                if len(k) > KEPT:
+                    passing[k] = value
+                else:
+                    young[k] = value
+        return {k: passing[k] if k in passing else young[k] for k in keys} if passing else young
 
 
 @lru_cache(4)

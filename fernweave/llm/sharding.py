@@ -82,8 +82,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     so that what the large groups leave uneven is filled by the small ones. Each block ends with a spread of about its
     smallest group.
 
-    Null texts count as empty and form one group with empty texts. Repeated rows keep a slot each; null ids are placed
-    like others. Other columns are not read. An empty table gives an empty result.
+    Null texts count as empty and form one group with empty texts. A very long text is hashed where it lies and isn't
+    shuffled. Repeated rows keep a slot each; null ids are placed like others. Other columns are not read. An empty table
+    gives an empty result.
     """
     reachable(docs.sparkSession)
     text = text_of(docs, text_col)
@@ -92,7 +93,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("crc"),
         F.xxhash64(text).alias("k1"),
-        F.xxhash64(text, F.lit("second")).alias("k2"),
+        F.xxhash64(F.lit("second"), text).alias("k2"),
     )
     groups = written(rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")))
     total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
@@ -118,7 +119,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     spark = docs.sparkSession
     homes = small.unionByName(spark.createDataFrame([(r.k1, r.k2, int(s)) for r, s in zip(big, placed)], schema))
     # homes comes from groups, so both sides of the join are exchanged alone and a hot text is split as a skewed join
-    put = written(rows.join(homes, ["k1", "k2"]).select("id", "size", "crc", "shard", F.pmod(F.xxhash64("id", F.lit("slot")), F.lit(buckets)).alias("bucket")))
+    put = written(rows.join(homes, ["k1", "k2"]).select("id", "size", "crc", "shard", F.pmod(F.xxhash64(F.lit("slot"), "id", F.spark_partition_id()), F.lit(buckets)).alias("bucket")))
     ahead = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     # shards * buckets rows at most
     before = put.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))

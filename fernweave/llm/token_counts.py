@@ -2,11 +2,16 @@
 
 Distinct pre-tokens go into a trie. A node's forward score is that of the best segmentation of its prefix; it is
 computed once, for all pre-tokens that share the prefix. A pre-token's last node has its count.
+
+The model is fitted to the corpus: its distinct pre-tokens, by how often they occur, are segmented under Zipf's law by
+rank, and a piece's log-probability is that of its count among them.
 """
 
 from __future__ import annotations
 
+import collections
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,66 +21,114 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, reachable, table, without
-from .pretokens import Recent, pre_tokens, ranks_of, read_vocabulary
+from .pretokens import KEPT, Recent, pre_tokens, ranks_of, read_vocabulary
 
 UNIT = 1 << 16  # scores are whole numbers of 1 / UNIT, so that sums and ties are exact
 NODES, WORDS = 400_000, 120_000  # that a worker keeps: nodes, and words of each generation
+TALLY = 200_000  # distinct pre-tokens that a worker counts before it sends them on
 ADDED = ("n_pretokens", "n_tokens", "score")
 
 
-def scores_of(ranks: dict[bytes, int]) -> dict[bytes, int]:
-    """Log-probabilities by Zipf's law: a piece of rank r has a probability in proportion to 1 / (r + 2).
-
-    The vocabulary file has no probabilities, and tokenizers aren't trained here.
-    """
+def zipf(ranks: dict[bytes, int]) -> dict[bytes, int]:
+    """Log-probabilities by Zipf's law: a piece of rank r has a probability in proportion to 1 / (r + 2)."""
     total = math.log(sum(1 / (r + 2) for r in ranks.values()))
     return {piece: round(-UNIT * (math.log(r + 2) + total)) for piece, r in ranks.items()}
 
 
+def fitted(ranks: dict[bytes, int], counts: dict[int, int]) -> dict[bytes, int]:
+    """Log-probabilities of pieces by the counts of their ranks, one added to each."""
+    total = math.log(sum(counts.values()) + len(ranks))
+    return {piece: round(UNIT * (math.log(counts.get(r, 0) + 1) - total)) for piece, r in ranks.items()}
+
+
 class Counter:
     """Token counts and scores of pre-tokens: the segmentation of the highest score, of equal ones that with fewest tokens."""
 
     def __init__(self, scores: dict[bytes, int]) -> None:
         self.scores = scores
-        self.lengths = sorted({len(x) for x in scores})
+        # the pieces spelled backwards: what ends at a place is found by walking back as long as some piece goes on
+        self.tails: dict[int, int] = {}
+        self.ends: list[int | None] = [None]
+        for piece, score in scores.items():
+            node = 0
+            for b in reversed(piece):
+                node = self.tails.setdefault(node << 8 | b, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(None)
+            self.ends[node] = score
         self.words = Recent(WORDS)
         self._start()
 
     def _start(self) -> None:
         self.children: dict[int, int] = {}
-        self.best, self.count = [0], [0]
-
-    def _forward(self, word: bytes, path: list[int]) -> tuple[int, int]:
-        """The best (score, -tokens) of the prefix that is one byte longer than path."""
-        d = len(path)
-        found = (-(1 << 62), 0)
-        for n in self.lengths:
-            if n > d:
+        self.best, self.count, self.size = [0], [0], [0]
+
+    def _step(self, word: bytes, d: int, best: list[int], count: list[int], path: list[int] | range) -> tuple[int, int, int]:
+        """Of the prefix of d bytes: the best score, its tokens, the last one's bytes. path gives the places of shorter ones."""
+        tails, ends, node = self.tails, self.ends, 0
+        score, tokens, size = -(1 << 62), 0, 0
+        for n in range(1, d + 1):
+            node = tails.get(node << 8 | word[d - n])
+            if node is None:
                 break
-            s = self.scores.get(word[d - n : d])
-            if s is not None:
+            own = ends[node]
+            if own is not None:
                 at = path[d - n]
-                found = max(found, (self.best[at] + s, -self.count[at] - 1))
-        return found
+                new = best[at] + own
+                if new > score or (new == score and count[at] + 1 < tokens):
+                    score, tokens, size = new, count[at] + 1, n
+        return score, tokens, size
 
-    def insert(self, word: bytes) -> tuple[int, int]:
-        """(tokens, score) of the word, which is a path of the trie from now on."""
+    def insert(self, word: bytes) -> list[int]:
+        """The word's path in the trie, which it is a part of from now on."""
         node, path = 0, [0]
-        for b in word:
+        for d, b in enumerate(word, 1):
             child = self.children.get(node << 8 | b)
             if child is None:
-                score, tokens = self._forward(word, path)
+                score, tokens, size = self._step(word, d, self.best, self.count, path)
                 child = self.children[node << 8 | b] = len(self.best)
                 self.best.append(score)
-                self.count.append(-tokens)
+                self.count.append(tokens)
+                self.size.append(size)
             path.append(child)
             node = child
-        return self.count[node], self.best[node]
+        return path
+
+    def _alone(self, word: bytes) -> tuple[int, int, array]:
+        """(tokens, score, the last token's bytes for each prefix) of a word that is too long for the trie."""
+        best, count, sizes = array("q", [0]), array("q", [0]), array("H", [0])
+        places = range(len(word) + 1)
+        for d in range(1, len(word) + 1):
+            score, tokens, size = self._step(word, d, best, count, places)
+            best.append(score)
+            count.append(tokens)
+            sizes.append(size)
+        return count[-1], best[-1], sizes
 
     def fresh_word(self, word: str) -> tuple[int, int]:
+        """(tokens, score) of a pre-token."""
+        raw = word.encode()
+        if len(word) > KEPT:
+            return self._alone(raw)[:2]
         if len(self.best) > NODES:
             self._start()
-        return self.insert(word.encode())
+        node = self.insert(raw)[-1]
+        return self.count[node], self.best[node]
+
+    def pieces(self, word: str) -> list[bytes]:
+        """The best segmentation of a pre-token."""
+        raw = word.encode()
+        if len(word) > KEPT:
+            sizes = self._alone(raw)[2]
+        else:
+            if len(self.best) > NODES:
+                self._start()
+            sizes = [self.size[node] for node in self.insert(raw)]
+        out, d = [], len(raw)
+        while d:
+            out.append(raw[d - sizes[d] : d])
+            d -= sizes[d]
+        return out[::-1]
 
     def count_text(self, text: str, pattern: str) -> tuple[int, int, int]:
         """(pre-tokens, tokens, score) of the text."""
@@ -89,29 +142,79 @@ class Counter:
         return n, tokens, score
 
 
-@lru_cache(2)
-def counter(file: bytes) -> Counter:
-    return Counter(scores_of(ranks_of(file)))
+@lru_cache(1)
+def counter(file: bytes, counts: bytes | None) -> Counter:
+    """A worker's counter. counts: pairs of rank and count as 64-bit integers, or None for the law by rank."""
+    ranks = ranks_of(file)
+    if counts is None:
+        return Counter(zipf(ranks))
+    flat = array("q", counts)
+    return Counter(fitted(ranks, dict(zip(flat[::2], flat[1::2]))))
+
 
+def piece_counts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> dict[int, int]:
+    """How often each rank of the vocabulary is a piece of the texts' pre-tokens, segmented under the law by rank.
 
-def token_counts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
+    Distinct pre-tokens are counted over the whole corpus and segmented once each; only a number for each piece of the
+    vocabulary reaches the driver.
+    """
+    spark = docs.sparkSession
+    reachable(spark)
+    file = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: collections.Counter = collections.Counter()
+
+        def sent() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            held.clear()
+            return rows
+
+        for batch in batches:
+            for text in batch.column(0):
+                for some in pre_tokens(text.as_py() or "", pattern):
+                    held.update(some)
+                if len(held) > TALLY:
+                    yield sent()
+        yield sent()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, ranks = counter(file.value, None), ranks_of(file.value)
+        held: collections.Counter = collections.Counter()
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for piece in own.pieces(word):
+                    held[ranks[piece]] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.int64())], ["piece", "n"])
+
+    words = docs.select(F.col(text_col).cast("string")).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = words.mapInArrow(cut, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(rows["piece"].to_pylist(), rows["n"].to_pylist()))
+
+
+def token_counts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", counts: dict[int, int] | None = None) -> DataFrame:
     """docs with n_pretokens, n_tokens and score (the log-probability of the segmentation, in units of 1 / UNIT).
 
     vocabulary is the path of a file of ranks on the driver; its pieces must hold all single bytes, so every text has a
-    segmentation. Null and empty texts have no tokens and score 0. Input columns named like the new ones are replaced.
-    Nothing is shuffled; what a worker keeps is bounded.
+    segmentation. counts are those of the model (piece_counts of these docs, if not given).
+
+    Null and empty texts have no tokens and score 0. Very long texts are cut bit by bit; pre-tokens of more than KEPT
+    characters are counted alone, in time in proportion to them, and not kept. Rows that repeat get equal counts. Input
+    columns named like the new ones are replaced. An empty table gives an empty result. What a worker keeps is bounded
+    by NODES, and by WORDS entries of KEPT characters at most. Only distinct pre-tokens are shuffled, by the fit.
     """
     spark = docs.sparkSession
     reachable(spark)
     docs = without(docs, *ADDED)
     (text,) = fresh(docs, "text_")
-    file = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    counts = piece_counts(docs, vocabulary, pattern, text_col) if counts is None else counts
+    model = spark.sparkContext.broadcast((read_vocabulary(vocabulary), array("q", [x for pair in sorted(counts.items()) for x in pair]).tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(file.value)
+        own = counter(*model.value)
         for batch in batches:
-            counts = [own.count_text(x.as_py() or "", pattern) for x in batch.column(batch.num_columns - 1)]
-            columns = [pa.array(list(c), pa.int64()) for c in (zip(*counts) if counts else ((), (), ()))]
+            made = [own.count_text(x.as_py() or "", pattern) for x in batch.column(batch.num_columns - 1)]
+            columns = [pa.array(list(c), pa.int64()) for c in (zip(*made) if made else ((), (), ()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *ADDED])
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(k, T.LongType()) for k in ADDED]])

@@ -135,3 +135,87 @@ def unigram(word, scores):
     for i in range(1, len(word) + 1):
         best.append(max((best[j][0] + scores[word[j:i]], best[j][1] - 1) for j in range(i) if word[j:i] in scores))
     return best[-1][0], -best[-1][1]
+
+
+def segment(word, scores):
+    """The pieces of the best segmentation: highest score, then fewest tokens, then the shortest last piece at each place."""
+    best = [(0, 0, 0)]
+    for i in range(1, len(word) + 1):
+        best.append(max((best[j][0] + scores[word[j:i]], best[j][1] - 1, j - i) for j in range(i) if word[j:i] in scores))
+    out, i = [], len(word)
+    while i:
+        out.append(word[i + best[i][2] : i])
+        i += best[i][2]
+    return out[::-1]
+
+
+def _histograms(text, classes, common):
+    text = text or ""
+    kinds = {"newline": "\n", "space": " \t\x0b\x0c\r", "stop": ".,;:", "quote": "'\"()-", "symbol": "#*$%&|<>", "exclaim": "!?"}
+
+    def kind(ch):
+        for name, members in kinds.items():
+            if ch in members:
+                return name
+        first = ch.encode()[0]
+        if first >= 0x80:
+            return "accented" if first in (0xC2, 0xC3) else "wide" if first < 0xF8 else "other"
+        return "lower" if ch.islower() else "upper" if ch.isupper() else "digit" if ch.isdigit() else "other"
+
+    a, words = Counter(map(kind, text)), re.findall(r"[^\x20\x09-\x0D]+", text)
+    b = Counter(w if w in common else None for w in words)
+    return [a[c] for c in classes], [b[w] for w in [*common, None]], len(words)
+
+
+def _divergence(counts, reference):
+    """Jensen-Shannon distance of two histograms, in bits."""
+    if not sum(counts):
+        return 1.0
+    p, q = ([x / sum(h) for x in h] for h in (counts, reference))
+    total = sum(x * math.log2(2 * x / (x + y)) for x, y in zip(p, q) if x) + sum(y * math.log2(2 * y / (x + y)) for x, y in zip(p, q) if y)
+    return math.sqrt(min(1, max(0, total / 2)))
+
+
+def quality_verdicts(rows, rules, draft, classes, common):
+    """rows: (id, text, lang). {id: (kept, class distance, word distance)}: references of each language, drafted and then made of what the draft keeps."""
+    made = {i: _histograms(t, classes, common) for i, t, _ in rows}
+
+    def references(kept):
+        sums = {}
+        for i, _, lang in rows:
+            s = sums.setdefault(lang or "", [[0] * len(classes), [0] * (len(common) + 1), 0])
+            if i in kept:
+                for part, own in zip(s, made[i]):
+                    if isinstance(part, list):
+                        part[:] = map(sum, zip(part, own))
+                s[2] += made[i][2]
+        every, most = sum(s[2] for s in sums.values()), max(s[2] for s in sums.values())
+        shared = [s for s in sums.values() if s[2] >= rules.min_share * every or s[2] == most]
+        own = {lang: s if s[2] >= rules.lang_words else None for lang, s in sums.items() if s not in shared}
+        return shared, own
+
+    def judge(r, shared, own):
+        out = {}
+        for i, text, lang in rows:
+            a, b, n = made[i]
+            near = [*shared, *([own[lang or ""]] if own.get(lang or "") else [])]
+            x, y = min(_divergence(a, s[0]) for s in near), min(_divergence(b, s[1]) for s in near)
+            far = x > r.class_base + r.class_per_word / max(1, n) or y > r.word_base + r.word_per_word / max(1, n)
+            metrics = base_metrics(text)
+            failed = n < r.min_words or 100 * metrics[4] > r.max_repeat_percent * n
+            decides = n >= r.guard_words and not ((lang or "") in own and not own[lang or ""])
+            out[i] = not failed and not (far and decides), x, y
+        return out
+
+    first = judge(draft, *references({i for i, _, _ in rows}))
+    return judge(rules, *references({i for i, v in first.items() if v[0]}))
+
+
+def differencing(sizes, shards):
+    """The loads, rising, of Karmarkar-Karp differencing: the two partial partitions of the largest spread are combined, oppositely ordered."""
+    parts = [[0] * (shards - 1) + [s] for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(x + y for x, y in zip(a, reversed(b))))
+    return parts[0]

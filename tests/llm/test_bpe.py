@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +47,20 @@ def test_operator(spark):
     assert bpe(spark.createDataFrame([], "text string"), PATH, P.PATTERN).collect() == []
 
 
+def test_ids_that_the_vocabulary_lacks():
+    for bad in (-1, 50_256, 10**9, None):
+        with pytest.raises(ValueError):
+            OWN.known([3, bad])
+    assert OWN.decode(OWN.known([])) == b""
+
+
+def test_long_pretokens_are_not_kept():
+    own = Encoder(RANKS, P.PATTERN)
+    text = "short words and " + "q" * 1000
+    assert own.encode(text).tolist() == TIKTOKEN.encode_ordinary(text)
+    assert max(map(len, own.cache.young)) <= 256
+
+
 def test_query_over_documents(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in op3_bpe(spark, "/root/testdata/sf0.001").collect():

@@ -6,9 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fernweave.llm import quality_rules as Q
-from fernweave.llm.text_stats import stats
+from fernweave.llm.text_stats import CLASSES, COMMON_NAMES, stats
 
-from .brute import base_metrics
+from .brute import base_metrics, quality_verdicts
 
 ALPHABET = st.sampled_from("aab  \n\n#%.é日\t\x0b\x0c\r\x85\xa0 Z9!")
 
@@ -55,6 +55,30 @@ def test_edge_cases(spark):
     assert got[3] == got[4] and Q.quality_rules(df.limit(0)).collect() == []
 
 
+def test_verdicts_against_plain_divergences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    japanese = "これは短い文章ですがちゃんと読めます。 " * 3
+    rows += [(90_000 + i, japanese + f"別の話 {i} " * 20, "ja") for i in range(2)] + [(90_010, None, "en"), (90_011, "", None)]
+    want = quality_verdicts(rows, Q.Rules(), Q.DRAFT, CLASSES, COMMON_NAMES)
+    got = Q.quality_rules(spark.createDataFrame(rows, docs.schema)).collect()
+    for r in got:
+        kept, x, y = want[r.doc_id]
+        assert abs(r.class_distance - x) < 1e-6 and abs(r.word_distance - y) < 1e-6
+        assert r.kept == kept
+    assert 0 < sum(r.kept for r in got) < len(rows)
+
+
+def test_two_documents_of_another_language_stay(spark):
+    rng = random.Random(5)
+    english = "the of and to in is that it for was on are with as by this be at from or an have not".split()
+    made = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2000)]
+    rows = [(i, " ".join(rng.choice(made if rng.random() < 0.55 else english) for _ in range(300)), "en") for i in range(600)]
+    rows += [(1000 + i, " ".join("".join(rng.choices("あいうえおかきくけこ", k=4)) for _ in range(80)), "ja") for i in range(2)]
+    got = {r.doc_id: r.kept for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1000] and got[1001]
+
+
 def test_rare_languages(spark):
     rng = random.Random(3)
 

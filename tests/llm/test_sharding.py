@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from fernweave.llm.sharding import differencing, shard_by_bytes
 
+from .brute import differencing as plain
+
 SCHEMA = "doc_id long, text string, shard string"
 
 
@@ -50,3 +52,12 @@ def test_query_over_documents(spark):
     out = op8_sharding(spark, "/root/testdata/sf0.01")
     loads = [r[1] for r in out.groupBy("shard").agg(F.sum("size")).collect()]
     assert len(loads) == 24 and max(loads) - min(loads) < 0.01 * sum(loads) / 24
+
+
+def test_differencing_against_the_plain_method():
+    random = np.random.default_rng(7)
+    for shards in (2, 3, 5, 24):
+        for n in (0, 1, 2, 7, 60):
+            sizes = random.integers(1, 10**9, n)  # so large that no spreads are equal
+            loads = np.bincount(differencing(sizes, shards), sizes, shards) if n else np.zeros(shards)
+            assert sorted(loads.astype(int)) == sorted(plain(sizes.tolist(), shards) if n else [0] * shards)

@@ -1,27 +1,50 @@
+import collections
+
 import public_tokenizers as P
 import regex
 
 from fernweave.llm import token_counts as K
 from fernweave.llm.pretokens import ranks_of, read_vocabulary
 
-from .brute import unigram
+from .brute import segment, unigram
 
 PATH = P.path("byte_bpe_50k.tiktoken")
-SCORES = K.scores_of(ranks_of(read_vocabulary(PATH)))
+RANKS = ranks_of(read_vocabulary(PATH))
+SCORES = K.zipf(RANKS)
 
 
-def plain(text):
+def plain(text, scores=SCORES):
     words = regex.findall(P.PATTERN, text or "")
-    best = [unigram(w.encode(), SCORES) for w in words]
+    best = [unigram(w.encode(), scores) for w in words]
     return len(words), sum(t for _, t in best), sum(s for s, _ in best)
 
 
+def fitted(texts):
+    counts = collections.Counter()
+    for word, n in collections.Counter(w for t in texts for w in regex.findall(P.PATTERN, t or "")).items():
+        for piece in segment(word.encode(), SCORES):
+            counts[RANKS[piece]] += n
+    return counts
+
+
 def test_documents(spark):
-    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 40").collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    counts = fitted(texts.values())
+    assert K.piece_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), PATH, P.PATTERN) == counts
+    scores = K.fitted(RANKS, counts)
     got = {r.doc_id: r for r in K.op4_token_counts(spark, "/root/testdata/sf0.001").collect()}
     assert len(got) == 200
-    for i, t in texts.items():
-        assert (got[i].n_pretokens, got[i].n_tokens, got[i].score) == plain(t)
+    for i in sorted(texts)[::4]:
+        assert (got[i].n_pretokens, got[i].n_tokens, got[i].score) == plain(texts[i], scores)
+
+
+def test_long_pretokens_are_counted_alone(monkeypatch):
+    own = K.Counter(SCORES)
+    word = "abcdthe" * 60
+    want = plain(word)
+    assert own.count_text(word, P.PATTERN) == want and len(own.best) == 1 and not own.words.young
+    assert own.pieces(word) == segment(word.encode(), SCORES)
+    assert own.count_text(f"the {word} the", P.PATTERN) == plain(f"the {word} the")
 
 
 def test_small_trie_starts_anew(monkeypatch):
@@ -35,5 +58,6 @@ def test_edge_cases(spark):
     texts = [None, "", " \n", "a" * 3000, "é日 '", "same", "same"]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, score int")
     rows = K.token_counts(df, PATH, P.PATTERN).orderBy("doc_id").collect()
-    assert [(r.n_pretokens, r.n_tokens, r.score) for r in rows] == list(map(plain, texts))
+    scores = K.fitted(RANKS, fitted(texts))
+    assert [(r.n_pretokens, r.n_tokens, r.score) for r in rows] == [plain(t, scores) for t in texts]
     assert K.token_counts(spark.createDataFrame([], "text string"), PATH, P.PATTERN).collect() == []
