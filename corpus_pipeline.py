@@ -18,29 +18,51 @@ from fernweave.llm.quality_rules import quality_rules
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+READ = ("doc_id", "text", "lang", "source")
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns that operators don't read under names that no operator's own columns have, and these names."""
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns) if c not in READ}
+    return docs.withColumnsRenamed(names), names
+
+
+def restored(out: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality_rules(docs).filter("kept").select(docs.columns)
+    """Documents that pass the quality rules. Null and empty texts fail them; of rows that repeat all stay or go. Other columns stay."""
+    own, names = shielded(docs)
+    return restored(quality_rules(own).filter("kept"), docs, names)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that earlier ones have; those of which nothing is left go. n_chars is that of the new text."""
-    out = dedup_lines(docs).filter((F.col("removed_lines") == 0) | (F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) > 0))
-    return out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Documents without the passages that earlier ones have; those of which nothing is left go. n_chars is that of the new text.
+
+    Texts that were empty or null before stay as they are; rows that repeat are one document, and all lose the same lines.
+    """
+    own, names = shielded(docs)
+    out = dedup_lines(own).filter((F.col("removed_lines") == 0) | (F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) > 0))
+    if "n_chars" in names:
+        n = names["n_chars"]
+        out = out.withColumn(n, F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return restored(out, docs, names)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: that of the smallest id, nulls first. Null and empty texts are one class; of rows that repeat one stays."""
     return drop_near_duplicates(docs).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target rate says, in random order."""
-    return mix_sources(docs).select(docs.columns)
+    """Each document as often as its source's target rate says, in random order. A null source is a source of its own; rows that repeat are drawn alike."""
+    own, names = shielded(docs)
+    return restored(mix_sources(own), docs, names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids, and digests of the ids and of what they decode to."""
+    """The documents' ids, and digests of the ids and of what they decode to. Null and empty texts have no ids."""
     out = bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
