@@ -261,7 +261,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     for x in more:
         cut_lines = cut_lines.unionByName(x)
     cut_lines = (_together(cut_lines) if more else cut_lines).select(F.col("doc").alias(key), F.col("gone").alias(gone))
-    met = docs.join(cut_lines, F.col(doc) == F.col(key), "left").drop(key, doc)
+    # both sides grow with the input
+    met = docs.hint("merge").join(cut_lines.hint("merge"), F.col(doc) == F.col(key), "left").drop(key, doc)
     names = [c for c in met.columns if c != gone]
     where = names.index(text_col)
 
