@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,10 @@ class Calibrator:
         out = F.when(x <= self.x[0], float(self.y[0])).otherwise(out)
         return F.when(x.isNotNull(), F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)))
 
+    def values(self, similarities: np.ndarray) -> np.ndarray:
+        """The curve's values, within a task."""
+        return np.clip(np.interp(similarities, self.x, self.y), 0.0, 1.0)
+
     def dumps(self) -> str:
         return json.dumps({"x": self.x, "y": self.y})
 
@@ -54,12 +60,14 @@ def thin(x: list[float], y: list[float]) -> tuple[list[float], list[float]]:
 
 
 def fit(pairs: DataFrame, similarity: str = "similarity", label: str = "label") -> Calibrator:
-    """From similarities and 0/1 labels. Spark's isotonic regression pools; the knots, few by then, are thinned here.
+    """From similarities and 0/1 labels, as they are. Spark's isotonic regression pools; the knots are thinned here.
 
-    Similarities are pre-aggregated to weights of four decimals, so that what is sorted is bounded by 20,001 values.
+    Equal similarities are pre-aggregated to one weighted row. Without pairs there is nothing to fit: a ValueError.
     """
-    rounded = pairs.select(F.round(F.col(similarity).cast("double"), 4).alias("s"), F.col(label).cast("double").alias("label"))
-    weighed = rounded.filter("s is not null and label is not null").groupBy("s").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    plain = pairs.select(F.col(similarity).cast("double").alias("s"), F.col(label).cast("double").alias("label"))
+    weighed = plain.filter("s is not null and label is not null").groupBy("s").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    if weighed.isEmpty():
+        raise ValueError("no calibration pairs")
     model = IsotonicRegression(weightCol="weight").fit(VectorAssembler(inputCols=["s"], outputCol="features").transform(weighed))
     x, y = thin([float(v) for v in model.boundaries], [min(1.0, max(0.0, float(v))) for v in model.predictions])
     if len(x) == 1:
@@ -67,17 +75,31 @@ def fit(pairs: DataFrame, similarity: str = "similarity", label: str = "label")
     return Calibrator(tuple(x), tuple(y))
 
 
+PARTS = 256  # hash ranges of the catalog
+
+
 def negative_sample(examples: DataFrame, catalog: DataFrame, n: int = 8, seed: int = 42) -> DataFrame:
     """example_id, target, negative: n models of the catalog other than the target for each example, by seeded hashes.
 
-    The catalog is numbered once; each draw is a hash modulo its size, so no pair of example and model is formed that
-    isn't drawn. Draws that hit the target or each other are dropped, and 2 n draws make up for that.
+    The catalog is numbered by hash ranges. An example's draws are a progression modulo the catalog's size from a hashed
+    start, with a hashed step that shares no factor with the size: n + 1 draws differ, so n other models are left, or
+    all others of a smaller catalog. No pair of example and model is formed that isn't drawn.
     """
-    order = W.orderBy(F.xxhash64("model"), "model")
-    numbered = catalog.select("model").distinct().withColumn("number", F.row_number().over(order) - 1)
-    size = max(1, numbered.count())
-    draw = F.transform(F.sequence(F.lit(1), F.lit(2 * n)), lambda j: F.struct(F.pmod(F.xxhash64("example_id", j, F.lit(seed)), F.lit(size)).cast("int").alias("number"), j.alias("j")))
-    drawn = examples.select("example_id", "target", F.inline(draw)).join(numbered, "number").filter("model != target")
-    drawn = drawn.groupBy("example_id", "target", F.col("model").alias("negative")).agg(F.min("j").alias("j"))
+    hashed = catalog.select("model").distinct().withColumn("h", F.xxhash64("model")).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    ahead = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    # PARTS rows at most
+    before = hashed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
+    inside = F.row_number().over(W.partitionBy("part").orderBy("h", "model")) - 1
+    numbered = hashed.withColumn("place", inside).join(F.broadcast(before), "part").select("model", (F.col("before") + F.col("place")).alias("number"))
+    size = max(1, hashed.count())
+    random = np.random.default_rng(seed)
+    tried = [1, *random.integers(1, max(2, size), 400).tolist()]
+    steps = F.array(*[F.lit(s).cast("long") for s in dict.fromkeys(tried) if math.gcd(s, size) == 1])
+    start = F.pmod(F.xxhash64("example_id", F.lit(seed)), F.lit(size))
+    step = F.element_at(steps, F.pmod(F.xxhash64(F.lit(seed), "example_id"), F.size(steps)).cast("int") + 1)
+    turns = F.sequence(F.lit(0), F.lit(min(n, size - 1)))
+    asked = examples.select("example_id", "target", start.alias("start"), step.alias("step"))
+    draw = F.transform(turns, lambda j: F.struct(F.pmod(F.col("start") + j * F.col("step"), F.lit(size)).alias("number"), j.alias("j")))
+    drawn = asked.select("example_id", "target", F.inline(draw)).join(numbered, "number").filter("model != target")
     turn = F.row_number().over(W.partitionBy("example_id").orderBy("j"))
-    return drawn.withColumn("turn", turn).filter(F.col("turn") <= n).select("example_id", "target", "negative")
+    return drawn.withColumn("turn", turn).filter(F.col("turn") <= n).select("example_id", "target", F.col("model").alias("negative"))

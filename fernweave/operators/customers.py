@@ -62,7 +62,10 @@ def current_customers(prepared: DataFrame, customers: DataFrame, catalog: DataFr
         F.when(n == 0, "no_purchases").when(F.size(in_catalog) == 0, "no_catalog_history").alias("excluded"),
     )
     profile = customers.select(S.normalize_id(F.col("customer_id")).alias("customer_id"), *[c for c in ("age_group", "preferred_size", "history_confidence") if c in customers.columns])
-    profile = profile.filter("customer_id is not null").dropDuplicates(["customer_id"])
+    # of several profiles the greatest, by its columns in order, so that any run takes the same one
+    others = [c for c in profile.columns if c != "customer_id"]
+    profile = profile.filter("customer_id is not null")
+    profile = profile.groupBy("customer_id").agg(F.max(F.struct(*others)).alias("_p")).select("customer_id", "_p.*") if others else profile.distinct()
     return out.join(profile, "customer_id", "left")
 
 
@@ -74,10 +77,10 @@ def exclusions(current: DataFrame, customers: DataFrame) -> DataFrame:
     return every.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def mean_vectors(histories: DataFrame, catalog: DataFrame, max_history: int = 20) -> DataFrame:
-    """customer_id, vector: the normalised mean of the visuals of the last max_history catalog purchases."""
-    recent = histories.select("customer_id", F.explode(S.last_items(F.col("catalog_history"), max_history)).alias("model"))
+def mean_vectors(histories: DataFrame, catalog: DataFrame, max_history: int = 20, keep: Sequence[str] = ()) -> DataFrame:
+    """customer_id, the columns of keep, vector: the normalised mean of the visuals of the last max_history catalog purchases."""
+    recent = histories.select("customer_id", *keep, F.explode(S.last_items(F.col("catalog_history"), max_history)).alias("model"))
     seen = recent.join(catalog.filter("visual is not null").select("model", "visual"), "model")
     mean = Summarizer.mean(array_to_vector(F.col("visual").cast("array<double>")))
-    pooled = seen.groupBy("customer_id").agg(mean.alias("mean")).select("customer_id", V.l2_normalize(vector_to_array("mean")).alias("vector"))
+    pooled = seen.groupBy("customer_id", *keep).agg(mean.alias("mean")).select("customer_id", *keep, V.l2_normalize(vector_to_array("mean")).alias("vector"))
     return pooled.filter("vector is not null")

@@ -88,8 +88,9 @@ def is_shoe(relevance: Column, catalog_score: Column, area_share: Column, full:
 
 
 def confident_garbage(scene: Column, footwear: Column, junk: Column) -> Column:
-    """A garbage scene, or an unknown one whose junk score leads by the margin."""
-    lead = F.coalesce(F.nanvl(junk, F.lit(None)) >= F.nanvl(footwear, F.lit(None)) + GARBAGE_MARGIN, F.lit(False))
+    """A garbage scene, or an unknown one whose junk score leads by the margin; a missing score counts as 0."""
+    score = lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
+    lead = score(junk) >= score(footwear) + GARBAGE_MARGIN
     return F.when(scene.isin("shoe", "order", "delivery_notice"), False).when(scene == "garbage", True).otherwise(lead)
 
 

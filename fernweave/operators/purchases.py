@@ -37,7 +37,7 @@ def in_order(df: DataFrame, ties: Sequence[str] = TIE_BREAKS) -> WindowSpec:
 
 def money(value: Column) -> Column:
     """As a decimal, whose sums don't depend on the order of rows."""
-    return value.cast("decimal(12,2)")
+    return value.cast("decimal(28,10)")
 
 
 def sequences(prepared: DataFrame, ties: Sequence[str] = TIE_BREAKS) -> DataFrame:
@@ -57,7 +57,7 @@ def sequences(prepared: DataFrame, ties: Sequence[str] = TIE_BREAKS) -> DataFram
             "history_dates": F.collect_list("purchase_date").over(before),
             "purchases_before": F.count(F.lit(1)).over(before),
             "discounts_before": F.coalesce(F.sum(discounted.cast("long")).over(before), F.lit(0)),
-            "discount_sum_before": F.coalesce(F.sum(money(S.discount_value(F.col("discount")))).over(before), F.lit(0).cast("decimal(22,2)")),
+            "discount_sum_before": F.coalesce(F.sum(money(S.discount_value(F.col("discount")))).over(before), F.lit(0).cast("decimal(38,10)")),
             "seasons_before": seasons,
             "last_date": F.lag("purchase_date").over(order),
             "first_date": F.first("purchase_date").over(before),
@@ -135,24 +135,43 @@ def availability(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.when((value != "") & (value != "NaN"), value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quality_report(prepared: DataFrame, customers: DataFrame, catalog: DataFrame, examples: DataFrame) -> DataFrame:
-    """metric, n: the counts of a dataset build. examples: with reason and split."""
-    known = catalog.select("model").distinct()
-    parts = [
-        prepared.agg(F.count(F.lit(1)).alias("n")).select(F.lit("purchases").alias("metric"), "n"),
-        customers.agg(F.count(F.lit(1)).alias("n")).select(F.lit("customers").alias("metric"), "n"),
-        catalog.agg(F.count(F.lit(1)).alias("n")).select(F.lit("models").alias("metric"), "n"),
-        catalog.agg(F.count_if(F.col("visual").isNull()).alias("n")).select(F.lit("models_without_visual").alias("metric"), "n"),
-        prepared.join(known, "model", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("purchases_with_missing_model").alias("metric"), "n"),
-        examples.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("examples_"), "reason").alias("metric"), "n"),
-        examples.filter("reason = 'ok'").groupBy("split").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("rows_"), "split").alias("metric"), "n"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def availability_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """field, present, missing, share (of the present; 0 without rows), in one scan."""
+    there = {c: F.count_if((F.col(c).cast("string") != "") & (F.col(c).cast("string") != "NaN")) for c in columns}
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[n.alias(c) for c, n in there.items()])
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("present")) for c in columns]))
+    share = F.coalesce(F.try_divide(F.col("present"), F.col("_n")), F.lit(0.0))
+    return one.select("_n", rows).select("field", "present", (F.col("_n") - F.col("present")).alias("missing"), share.alias("share"))
+
+
+def quality_report(prepared: DataFrame, customers: DataFrame, catalog: DataFrame, ties: Sequence[str] = TIE_BREAKS) -> DataFrame:
+    """metric, value (text): the counts and dates of a dataset build. catalog: model, visual.
+
+    The purchases are read once: a purchase is an example unless it is its customer's first, which a row number tells,
+    so one sorted exchange and one aggregation give all of it. The split's bounds need the dates beforehand.
+    """
+    known = catalog.groupBy("model").agg(F.max(F.col("visual").isNotNull()).alias("_visual"))
+    first = F.row_number().over(in_order(prepared, ties)) == 1
+    rows = prepared.select("customer_id", "purchase_date", "model", first.alias("first")).join(known, "model", "left")
+    bounds = F.broadcast(split_bounds(prepared))
+    part = split_of(F.col("purchase_date"), F.col("train_end"), F.col("validation_end"))
+    reason = F.when(F.col("_visual").isNull(), "missing_model").when(~F.col("_visual"), "missing_visual").otherwise("ok")
+    rows = rows.join(bounds).select("*", part.alias("split"), reason.alias("reason"))
+    example, day = ~F.col("first"), lambda c: F.date_format(c, "yyyy-MM-dd")
+    bought = rows.agg(
+        F.count(F.lit(1)).cast("string").alias("purchases"),
+        F.count_if(F.col("_visual").isNull()).cast("string").alias("purchases_with_missing_model"),
+        day(F.min("purchase_date")).alias("first_date"),
+        day(F.max("purchase_date")).alias("last_date"),
+        *[F.count_if(example & (F.col("reason") == r)).cast("string").alias(f"examples_{r}") for r in ("missing_model", "missing_visual", "ok")],
+        *[F.count_if(example & (F.col("reason") == "ok") & (F.col("split") == x)).cast("string").alias(f"rows_{x}") for x in ("train", "validation", "test")],
+    )
+    models = catalog.agg(F.count(F.lit(1)).cast("string").alias("models"), F.count_if(F.col("visual").isNull()).cast("string").alias("models_without_visual"))
+    people = customers.agg(F.count(F.lit(1)).cast("string").alias("customers"))
+    one = bought.join(models).join(people)
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns])))
 
 
 def format_report(report: DataFrame) -> str:
     """The report as text; it has a few rows."""
-    return "\n".join(f"{r.metric}: {r.n}" for r in report.orderBy("metric").collect())
+    return "\n".join(f"{r.metric}: {r.value}" for r in report.orderBy("metric").collect())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,59 +11,65 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .calibration import Calibrator
 
-#: Models whose vectors are sent to every task at once; more are scored block by block.
-BLOCK = 20_000
-PAIR = "customer_id string, model string, score double"
+#: Rows of a block of customers and of models: the two vectors' matrices and their product are what a task holds.
+CUSTOMERS, MODELS, LEAST = 20_000, 5_000, 250
+PAIR = "customer_id string, model string, score double, similarity double"
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), dtype=float).reshape(len(column), -1)
 
 
-def _blocks(models: DataFrame, *more: str) -> Iterator[tuple]:
-    """The models' codes, more columns and vectors, about BLOCK at a time by their hash: what is held at once is bounded."""
-    n = models.count()
-    parts = max(1, -(-n // (BLOCK // 2)))
-    hashed = models.withColumn("_part", F.pmod(F.xxhash64("model"), F.lit(parts)))
-    for i in range(parts):
-        some = hashed.filter(F.col("_part") == i).select("model", *more, F.col("vector").cast("array<double>").alias("vector")).orderBy("model").toArrow()
-        if some.num_rows:
-            yield some["model"].to_pylist(), *[some[c].to_pylist() for c in more], _matrix(some["vector"].combine_chunks())
+def _blocks(rows: DataFrame, most: int) -> int:
+    """As many blocks as keep each below most rows, more where tasks would idle."""
+    n = rows.count()
+    return max(1, -(-n // most), min(rows.sparkSession.sparkContext.defaultParallelism, n // LEAST))
+
+
+def by_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, make: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """make of each block of left rows and each block of right ones, inside executors; rows reach it in order of their ids.
+
+    Blocks are hash ranges of the ids. Each row is sent once for every block of the other side, and nothing is held by
+    the driver but the two counts.
+    """
+    n, m = _blocks(left, CUSTOMERS), max(1, -(-right.count() // MODELS))
+    a = left.withColumn("_l", F.pmod(F.xxhash64(left_id), F.lit(n))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
+    b = right.withColumn("_r", F.pmod(F.xxhash64(right_id), F.lit(m))).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+
+    def block(x: pa.Table, y: pa.Table) -> pa.Table:
+        return make(x.sort_by(left_id), y.sort_by(right_id))
+
+    return a.groupBy("_l", "_r").cogroup(b.groupBy("_l", "_r")).applyInArrow(block, schema)
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k largest scores, and of all that tie with the last of them."""
+    """The places of the k largest scores; of equal ones the first places."""
     if len(scores) <= k:
         return np.arange(len(scores))
-    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-
-
-def _scored(customers: DataFrame, models: DataFrame, per_customer: bool, k: int) -> DataFrame:
-    """The pairs that may be among the best k of each customer, or of each model within a batch of customers."""
-    parts = []
-    for codes, matrix in _blocks(models):
-
-        def score(batches: Iterator[pa.RecordBatch], codes: list[str] = codes, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            names = pa.array(codes, pa.string())
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                dots = _matrix(batch.column(1)) @ matrix.T
-                if per_customer:
-                    hits = [(np.full(len(c), i), c) for i, row in enumerate(dots) for c in [_best(row, k)]]
-                else:
-                    hits = [(c, np.full(len(c), j)) for j, column in enumerate(dots.T) for c in [_best(column, k)]]
-                rows, cols = (np.concatenate(x) for x in zip(*hits))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), names.take(pa.array(cols)), pa.array(dots[rows, cols])], ["customer_id", "model", "score"])
-
-        parts.append(customers.select("customer_id", F.col("vector").cast("array<double>")).mapInArrow(score, PAIR))
-    if not parts:
-        return customers.sparkSession.createDataFrame([], PAIR)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above = np.flatnonzero(scores > least)
+    return np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
+
+
+def _scored(customers: DataFrame, models: DataFrame, per_customer: bool, k: int, curve: Calibrator | None = None) -> DataFrame:
+    """The k best pairs of each customer, or of each model, within each pair of blocks. score: the curve's value, or the similarity."""
+
+    def score(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"customer_id": pa.array([], pa.string()), "model": pa.array([], pa.string()), "score": pa.array([], pa.float64()), "similarity": pa.array([], pa.float64())})
+        dots = _matrix(x["vector"]) @ _matrix(y["vector"]).T
+        value = dots if curve is None else curve.values(dots)
+        if per_customer:
+            hits = [(np.full(len(c), i), c) for i, row in enumerate(value) for c in [_best(row, k)]]
+        else:
+            hits = [(c, np.full(len(c), j)) for j, column in enumerate(value.T) for c in [_best(column, k)]]
+        rows, cols = (np.concatenate(h) for h in zip(*hits))
+        return pa.table({"customer_id": x["customer_id"].take(pa.array(rows)), "model": y["model"].take(pa.array(cols)), "score": value[rows, cols], "similarity": dots[rows, cols]})
+
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    return by_blocks(customers.select("customer_id", vector), models.select("model", vector), "customer_id", "model", score, PAIR)
 
 
 def _ranked(pairs: DataFrame, group: str, other: str, name: str, k: int) -> DataFrame:
@@ -74,8 +80,7 @@ def _ranked(pairs: DataFrame, group: str, other: str, name: str, k: int) -> Data
 def rank_customers(customers: DataFrame, models: DataFrame, k: int = 100) -> DataFrame:
     """model, customer_rank, customer_id, score: the best k customers of each model, ties by customer_id.
 
-    Each batch of customers sends k pairs a model at most, so the shuffle has batches * models * k small rows and not a
-    row for each pair.
+    Each block of customers sends k pairs a model at most, and not a row for each pair.
     """
     return _ranked(_scored(customers, models, False, k), "model", "customer_id", "customer_rank", k).select("model", "customer_rank", "customer_id", "score")
 
@@ -91,38 +96,81 @@ def target_ranks(customers: DataFrame, models: DataFrame) -> DataFrame:
     customers: customer_id, vector, target, target_position, target_vector. models: model, position, vector. A row of
     counts a customer and block of models leaves the tasks, never one a pair.
     """
-    parts = []
-    for codes, positions, matrix in _blocks(models, "position"):
-
-        def count(batches: Iterator[pa.RecordBatch], codes=np.array(codes), positions=np.array(positions), matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vectors = _matrix(batch.column(1))
-                scores = vectors @ matrix.T
-                own = np.einsum("ij,ij->i", vectors, _matrix(batch.column(4)))[:, None]
-                place = batch.column(3).to_numpy()[:, None]
-                ahead = ((scores > own) | ((scores == own) & (positions[None, :] < place))) & (codes[None, :] != np.array(batch.column(2).to_pylist())[:, None])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ahead.sum(axis=1).astype(np.int64))], ["customer_id", "ahead"])
-
-        asked = customers.select("customer_id", F.col("vector").cast("array<double>"), "target", F.col("target_position").cast("long"), F.col("target_vector").cast("array<double>"))
-        parts.append(asked.mapInArrow(count, "customer_id string, ahead long"))
-    if not parts:
-        return customers.select("customer_id", F.lit(1).cast("long").alias("rank")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("customer_id").agg((1 + F.sum("ahead")).alias("rank"))
-
-
-def rank_eligible(customers: DataFrame, models: DataFrame, as_of: str, k: int = 100) -> DataFrame:
-    """rank_customers among customers whose last purchase is RECENT_DAYS old or of unknown date.
-
-    customers: customer_id, vector, last_purchase_date. Recent buyers go before the ranking, so that k are left.
+
+    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"customer_id": x["customer_id"], "ahead": pa.array(np.zeros(x.num_rows, np.int64))})
+        vectors = _matrix(x["vector"])
+        scores = vectors @ _matrix(y["vector"]).T
+        own = np.einsum("ij,ij->i", vectors, _matrix(x["target_vector"]))[:, None]
+        place, codes = x["target_position"].to_numpy()[:, None], np.array(y["model"].to_pylist())
+        ahead = ((scores > own) | ((scores == own) & (y["position"].to_numpy()[None, :] < place))) & (codes[None, :] != np.array(x["target"].to_pylist())[:, None])
+        return pa.table({"customer_id": x["customer_id"], "ahead": ahead.sum(axis=1).astype(np.int64)})
+
+    asked = customers.select("customer_id", F.col("vector").cast("array<double>"), "target", F.col("target_position").cast("long"), F.col("target_vector").cast("array<double>"))
+    among = models.select("model", F.col("position").cast("long"), F.col("vector").cast("array<double>"))
+    return by_blocks(asked, among, "customer_id", "model", count, "customer_id string, ahead long").groupBy("customer_id").agg((1 + F.sum("ahead")).alias("rank"))
+
+
+def eligible(customers: DataFrame, as_of: str) -> DataFrame:
+    """Customers, without the anonymous one, whose last purchase is RECENT_DAYS old or of unknown date; with days."""
+    days = S.days_since(F.col("last_purchase_date"), F.lit(as_of).cast("date"))
+    return customers.withColumn("days", days).filter(~S.is_recent(F.col("days")) & (F.col("customer_id") != S.ANONYMOUS_CUSTOMER))
+
+
+def rank_eligible(customers: DataFrame, models: DataFrame, as_of: str, k: int = 100, curve: Calibrator | None = None) -> DataFrame:
+    """model, customer_rank, customer_id, score, similarity: the best k eligible customers of each model, ties by customer_id.
+
+    customers: customer_id, vector, last_purchase_date. score is the curve's value of the similarity, by which they are
+    ranked, or without a curve the similarity. Recent buyers go before the ranking, so that k are left.
     """
+    pairs = _ranked(_scored(eligible(customers, as_of), models, False, k, curve), "model", "customer_id", "customer_rank", k)
+    return pairs.select("model", "customer_rank", "customer_id", "score", "similarity")
+
+
+def diagnostics(customers: DataFrame, ranked: DataFrame, as_of: str) -> DataFrame:
+    """Of each ranked model: total_scored, excluded_recent, eligible, returned, and of the returned how many by days since the last purchase."""
     days = S.days_since(F.col("last_purchase_date"), F.lit(as_of).cast("date"))
-    eligible = customers.filter(~S.is_recent(days) & (F.col("customer_id") != S.ANONYMOUS_CUSTOMER))
-    return rank_customers(eligible, models, k)
+    aged = customers.select("customer_id", days.alias("days"))
+    recent, anonymous = S.is_recent(F.col("days")), F.col("customer_id") == S.ANONYMOUS_CUSTOMER
+    totals = aged.agg(F.count(F.lit(1)).alias("total_scored"), F.count_if(recent).alias("excluded_recent"), F.count_if(~recent & ~anonymous).alias("eligible"))
+    bucket = S.recency_bucket(F.col("days"))
+    counts = [F.count_if(bucket == label).alias(name) for name, label in BUCKETS.items()]
+    per = ranked.join(aged, "customer_id").groupBy("model").agg(F.count(F.lit(1)).alias("returned"), *counts)
+    return per.join(F.broadcast(totals)).select("model", "total_scored", "excluded_recent", "eligible", "returned", *BUCKETS)
+
+
+#: Columns of the distribution and the buckets' labels.
+BUCKETS = {"from_60": "60-180d", "from_181": "181-365d", "from_1y": "1-3y", "from_3y": "3y+", "undated": "unknown"}
+
+
+def score_comparison(by_similarity: DataFrame, by_like: DataFrame, customers: DataFrame, as_of: str) -> DataFrame:
+    """model, ranking (similarity, like_score), results, how many customers by age, and the scores' average, median, least, 10 % and 90 % points."""
+    aged = customers.select("customer_id", S.recency_bucket(S.days_since(F.col("last_purchase_date"), F.lit(as_of).cast("date"))).alias("bucket"))
+    both = by_similarity.select("model", "customer_id", "score", F.lit("similarity").alias("ranking")).unionByName(by_like.select("model", "customer_id", "score", F.lit("like_score").alias("ranking")))
+    s = F.col("score")
+    return both.join(aged, "customer_id").groupBy("model", "ranking").agg(
+        F.count(F.lit(1)).alias("results"),
+        *[F.count_if(F.col("bucket") == label).alias(name) for name, label in BUCKETS.items() if name != "undated"],
+        F.avg(s).alias("average"), F.median(s).alias("median"), F.min(s).alias("least"), F.percentile(s, F.lit(0.1)).alias("p10"), F.percentile(s, F.lit(0.9)).alias("p90"),
+    )
+
+
+MOST_ASKED = 200
+
+
+def recommend(customers: DataFrame, catalog: DataFrame, model: str, curve: Calibrator, as_of: str, limit: int = 100) -> DataFrame:
+    """customer_rank, customer_id, like_score (four places), similarity: the customers for one model of the catalog (model, visual)."""
+    if not 1 <= limit <= MOST_ASKED:
+        raise ValueError(f"limit must be between 1 and {MOST_ASKED}")
+    known = catalog.filter(F.col("model") == model).select("model", F.col("visual").alias("vector")).limit(2).collect()
+    if not known:
+        raise KeyError(f"unknown model {model}")
+    if known[0].vector is None:
+        raise ValueError(f"model {model} has no vector")
+    one = catalog.filter((F.col("model") == model) & F.col("visual").isNotNull()).select("model", F.col("visual").alias("vector"))
+    ranked = rank_eligible(customers, one, as_of, limit, curve)
+    return ranked.select("customer_rank", "customer_id", F.round("score", 4).alias("like_score"), "similarity")
 
 
 def enrich(ranked: DataFrame, current: DataFrame) -> DataFrame:
@@ -169,8 +217,9 @@ def score_summary(scores: DataFrame, column: str = "score") -> DataFrame:
     )
 
 
-def violations(ranked: DataFrame, histories: DataFrame | None = None, new_models: list[str] | None = None) -> DataFrame:
-    """model, problem: ranks that don't run from 1, rising scores, repeated or anonymous customers, new models in histories. None is right."""
+def violations(ranked: DataFrame, histories: DataFrame | None = None, new_models: list[str] | None = None, models: DataFrame | None = None) -> DataFrame:
+    """model, problem: ranks that don't run from 1, rising scores, repeated or anonymous customers, models without a ranking,
+    new models in histories. None is right."""
     order = W.partitionBy("model").orderBy("customer_rank")
     checked = ranked.withColumns({"_next": F.lead("score").over(order), "_rank": F.row_number().over(order), "_twice": F.count(F.lit(1)).over(W.partitionBy("model", "customer_id"))})
     problems = F.array_compact(
@@ -182,6 +231,8 @@ def violations(ranked: DataFrame, histories: DataFrame | None = None, new_models
         )
     )
     out = checked.select("model", F.explode(problems).alias("problem")).distinct()
+    if models is not None:
+        out = out.unionByName(models.select("model").distinct().join(ranked, "model", "left_anti").select("model", F.lit("absent").alias("problem")))
     if histories is not None and new_models:
         leaked = histories.filter(F.arrays_overlap("history", F.array(*map(F.lit, new_models))))
         out = out.unionByName(leaked.select(F.lit(None).cast("string").alias("model"), F.lit("history").alias("problem")).distinct())

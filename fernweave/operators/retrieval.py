@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
+from .ranking import _best, _matrix, by_blocks, rank_models
 
 
 def unpivot_views(catalog: DataFrame) -> DataFrame:
@@ -27,24 +30,62 @@ def clean_images(rows: DataFrame, base_url: str, dimension: int) -> DataFrame:
     return kept.withColumns({"embedding_dimension": F.coalesce("embedding_dimension", F.lit(dimension)), "source_url": url})
 
 
-def image_scores(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """query_id, model, image_type, position, similarity of every query and image. The queries, a few vectors, are broadcast."""
-    return images.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))).select("query_id", "model", "image_type", "position", V.dot(F.col("_q"), F.col("embedding")).alias("similarity"))
-
-
 def top(rows: DataFrame, group: Sequence[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
     """rows with their rank in the group; k limits it, so that each task keeps k rows a group before the shuffle."""
     out = rows.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)))
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def rank_images(scores: DataFrame, k: int | None = None) -> DataFrame:
-    """Images by similarity, ties by their position in the catalog."""
+def _vector(name: str) -> Column:
+    return F.col(name).cast("array<double>").alias("vector")
+
+
+def rank_images(queries: DataFrame, images: DataFrame, k: int = 100) -> DataFrame:
+    """query_id, rank, model, image_type, position, similarity: each query's best k images, ties by their position.
+
+    queries: query_id, vector. images: model, image_type, position (distinct), embedding. Blocks of queries meet blocks
+    of images inside executors, and each pair of blocks sends k rows a query.
+    """
+
+    def score(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return IMAGES.empty_table()
+        dots = _matrix(x["vector"]) @ _matrix(y["vector"]).T
+        hits = [(np.full(len(c), i), c) for i, row in enumerate(dots) for c in [_best(row, k)]]
+        rows, cols = (np.concatenate(h) for h in zip(*hits))
+        at = pa.array(cols)
+        return pa.table([x["query_id"].take(pa.array(rows)), *[y[c].take(at) for c in ("model", "image_type", "position")], pa.array(dots[rows, cols])], schema=IMAGES)
+
+    among = images.select("model", "image_type", F.col("position").cast("long").alias("position"), _vector("embedding"))
+    scores = by_blocks(queries.select("query_id", _vector("vector")), among, "query_id", "position", score, "query_id string, model string, image_type string, position long, similarity double")
     return top(scores, ["query_id"], [F.desc("similarity"), F.col("position")], k)
 
 
-def rank_models_by_best(scores: DataFrame, k: int | None = None) -> DataFrame:
-    """Models by the largest similarity of a view, never the mean; of equal views the first counts; ties by model, then view."""
+IMAGES = pa.schema([("query_id", pa.string()), ("model", pa.string()), ("image_type", pa.string()), ("position", pa.int64()), ("similarity", pa.float64())])
+
+
+def rank_models_by_best(queries: DataFrame, images: DataFrame, k: int = 100) -> DataFrame:
+    """query_id, rank, model, model_score, best_image_type: models by the largest similarity of a view, never the mean.
+
+    Of equal views the first counts; ties by model, then view. Each pair of blocks sends a row for each query and model
+    of the block, and the k best are left.
+    """
+
+    def score(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return IMAGES.empty_table()
+        codes, at = np.unique(np.array(y["model"].to_pylist(), object).astype(str), return_inverse=True)
+        order = np.argsort(at, kind="stable")  # within a model by position
+        cuts = np.searchsorted(at[order], np.arange(len(codes)))
+        dots = (_matrix(x["vector"]) @ _matrix(y["vector"]).T)[:, order]
+        best = np.maximum.reduceat(dots, cuts, axis=1)
+        firsts = np.stack([a + np.argmax(dots[:, a:b], axis=1) for a, b in zip(cuts, [*cuts[1:], len(order)])], axis=1)
+        place = pa.array(order[firsts].ravel())
+        rows = pa.array(np.repeat(np.arange(x.num_rows), len(codes)))
+        return pa.table([x["query_id"].take(rows), *[y[c].take(place) for c in ("model", "image_type", "position")], pa.array(best.ravel())], schema=IMAGES)
+
+    among = images.select("model", "image_type", F.col("position").cast("long").alias("position"), _vector("embedding"))
+    scores = by_blocks(queries.select("query_id", _vector("vector")), among, "query_id", "position", score, "query_id string, model string, image_type string, position long, similarity double")
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "position", "image_type"))
     per = scores.groupBy("query_id", "model").agg(best.alias("best"))
     per = per.select("query_id", "model", (-F.col("best.s")).alias("model_score"), F.col("best.image_type").alias("best_image_type"))
@@ -52,9 +93,11 @@ def rank_models_by_best(scores: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def rank_candidates(candidates: DataFrame, query: Column, k: int = 100) -> DataFrame:
-    """id, score, rank by cosine, ties by id. Raises on blank ids, other dimensions and zero vectors."""
+    """id, score, rank by cosine, ties by id. Raises on blank and repeated ids, other dimensions and zero vectors."""
     ident = F.when(F.trim("id") != "", F.col("id")).otherwise(F.raise_error(F.lit("BLANK_CANDIDATE_ID")).cast("string"))
-    scored = candidates.select(ident.alias("id"), V.cosine(query, F.col("embedding")).alias("score"))
+    twice = F.count(F.lit(1)).over(W.partitionBy("id")) > 1
+    once = candidates.withColumn("_twice", twice).withColumn("id", F.when(F.col("_twice"), F.raise_error(F.lit("DUPLICATE_CANDIDATE_ID")).cast("string")).otherwise(F.col("id")))
+    scored = once.select(ident.alias("id"), V.cosine(query, F.col("embedding")).alias("score"))
     scored = scored.orderBy(F.desc("score"), "id").limit(k)
     return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
 
@@ -85,11 +128,14 @@ def memory_search(
     for column, values in (exclude or {}).items():
         if values := [v for v in values if v.strip()]:
             kept = kept.filter(~F.coalesce(F.col(column), F.lit("")).isin(values))
-    asked = queries.select("query_id", V.l2_normalize(F.col("vector")).alias("_q")).filter("_q is not null")
+    weight = S.review_weight(F.coalesce("review_status", F.lit("")))
     size = V.norm(F.col(vector))
-    cosine = F.when(size == 0, F.lit(-1.0)).otherwise(V.dot(F.col("_q"), F.col(vector)) / size)
-    scored = kept.crossJoin(F.broadcast(asked)).select("query_id", "case_key", (cosine * S.review_weight(F.coalesce("review_status", F.lit("")))).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.col("case_key")], max(1, k))
+    # one more place, which is 1 in queries: a zero case vector scores -1
+    whole = F.when(size == 0, F.concat(F.transform(vector, lambda x: F.lit(0.0)), F.array(-weight))).otherwise(F.concat(F.transform(vector, lambda x: x.cast("double") / size * weight), F.array(F.lit(0.0))))
+    asked = queries.select(F.col("query_id").alias("customer_id"), V.l2_normalize(F.col("vector")).alias("_q")).filter("_q is not null")
+    asked = asked.select("customer_id", F.concat("_q", F.array(F.lit(1.0))).alias("vector"))
+    found = rank_models(asked, kept.select(F.col("case_key").alias("model"), whole.alias("vector")), max(1, k))
+    return found.select(F.col("customer_id").alias("query_id"), F.col("model").alias("case_key"), "score", F.col("rank_for_customer").alias("rank"))
 
 
 def failure_class(self_test_ok: Column, expected_best: Column, compare_best: Column, expected: Column, compare: Column, production: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extraction as E
@@ -135,16 +135,29 @@ def season_availability(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_tables("examples", "customers")
     + f""", {BOUNDS}
-select 'purchases' as metric, count(*) as n from prepared
-union all select 'customers', count(*) from customers
-union all select 'models', count(*) from catalog
-union all select 'models_without_visual', count(*) from catalog where visual is null
-union all select 'purchases_with_missing_model', count(*) from prepared where model not in (select model from catalog)
-union all select 'examples_' || reason, count(*) from examples group by reason
-union all select 'rows_' || {SPLIT}, count(*) from examples, bounds where reason = 'ok' group by {SPLIT}"""
+select 'purchases' as metric, count(*)::varchar as value from prepared
+union all select 'first_date', strftime(min(purchase_date), '%Y-%m-%d') from prepared
+union all select 'last_date', strftime(max(purchase_date), '%Y-%m-%d') from prepared
+union all select 'customers', count(*)::varchar from customers
+union all select 'models', count(*)::varchar from catalog
+union all select 'models_without_visual', count(*)::varchar from catalog where visual is null
+union all select 'purchases_with_missing_model', count(*)::varchar from prepared where model not in (select model from catalog)
+union all select 'examples_' || r, count(reason)::varchar from (values ('missing_model'), ('missing_visual'), ('ok')) v(r) left join examples on reason = r group by r
+union all select 'rows_' || s, count(part)::varchar from (values ('train'), ('validation'), ('test')) v(s) left join (select {SPLIT} as part from examples, bounds where reason = 'ok') on part = s group by s"""
 )
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    return purchases.quality_report(T.prepared(spark, d), T.customers(spark, d), T.catalog(spark, d), _split(spark, d))
+    return purchases.quality_report(T.prepared(spark, d), T.customers(spark, d), T.catalog(spark, d), T.TIES)
+
+
+@query(
+    with_tables("catalog")
+    + f""", rows as (select count(*) as n, count(main_category) as a, count(color) as b, count(visual) as c from catalog)
+select 'main_category' as field, a as present, n - a as missing, {M.format("a / n")} as share_micro from rows
+union all select 'color', b, n - b, {M.format("b / n")} from rows union all select 'visual', c, n - c, {M.format("c / n")} from rows"""
+)
+def availability_stats(spark: SparkSession, d: str) -> DataFrame:
+    out = purchases.availability_stats(T.catalog(spark, d), ("main_category", "color", "visual"))
+    return out.select("field", "present", "missing", micro(F.col("share")).alias("share_micro"))
 
 
 def _current(spark: SparkSession, d: str) -> DataFrame:
@@ -199,12 +212,12 @@ def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_tables("catalog")
-    + """, asked as (select model from catalog where model_id % 3 = 0 union all select 'x' || model from catalog where model_id % 100 = 0)
+    + """, asked as (select model from catalog union all select 'x' || model from catalog where model_id % 100 = 0)
 select a.model, c.visual is not null as vector_generated, case when c.model is null then 'not_in_catalog' else '' end as missing from asked a left join catalog c on a.model = c.model"""
 )
 def model_status(spark: SparkSession, d: str) -> DataFrame:
     base = T.catalog(spark, d)
-    asked = base.filter("model_id % 3 = 0").select("model").unionByName(base.filter("model_id % 100 = 0").select(F.concat(F.lit("x"), "model").alias("model")))
+    asked = base.select("model").unionByName(base.filter("model_id % 100 = 0").select(F.concat(F.lit("x"), "model").alias("model")))
     lacking = encoders.missing_attributes(("main_category", "theme", "color"))
     found = asked.join(base.withColumn("_there", F.lit(True)), "model", "left")
     return found.select("model", F.col("visual").isNotNull().alias("vector_generated"), joined(F.when(F.col("_there"), lacking).otherwise(F.array(F.lit("not_in_catalog")))).alias("missing"))
@@ -272,7 +285,7 @@ def vocab_index(spark: SparkSession, d: str) -> DataFrame:
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """customer_id, vector, last_purchase_date of customers that aren't excluded."""
     now = _current(spark, d).filter("excluded is null")
-    return customers.mean_vectors(now, T.catalog(spark, d)).join(now.select("customer_id", "last_purchase_date"), "customer_id")
+    return customers.mean_vectors(now, T.catalog(spark, d), keep=("last_purchase_date",))
 
 
 def _models(spark: SparkSession, d: str) -> DataFrame:
@@ -373,33 +386,120 @@ def ranking_export(spark: SparkSession, d: str) -> DataFrame:
     return out.select("model", "customer_rank", "customer_id", "customer_name", day(F.col("last_purchase_date")).alias("last_day"))
 
 
-@query("select null::varchar as model, null::varchar as problem where false")
+#: The worked example of a fitted curve.
+CURVE = calibration.Calibrator((0.10, 0.40, 0.55, 0.70), (0.0, 1 / 3, 1.0, 1.0))
+
+
+FAULTY = """select model, customer_rank + (case when model like '%1' and customer_rank >= 3 then 1 else 0 end) as customer_rank,
+         case when model like '%2' and customer_rank = 2 then '99999999' when model like '%3' and customer_rank = 2 then first_id else customer_id end as customer_id,
+         case when model like '%4' and customer_rank = 1 then -2.0 else score end as score from heads where model not like '%5'"""
+
+
+@query(
+    TOP
+    + f""", heads as (select *, first_value(customer_id) over (partition by model order by customer_rank) as first_id from best where customer_rank <= 10),
+faulty as ({FAULTY}),
+seen as (select *, lead(score) over w as next_score, row_number() over w as turn, count(*) over (partition by model, customer_id) as times from faulty window w as (partition by model order by customer_rank)),
+new_models as (select min(model) as m from prepared)
+select distinct model, problem from (
+  select model, unnest([case when customer_rank <> turn then 'rank' end, case when next_score > score then 'order' end, case when times > 1 then 'repeated' end, case when customer_id = '99999999' then 'anonymous' end]) as problem from seen)
+where problem is not null
+union all select distinct model, 'absent' from best where model like '%5'
+union all select null, 'history' from new_models where m in (select model from prepared)"""
+)
 def ranking_violations(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.violations(_ranked(spark, d), _current(spark, d), ["none"])
+    """A ranking with a planted fault of each kind, by the last digit of the model."""
+    heads = _ranked(spark, d).filter("customer_rank <= 10")
+    model, rank = F.col("model"), F.col("customer_rank")
+    first = F.first("customer_id").over(Window.partitionBy("model").orderBy("customer_rank"))
+    faulty = heads.filter(~model.endswith("5")).select(
+        "model",
+        (rank + F.when(model.endswith("1") & (rank >= 3), 1).otherwise(0)).alias("customer_rank"),
+        F.when(model.endswith("2") & (rank == 2), S.ANONYMOUS_CUSTOMER).when(model.endswith("3") & (rank == 2), first).otherwise(F.col("customer_id")).alias("customer_id"),
+        F.when(model.endswith("4") & (rank == 1), -2.0).otherwise(F.col("score")).alias("score"),
+    )
+    bought = T.prepared(spark, d)
+    new = bought.agg(F.min("model")).first()[0]
+    return ranking.violations(faulty, _current(spark, d), [new], heads.select("model"))
+
+
+def _held_out(spark: SparkSession, d: str) -> DataFrame:
+    """customer_id, target (the last catalog model), catalog_history (those before it): what is predicted is no part of the vector."""
+    now = _current(spark, d).filter("excluded is null and size(catalog_history) > 1")
+    return now.select("customer_id", F.element_at("catalog_history", -1).alias("target"), F.expr("slice(catalog_history, 1, size(catalog_history) - 1)").alias("catalog_history"))
+
+
+LIKE = "(case when score <= 0.10 then 0.0 when score < 0.40 then (score - 0.10) * ((1.0::double / 3) / 0.30) when score < 0.55 then 1.0::double / 3 + (score - 0.40) * ((2.0::double / 3) / 0.15) else 1.0 end)::double"
+LIKED = (
+    with_tables("pooled")
+    + PAIRS
+    + LAST
+    + f""", aged as (select *, date_diff('day', last_day, date '2001-09-01') as n, {LIKE} as liked from scores join last using (customer_id)),
+liked as (select *, row_number() over (partition by model order by liked desc, customer_id)::int as customer_rank from aged where n >= 60 qualify customer_rank <= 20)"""
+)
+AGES = ", ".join(f"count(*) filter (n {c})::bigint as {name}" for name, c in (("from_60", ">= 60 and n <= 180"), ("from_181", "> 180 and n < 365"), ("from_1y", ">= 365 and n < 1095"), ("from_3y", ">= 1095")))
+
+
+def _liked(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.rank_eligible(_vectors(spark, d), _models(spark, d), T.AS_OF, 20, CURVE)
+
+
+@query(LIKED + f" select model, customer_rank, customer_id, {M.format('liked')} as like_micro, {M.format('score')} as similarity_micro from liked")
+def rank_by_like_score(spark: SparkSession, d: str) -> DataFrame:
+    return _liked(spark, d).select("model", "customer_rank", "customer_id", micro(F.col("score")).alias("like_micro"), micro(F.col("similarity")).alias("similarity_micro"))
+
+
+@query(
+    LIKED
+    + f""" select model, (select count(*) from vectors) as total_scored, (select count(*) from vectors join last using (customer_id) where date_diff('day', last_day, date '2001-09-01') < 60) as excluded_recent,
+  (select count(*) from vectors join last using (customer_id) where date_diff('day', last_day, date '2001-09-01') >= 60) as eligible, count(*) as returned, {AGES}, 0::bigint as undated from liked group by 1"""
+)
+def recency_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.diagnostics(_vectors(spark, d), _liked(spark, d), T.AS_OF)
+
+
+@query(
+    LIKED
+    + f""", plain as (select *, row_number() over (partition by model order by score desc, customer_id) as turn from aged qualify turn <= 20),
+both_ways as (select model, 'like_score' as ranking, n, liked as v from liked union all select model, 'similarity', n, score from plain)
+select model, ranking, count(*) as results, {AGES}, {M.format("avg(v)")} as average, {M.format("median(v)")} as median, {M.format("min(v)")} as least,
+  {M.format("quantile_cont(v, 0.1)")} as p10, {M.format("quantile_cont(v, 0.9)")} as p90 from both_ways group by 1, 2"""
+)
+def like_score_report(spark: SparkSession, d: str) -> DataFrame:
+    people = _vectors(spark, d)
+    out = ranking.score_comparison(ranking.rank_customers(people, _models(spark, d), 20), _liked(spark, d), people, T.AS_OF)
+    return out.select("model", "ranking", "results", "from_60", "from_181", "from_1y", "from_3y", *[micro(F.col(c)).alias(c) for c in ("average", "median", "least", "p10", "p90")])
+
+
+@query(
+    LIKED.replace("customer_rank <= 20)", "customer_rank <= 100)")
+    + f" select customer_rank, customer_id, {M.format('round(liked, 4)')} as like_micro, {M.format('score')} as similarity_micro from liked where model = '7'"
+)
+def recommend_for_model(spark: SparkSession, d: str) -> DataFrame:
+    out = ranking.recommend(_vectors(spark, d), T.catalog(spark, d), "7", CURVE, T.AS_OF)
+    return out.select("customer_rank", "customer_id", micro(F.col("like_score")).alias("like_micro"), micro(F.col("similarity")).alias("similarity_micro"))
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return T.read(spark, d, "embeddings").filter("vec_id < 20").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    return T.read(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-SCORED = ", asked as (select vec_id::varchar as query_id, embedding as q from embeddings where vec_id < 20), scored as (select query_id, model, image_type, position, list_dot_product(q::double[], embedding::double[]) as s from asked, images)"
+SCORED = ", asked as (select vec_id::varchar as query_id, embedding as q from embeddings where vec_id % 20 = 0), scored as (select query_id, model, image_type, position, list_dot_product(q::double[], embedding::double[]) as s from asked, images)"
 
 
 @query(with_tables("images") + SCORED + f" select query_id, rank::int as rank, model, image_type, position, {M.format('s')} as similarity_micro from (select *, row_number() over (partition by query_id order by s desc, position) as rank from scored) where rank <= 50")
 def image_rank(spark: SparkSession, d: str) -> DataFrame:
-    scores = retrieval.image_scores(_queries(spark, d), T.images(spark, d))
-    return retrieval.rank_images(scores, 50).select("query_id", "rank", "model", "image_type", "position", micro(F.col("similarity")).alias("similarity_micro"))
+    return retrieval.rank_images(_queries(spark, d), T.images(spark, d), 50).select("query_id", "rank", "model", "image_type", "position", micro(F.col("similarity")).alias("similarity_micro"))
 
 
 @query(
     with_tables("images")
     + SCORED
     + f""", firsts as (select *, row_number() over (partition by query_id, model order by s desc, position) as turn from scored)
-select query_id, row_number() over (partition by query_id order by s desc, model, image_type)::int as rank, model, image_type as best_image_type, {M.format("s")} as score_micro from firsts where turn = 1"""
+select query_id, row_number() over (partition by query_id order by s desc, model, image_type)::int as rank, model, image_type as best_image_type, {M.format("s")} as score_micro from firsts where turn = 1 qualify rank <= 100"""
 )
 def model_max_rank(spark: SparkSession, d: str) -> DataFrame:
-    scores = retrieval.image_scores(_queries(spark, d), T.images(spark, d))
-    return retrieval.rank_models_by_best(scores).select("query_id", "rank", "model", "best_image_type", micro(F.col("model_score")).alias("score_micro"))
+    return retrieval.rank_models_by_best(_queries(spark, d), T.images(spark, d), 100).select("query_id", "rank", "model", "best_image_type", micro(F.col("model_score")).alias("score_micro"))
 
 
 def _prompts(d: DataFrame, low: int, high: int) -> list[list[float]]:
@@ -420,7 +520,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 MEMORY = (
     with_tables("cases")
-    + """, asked as (select vec_id::varchar as query_id, embedding::double[] as q from embeddings where vec_id < 20),
+    + """, asked as (select vec_id::varchar as query_id, embedding::double[] as q from embeddings where vec_id % 20 = 0),
 scored as (
   select query_id, case_key, list_dot_product(q, embedding::double[]) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::double[], embedding::double[]))
          * case review_status when 'approved' then 1.10 when 'draft' then 1.02 else 1.0 end as score
@@ -484,9 +584,11 @@ def scene_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    with_tables("pooled")
+    with_tables("histories")
+    + ", held as (select customer_id, catalog_history[-1] as target, catalog_history[:-2] as catalog_history from histories where len(catalog_history) > 1),\n"
+    + T.SQL["pooled"].replace("from histories", "from held")
     + PAIRS
-    + f""", target as (select customer_id, catalog_history[-1] as target from histories),
+    + f""", target as (select customer_id, target from held),
 positions as (select model, model_id from catalog),
 ranks as (
   select s.customer_id, 1 + count(*) filter (s.score > t.score or (s.score = t.score and p.model_id < tp.model_id)) as rank
@@ -496,19 +598,15 @@ select {M.format("avg(case when rank <= 5 then 1.0 else 0.0 end)")} as recall_5,
   {M.format("avg(case when rank <= 10 then 1 / log2(rank + 1) else 0.0 end)")} as ndcg_10, {M.format("avg(1.0 / rank)")} as mrr, {M.format("avg(case when rank <= 10 then 1.0 else 0.0 end)")} as hit_rate, count(*) as examples from ranks"""
 )
 def eval_rank_metrics(spark: SparkSession, d: str) -> DataFrame:
-    now = _current(spark, d).filter("excluded is null")
+    now = _held_out(spark, d)
     models = T.catalog(spark, d).filter("visual is not null").select("model", F.col("model_id").alias("position"), F.col("visual").alias("vector"))
     target = models.select(F.col("model").alias("target"), F.col("position").alias("target_position"), F.col("vector").alias("target_vector"))
-    own = now.select("customer_id", F.element_at("catalog_history", -1).alias("target")).join(target, "target")
-    ranks = ranking.target_ranks(customers.mean_vectors(now, T.catalog(spark, d)).join(own, "customer_id"), models)
+    asked = customers.mean_vectors(now, T.catalog(spark, d), keep=("target",)).join(target, "target")
+    ranks = ranking.target_ranks(asked, models)
     out = metrics.ranking_metrics(ranks)
     return out.select(*[micro(F.col(c)).alias(c) for c in out.columns[:-1]], "examples")
 
 
-#: The worked example of a fitted curve.
-CURVE = calibration.Calibrator((0.10, 0.40, 0.55, 0.70), (0.0, 1 / 3, 1.0, 1.0))
-
-
 @query(
     f"""with x as (select vec_id, abs(embedding[1]::double) as s from embeddings)
 select vec_id, {M.format("(case when s <= 0.10 then 0.0 when s < 0.40 then 0.0 + (s - 0.10) * ((0.3333333333333333 - 0.0) / (0.40 - 0.10)) when s < 0.55 then 0.3333333333333333 + (s - 0.40) * ((1.0 - 0.3333333333333333) / (0.55 - 0.40)) else 1.0 end)")} as like_micro from x"""
@@ -520,11 +618,11 @@ def like_score_transform(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def like_score_fit(spark: SparkSession, d: str) -> DataFrame:
-    now = _current(spark, d).filter("excluded is null").select("customer_id", F.element_at("catalog_history", -1).alias("target"))
     catalog = T.catalog(spark, d).filter("visual is not null")
-    negatives = calibration.negative_sample(now.select(F.col("customer_id").alias("example_id"), "target"), catalog)
-    pairs = now.select("customer_id", F.col("target").alias("model"), F.lit(1).alias("label")).unionByName(negatives.select(F.col("example_id").alias("customer_id"), F.col("negative").alias("model"), F.lit(0).alias("label")))
-    scored = pairs.join(_vectors(spark, d).select("customer_id", "vector"), "customer_id").join(catalog.select("model", "visual"), "model")
+    held = customers.mean_vectors(_held_out(spark, d), catalog, keep=("target",))
+    negatives = calibration.negative_sample(held.select(F.col("customer_id").alias("example_id"), "target"), catalog)
+    pairs = held.select("customer_id", F.col("target").alias("model"), F.lit(1).alias("label")).unionByName(negatives.select(F.col("example_id").alias("customer_id"), F.col("negative").alias("model"), F.lit(0).alias("label")))
+    scored = pairs.join(held.select("customer_id", "vector"), "customer_id").join(catalog.select("model", "visual"), "model")
     curve = calibration.fit(scored.select(V.dot(F.col("vector"), F.col("visual")).alias("similarity"), "label"))
     return spark.createDataFrame(list(zip(curve.x, curve.y)), "x double, y double")
 

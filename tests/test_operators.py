@@ -103,7 +103,8 @@ def test_rankings(spark):
 
 
 def test_ties_beyond_k_and_blocks_of_models(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "BLOCK", 4)
+    monkeypatch.setattr(ranking, "MODELS", 4)
+    monkeypatch.setattr(ranking, "CUSTOMERS", 7)
     c = spark.range(40).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("customer_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
     m = spark.range(9).select(F.concat(F.lit("m"), "id").alias("model"), F.array(F.lit(1.0), F.lit(1.0)).alias("vector"))
     got = ranking.rank_customers(c, m, 3).filter("model = 'm4'").orderBy("customer_rank").collect()
@@ -112,7 +113,7 @@ def test_ties_beyond_k_and_blocks_of_models(spark, monkeypatch):
 
 
 def test_target_ranks(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "BLOCK", 2)
+    monkeypatch.setattr(ranking, "MODELS", 2)
     models = spark.createDataFrame([("A", 0, [1.0, 0.0]), ("B", 1, [0.0, 1.0]), ("C", 2, [1.0, 0.0]), ("D", 3, [2.0, 0.0])], "model string, position long, vector array<double>")
     people = spark.createDataFrame([("x", [1.0, 0.0], "C", 2, [1.0, 0.0]), ("y", [0.0, 1.0], "B", 1, [0.0, 1.0])], "customer_id string, vector array<double>, target string, target_position long, target_vector array<double>")
     assert dict(ranking.target_ranks(people, models).collect()) == {"x": 3, "y": 1}
@@ -152,16 +153,18 @@ def test_negative_sample(spark):
     models = spark.range(30).select(F.concat(F.lit("m"), "id").alias("model"))
     got = calibration.negative_sample(examples, models, 8).collect()
     assert all(r.negative != r.target for r in got) and len({(r.example_id, r.negative) for r in got}) == len(got)
-    assert all(4 <= sum(r.example_id == i for r in got) <= 8 for i in range(50))
+    assert all(sum(r.example_id == i for r in got) == 8 for i in range(50))
+    few = calibration.negative_sample(examples, models.limit(9), 8).groupBy("example_id").count().collect()
+    assert all(r["count"] == 8 for r in few)
 
 
 def test_image_ranking(spark):
     rows = [("52792_006", "side", [1.0, 0.0], 0), ("52160_001", "pers", [0.8, 0.6], 1), ("52792_006", "main", [0.0, 1.0], 2), ("9", "main", [0.8, 0.6], 3)]
     images = spark.createDataFrame(rows, "model string, image_type string, embedding array<double>, position int")
-    scores = retrieval.image_scores(spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>"), images)
-    got = [(r.model, r.image_type) for r in retrieval.rank_images(scores).orderBy("rank").collect()]
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>")
+    got = [(r.model, r.image_type) for r in retrieval.rank_images(asked, images).orderBy("rank").collect()]
     assert got[:3] == [("52792_006", "side"), ("52160_001", "pers"), ("9", "main")]
-    best = retrieval.rank_models_by_best(scores).orderBy("rank").collect()
+    best = retrieval.rank_models_by_best(asked, images).orderBy("rank").collect()
     assert [(r.model, r.best_image_type) for r in best] == [("52792_006", "side"), ("52160_001", "pers"), ("9", "main")]
 
 
