@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import extraction as E
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import calibration, customers, decisions, encoders, integrity, metrics, purchases, ranking, retrieval, towers
-from ..sources import snapshots
+from ..operators import calibration, customers, decisions, encoders, integrity, lookups, metrics, purchases, ranking, retrieval, towers
+from ..sources import datasets, snapshots
 from ..streaming import customers as streams
 from . import tables as T
 from .tables import with_tables
@@ -764,3 +764,118 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """An extension beyond the retail operators."""
     out = streams.window_counts(T.read(spark, d, "events"))
     return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "events", F.floor(F.col("value") * 1000 + 0.5).cast("long").alias("value_milli"))
+
+
+HITS = with_tables("images") + SCORED + ", hits as (select query_id, model, image_type, position, s, row_number() over (partition by query_id order by s desc, position)::int as rank from scored qualify rank <= 10)"
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.rank_images(_queries(spark, d), T.images(spark, d), 10)
+
+
+@query(HITS + f" select query_id, model, {M.format('s')} as similarity_micro from hits where rank = 1 and s >= 0.2")
+def production_hits(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.production_top(_hits(spark, d)).select("query_id", "model", micro(F.col("similarity")).alias("similarity_micro"))
+
+
+@query(HITS + " select query_id, rank, position from hits where model = '3' and image_type = 'main'")
+def hits_of_model(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.hits_of(_hits(spark, d), "3", "main").select("query_id", "rank", "position")
+
+
+@query(HITS + """ select query_id, rank, format('{:>3d}  {:<16s} {:<5s} {:.4f}', rank, model, image_type, s) as line from hits""")
+def hit_lines(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.hit_lines(_hits(spark, d))
+
+
+@query(
+    HITS
+    + f""", expected as (select vec_id::varchar as query_id, label::varchar as model from embeddings where vec_id % 20 = 0),
+per as (select query_id, max(s) filter (rank = 1) - max(s) filter (rank = 2) as margin from hits group by 1),
+own as (select query_id, min(rank) as expected_rank from hits join expected using (query_id, model) group by 1)
+select query_id, expected_rank, {M.format("margin")} as margin_micro, {", ".join(f"case when expected_rank <= {k} then 1 else 0 end as recall_{k}" for k in (1, 3, 5, 10))} from expected left join per using (query_id) left join own using (query_id)"""
+)
+def match_margins(spark: SparkSession, d: str) -> DataFrame:
+    expected = T.read(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").cast("string").alias("model"))
+    out = lookups.margins(_hits(spark, d).withColumn("score", F.col("similarity")), expected)
+    return out.select("query_id", "expected_rank", micro(F.col("margin")).alias("margin_micro"), *[F.col(f"recall_{k}").cast("int").alias(f"recall_{k}") for k in (1, 3, 5, 10)])
+
+
+ORDERED = "array_to_string(list_sort(list(distinct case image_type when 'main' then '1main' when 'pers' then '2pers' when 'side' then '3side' else '4' || image_type end)), ',')"
+
+
+@query(with_tables("images") + f" select model, regexp_replace({ORDERED}, '[0-9]', '', 'g') as views from images where position % 7 <> 0 group by 1")
+def views_of_models(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.ordered_views(T.images(spark, d).filter("position % 7 <> 0")).select("model", joined(F.col("views")).alias("views"))
+
+
+@query(HITS + f", views as (select model, regexp_replace({ORDERED}, '[0-9]', '', 'g') as v from images group by 1) select query_id as request_id, string_agg(rank || ':' || model || ':' || v, ';' order by rank) as slots from hits join views using (model) group by 1")
+def verifier_requests(spark: SparkSession, d: str) -> DataFrame:
+    out = lookups.verifier_requests(_hits(spark, d).select(F.col("query_id").alias("request_id"), "rank", "model"), T.images(spark, d))
+    told = F.transform("slots", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["model"], joined(x["views"])))
+    return out.select("request_id", F.array_join(told, ";").alias("slots"))
+
+
+@query(with_tables("catalog") + " select vec_id, model_name as code from embeddings join catalog on vec_id = model_id where model_id % 4 <> 0")
+def codes_of_ids(spark: SparkSession, d: str) -> DataFrame:
+    codes = T.catalog(spark, d).select(F.col("model_id").alias("vec_id"), F.when(F.col("model_id") % 4 != 0, F.col("model_name")).otherwise(" ").alias("code"))
+    return lookups.with_codes(T.read(spark, d, "embeddings").select("vec_id"), codes, "vec_id")
+
+
+@query(
+    """with flagged as (select label, vec_id, vec_id - row_number() over (partition by label order by vec_id) as island from (
+  select l_orderkey % 50 as label, l_linenumber + 10 * (l_orderkey // 50) as vec_id from lineitem where l_quantity > 20))
+select label, min(vec_id) as start, max(vec_id) + 1 as stop, max(vec_id) + 1 - min(vec_id) as length from flagged group by label, island having max(vec_id) + 1 - min(vec_id) >= 2"""
+)
+def value_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.read(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("label"), (F.col("l_linenumber") + 10 * F.expr("l_orderkey div 50")).alias("vec_id"), "l_quantity")
+    return lookups.runs(rows, "label", "vec_id", F.col("l_quantity") > 20, 2)
+
+
+@query(
+    """with b as (select l_orderkey, l_linenumber, (l_partkey % 300)::int - 50 as x0, (l_suppkey % 200)::int - 40 as y0, (l_partkey % 300)::int + l_quantity::int * 4 - 60 as x1, (l_suppkey % 200)::int + l_quantity::int * 3 as y1 from lineitem),
+c as (select *, least(greatest(x0, 0), 199) as l, least(greatest(y0, 0), 99) as t from b),
+e as (select *, least(greatest(x1, l + 1), 200) as r, least(greatest(y1, t + 1), 100) as m from c)
+select l_orderkey, l_linenumber, l as "left", t as top, r as "right", m as bottom, (r - l) * (m - t) < 0.92 * 200 * 100 as isolates from e"""
+)
+def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_quantity").cast("int")
+    x, y = (F.col("l_partkey") % 300).cast("int"), (F.col("l_suppkey") % 200).cast("int")
+    raw = F.struct((x - 50).alias("left"), (y - 40).alias("top"), (x + q * 4 - 60).alias("right"), (y + q * 3).alias("bottom"))
+    box = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", lookups.clamp_box(raw, F.lit(200), F.lit(100)).alias("box"))
+    return box.select("l_orderkey", "l_linenumber", "box.*", lookups.isolates(F.col("box"), F.lit(200), F.lit(100)).alias("isolates"))
+
+
+@query("select c_custkey as customer from customer where c_custkey is not null")
+def customer_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return T.customers(spark, d).select(lookups.customer_number(F.concat(F.lit(" "), "customer_id")).alias("customer"))
+
+
+@query(with_tables("images") + " select position, case when position % 5 <> 0 and position % 5 <> 1 then model end as model, case when position % 5 <> 0 and position % 5 <> 1 then image_type end as image_type from images")
+def self_test_specs(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("position") % 5
+    spec = F.when(at == 0, F.col("model")).when(at == 1, F.concat("model", F.lit("/back"))).otherwise(F.concat("model", F.lit("/ "), F.upper("image_type")))
+    return T.images(spark, d).select("position", lookups.self_test(spec).alias("t")).select("position", "t.model", "t.image_type")
+
+
+@query(with_tables("catalog", "prepared") + " select 0 as part, main_category as token, count(*) as n from catalog group by 2 union all select 1, season, count(*) from prepared group by 2")
+def vocabulary_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = lookups.in_sequence(T.catalog(spark, d).select(F.col("main_category").alias("token")), T.prepared(spark, d).select(F.col("season").alias("token")))
+    return rows.groupBy("part", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_tables("catalog") + " select model, color from catalog order by color desc, model limit 40 offset 25")
+def view_page(spark: SparkSession, d: str) -> DataFrame:
+    return datasets.select(T.catalog(spark, d), ("model", "color"), ("-color", "model"), 40, 25)
+
+
+@query(
+    """select o_orderkey as request_id, case when o_orderkey % 3 = 0 then 'match' else 'uncertain' end as status, case when o_orderkey % 3 = 0 then (o_orderkey % 7)::varchar end as model,
+  case when o_orderkey % 3 = 0 and o_orderkey % 7 < 5 then (o_orderkey % 7) * 10 end as score, o_orderkey % 3 = 0 and o_orderkey % 7 >= 5 as synthesized from orders"""
+)
+def matched_candidates(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    orders = T.read(spark, d, "orders")
+    decided = orders.select(key.alias("request_id"), F.when(key % 3 == 0, "match").otherwise("uncertain").alias("status"), F.when(key % 3 == 0, (key % 7).cast("string")).alias("model"))
+    among = orders.select(key.alias("request_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("m")).select("request_id", F.col("m").cast("string").alias("model"), (F.col("m") * 10).alias("score"), F.lit("main").alias("image_type"))
+    return lookups.attach_candidates(decided, among).select("request_id", "status", "model", "score", "synthesized")

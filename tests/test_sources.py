@@ -87,3 +87,56 @@ def test_streamed_sessions(spark, tmp_path):
         assert sorted(map(tuple, spark.sql("select * from last").collect())) == sorted(map(tuple, want.collect()))
     finally:
         q.stop()
+
+
+def test_datasets_by_split(spark, tmp_path):
+    from fernweave.sources import datasets as D
+
+    rows = spark.createDataFrame([(1, "train"), (2, "test"), (3, "train")], "x int, split string")
+    root = str(tmp_path / "made")
+    D.write_dataset(rows, root, {"rows": 3})
+    assert sorted(r.x for r in D.load_split(spark, root, "train").collect()) == [1, 3]
+    assert D.load_split(spark, root, "validation").columns == ["x"] and D.load_split(spark, root, "validation").collect() == []
+    assert D.load_metadata(spark, root) == {"rows": 3}
+    with pytest.raises(ValueError):
+        D.load_split(spark, root, "all")
+    with pytest.raises(Exception, match="exists"):
+        D.write_dataset(rows, root, {})
+
+
+def test_documents_pages_and_cached_catalogs(spark, tmp_path):
+    from fernweave.sources import datasets as D
+
+    path = tmp_path / "cases.json"
+    path.write_text('{"cases": [{"case_key": "a"}, {"case_key": "b"}]}')
+    assert [r.case_key for r in D.load_cases(spark, str(path)).collect()] == ["a", "b"]
+    path.write_text('{"other": 1}')
+    with pytest.raises(ValueError):
+        D.load_cases(spark, str(path))
+    assert D.records_to_frame(spark, []).columns == [] and D.records_to_frame(spark, [{"x": 1}]).first().x == 1
+    df = spark.range(10)
+    assert [r.id for r in D.select(df, ["id"], ["-id"], 3, 2).collect()] == [7, 6, 5]
+    with pytest.raises(ValueError):
+        D.select(df, where="id = 1")
+    cache, built = str(tmp_path / "cache"), []
+
+    def build():
+        built.append(1)
+        return spark.range(4).withColumn("n", F.lit(len(built)))
+
+    for source, refresh, times in (("a", False, 1), ("a", False, 1), ("b", False, 2), ("b", True, 3)):
+        got = D.cached_catalog(spark, cache, source, "m", build, refresh)
+        assert len(built) == times and got.count() == 4 and got.columns == ["id", "n"]
+    with pytest.raises(ValueError):
+        D.cached_catalog(spark, cache, "c", "m", lambda: spark.range(0))
+
+
+def test_small_lookups(spark):
+    from fernweave.operators import lookups as L
+
+    df = spark.createDataFrame([("b", "main"), ("a", "side"), ("a", "main")], "model string, image_type string")
+    assert [(r.model, r.image_type) for r in L.selected_rows(df, ["a"], 1).collect()] == [("a", "main")] and L.selected_rows(df).count() == 3
+    with pytest.raises(Exception, match="BAD_CUSTOMER_ID"):
+        spark.createDataFrame([("1x",)], "c string").select(L.customer_number(F.col("c"))).collect()
+    odd = spark.sql("select double('NaN') as a, double('Infinity') as b, 1.5D as c, timestamp '2026-01-02 03:04:05' as d, date '2026-01-02' as e")
+    assert tuple(L.json_safe(odd).first()) == (None, None, 1.5, "2026-01-02T03:04:05", "2026-01-02")
