@@ -24,7 +24,7 @@ from .common import fresh, reachable, table, without
 from .pretokens import KEPT, Recent, pre_tokens, ranks_of, read_vocabulary
 
 UNIT = 1 << 16  # scores are whole numbers of 1 / UNIT, so that sums and ties are exact
-NODES, WORDS = 400_000, 120_000  # that a worker keeps: nodes, and words of each generation
+NODES, WORDS = 800_000, 300_000  # that a worker keeps: nodes, and words of each generation
 TALLY = 200_000  # distinct pre-tokens that a worker counts before it sends them on
 ADDED = ("n_pretokens", "n_tokens", "score")
 
