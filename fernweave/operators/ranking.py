@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import importable
 from .calibration import Calibrator
 
 #: Rows of a block of customers and of models: the two vectors' matrices and their product are what a task holds.
@@ -34,6 +35,7 @@ def by_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, ma
     Blocks are hash ranges of the ids. Each row is sent once for every block of the other side, and nothing is held by
     the driver but the two counts.
     """
+    importable(left.sparkSession)
     n, m = _blocks(left, CUSTOMERS), max(1, -(-right.count() // MODELS))
     a = left.withColumn("_l", F.pmod(F.xxhash64(left_id), F.lit(n))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
     b = right.withColumn("_r", F.pmod(F.xxhash64(right_id), F.lit(m))).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
