@@ -25,6 +25,7 @@ from .pretokens import KEPT, Recent, pre_tokens, ranks_of, read_vocabulary
 
 UNIT = 1 << 16  # scores are whole numbers of 1 / UNIT, so that sums and ties are exact
 NODES, WORDS = 800_000, 300_000  # that a worker keeps: nodes, and words of each generation
+FIELD, LOWEST = 32, -(1 << 128)  # bits of a token count in a packed number (a text has fewer tokens than bytes); less than any such
 TALLY = 200_000  # distinct pre-tokens that a worker counts before it sends them on
 ADDED = ("n_pretokens", "n_tokens", "score")
 
@@ -41,85 +42,92 @@ def fitted(ranks: dict[bytes, int], counts: dict[int, int]) -> dict[bytes, int]:
     return {piece: round(UNIT * (math.log(counts.get(r, 0) + 1) - total)) for piece, r in ranks.items()}
 
 
+def packed(score: int, tokens: int) -> int:
+    """Score and tokens as one number: of two segmentations, the larger one is that of the higher score, then of fewer tokens."""
+    return (score << FIELD) - tokens
+
+
+def unpacked(value: int) -> tuple[int, int]:
+    """(tokens, score) of a packed number, or of a sum of such."""
+    tokens = -value & ((1 << FIELD) - 1)
+    return tokens, (value + tokens) >> FIELD
+
+
 class Counter:
     """Token counts and scores of pre-tokens: the segmentation of the highest score, of equal ones that with fewest tokens."""
 
     def __init__(self, scores: dict[bytes, int]) -> None:
         self.scores = scores
-        # the pieces spelled backwards: what ends at a place is found by walking back as long as some piece goes on
-        self.tails: dict[int, int] = {}
-        self.ends: list[int | None] = [None]
-        for piece, score in scores.items():
-            node = 0
-            for b in reversed(piece):
-                node = self.tails.setdefault(node << 8 | b, len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(None)
-            self.ends[node] = score
+        # the pieces spelled backwards: what ends at a place is found by walking back as long as some piece goes on.
+        # A node is its children, the packed number of the piece that it spells (None if none), and the depth
+        self.tails: tuple[dict, int | None, int] = ({}, None, 0)
+        for piece, score in sorted(scores.items(), key=lambda x: len(x[0])):
+            node = self.tails
+            for depth, b in enumerate(reversed(piece), 1):
+                above, node = node, node[0].get(b)
+                if node is None:
+                    node = above[0][b] = ({}, None, depth)
+            above[0][piece[0]] = (node[0], packed(score, 1), node[2])
+        self.span = max(map(len, scores))
         self.words = Recent(WORDS)
         self._start()
 
     def _start(self) -> None:
         self.children: dict[int, int] = {}
-        self.best, self.count, self.size = [0], [0], [0]
-
-    def _step(self, word: bytes, d: int, best: list[int], count: list[int], path: list[int] | range) -> tuple[int, int, int]:
-        """Of the prefix of d bytes: the best score, its tokens, the last one's bytes. path gives the places of shorter ones."""
-        tails, ends, node = self.tails, self.ends, 0
-        score, tokens, size = -(1 << 62), 0, 0
-        for n in range(1, d + 1):
-            node = tails.get(node << 8 | word[d - n])
+        self.best, self.size = [0], [0]
+
+    def _step(self, ending: bytes, values: list[int]) -> tuple[int, int]:
+        """The best packed number of a prefix, and its last token's bytes. ending: the prefix, or its last span bytes;
+        values: the numbers of the shorter prefixes, or of the longest of them, in order."""
+        below = self.tails[0]
+        best, size = LOWEST, 0
+        for b, value in zip(reversed(ending), reversed(values)):
+            node = below.get(b)
             if node is None:
                 break
-            own = ends[node]
-            if own is not None:
-                at = path[d - n]
-                new = best[at] + own
-                if new > score or (new == score and count[at] + 1 < tokens):
-                    score, tokens, size = new, count[at] + 1, n
-        return score, tokens, size
+            below, own, depth = node
+            if own is not None and value + own > best:
+                best, size = value + own, depth
+        return best, size
 
     def insert(self, word: bytes) -> list[int]:
         """The word's path in the trie, which it is a part of from now on."""
-        node, path = 0, [0]
+        node, path, values = 0, [0], [0]
         for d, b in enumerate(word, 1):
             child = self.children.get(node << 8 | b)
             if child is None:
-                score, tokens, size = self._step(word, d, self.best, self.count, path)
+                best, size = self._step(word[:d], values)
                 child = self.children[node << 8 | b] = len(self.best)
-                self.best.append(score)
-                self.count.append(tokens)
+                self.best.append(best)
                 self.size.append(size)
             path.append(child)
+            values.append(self.best[child])
             node = child
         return path
 
-    def _alone(self, word: bytes) -> tuple[int, int, array]:
-        """(tokens, score, the last token's bytes for each prefix) of a word that is too long for the trie."""
-        best, count, sizes = array("q", [0]), array("q", [0]), array("H", [0])
-        places = range(len(word) + 1)
+    def _alone(self, word: bytes) -> tuple[int, array]:
+        """(packed number, the last token's bytes for each prefix) of a word that is too long for the trie."""
+        values, sizes = collections.deque([0], self.span), array("H", [0])
         for d in range(1, len(word) + 1):
-            score, tokens, size = self._step(word, d, best, count, places)
-            best.append(score)
-            count.append(tokens)
+            best, size = self._step(word[max(0, d - self.span) : d], values)
+            values.append(best)
             sizes.append(size)
-        return count[-1], best[-1], sizes
+        return values[-1], sizes
 
-    def fresh_word(self, word: str) -> tuple[int, int]:
-        """(tokens, score) of a pre-token."""
+    def fresh_word(self, word: str) -> int:
+        """The packed number of a pre-token."""
         raw = word.encode()
         if len(word) > KEPT:
-            return self._alone(raw)[:2]
+            return self._alone(raw)[0]
         if len(self.best) > NODES:
             self._start()
-        node = self.insert(raw)[-1]
-        return self.count[node], self.best[node]
+        return self.best[self.insert(raw)[-1]]
 
     def pieces(self, word: str) -> list[bytes]:
         """The best segmentation of a pre-token."""
         raw = word.encode()
         if len(word) > KEPT:
-            sizes = self._alone(raw)[2]
+            sizes = self._alone(raw)[1]
         else:
             if len(self.best) > NODES:
                 self._start()
@@ -132,14 +140,11 @@ class Counter:
 
     def count_text(self, text: str, pattern: str) -> tuple[int, int, int]:
         """(pre-tokens, tokens, score) of the text."""
-        n = tokens = score = 0
+        n = total = 0
         for some in pre_tokens(text, pattern):
-            counts = self.words.hold(some, self.fresh_word)
             n += len(some)
-            for t, s in map(counts.__getitem__, some):
-                tokens += t
-                score += s
-        return n, tokens, score
+            total += sum(map(self.words.hold(some, self.fresh_word).__getitem__, some))
+        return n, *unpacked(total)
 
 
 @lru_cache(1)
