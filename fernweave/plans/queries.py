@@ -680,6 +680,55 @@ def image_routing(spark: SparkSession, d: str) -> DataFrame:
     return T.notices(spark, d).select("notice_id", decisions.route(F.col("text"), n % 4 == 0, scene, F.lit(0.1), junk).alias("kind"))
 
 
+SCANNED = with_tables("scans") + r""", numbers as (
+  select notice_id, text,
+    list_concat(regexp_extract_all(text, '(?i)\b(CS\d{8,12})\b', 1), regexp_extract_all(text, '(?i)\b(BS\d{8,12})\b', 1)) as apps,
+    upper(nullif(regexp_extract(text, '(?i)\b([CB][5S]|8S)(\d{8,12})\b', 1), '')) as misread, regexp_extract(text, '(?i)\b([CB][5S]|8S)(\d{8,12})\b', 2) as digits,
+    nullif(regexp_extract(text, '(?i)(?:new\s*order|order\s*(?:number|confirmation)|אישור\s*הזמנה|מספר\s*הזמנה|הזמנה)\s*[:#\s]*([A-Z]{0,3}\d{5,12})\b', 1), '') as labelled,
+    nullif(regexp_extract(text, '#(\d{5,6})\b', 1), '') as hashed,
+    replace(nullif(regexp_extract(text, '(?i)(?:-|size|מידה)\s*((?:3[5-9]|4[0-2])(?:[.,][05])?)', 1), ''), ',', '.') as size,
+    nullif(regexp_extract(text, '(?i)(?:מספר\s*משלוח|tracking(?:\s*(?:number|no\.?))?|shipment(?:\s*number)?)\s*[:#\s]*(\d{8,14})', 1), '') as named,
+    regexp_matches(text, '(?i)on the way|בדרך|packed|ארוז') as moving, nullif(regexp_extract(text, '(?:^|\D)(\d{9,12})(?:\D|$)', 1), '') as bare,
+    case when regexp_matches(text, '(?i)on the way|מספר משלוח|מעקב משלוח|track shipment') then 'delivery_notice'
+      when regexp_matches(text, '(?i)thank you for your order|new order|order confirmation|your order number|אישור\s*הזמנה|מספר\s*הזמנה|הזמנתך') then 'order' end as kind
+  from scans),
+fields as (
+  select *, coalesce(case when len(apps) > 0 then upper(list_reduce(apps, lambda a, b: case when length(b) > length(a) then b else a end)) end,
+      case when misread in ('CS', 'C5') then 'CS' || digits when misread is not null then 'BS' || digits end, labelled, hashed) as order_number,
+    coalesce(named, case when moving then bare end) as tracking_number
+  from numbers),
+scanned as (
+  select *, order_number is not null and (coalesce(kind, '') = 'order' or labelled is not null or regexp_matches(order_number, '^CS\d{8,12}$')) as strong_order,
+    tracking_number is not null and coalesce(kind, '') = 'delivery_notice' as strong_delivery from fields)"""
+
+
+@query(SCANNED + " select notice_id, order_number, size, tracking_number, case when moving then 'on_the_way' end as status, kind, strong_order, strong_delivery from scanned")
+def scanned_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of texts in Hebrew, with misread prefixes, and with several numbers."""
+    text = F.col("text")
+    return T.scans(spark, d).select(
+        "notice_id", E.order_number(text).alias("order_number"), E.shoe_size(text).alias("size"), E.tracking_number(text).alias("tracking_number"), E.delivery_status(text).alias("status"),
+        E.document_kind(text).alias("kind"), E.strong_order(text).alias("strong_order"), E.strong_delivery(text).alias("strong_delivery"),
+    )
+
+
+@query(
+    SCANNED
+    + """, seen as (select *, notice_id % 5 = 0 as shoe, ['unknown', 'order', 'garbage', 'delivery_notice', 'shoe', null][notice_id % 7 % 6 + 1] as scene,
+  case when notice_id % 11 <> 0 then 0.2 end as footwear, [0.3, 0.22, null][notice_id % 13 % 3 + 1] as junk from scanned)
+select notice_id, case when strong_order then 'order' when strong_delivery then 'delivery_notice' when shoe then 'shoe'
+  when coalesce(kind, scene) in ('order', 'delivery_notice') then coalesce(kind, scene)
+  when scene = 'garbage' then 'garbage' when coalesce(scene, '') <> 'shoe' and coalesce(junk, 0) >= coalesce(footwear, 0) + 0.05 then 'garbage' else 'unknown' end as route from seen"""
+)
+def scanned_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The routing of such texts beside scenes and scores that may be missing."""
+    n = F.col("notice_id")
+    pick = lambda at, *xs: F.get(F.array(*map(F.lit, xs)), at.cast("int"))
+    scene = pick(n % 7 % 6, "unknown", "order", "garbage", "delivery_notice", "shoe", None)
+    footwear, junk = F.when(n % 11 != 0, 0.2), pick(n % 13 % 3, 0.3, 0.22, None)
+    return T.scans(spark, d).select("notice_id", decisions.route(F.col("text"), n % 5 == 0, scene, footwear, junk).alias("route"))
+
+
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     """A verifier's answer on three candidates for each image, in one of its forms of text."""
     v = F.col("vec_id")
@@ -714,6 +763,23 @@ def catalog_integrity(spark: SparkSession, d: str) -> DataFrame:
     return integrity.catalog_issues(T.images(spark, d), T.VECTOR_MODEL, T.DIMENSION)
 
 
+@query(
+    with_tables("faulty_images")
+    + """, told as (select *, len(embedding) as n, len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) > 0 as broken, abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) > 0.001 as off from faulty_images),
+flags as (select model, image_type, unnest([case when embedding_model <> 'synthetic-64' then 'embedding_model' end, case when n <> 64 then 'dimension' end, case when n = 0 then 'empty' end,
+  case when broken then 'non_finite' end, case when n > 0 and (broken or off) then 'norm' end]) as issue from told),
+shared as (select min((model, image_type)) as k from faulty_images where len(embedding) > 0 group by embedding::varchar having count(distinct model) > 1)
+select model, image_type, issue, count(*) as n from (
+  select * from flags where issue is not null
+  union all select model, image_type, 'duplicate_key' from faulty_images group by all having count(*) > 1
+  union all select k[1], k[2], 'duplicate_vector' from shared) group by all"""
+)
+def catalog_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Images with a planted fault of each kind."""
+    out = integrity.catalog_issues(T.faulty_images(spark, d), T.VECTOR_MODEL, T.DIMENSION)
+    return out.groupBy("model", "image_type", "issue").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     """with stored as (select vec_id, case when vec_id % 7 = 0 then '' else sha256(vec_id::varchar) end as stored_hash from embeddings),
 now as (select vec_id, sha256((case when vec_id % 5 = 0 then vec_id + 1 else vec_id end)::varchar) as current_hash from embeddings where vec_id % 9 <> 0)

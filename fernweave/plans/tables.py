@@ -97,6 +97,34 @@ def notices(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select(key.alias("notice_id"), text.alias("text"))
 
 
+def scans(spark: SparkSession, d: str) -> DataFrame:
+    """notice_id, text: wordings in Hebrew, misread prefixes, several numbers in a text, of twelve kinds."""
+    key = F.col("o_orderkey")
+    nine, short = F.lpad(key.cast("string"), 9, "2"), F.lpad((key + 10000).cast("string"), 5, "0")
+    texts = [
+        F.concat(F.lit("אישור הזמנה: "), short), F.concat(F.lit("order C5"), nine), F.concat(F.lit("8S"), nine, F.lit(" thanks")),
+        F.concat(F.lit("BS"), nine, F.lit(" or cs"), nine, F.lit("77")), F.concat(F.lit("BS"), nine, F.lit(" or CS"), nine),
+        F.concat(F.lit("הזמנתך התקבלה #"), short), F.concat(F.lit("מספר משלוח: "), nine), F.concat(F.lit("בדרך אליך "), nine),
+        F.concat(F.lit("מידה 41.5 - "), short), F.concat(F.lit("new order b5"), nine), F.concat(F.lit("hello "), key.cast("string")), F.lit("מעקב משלוח"),
+    ]
+    return read(spark, d, "orders").select(key.alias("notice_id"), F.get(F.array(*texts), (key % 12).cast("int")).alias("text"))
+
+
+def faulty_images(spark: SparkSession, d: str) -> DataFrame:
+    """images with faults in some: another encoder, a number too few, none, a NaN, twice the length, one vector for all."""
+    at, v = F.col("position") % 50, F.col("embedding")
+    one = F.transform(F.sequence(F.lit(1), F.lit(DIMENSION)), lambda i: (i == 1).cast("float"))
+    made = (
+        F.when(at == 2, F.slice(v, 1, DIMENSION - 1))
+        .when(at == 3, F.slice(v, 1, 0))
+        .when(at == 4, F.transform(v, lambda x, i: F.when(i == 5, float("nan")).otherwise(x).cast("float")))
+        .when(at == 5, F.transform(v, lambda x: (x * 2).cast("float")))
+        .when(at == 6, one)
+        .otherwise(v)
+    )
+    return images(spark, d).withColumns({"embedding": made, "embedding_model": F.when(at == 1, "another").when(at != 7, F.col("embedding_model"))})
+
+
 #: The same as common table expressions.
 SQL = {
     "purchases": """purchases as (
@@ -144,6 +172,16 @@ vectors as (
   join embeddings c on c.vec_id = (a.vec_id + 7) % (select count(*) from embeddings))""",
     "images": """images as (
   select label::varchar as model, case vec_id % 3 when 0 then 'main' when 1 then 'pers' else 'side' end as image_type, embedding, vec_id as position from embeddings)""",
+    "faulty_images": """faulty_images as (
+  select model, image_type, position, case position % 50 when 1 then 'another' when 7 then null else 'synthetic-64' end as embedding_model,
+         case position % 50 when 2 then embedding[:63] when 3 then embedding[:0] when 4 then list_concat(embedding[:5], ['nan'::float], embedding[7:])
+           when 5 then list_transform(embedding, lambda x: (x * 2)::float) when 6 then list_transform(range(1, 65), lambda i: (i = 1)::int::float) else embedding end as embedding
+  from images)""",
+    "scans": """scans as (
+  select k as notice_id, [
+    'אישור הזמנה: ' || short, 'order C5' || nine, '8S' || nine || ' thanks', 'BS' || nine || ' or cs' || nine || '77', 'BS' || nine || ' or CS' || nine, 'הזמנתך התקבלה #' || short,
+    'מספר משלוח: ' || nine, 'בדרך אליך ' || nine, 'מידה 41.5 - ' || short, 'new order b5' || nine, 'hello ' || k, 'מעקב משלוח'][k % 12 + 1] as text
+  from (select o_orderkey as k, lpad(o_orderkey::varchar, 9, '2') as nine, lpad((o_orderkey + 10000)::varchar, 5, '0') as short from orders))""",
     "cases": """cases as (
   select d.doc_id::varchar as case_key, source as wa_id, case when lang = 'en' then 'customer_success' else 'sales' end as role_id,
          case when toxic = 1 then 'unreviewed' when quality = 1 then 'approved' else 'draft' end as review_status, text, embedding
@@ -163,7 +201,7 @@ vectors as (
 
 def with_tables(*names: str) -> str:
     """A WITH clause of the tables and what they need."""
-    needs = {"prepared": ("purchases",), "sequences": ("prepared",), "examples": ("sequences", "catalog"), "histories": ("prepared", "catalog"), "pooled": ("histories",)}
+    needs = {"prepared": ("purchases",), "sequences": ("prepared",), "examples": ("sequences", "catalog"), "histories": ("prepared", "catalog"), "pooled": ("histories",), "faulty_images": ("images",)}
     done: list[str] = []
 
     def add(name: str) -> None:
