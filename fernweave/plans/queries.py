@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import extraction as E
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import calibration, customers, decisions, encoders, integrity, lookups, metrics, purchases, ranking, retrieval, towers
+from ..operators import calibration, customers, decisions, encoders, integrity, lookups, memory_index, metrics, purchases, ranking, retrieval, towers
 from ..sources import datasets, snapshots
 from ..streaming import customers as streams
 from . import tables as T
@@ -945,3 +945,58 @@ def matched_candidates(spark: SparkSession, d: str) -> DataFrame:
     decided = orders.select(key.alias("request_id"), F.when(key % 3 == 0, "match").otherwise("uncertain").alias("status"), F.when(key % 3 == 0, (key % 7).cast("string")).alias("model"))
     among = orders.select(key.alias("request_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("m")).select("request_id", F.col("m").cast("string").alias("model"), (F.col("m") * 10).alias("score"), F.lit("main").alias("image_type"))
     return lookups.attach_candidates(decided, among).select("request_id", "status", "model", "score", "synthesized")
+
+
+@query(
+    r"""with kept as (select doc_id::varchar as case_key, case when doc_id % 7 <> 0 and trim(text, E' \t\n\x0b\f\r') <> '' then text else '.' end as recognition,
+  case when doc_id % 5 <> 0 and trim(text, E' \t\n\x0b\f\r') <> '' then text when doc_id % 3 <> 0 then lang || ' ' || source else '.' end as told from documents where doc_id % 13 <> 0),
+texts as (select case_key, 'r' as kind, recognition as text from kept union all select case_key, 'c', told from kept),
+words as (select case_key, kind, unnest(regexp_split_to_array(lower('passage: ' || trim(regexp_replace(text, '[\t-\r]', ' ', 'g'))), ' +')) as w from texts),
+places as (select case_key, kind, ('0x' || substr(md5(w), 1, 7))::int % 64 as place, count(*) as n from words group by all),
+sums as (select case_key, kind, sqrt(sum(n * n)) as length, count(*) as filled from places group by all),
+vectors as (select case_key, kind, any_value(filled) as filled, string_agg(place || ':' || floor(n / length * 1e6 + 0.5)::bigint, ' ' order by place) as v from places join sums using (case_key, kind) group by all)
+select a.case_key, a.filled as recognition_places, a.v as recognition_vector, b.filled as case_places, b.v as case_vector from vectors a join vectors b on a.case_key = b.case_key and a.kind = 'r' and b.kind = 'c'"""
+)
+def memory_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """An index of the documents as cases, some without a key or with blank texts."""
+    k = F.col("doc_id")
+    cases = T.read(spark, d, "documents").select(
+        F.when(k % 13 != 0, k.cast("string")).alias("case_key"), F.when(k % 7 != 0, F.col("text")).otherwise(" \n").alias("recognition_text"),
+        F.when(k % 5 != 0, F.col("text")).alias("case_text"), F.when(k % 3 != 0, F.concat_ws(" ", "lang", "source")).alias("case_summary"),
+    )
+    out = memory_index.build_index(cases, memory_index.hashing_encoder())
+    filled = lambda c: F.filter(F.transform(c, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] > 0)
+    told = lambda c: F.array_join(F.transform(filled(c), lambda e: F.concat_ws(":", e["i"].cast("string"), micro(e["x"]).cast("string"))), " ")
+    made = out.select("case_key", "recognition_vector", "case_vector")
+    return made.select("case_key", *[x for c in ("recognition", "case") for x in (F.size(filled(F.col(f"{c}_vector"))).cast("long").alias(f"{c}_places"), told(F.col(f"{c}_vector")).alias(f"{c}_vector"))])
+
+
+@query(
+    HITS
+    + """ select floor(sum(case when h.model = e.label::varchar then 1 else 0 end) / nullif(count(h.model), 0) * 1e6 + 0.5)::bigint as precision_micro, floor(count(h.model) / count(*) * 1e6 + 0.5)::bigint as coverage_micro
+from embeddings e left join (select * from hits where rank = 1 and s >= 0.2 and position % 40 <> 0) h on h.query_id = e.vec_id::varchar where e.vec_id % 20 = 0"""
+)
+def decision_quality(spark: SparkSession, d: str) -> DataFrame:
+    expected = T.read(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").cast("string").alias("expected"))
+    top = lookups.production_top(_hits(spark, d)).filter("position % 40 <> 0").select("query_id", F.col("model").alias("predicted"))
+    out = metrics.decision_metrics(expected.join(top, "query_id", "left"))
+    return out.select(micro(F.col("precision")).alias("precision_micro"), micro(F.col("coverage")).alias("coverage_micro"))
+
+
+LAST_MONTHS = ", late as (select purchase_date from prepared where purchase_date > (select max(purchase_date) - interval 90 day from prepared)), days as (select distinct purchase_date::date as day from late), numbered as (select day, row_number() over (order by day) - 1 as i, count(*) over () as n from days)"
+
+
+@query(
+    with_tables("prepared")
+    + LAST_MONTHS
+    + """, ends as (select n, least(floor(n * 0.7::double), n - 2) as low from numbered limit 1)
+select strftime((select day from numbered where i = low), '%Y-%m-%d') as train_end, strftime((select day from numbered where i = least(greatest(floor(n * 0.85::double), low + 1), n - 1)), '%Y-%m-%d') as validation_end, 'default_quantiles' as strategy from ends
+union all select '1997-06-01', '1997-09-01', 'configured'"""
+)
+def other_split_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds by quantiles of the days, where the purchases span too short a time, and bounds that are given."""
+    bought = T.prepared(spark, d)
+    last = bought.agg((F.max("purchase_date") - F.expr("INTERVAL 90 DAYS")).alias("since"))
+    late = bought.join(F.broadcast(last), F.col("purchase_date") > F.col("since"))
+    out = purchases.split_bounds(late).unionByName(purchases.split_bounds(bought, train_end="1997-06-01", validation_end="1997-09-01"))
+    return out.select(day(F.col("train_end")).alias("train_end"), day(F.col("validation_end")).alias("validation_end"), "strategy")
