@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts
+from . import bpe, chat_format, exact_dedup, line_dedup, merkle, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, warc, whitening
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_warc": warc.op13_warc,
 }
 
 SQL = {
     "op1_chat_format": chat_format.SQL,
     "op2_mixing": mixing.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op11_merkle": merkle.SQL,
+    "op13_warc": warc.SQL,
 }
