@@ -1,15 +1,17 @@
 """Chat formatting by schema fingerprints, in DataFrame expressions only.
 
-A record's layout is known by its fingerprint: the hash of the nested field paths that the record fills. A fingerprint
-selects a declarative mapping to canonical turns, or, where it is none of the mappings' own, the first mapping whose
-required paths are all filled. A template with control strings then renders the turns, and reads them back.
+A record's layout is known by its fingerprint: the hash of the nested field paths that the record fills. Each mapping to
+canonical turns owns the fingerprints of its required paths with any of its optional ones, and is selected by them. Only
+a fingerprint that no mapping owns goes to the first mapping whose required paths are all filled. A template with control strings then renders the turns, and reads them back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,6 +118,35 @@ def fingerprint_of(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
+#: The seed of Spark's xxhash64.
+SEED = 42
+
+
+def _number(paths: tuple[str, ...]) -> int:
+    """fingerprint_of the sorted paths, for a plan's literals."""
+    digest = xxhash.xxh64_digest("\n".join(sorted(paths)), SEED)
+    return int.from_bytes(digest, "big", signed=True)
+
+
+def owners(layouts: tuple[Layout, ...], known: set[str]) -> list[list[int]]:
+    """The fingerprints that each layout owns among records that can fill the known paths.
+
+    They are those of its required paths with any of its optional ones. Where two layouts would own one, the earlier has it.
+    """
+    taken: dict[int, int] = {}
+    for i, x in enumerate(layouts):
+        optional = [p for p in x.optional if p in known]
+        for n in range(len(optional) + 1):
+            for some in combinations(optional, n):
+                paths = {*x.paths, *some}
+                first = next(j for j, y in enumerate(layouts) if set(y.paths) <= paths)
+                taken.setdefault(_number(tuple(paths)), first)
+    out: list[list[int]] = [[] for _ in layouts]
+    for number, i in taken.items():
+        out[i].append(number)
+    return out
+
+
 def parse_records(json: Column) -> Column:
     """A record from JSON text; fields that RECORD lacks are passed over, text that isn't an object gives null fields.
 
@@ -142,11 +173,12 @@ def canonical_turns(docs: DataFrame, record_col: str = "record", layouts: tuple[
     known = {path for path, _ in paths_of(kind, record)}
     out = docs.withColumn("surplus", filled_paths(kind, record)).withColumn("fingerprint", fingerprint_of(F.col("surplus")))
     fit = [x for x in layouts if set(x.paths) <= known]
-    # a mapping's own fingerprint is a shortcut: it fits as its required paths are filled
     number = F.lit(None).cast("int")
     for i in reversed(range(len(fit))):
-        own = F.forall(F.array(*map(F.lit, fit[i].paths)), lambda p: F.array_contains("surplus", p))
-        number = F.when(own, F.lit(i)).otherwise(number)
+        fits = F.forall(F.array(*map(F.lit, fit[i].paths)), lambda p: F.array_contains("surplus", p))
+        number = F.when(fits, F.lit(i)).otherwise(number)
+    for i, own in enumerate(owners(tuple(fit), known)):
+        number = F.when(F.col("fingerprint").isin(own), F.lit(i)).otherwise(number)
     out = out.withColumn("layout", number)
     name, turns, left = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>"), F.col("surplus")
     for i, x in enumerate(fit):
@@ -250,10 +282,13 @@ def gather_turns(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
 
 def as_layouts(conversations: DataFrame) -> DataFrame:
     """conversations with record in the layout that its turns allow: a question and its answer as prompt and completion, with
-    a system text before them as instruction and output, turns of users and assistants alone as from and value, others as messages."""
+    a system text before them as instruction and output, turns of users and assistants alone as from and value, others as messages.
+
+    An empty system text is a turn like others, which flat records can't tell from none: it stays in messages.
+    """
     m = F.col("record.messages")
     roles, text = F.array_join(F.transform(m, lambda x: x["role"]), "\n"), lambda i: F.get(m, i)["content"]
-    pair, told = roles == "user\nassistant", roles == "system\nuser\nassistant"
+    pair, told = roles == "user\nassistant", (roles == "system\nuser\nassistant") & (text(0) != "")
     spoken = ~pair & (F.size(m) > 0) & F.forall(m, lambda x: x["role"].isin("user", "assistant"))
     named = F.transform(m, lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["content"].alias("value")))
     record = F.struct(
@@ -309,7 +344,7 @@ select conv_id, count(*) as n_turns,
        (3 + sum(marks + length(escaped)))::bigint as formatted_chars,
        case when string_agg(role, ',' order by turn, role, text) = 'user,assistant' then 'prompt_completion'
             when string_agg(role, ',' order by turn, role, text) = 'system,user,assistant'
-              then case when first(text order by turn, role, text) = '' then 'instruction' else 'system_instruction' end
+              then case when first(text order by turn, role, text) = '' then 'messages' else 'system_instruction' end
             when count(*) filter (role not in ('user', 'assistant')) = 0 then 'from_value' else 'messages' end as layout
 from marked group by conv_id
 """

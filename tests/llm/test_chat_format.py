@@ -101,3 +101,26 @@ def test_empty_and_long(spark):
     long = "word </s> " * 100_000
     (row,) = read(C.chat_format(C.gather_turns(spark.createDataFrame([(1, 0, "assistant", long)], schema)))).collect()
     assert row.loss == long and hashlib.sha256(row.read[0].text.encode()).digest() == hashlib.sha256(long.encode()).digest()
+
+
+def test_empty_system_turns_survive(spark):
+    rows = [(c, t, role, text) for c, told in ((1, ""), (2, None), (3, "be brief")) for t, (role, text) in enumerate([("system", told), ("user", "q"), ("assistant", "a")])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in read(C.chat_format(C.as_layouts(C.gather_turns(df)))).collect()}
+    assert [(t.role, t.text) for t in out[1].read] == [("system", ""), ("user", "q"), ("assistant", "a")] == [(t.role, t.text) for t in out[2].read]
+    assert [(t.role, t.text) for t in out[3].read] == [("system", "be brief"), ("user", "q"), ("assistant", "a")]
+    assert [out[i].layout for i in (1, 2, 3)] == ["messages", "messages", "system_instruction"]
+
+
+def test_fingerprints_select_the_mappings(spark):
+    known = {p for x in C.LAYOUTS for p in (*x.paths, *x.optional)}
+    owned = C.owners(C.LAYOUTS, known)
+    assert all(owned) and len({n for own in owned for n in own}) == sum(map(len, owned))
+    (row,) = spark.range(1).select(C.fingerprint_of(F.array(F.lit("completion"), F.lit("prompt"))).alias("n")).collect()
+    assert row.n in owned[[x.name for x in C.LAYOUTS].index("prompt_completion")]
+    # a layout that priority alone would never take is chosen by its fingerprint, and one with a surplus path by priority
+    alone = (C.Layout("first", ("a", "b"), lambda r: F.array(C._turn("user", r["a"]))), C.Layout("second", ("a",), lambda r: F.array(C._turn("user", r["a"]))))
+    df = spark.createDataFrame([(("x", "y", None),), (("x", None, None),), (("x", None, "z"),)], "record struct<a:string,b:string,c:string>")
+    assert [r.layout for r in C.canonical_turns(df, layouts=alone).collect()] == ["first", "second", "second"]
+    plan = C.op1_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan
