@@ -1,8 +1,8 @@
 """Quality classifier: random Fourier features, ridge scores, isotonic calibration.
 
 The features approximate a Gaussian kernel over document statistics. Each partition of the labelled rows sums its part
-of the normal equations; the driver adds the few sums and solves. Isotonic regression on rows that the ridge fit hasn't
-seen turns scores into probabilities.
+of the normal equations; the driver adds the few sums and solves. Isotonic regression turns scores into probabilities. It learns
+from all labelled rows: each is scored by weights that its own fold had no part in.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from .text_stats import CLASSES, COMMON, stats
 class Settings:
     max_rows: int = 100_000  # labelled rows that are fitted on, a hash sample of all; the bound on what fitting holds
     parts: int = 16  # partitions of the fit
+    folds: int = 4  # of the calibration
     features: int = 256
     width: float = 6.0  # of the Gaussian kernel, in standard deviations of the statistics
     ridge: float = 1.0
@@ -69,43 +70,47 @@ def features(x: np.ndarray, frequencies: np.ndarray, phases: np.ndarray) -> np.n
     return np.concatenate([z, np.ones((len(x), 1))], axis=1)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the rising fit of y on x: a knot at the mean of each pooled block, so that scores keep rising between them."""
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # sum of x, sum of y, count
-    x, y = x[order], y[order]
-    for i in range(0, len(x), least):
-        blocks.append([float(x[i : i + least].sum()), float(y[i : i + least].sum()), float(len(x[i : i + least]))])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            a, b = blocks.pop(), blocks.pop()
-            blocks.append([a[0] + b[0], a[1] + b[1], a[2] + b[2]])
-    b = np.array(blocks)
-    # one pseudo-row at the overall mean keeps a pure block off 0 and 1
-    values = (b[:, 1] + y.mean()) / (b[:, 2] + 1)
-    return b[:, 0] / b[:, 2], np.maximum.accumulate(values)
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising fit of y on x by pooling adjacent violators, rows of equal x together.
+
+    A knot lies at the mean of each pooled block, so that scores keep rising between them. Values stay a pseudo-row away
+    from 0 and 1.
+    """
+    places, which = np.unique(x, return_inverse=True)
+    counts, sums = np.bincount(which), np.bincount(which, y)
+    blocks: list[tuple[float, float, float]] = []  # sum of x, sum of y, count
+    for at, own, n in zip((places * counts).tolist(), sums.tolist(), counts.tolist()):
+        while blocks and blocks[-1][1] * n >= own * blocks[-1][2]:
+            before = blocks.pop()
+            at, own, n = at + before[0], own + before[1], n + before[2]
+        blocks.append((at, own, n))
+    b, least = np.array(blocks), 1 / (len(x) + 2)
+    return b[:, 0] / b[:, 2], np.clip(b[:, 1] / b[:, 2], least, 1 - least)
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings(), text_col: str = "text", label_col: str = "label", fold_col: str = "fold") -> Model:
-    """labelled: text, label (0 or 1), fold (true: kept for the calibration). Null labels are passed over.
+    """labelled: text, label (0 or 1), fold (a number or boolean, modulo settings.folds; null is 0). Null labels are passed over.
 
-    At most settings.max_rows rows should be given (see sample); without a row of each fold the model scores the mean.
+    At most settings.max_rows rows should be given (see sample). The weights come from all rows; the calibration scores
+    each row by weights without its fold. Rows of a single fold are calibrated by their own weights; without rows the
+    model scores a half. Rows that repeat count as often as they are there.
     """
     reachable(labelled.sparkSession)
-    rows = labelled.select(F.col(text_col).cast("string"), F.col(label_col).cast("double"), F.col(fold_col).cast("boolean")).filter(F.col(label_col).isNotNull())
+    rows = labelled.select(F.col(text_col).cast("string"), F.col(label_col).cast("double"), F.pmod(F.coalesce(F.col(fold_col).cast("int"), F.lit(0)), F.lit(settings.folds))).filter(F.col(label_col).isNotNull())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(document_statistics(batch.column(0))), pa.list_(pa.float64())), *batch.columns[1:]], ["x", "y", "fold"])
 
-    measured = rows.mapInArrow(measure, "x array<double>, y double, fold boolean").repartition(settings.parts).persist()
+    measured = rows.mapInArrow(measure, "x array<double>, y double, fold int").repartition(settings.parts).persist()
     try:
         return _fit(measured, settings)
     finally:
         measured.unpersist()
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    return np.array(batch.column(0).flatten()).reshape(batch.num_rows, width)
 
 
 def _fit(measured: DataFrame, settings: Settings) -> Model:
@@ -122,33 +127,38 @@ def _fit(measured: DataFrame, settings: Settings) -> Model:
     size = settings.features + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros((size, size)), np.zeros(size)
+        a, b = np.zeros((settings.folds, size, size)), np.zeros((settings.folds, size))
         for batch in batches:
-            if batch.num_rows:
-                z = features((_matrix(batch) - mean) / scale, frequencies, phases)
-                a += z.T @ z
-                b += z.T @ np.array(batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array([a.ravel()], pa.list_(pa.float64())), pa.array([b], pa.list_(pa.float64()))], ["a", "b"])
-
-    # settings.parts rows of a fixed size
-    added = measured.filter(~F.col("fold")).mapInArrow(sums, "a array<double>, b array<double>").collect()
-    a = np.sum([r.a for r in added], axis=0).reshape(size, size)
-    b = np.sum([r.b for r in added], axis=0)
-    if not a[-1, -1]:
-        b[-1], a[-1, -1] = moments[2], 1.0
-    weights = np.linalg.solve(a + settings.ridge * np.diag([*[1.0] * settings.features, 1e-6]), b)
-    model = Model(mean, scale, frequencies, phases, weights, np.zeros(1), np.array([moments[2]]))
+            z = features((_matrix(batch, width) - mean) / scale, frequencies, phases)
+            y, fold = np.array(batch.column(1)), np.array(batch.column(2))
+            for k in np.unique(fold):
+                a[k] += z[fold == k].T @ z[fold == k]
+                b[k] += z[fold == k].T @ y[fold == k]
+        yield pa.RecordBatch.from_arrays([pa.array(list(a.reshape(len(a), -1)), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64())), pa.array(range(len(a)), pa.int32())], ["a", "b", "fold"])
+
+    # settings.parts * settings.folds rows of a fixed size
+    a, b = np.zeros((settings.folds, size, size)), np.zeros((settings.folds, size))
+    for r in measured.mapInArrow(sums, "a array<double>, b array<double>, fold int").toLocalIterator():
+        a[r.fold] += np.array(r.a).reshape(size, size)
+        b[r.fold] += r.b
+
+    def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(a + settings.ridge * np.diag([*[1.0] * settings.features, 1e-6]), b)
+
+    if not a[:, -1, -1].sum():
+        return Model(mean, scale, frequencies, phases, np.zeros(size), np.zeros(1), np.array([moments[2]]))
+    weights = solved(a.sum(axis=0), b.sum(axis=0))
+    several = (a[:, -1, -1] > 0).sum() > 1
+    unseen = np.stack([solved(a.sum(axis=0) - a[k], b.sum(axis=0) - b[k]) if several else weights for k in range(settings.folds)])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(batch))), batch.column(1)], ["s", "y"])
+            z = features((_matrix(batch, width) - mean) / scale, frequencies, phases)
+            yield pa.RecordBatch.from_arrays([pa.array((z * unseen[np.array(batch.column(2))]).sum(axis=1)), batch.column(1)], ["s", "y"])
 
     # two numbers for each row of the bounded sample
-    held = measured.filter("fold").mapInArrow(scored, "s double, y double").collect()
-    if not held:
-        return model
-    knots, values = isotonic(np.array([r.s for r in held]), np.array([r.y for r in held]))
-    return Model(mean, scale, frequencies, phases, weights, knots, values)
+    held = measured.mapInArrow(scored, "s double, y double").toPandas()
+    return Model(mean, scale, frequencies, phases, weights, *isotonic(held["s"].to_numpy(), held["y"].to_numpy()))
 
 
 def remainder(ident: Column) -> Column:
@@ -157,7 +167,7 @@ def remainder(ident: Column) -> Column:
 
 
 def sample(labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """id_col, label and fold of the labelled rows to learn from: remainder 1 to 3 for the ridge fit, 4 for the calibration.
+    """id_col, label and fold of the labelled rows to learn from: those of remainder 1 to 4, which is the fold.
 
     About max_rows at most: beyond, a hash of the id decides. Null ids and labels are passed over; of several labels of
     an id the largest counts.
@@ -168,7 +178,7 @@ def sample(labels: DataFrame, settings: Settings = Settings(), id_col: str = "do
     n = known.count()
     if n > settings.max_rows:
         known = known.filter(F.pmod(F.xxhash64(id_col, F.lit(settings.seed)), F.lit(1_000_000)) < int(1_000_000 * settings.max_rows / n))
-    return known.withColumn("fold", remainder(F.col(id_col)) == 4)
+    return known.withColumn("fold", remainder(F.col(id_col)))
 
 
 def classify(docs: DataFrame, model: Model, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
