@@ -193,13 +193,14 @@ def _signatures(docs: DataFrame, sketch: Broadcast, settings: Settings) -> DataF
 
 
 FILTER, PICKS = 1 << 20, 4  # 32-bit words of the filter of asked contents, and bits that each sets
+TURNS = [U(i * int(AGAIN) & 0xFFFFFFFFFFFFFFFF) for i in range(PICKS)]
 
 
 def _bits(ident: np.ndarray, k1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each pick the word, and the bit in it, of (hash of the id, half of the content key)."""
     x = mixed(ident.view(U) ^ mixed(k1.view(U)))
-    for i in range(PICKS):
-        y = mixed(x + U(i) * AGAIN)
+    for turn in TURNS:
+        y = mixed(x + turn)
         yield (y >> U(44)).astype(np.int32), np.uint32(1) << (y & U(31)).astype(np.uint32)
 
 
@@ -355,22 +356,50 @@ def _missed_links(met: DataFrame, sets: DataFrame, labels: DataFrame, sketch: Br
     sets = written(sets.hint("merge").join(open_ones.hint("merge"), "v").select("v", F.col("v.k1").alias("k1"), "label", "elements"))
     counts = spark.sparkContext.broadcast(_share_counts(sets))
     rows = written(_prefixes(sets, counts, settings.threshold))
-    key = ["element", "size"]
-    several = rows.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select(*key)
-    some = written(rows.join(several, key, "left_semi"))
-    discard(rows, open_ones)
-    long = some.filter("longer").select(*key, F.col("k1").alias("x"), F.col("label").alias("lx"), F.col("total").alias("tx"), F.col("rest").alias("rx"))
-    short = some.filter("not longer").select(*key, F.col("k1").alias("y"), F.col("label").alias("ly"), F.col("total").alias("ty"), F.col("rest").alias("ry"))
+    discard(open_ones)
+    several = _of_several_labels(rows)
+    some = written(rows.join(several, KEY, "left_semi"))
+    discard(rows)
+    if some.isEmpty():
+        discard(sets, some)
+        kind = labels.schema["v"].dataType.simpleString()
+        return written(spark.createDataFrame([], f"a {kind}, b {kind}"))
+    # one of each class for an element: a class of thousands that borders on another class meets it once, and both are one from then on
+    one = some.groupBy(*KEY, "longer", "label").agg(F.min(F.struct(F.xxhash64("k1").alias("h"), "k1", "total", "rest")).alias("r"))
+    first = written(_proposed(one.select(*KEY, "longer", "label", "r.k1", "r.total", "r.rest"), settings))
+    links = written(_compared(first, sets, sketch, settings))
+    of = [sets.select(F.col("v").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
+    joined = connected_components(links.join(of[0], "a").join(of[1], "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    moved = some.join(joined.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    moved = written(moved)
+    rest = written(_proposed(moved.join(_of_several_labels(moved), KEY, "left_semi"), settings).join(first, ["x", "y"], "left_anti"))
+    discard(some)
+    out = written(links.unionByName(_compared(rest, sets, sketch, settings)))
+    discard(first, moved, rest, links, sets)
+    return out
+
+
+KEY = ["element", "size"]
+
+
+def _of_several_labels(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEY).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select(*KEY)
+
+
+def _proposed(rows: DataFrame, settings: Settings) -> DataFrame:
+    """rows of _prefixes. x, y: the k1 of pairs of different labels that have a key in common and may reach the threshold."""
+    long = rows.filter("longer").select(*KEY, F.col("k1").alias("x"), F.col("label").alias("lx"), F.col("total").alias("tx"), F.col("rest").alias("rx"))
+    short = rows.filter("not longer").select(*KEY, F.col("k1").alias("y"), F.col("label").alias("ly"), F.col("total").alias("ty"), F.col("rest").alias("ry"))
     t = settings.threshold * (1 - 1e-9)
     near = (F.col("lx") != F.col("ly")) & (F.col("tx") >= F.col("ty")) & (F.least("rx", "ry") >= F.lit(t / (1 + t)) * (F.col("tx") + F.col("ty")))
-    found = long.join(short, [long[c] == short[c] for c in key] + [near]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    found = written(found.distinct())
-    discard(some)
+    found = long.join(short, [long[c] == short[c] for c in KEY] + [near]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return found.distinct()
+
+
+def _compared(found: DataFrame, sets: DataFrame, sketch: Broadcast, settings: Settings) -> DataFrame:
     left = sets.select(F.col("k1").alias("x"), F.col("v").alias("a"), F.col("elements").alias("sa"))
     right = sets.select(F.col("k1").alias("y"), F.col("v").alias("b"), F.col("elements").alias("sb"))
-    links = written(_alike(found.join(left, "x").join(right, "y"), sketch, settings))
-    discard(found, sets)
-    return links
+    return _alike(found.join(left, "x").join(right, "y"), sketch, settings)
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -434,14 +463,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
 def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one row of each class of near duplicates: that of the smallest id, nulls first.
 
-    Null and empty texts are one class, of which one row stays; of rows that repeat in full one stays. Other columns
-    are kept as they are, whatever their names. An empty table gives an empty result.
+    Null and empty texts are one class, of which one row stays; of rows that repeat in full one stays, and of those of equal id and
+    text the first by the other columns. Very long texts are read in chunks; similarities at the threshold are alike. Other
+    columns are kept as they are, whatever their names. An empty table gives an empty result.
     """
     own, turn = fresh(docs, "own", "turn")
     kept = near_duplicates(docs, settings, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
     keyed = docs.withColumn(own, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
     out = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed[own] == kept["_kept_hash"]), "left_semi")
-    return out.withColumn(turn, F.row_number().over(W.partitionBy(id_col, own).orderBy(F.lit(0)))).filter(F.col(turn) == 1).drop(own, turn)
+    # by all columns that have an order, so that any run keeps the same row
+    order = [F.col(f.name) for f in docs.schema.fields if f.name not in (id_col, text_col) and "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind]
+    return out.withColumn(turn, F.row_number().over(W.partitionBy(id_col, own).orderBy(*order, F.lit(0)))).filter(F.col(turn) == 1).drop(own, turn)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
