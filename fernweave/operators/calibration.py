@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import importable
+from ..sources.shared import kept
+
 
 @dataclass(frozen=True)
 class Calibrator:
@@ -59,17 +62,90 @@ def thin(x: list[float], y: list[float]) -> tuple[list[float], list[float]]:
     return [x[i] for i in keep], [y[i] for i in keep]
 
 
+#: Knots nearer than these in both are one, and so are knots at one place.
+NEAR_Y, NEAR_X, SAME_X = 1e-6, 1e-4, 1e-12
+
+Block = tuple[float, float, float, float, float]
+BLOCK = "slot long, first double, run double, last double, total double, weight double"
+
+
+def _joined(a: Block, b: Block) -> Block:
+    """Neighbouring blocks as one. A block: its first x, the end of its first run of near x, its last x, sum of labels, weight."""
+    run = b[1] if a[1] == a[2] and b[0] - a[2] < NEAR_X else a[1]
+    return a[0], run, b[2], a[3] + b[3], a[4] + b[4]
+
+
+def pooled(blocks: Iterable[Block]) -> list[Block]:
+    """Adjacent violators pooled: blocks by rising x become blocks of rising means."""
+    out: list[Block] = []
+    for block in blocks:
+        while out and out[-1][3] * block[4] >= block[3] * out[-1][4]:
+            block = _joined(out.pop(), block)
+        out.append(block)
+    return out
+
+
+def isotonic_blocks(weighed: DataFrame, together: int = 8) -> list[Block]:
+    """The pooled blocks of s, label and weight, one row for each s, by rising s.
+
+    Ranges of s are pooled in parallel, then the blocks of `together` neighbouring ranges, level by level: pooling
+    the blocks of two ranges gives what pooling all their rows would. What the driver gets are the curve's own steps.
+    """
+    importable(weighed.sparkSession)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in batches for r in zip(*(pdf[c].tolist() for c in ("s", "s", "s", "total", "weight"))))
+        yield pd.DataFrame([(0, *b) for b in pooled(rows)], columns=NAMES)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first")
+        return pd.DataFrame([(int(pdf["to"].iat[0]), *b) for b in pooled(zip(*(pdf[c].tolist() for c in NAMES[1:])))], columns=NAMES)
+
+    rows = weighed.select("s", (F.col("label") * F.col("weight")).alias("total"), "weight").repartitionByRange("s").sortWithinPartitions("s")
+    level = kept(rows.mapInPandas(first, BLOCK).withColumn("slot", F.spark_partition_id().cast("long")))
+    top = level.agg(F.max("slot")).first()[0] or 0
+    while top > 0:
+        top //= together
+        level = level.withColumn("to", F.floor(F.col("slot") / together)).groupBy("to").applyInPandas(merge, BLOCK)
+    return sorted((r["first"], r["run"], r["last"], r["total"], r["weight"]) for r in level.collect())
+
+
+NAMES = [f.split()[0] for f in BLOCK.split(", ")]
+
+
+def knots(blocks: Iterable[Block]) -> tuple[list[float], list[float]]:
+    """The knots of a curve through rows of blocks, before thinning. Near rows are one knot, at the last of them.
+
+    Of a block's knots the first and the last are given: those between them are of equal height, and go when thinned.
+    """
+    x: list[float] = []
+    y: list[float] = []
+    for first, run, last, total, weight in blocks:
+        height = max(min(1.0, max(0.0, total / weight)), y[-1] if y else 0.0)
+        if x and first - x[-1] < SAME_X:
+            y[-1] = height
+        elif x and height - y[-1] < NEAR_Y and first - x[-1] < NEAR_X:
+            x[-1], y[-1] = run, height
+        else:
+            x.append(run)
+            y.append(height)
+        if last > x[-1]:
+            x.append(last)
+            y.append(height)
+    return x, y
+
+
 def fit(pairs: DataFrame, similarity: str = "similarity", label: str = "label") -> Calibrator:
-    """From similarities and 0/1 labels, as they are. Spark's isotonic regression pools; the knots are thinned here.
+    """From similarities and 0/1 labels, as they are: the rising least-squares fit, with near knots merged and plateaus thinned.
 
-    Equal similarities are pre-aggregated to one weighted row. Without pairs there is nothing to fit: a ValueError.
+    Equal similarities are pre-aggregated to one weighted row; NaN and null ones are passed over. Without pairs there is nothing to fit: a ValueError.
     """
     plain = pairs.select(F.col(similarity).cast("double").alias("s"), F.col(label).cast("double").alias("label"))
-    weighed = plain.filter("s is not null and label is not null").groupBy("s").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    if weighed.isEmpty():
+    plain = plain.filter(F.col("s").isNotNull() & ~F.isnan("s") & F.col("label").isNotNull())
+    blocks = isotonic_blocks(plain.groupBy("s").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")))
+    if not blocks:
         raise ValueError("no calibration pairs")
-    model = IsotonicRegression(weightCol="weight").fit(VectorAssembler(inputCols=["s"], outputCol="features").transform(weighed))
-    x, y = thin([float(v) for v in model.boundaries], [min(1.0, max(0.0, float(v))) for v in model.predictions])
+    x, y = thin(*knots(blocks))
     if len(x) == 1:
         x, y = [x[0], x[0] + 1e-4], [y[0], y[0]]
     return Calibrator(tuple(x), tuple(y))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import importable
+from ..sources.shared import kept
 from .calibration import Calibrator
 
-#: Rows of a block of customers and of models: the two vectors' matrices and their product are what a task holds.
+#: Rows of a block of customers and of models, at most: a task holds one of each.
 CUSTOMERS, MODELS, LEAST = 20_000, 5_000, 250
+#: Numbers of a tile of the product of two blocks, 16 MB of doubles: all that a task holds of it at a time.
+TILE = 2 << 20
+#: Groups in which a ranking's pairs are cut to k before they meet.
+LANES = 64
 PAIR = "customer_id string, model string, score double, similarity double"
 
 
@@ -29,13 +34,22 @@ def _blocks(rows: DataFrame, most: int) -> int:
     return max(1, -(-n // most), min(rows.sparkSession.sparkContext.defaultParallelism, n // LEAST))
 
 
+def tiles(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of the rows so that each slice's product with the columns has TILE numbers at most."""
+    step = max(1, TILE // max(1, columns))
+    for at in range(0, rows, step):
+        yield slice(at, min(rows, at + step))
+
+
 def by_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, make: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """make of each block of left rows and each block of right ones, inside executors; rows reach it in order of their ids.
 
-    Blocks are hash ranges of the ids. Each row is sent once for every block of the other side, and nothing is held by
-    the driver but the two counts.
+    Both sides are kept first, so what made them runs once and their rows are counted from the files. Blocks are hash
+    ranges of the ids. Each row is sent once for every block of the other side, and nothing is held by the driver
+    but the two counts.
     """
     importable(left.sparkSession)
+    left, right = kept(left), kept(right)
     n, m = _blocks(left, CUSTOMERS), max(1, -(-right.count() // MODELS))
     a = left.withColumn("_l", F.pmod(F.xxhash64(left_id), F.lit(n))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
     b = right.withColumn("_r", F.pmod(F.xxhash64(right_id), F.lit(m))).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
@@ -46,37 +60,62 @@ def by_blocks(left: DataFrame, right: DataFrame, left_id: str, right_id: str, ma
     return a.groupBy("_l", "_r").cogroup(b.groupBy("_l", "_r")).applyInArrow(block, schema)
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k largest scores; of equal ones the first places."""
+def top_of_columns(scores: np.ndarray, k: int) -> np.ndarray:
+    """A mask of the k largest scores of each column; of equal ones the first rows. NaN counts as least."""
     if len(scores) <= k:
-        return np.arange(len(scores))
-    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-    above = np.flatnonzero(scores > least)
-    return np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
+        return np.ones(scores.shape, bool)
+    scores = np.where(np.isnan(scores), -np.inf, scores)
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    above, equal = scores > least, scores == least
+    return above | (equal & (np.cumsum(equal, axis=0) <= k - above.sum(axis=0)))
+
+
+def best_of_rows(x: np.ndarray, y: np.ndarray, k: int, value: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """rows, columns, values and products of the k best columns of each row of x y', by value of the product."""
+    out = []
+    for part in tiles(len(x), len(y)):
+        dots = x[part] @ y.T
+        worth = dots if value is None else value(dots)
+        rows, columns = np.nonzero(top_of_columns(worth.T, k).T)
+        out.append((part.start + rows, columns, worth[rows, columns], dots[rows, columns]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def best_of_columns(x: np.ndarray, y: np.ndarray, k: int, value: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """rows, columns, values and products of the k best rows of each column of x y': a running best over tiles of rows."""
+    held = [np.zeros((0, len(y)), np.int64), np.zeros((0, len(y))), np.zeros((0, len(y)))]
+    for part in tiles(len(x), len(y)):
+        dots = x[part] @ y.T
+        # what is held stands first and in order, so that of equal ones the first rows stay
+        new = [np.broadcast_to(np.arange(part.start, part.stop)[:, None], dots.shape), dots if value is None else value(dots), dots]
+        held = [np.vstack(pair) for pair in zip(held, new)]
+        if len(held[0]) > k:
+            places = np.nonzero(top_of_columns(held[1], k).T)[1].reshape(-1, k).T
+            held = [np.take_along_axis(a, places, axis=0) for a in held]
+    rows, worth, dots = held
+    return rows.ravel(), np.broadcast_to(np.arange(len(y)), rows.shape).ravel(), worth.ravel(), dots.ravel()
 
 
 def _scored(customers: DataFrame, models: DataFrame, per_customer: bool, k: int, curve: Calibrator | None = None) -> DataFrame:
     """The k best pairs of each customer, or of each model, within each pair of blocks. score: the curve's value, or the similarity."""
+    best, value = best_of_rows if per_customer else best_of_columns, None if curve is None else curve.values
 
     def score(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return pa.table({"customer_id": pa.array([], pa.string()), "model": pa.array([], pa.string()), "score": pa.array([], pa.float64()), "similarity": pa.array([], pa.float64())})
-        dots = _matrix(x["vector"]) @ _matrix(y["vector"]).T
-        value = dots if curve is None else curve.values(dots)
-        if per_customer:
-            hits = [(np.full(len(c), i), c) for i, row in enumerate(value) for c in [_best(row, k)]]
-        else:
-            hits = [(c, np.full(len(c), j)) for j, column in enumerate(value.T) for c in [_best(column, k)]]
-        rows, cols = (np.concatenate(h) for h in zip(*hits))
-        return pa.table({"customer_id": x["customer_id"].take(pa.array(rows)), "model": y["model"].take(pa.array(cols)), "score": value[rows, cols], "similarity": dots[rows, cols]})
+        rows, cols, worth, dots = best(_matrix(x["vector"]), _matrix(y["vector"]), k, value)
+        return pa.table({"customer_id": x["customer_id"].take(pa.array(rows)), "model": y["model"].take(pa.array(cols)), "score": worth, "similarity": dots})
 
     vector = F.col("vector").cast("array<double>").alias("vector")
     return by_blocks(customers.select("customer_id", vector), models.select("model", vector), "customer_id", "model", score, PAIR)
 
 
 def _ranked(pairs: DataFrame, group: str, other: str, name: str, k: int) -> DataFrame:
-    turn = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), other))
-    return pairs.withColumn(name, turn).filter(F.col(name) <= k)
+    """The k best pairs of each group: first of each lane of it, then of what the lanes leave."""
+    order = [F.desc("score"), F.col(other)]
+    lane = F.pmod(F.xxhash64(other), F.lit(LANES))
+    few = pairs.withColumn("_lane", lane).withColumn("_turn", F.row_number().over(W.partitionBy(group, "_lane").orderBy(*order))).filter(F.col("_turn") <= k)
+    return few.drop("_lane", "_turn").withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col(name) <= k)
 
 
 def rank_customers(customers: DataFrame, models: DataFrame, k: int = 100) -> DataFrame:
@@ -102,12 +141,15 @@ def target_ranks(customers: DataFrame, models: DataFrame) -> DataFrame:
     def count(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return pa.table({"customer_id": x["customer_id"], "ahead": pa.array(np.zeros(x.num_rows, np.int64))})
-        vectors = _matrix(x["vector"])
-        scores = vectors @ _matrix(y["vector"]).T
+        vectors, among = _matrix(x["vector"]), _matrix(y["vector"])
         own = np.einsum("ij,ij->i", vectors, _matrix(x["target_vector"]))[:, None]
-        place, codes = x["target_position"].to_numpy()[:, None], np.array(y["model"].to_pylist())
-        ahead = ((scores > own) | ((scores == own) & (y["position"].to_numpy()[None, :] < place))) & (codes[None, :] != np.array(x["target"].to_pylist())[:, None])
-        return pa.table({"customer_id": x["customer_id"], "ahead": ahead.sum(axis=1).astype(np.int64)})
+        place, position, codes = x["target_position"].to_numpy()[:, None], y["position"].to_numpy()[None, :], np.array(y["model"].to_pylist())[None, :]
+        target, ahead = np.array(x["target"].to_pylist())[:, None], np.zeros(len(vectors), np.int64)
+        for part in tiles(len(vectors), len(among)):
+            scores = vectors[part] @ among.T
+            first = (scores > own[part]) | ((scores == own[part]) & (position < place[part]))
+            ahead[part] = (first & (codes != target[part])).sum(axis=1)
+        return pa.table({"customer_id": x["customer_id"], "ahead": ahead})
 
     asked = customers.select("customer_id", F.col("vector").cast("array<double>"), "target", F.col("target_position").cast("long"), F.col("target_vector").cast("array<double>"))
     among = models.select("model", F.col("position").cast("long"), F.col("vector").cast("array<double>"))
@@ -161,10 +203,15 @@ def score_comparison(by_similarity: DataFrame, by_like: DataFrame, customers: Da
 MOST_ASKED = 200
 
 
-def recommend(customers: DataFrame, catalog: DataFrame, model: str, curve: Calibrator, as_of: str, limit: int = 100) -> DataFrame:
-    """customer_rank, customer_id, like_score (four places), similarity: the customers for one model of the catalog (model, visual)."""
-    if not 1 <= limit <= MOST_ASKED:
-        raise ValueError(f"limit must be between 1 and {MOST_ASKED}")
+def recommend(customers: DataFrame, catalog: DataFrame, model: str, curve: Calibrator, as_of: str, limit: int | None = 100) -> DataFrame:
+    """customer_rank, customer_id, like_score (four places), similarity: the customers for one model of the catalog (model, visual).
+
+    limit: none is 100, above MOST_ASKED is MOST_ASKED, below 1 is an error.
+    """
+    limit = 100 if limit is None else limit
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
+    limit = min(limit, MOST_ASKED)
     known = catalog.filter(F.col("model") == model).select("model", F.col("visual").alias("vector")).limit(2).collect()
     if not known:
         raise KeyError(f"unknown model {model}")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
-from .ranking import _best, _matrix, by_blocks, rank_models
+from .ranking import _matrix, best_of_rows, by_blocks, rank_models, tiles, top_of_columns
 
 
 def unpivot_views(catalog: DataFrame) -> DataFrame:
@@ -50,11 +50,9 @@ def rank_images(queries: DataFrame, images: DataFrame, k: int = 100) -> DataFram
     def score(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return IMAGES.empty_table()
-        dots = _matrix(x["vector"]) @ _matrix(y["vector"]).T
-        hits = [(np.full(len(c), i), c) for i, row in enumerate(dots) for c in [_best(row, k)]]
-        rows, cols = (np.concatenate(h) for h in zip(*hits))
+        rows, cols, _, dots = best_of_rows(_matrix(x["vector"]), _matrix(y["vector"]), k)
         at = pa.array(cols)
-        return pa.table([x["query_id"].take(pa.array(rows)), *[y[c].take(at) for c in ("model", "image_type", "position")], pa.array(dots[rows, cols])], schema=IMAGES)
+        return pa.table([x["query_id"].take(pa.array(rows)), *[y[c].take(at) for c in ("model", "image_type", "position")], pa.array(dots)], schema=IMAGES)
 
     among = images.select("model", "image_type", F.col("position").cast("long").alias("position"), _vector("embedding"))
     scores = by_blocks(queries.select("query_id", _vector("vector")), among, "query_id", "position", score, "query_id string, model string, image_type string, position long, similarity double")
@@ -67,8 +65,9 @@ IMAGES = pa.schema([("query_id", pa.string()), ("model", pa.string()), ("image_t
 def rank_models_by_best(queries: DataFrame, images: DataFrame, k: int = 100) -> DataFrame:
     """query_id, rank, model, model_score, best_image_type: models by the largest similarity of a view, never the mean.
 
-    Of equal views the first counts; ties by model, then view. Each pair of blocks sends a row for each query and model
-    of the block, and the k best are left.
+    Of equal views the first counts; ties by model, then view. Each pair of blocks sends the best view of its k best models
+    a query. That is enough, wherever a model's views lie: in the block of its best view no more models can stand
+    before it than among all.
     """
 
     def score(x: pa.Table, y: pa.Table) -> pa.Table:
@@ -77,12 +76,18 @@ def rank_models_by_best(queries: DataFrame, images: DataFrame, k: int = 100) ->
         codes, at = np.unique(np.array(y["model"].to_pylist(), object).astype(str), return_inverse=True)
         order = np.argsort(at, kind="stable")  # within a model by position
         cuts = np.searchsorted(at[order], np.arange(len(codes)))
-        dots = (_matrix(x["vector"]) @ _matrix(y["vector"]).T)[:, order]
-        best = np.maximum.reduceat(dots, cuts, axis=1)
-        firsts = np.stack([a + np.argmax(dots[:, a:b], axis=1) for a, b in zip(cuts, [*cuts[1:], len(order)])], axis=1)
-        place = pa.array(order[firsts].ravel())
-        rows = pa.array(np.repeat(np.arange(x.num_rows), len(codes)))
-        return pa.table([x["query_id"].take(rows), *[y[c].take(place) for c in ("model", "image_type", "position")], pa.array(best.ravel())], schema=IMAGES)
+        vectors, among, sizes = _matrix(x["vector"]), _matrix(y["vector"])[order], np.diff(np.append(cuts, len(order)))
+        hits = []
+        for part in tiles(len(vectors), 3 * len(among)):
+            dots = vectors[part] @ among.T
+            best = np.maximum.reduceat(dots, cuts, axis=1)
+            firsts = np.minimum.reduceat(np.where(dots == np.repeat(best, sizes, axis=1), np.arange(len(order)), len(order)), cuts, axis=1)
+            # models stand in order of their codes
+            rows, models = np.nonzero(top_of_columns(best.T, k).T)
+            hits.append((part.start + rows, order[firsts[rows, models]], best[rows, models]))
+        rows, place, value = (np.concatenate(c) for c in zip(*hits))
+        at = pa.array(place)
+        return pa.table([x["query_id"].take(pa.array(rows)), *[y[c].take(at) for c in ("model", "image_type", "position")], pa.array(value)], schema=IMAGES)
 
     among = images.select("model", "image_type", F.col("position").cast("long").alias("position"), _vector("embedding"))
     scores = by_blocks(queries.select("query_id", _vector("vector")), among, "query_id", "position", score, "query_id string, model string, image_type string, position long, similarity double")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import extraction as E
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import calibration, customers, decisions, encoders, integrity, lookups, memory_index, metrics, purchases, ranking, retrieval, towers
+from ..operators import calibration, customers, decisions, encoders, examples, integrity, lookups, memory_index, metrics, purchases, ranking, retrieval, towers
 from ..sources import datasets, snapshots
+from ..sources.shared import kept
 from ..streaming import customers as streams
 from . import tables as T
 from .tables import with_tables
@@ -283,9 +284,9 @@ def vocab_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    """customer_id, vector, last_purchase_date of customers that aren't excluded."""
+    """customer_id, vector, last_purchase_date of customers that aren't excluded, kept: a query may use them several times."""
     now = _current(spark, d).filter("excluded is null")
-    return customers.mean_vectors(now, T.catalog(spark, d), keep=("last_purchase_date",))
+    return kept(customers.mean_vectors(now, T.catalog(spark, d), keep=("last_purchase_date",)))
 
 
 def _models(spark: SparkSession, d: str) -> DataFrame:
@@ -607,6 +608,55 @@ def eval_rank_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[micro(F.col(c)).alias(c) for c in out.columns[:-1]], "examples")
 
 
+EXAMPLES = (
+    with_tables("examples")
+    + f""", {BOUNDS}, numbered as (select s.*, {SPLIT} as split from examples s, bounds where reason = 'ok'),
+seen as (
+  select u.customer_id, u.place, u.i as turn, c.visual
+  from (select customer_id, place, unnest(history[-20:]) as h, generate_subscripts(history[-20:], 1) as i from numbered) u join catalog c on c.model = u.h and c.visual is not null),
+summed as (
+  select customer_id, place, i, sum(visual[i]::double) as m, count(*) as used from seen, range(1, 65) as t(i) group by all),
+as_of as (
+  select customer_id, place, any_value(used) as used, list(m order by i) as total from summed group by 1, 2),
+held as (
+  select e.customer_id, e.place, e.model, e.split, a.used, list_transform(total, lambda x: x / sqrt(list_dot_product(total, total))) as vector
+  from numbered e join as_of a on a.customer_id = e.customer_id and a.place = e.place)"""
+)
+
+
+def _example_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """customer_id, place, model, split, used, vector of all examples, kept."""
+    bought = T.prepared(spark, d)
+    bounds = F.broadcast(purchases.split_bounds(bought))
+    found = examples.example_vectors(bought, T.catalog(spark, d), T.DIMENSION, ties=T.TIES)
+    split = purchases.split_of(F.col("purchase_date"), F.col("train_end"), F.col("validation_end"))
+    return kept(found.crossJoin(bounds).select("customer_id", "place", "model", split.alias("split"), "used", "vector"))
+
+
+@query(EXAMPLES + f" select customer_id, place, model, split, used, {M.format('list_dot_product(vector, visual::double[])')} as similarity_micro from held join catalog using (model)")
+def example_similarities(spark: SparkSession, d: str) -> DataFrame:
+    looks = T.catalog(spark, d).select("model", "visual")
+    return _example_vectors(spark, d).join(looks, "model").select("customer_id", "place", "model", "split", "used", micro(V.dot(F.col("vector"), F.col("visual"))).alias("similarity_micro"))
+
+
+@query(
+    EXAMPLES
+    + f""", asked as (select * from held where split = 'test'),
+scores as (select customer_id, place, a.model as target, c.model, c.model_id, list_dot_product(a.vector, c.visual::double[]) as score from asked a, catalog c where c.visual is not null),
+ranks as (
+  select s.customer_id, s.place, 1 + count(*) filter (s.model <> s.target and (s.score > t.score or (s.score = t.score and s.model_id < t.model_id))) as rank
+  from scores s join scores t on t.customer_id = s.customer_id and t.place = s.place and t.model = t.target group by 1, 2)
+select {M.format("avg(case when rank <= 5 then 1.0 else 0.0 end)")} as recall_5, {M.format("avg(case when rank <= 10 then 1.0 else 0.0 end)")} as recall_10, {M.format("avg(case when rank <= 20 then 1.0 else 0.0 end)")} as recall_20,
+  {M.format("avg(case when rank <= 10 then 1 / log2(rank + 1) else 0.0 end)")} as ndcg_10, {M.format("avg(1.0 / rank)")} as mrr, {M.format("avg(case when rank <= 10 then 1.0 else 0.0 end)")} as hit_rate, count(*) as examples from ranks"""
+)
+def example_rank_metrics(spark: SparkSession, d: str) -> DataFrame:
+    models = T.catalog(spark, d).filter("visual is not null").select("model", F.col("model_id").alias("position"), F.col("visual").alias("vector"))
+    target = models.select(F.col("model").alias("target"), F.col("position").alias("target_position"), F.col("vector").alias("target_vector"))
+    asked = _example_vectors(spark, d).filter("split = 'test'").select(F.concat_ws("-", "customer_id", "place").alias("customer_id"), F.col("model").alias("target"), "vector")
+    out = metrics.ranking_metrics(ranking.target_ranks(asked.join(target, "target"), models))
+    return out.select(*[micro(F.col(c)).alias(c) for c in out.columns[:-1]], "examples")
+
+
 @query(
     f"""with x as (select vec_id, abs(embedding[1]::double) as s from embeddings)
 select vec_id, {M.format("(case when s <= 0.10 then 0.0 when s < 0.40 then 0.0 + (s - 0.10) * ((0.3333333333333333 - 0.0) / (0.40 - 0.10)) when s < 0.55 then 0.3333333333333333 + (s - 0.40) * ((1.0 - 0.3333333333333333) / (0.55 - 0.40)) else 1.0 end)")} as like_micro from x"""
@@ -616,15 +666,28 @@ def like_score_transform(spark: SparkSession, d: str) -> DataFrame:
     return T.read(spark, d, "embeddings").select("vec_id", micro(CURVE.transform(s)).alias("like_micro"))
 
 
+def _curve_of(spark: SparkSession, held: DataFrame, catalog: DataFrame) -> DataFrame:
+    """x, y of the curve fitted on held (example_id, target, vector): their targets against models drawn for each."""
+    held, looks = kept(held), catalog.select("model", "visual")
+    negatives = calibration.negative_sample(held.select("example_id", "target"), looks)
+    pairs = held.select("example_id", F.col("target").alias("model"), F.lit(1).alias("label")).unionByName(negatives.select("example_id", F.col("negative").alias("model"), F.lit(0).alias("label")))
+    scored = pairs.join(held.select("example_id", "vector"), "example_id").join(looks, "model")
+    curve = calibration.fit(scored.select(V.dot(F.col("vector"), F.col("visual")).alias("similarity"), "label"))
+    return spark.createDataFrame(list(zip(curve.x, curve.y)), "x double, y double")
+
+
 @query()
 def like_score_fit(spark: SparkSession, d: str) -> DataFrame:
     catalog = T.catalog(spark, d).filter("visual is not null")
     held = customers.mean_vectors(_held_out(spark, d), catalog, keep=("target",))
-    negatives = calibration.negative_sample(held.select(F.col("customer_id").alias("example_id"), "target"), catalog)
-    pairs = held.select("customer_id", F.col("target").alias("model"), F.lit(1).alias("label")).unionByName(negatives.select(F.col("example_id").alias("customer_id"), F.col("negative").alias("model"), F.lit(0).alias("label")))
-    scored = pairs.join(held.select("customer_id", "vector"), "customer_id").join(catalog.select("model", "visual"), "model")
-    curve = calibration.fit(scored.select(V.dot(F.col("vector"), F.col("visual")).alias("similarity"), "label"))
-    return spark.createDataFrame(list(zip(curve.x, curve.y)), "x double, y double")
+    return _curve_of(spark, held.withColumnRenamed("customer_id", "example_id"), catalog)
+
+
+@query()
+def example_calibrator(spark: SparkSession, d: str) -> DataFrame:
+    train = _example_vectors(spark, d).filter("split = 'train'")
+    held = train.select(F.concat_ws("-", "customer_id", "place").alias("example_id"), F.col("model").alias("target"), "vector")
+    return _curve_of(spark, held, T.catalog(spark, d).filter("visual is not null"))
 
 
 @query()
