@@ -5,6 +5,7 @@ Scores and ratios are compared in millionths, since engines may add doubles in a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import extraction as E
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import calibration, customers, decisions, encoders, examples, integrity, lookups, memory_index, metrics, purchases, ranking, retrieval, towers
+from ..operators import calibration, customers, decisions, encoders, examples, integrity, lookups, memory_index, metrics, purchases, ranking, retrieval, scorer, towers
 from ..sources import datasets, snapshots
-from ..sources.shared import kept
+from ..sources.shared import kept, shared_folder
 from ..streaming import customers as streams
 from . import tables as T
 from .tables import with_tables
@@ -326,6 +327,28 @@ def rank_with_recency(spark: SparkSession, d: str) -> DataFrame:
     return ranking.rank_eligible(_vectors(spark, d), _models(spark, d), T.AS_OF, 10).select("model", "customer_rank", "customer_id", micro(F.col("score")).alias("score_micro"))
 
 
+def _arriving(spark: SparkSession, d: str) -> tuple[scorer.CustomerCache, list[dict[str, int]]]:
+    """A cache after three updates: most purchases, then some that are earlier and later ones mixed, then the rest."""
+    bought = kept(T.prepared(spark, d).withColumn("arrival", F.when(F.col("purchase_id") % 10 < 8, 1).when(F.col("purchase_id") % 1000 == 8, 2).otherwise(3).cast("long")))
+    cache, looks = scorer.CustomerCache(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", ties=T.TIES), T.catalog(spark, d)
+    return cache, [cache.update(bought.filter(F.col("arrival") <= n), looks, "arrival") for n in (1, 2, 3)]
+
+
+@query(with_tables("pooled") + PAIRS + LAST + ELIGIBLE + f" select model, customer_rank::int as customer_rank, customer_id, {M.format('score')} as score_micro from ranked where customer_rank <= 10")
+def cached_ranking(spark: SparkSession, d: str) -> DataFrame:
+    cache, _ = _arriving(spark, d)
+    return ranking.rank_eligible(cache.vectors(), _models(spark, d), T.AS_OF, 10).select("model", "customer_rank", "customer_id", micro(F.col("score")).alias("score_micro"))
+
+
+@query(
+    with_tables("prepared")
+    + """ select case when purchase_id % 10 < 8 then 1 when purchase_id % 1000 = 8 then 2 else 3 end as version, count(*) as arrived, count(distinct customer_id) as touched from prepared group by 1"""
+)
+def cached_updates(spark: SparkSession, d: str) -> DataFrame:
+    _, made = _arriving(spark, d)
+    return spark.createDataFrame([(u["version"], u["arrived"], u["touched"]) for u in made], "version int, arrived long, touched long")
+
+
 @query(
     with_tables("prepared")
     + LAST
