@@ -15,8 +15,9 @@ from ..functions import extraction as E
 from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import calibration, customers, decisions, encoders, examples, integrity, lookups, memory_index, metrics, purchases, ranking, retrieval, scorer, towers
-from ..sources import datasets, snapshots
+from ..sources import datasets, procs, snapshots
 from ..sources.shared import kept, shared_folder
+from ..sources.versions import VersionStore
 from ..streaming import customers as streams
 from . import tables as T
 from .tables import with_tables
@@ -879,6 +880,59 @@ def stale_audit(spark: SparkSession, d: str) -> DataFrame:
     return integrity.stale_images(stored, now).select("model", "stale")
 
 
+REFRESH = """with images as (
+  select vec_id, label::varchar as model, 'v' || vec_id as image_type, vec_id % 11 = 0 as changed, vec_id % 13 = 0 as blank from embeddings)
+"""
+
+
+@query(
+    REFRESH.rstrip()
+    + """, counts as (select count(*) as n, count(*) filter (changed or blank) as stale from images)
+select unnest(['before', 'after_failure', 'after_refresh']) as moment, n as images, unnest([stale, stale, 0]) as stale, n - unnest([stale, stale, 0]) as fresh, unnest([1, 1, 2])::int as version from counts"""
+)
+def refresh_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Audits of stored images: before, after a refresh that one image's failure stopped, and after a whole one."""
+    e = T.read(spark, d, "embeddings")
+    at, text = F.col("vec_id"), F.to_json(F.transform("embedding", lambda x: x.cast("double")))
+    named = e.select(at, F.col("label").cast("string").alias("model"), F.concat(F.lit("v"), at.cast("string")).alias("image_type"), "embedding", text.alias("text"))
+    stored = named.select(
+        "model", "image_type", F.when(at % 2 == 0, at + 1).alias("row_id"), at.alias("model_id"), F.lit(T.VECTOR_MODEL).alias("embedding_model"), F.lit(T.DIMENSION).alias("embedding_dimension"),
+        F.col("text").alias("embedding"), F.when(at % 13 != 0, F.sha2("text", 256)).alias("image_hash"),
+    )
+    # what a source gives now: every eleventh image is another one
+    now = named.withColumn("embedding", F.when(at % 11 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
+    hashes = now.select("model", "image_type", F.sha2(F.to_json(F.transform("embedding", lambda x: x.cast("double"))), 256).alias("image_hash"), F.lit(None).cast("string").alias("error"))
+    store = VersionStore(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    store.swap(store.current(), [store.write(stored)])
+
+    def audited(moment: str) -> DataFrame:
+        version = store.current()
+        out = integrity.audit(store.segment(version.segments[-1]), hashes)
+        return out.agg(F.lit(moment).alias("moment"), F.count(F.lit(1)).alias("images"), F.count_if("stale").alias("stale"), F.count_if(~F.col("stale")).alias("fresh"), F.lit(version.number).alias("version"))
+
+    before = audited("before")
+    stale = kept(integrity.audit(store.segment(store.current().segments[-1]), hashes))
+    try:
+        # one image has no vector of the dimension
+        integrity.refresh_store(store, stale, now.withColumn("embedding", F.when(at == 0, F.slice("embedding", 1, 5)).otherwise(F.col("embedding"))), T.VECTOR_MODEL, T.DIMENSION)
+    except Exception as error:
+        if "INVALID_VECTOR" not in str(error):
+            raise
+    failed = audited("after_failure")
+    integrity.refresh_store(store, stale, now, T.VECTOR_MODEL, T.DIMENSION)
+    return before.unionByName(failed).unionByName(audited("after_refresh"))
+
+
+@query("select p_partkey as model_id, p_brand as brand, p_size as size from part where p_brand = (select min(p_brand) from part) and p_size = 7")
+def procedure_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A procedure with a JSON argument, called in SQL over the whole catalog."""
+    parts = T.read(spark, d, "part").select(F.col("p_partkey").alias("model_id"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    parts.createOrReplaceTempView("fernweave_parts")
+    spark.udtf.register("models_like", procs.filtering("model_id long, brand string, size int"))
+    least = parts.agg(F.min("brand")).first()[0]
+    return spark.sql("SELECT * FROM models_like(TABLE(fernweave_parts), :value)", {"value": procs.argument({"brand": least, "size": 7})})
+
+
 @query()
 def tower_scores(spark: SparkSession, d: str) -> DataFrame:
     """Best models of each customer by the two towers, with weights from a seed."""
