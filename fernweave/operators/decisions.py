@@ -25,6 +25,44 @@ def parse_verdicts(output: Column) -> Column:
     return F.coalesce(*found)
 
 
+def _kind(value: Column) -> Column:
+    """STRING, BIGINT, OBJECT, ARRAY and others: the outermost type of a variant; null for none."""
+    return F.regexp_extract(F.schema_of_variant(value), r"^(\w+)", 1)
+
+
+def _said(part: Column) -> Column:
+    """The text of a part of an answer: the part itself, or its field text, if that is a text; else nothing."""
+    inner = F.try_variant_get(part, "$.text", "variant")
+    return F.when(_kind(part) == "STRING", F.try_variant_get(part, "$", "string")).when((_kind(part) == "OBJECT") & (_kind(inner) == "STRING"), F.try_variant_get(inner, "$", "string")).otherwise("")
+
+
+def _list(value: Column, path: str) -> Column:
+    """The items of an array of any items; none where it is anything else."""
+    held = F.try_variant_get(value, path, "variant")
+    return F.coalesce(F.when(_kind(held) == "ARRAY", F.try_variant_get(held, "$", "array<variant>")), F.array().cast("array<variant>"))
+
+
+def output_text(output: Column) -> Column:
+    """The text of a verifier's answer to read verdicts from; null where it failed.
+
+    An answer is a text, an object with candidates (itself), an object with a text in text or output_text, or a list of items, whose
+    contents and own texts are joined. An object whose result is "failed" is a failure, and so is null.
+    """
+    value = F.try_parse_json(output)
+    items = F.filter(_list(value, "$"), lambda i: _kind(i) == "OBJECT")
+    chunks = F.flatten(F.transform(items, lambda i: F.array_append(F.transform(_list(i, "$.content"), _said), _said(i))))
+    told = lambda name: F.when(_kind(F.try_variant_get(value, f"$.{name}", "variant")) == "STRING", F.nullif(F.trim(F.try_variant_get(value, f"$.{name}", "string")), F.lit("")))
+    whole = F.when(F.try_variant_get(value, "$.result", "string") == "failed", F.lit(None).cast("string"))
+    whole = whole.when(_kind(F.try_variant_get(value, "$.candidates", "variant")) == "ARRAY", output).otherwise(F.coalesce(told("text"), told("output_text")))
+    quoted = F.try_variant_get(value, "$", "string")
+    return F.when(_kind(value) == "OBJECT", whole).when(_kind(value) == "ARRAY", F.array_join(chunks, "")).when(_kind(value) == "STRING", quoted).otherwise(output)
+
+
+def parse_output(output: Column) -> Column:
+    """candidates of a verifier's answer in any of its forms (output_text); null where it failed or holds none."""
+    return parse_verdicts(output_text(output))
+
+
 def normalize_verdict(row: Column) -> Column:
     verdict = F.lower(F.trim(F.coalesce(row["verdict"], F.lit("uncertain"))))
     return F.struct(

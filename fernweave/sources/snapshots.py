@@ -74,12 +74,40 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+VIEWS = ("main", "pers", "side")
+
+
 def payload_jobs(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(jobs, errors) of JSON payloads: a row for each model and view; a blank or non-HTTP address is an error."""
-    schema = "models array<struct<model_id:string,model:string,images:map<string,string>>>"
-    models = payloads.select(F.explode(F.from_json(column, schema)["models"]).alias("m"))
-    views = models.select("m.model_id", F.trim("m.model").alias("model"), F.explode("m.images").alias("image_type", "url"))
-    judged = views.withColumn("error", F.when(F.col("model").isNull() | (F.col("model") == ""), "INVALID_MODEL").when(~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False)), "INVALID_URL"))
+    """(jobs, errors) of JSON payloads {"models": [{model_id, model, images: {main, pers, side}}]}: a row for each model and view.
+
+    An error has what is known of its place, and a code: MALFORMED_JSON for text that is no JSON (null too), UNSUPPORTED_PAYLOAD for JSON without
+    a list of models, INVALID_MODEL_ENTRY for an entry without a model or images, INVALID_URL for an address that is no text, blank, or not HTTP.
+    Views of other names are passed over. One bad payload or entry costs no other.
+    """
+    get = F.try_variant_get
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
+    text = lambda v: F.when(kind(v).isin("OBJECT", "ARRAY"), F.to_json(v)).otherwise(get(v, "$", "string"))
+    parsed = payloads.select(F.try_parse_json(F.coalesce(F.col(column).cast("string"), F.lit(""))).alias("v"))
+    listed = F.coalesce(kind(get("v", "$.models", "variant")) == "ARRAY", F.lit(False))
+    whole = F.when(F.col("v").isNull(), "MALFORMED_JSON").when(~listed, "UNSUPPORTED_PAYLOAD")
+    none = F.array(F.lit(None).cast("variant"))
+    entries = parsed.select(whole.alias("error"), F.explode(F.when(whole.isNull(), get("v", "$.models", "array<variant>")).otherwise(none)).alias("m"))
+    images = get("m", "$.images", "variant")
+    model = get("m", "$.model", "variant")
+    entry = (kind(F.col("m")) == "OBJECT") & model.isNotNull() & (kind(model) != "VOID") & (kind(images) == "OBJECT")
+    bad = F.when(F.col("error").isNotNull(), F.col("error")).when(~F.coalesce(entry, F.lit(False)), "INVALID_MODEL_ENTRY")
+    # views that the entry has, with a null address too
+    names = F.from_json(F.to_json(images), "map<string,string>")
+    own = F.filter(F.array(*map(F.lit, VIEWS)), lambda t: F.array_contains(F.map_keys(names), t))
+    rows = entries.select(bad.alias("error"), text(get("m", "$.model_id", "variant")).alias("model_id"), F.trim(text(model)).alias("model"), images.alias("images"), F.explode(F.when(bad.isNull(), own).otherwise(F.array(F.lit(None).cast("string")))).alias("image_type"))
+    views = F.lit(None).cast("variant")
+    for t in VIEWS:
+        views = F.when(F.col("image_type") == t, get("images", f"$.{t}", "variant")).otherwise(views)
+    url = F.when(kind(views) == "STRING", F.trim(get(views, "$", "string")))
+    judged = rows.select(
+        "model_id", "model", "image_type", url.alias("url"),
+        F.coalesce("error", F.when(F.col("model") == "", "INVALID_MODEL"), F.when(~F.coalesce(url.rlike("^https?://"), F.lit(False)), "INVALID_URL")).alias("error"),
+    )
     return judged.filter("error is null").drop("error"), judged.filter("error is not null")
 
 
