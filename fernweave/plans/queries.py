@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import extraction as E
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import calibration, customers, decisions, encoders, examples, integrity, lookups, memory_index, metrics, purchases, ranking, retrieval, scorer, towers
+from ..operators import calibration, customers, decisions, encoders, examples, integrity, lookups, matching, memory_index, metrics, purchases, ranking, retrieval, scorer, towers
 from ..sources import datasets, procs, snapshots
 from ..sources.shared import kept, shared_folder
 from ..sources.versions import VersionStore
@@ -880,6 +880,76 @@ def stale_audit(spark: SparkSession, d: str) -> DataFrame:
     return integrity.stale_images(stored, now).select("model", "stale")
 
 
+MATCHED = (
+    SCANNED
+    + """, prompts as (
+  select (select list(embedding::double[]) from embeddings where vec_id between 0 and 2) as footwear, (select list(embedding::double[]) from embeddings where vec_id between 3 and 5) as junk,
+         (select list(embedding::double[]) from embeddings where vec_id between 6 and 8) as orders, (select list(embedding::double[]) from embeddings where vec_id between 9 and 11) as delivery),
+crops as (
+  select vec_id // 4 + 1 as image_id, vec_id % 4 as crop, [1.0, 0.5, 0.3, 0.05][vec_id % 4 + 1]::double as area, embedding::double[] as v,
+    list_max(list_transform(footwear, lambda p: list_dot_product(embedding::double[], p))) as f, list_max(list_transform(junk, lambda p: list_dot_product(embedding::double[], p))) as j,
+    list_max(list_transform(orders, lambda p: list_dot_product(embedding::double[], p))) as o, list_max(list_transform(delivery, lambda p: list_dot_product(embedding::double[], p))) as s
+  from embeddings, prompts),
+seen as (
+  select image_id, crop, c.label::varchar as model, c.vec_id, c.vec_id % 3 as kind, list_dot_product(v, c.embedding::double[]) as score from crops, embeddings c where c.vec_id % 16 < 3),
+models as (
+  select *, row_number() over (partition by image_id, crop order by score desc, model) as rank from (
+    select *, row_number() over (partition by image_id, crop, model order by score desc, vec_id) as turn from seen) where turn = 1),
+scored as (
+  select c.*, m.score, (crop = 0 or area >= 0.12) and (f >= j or m.score >= 0.62) as shoe from crops c join models m using (image_id, crop) where rank = 1),
+best as (
+  select image_id, first(crop order by round(score, 5) desc, crop = 0, area) filter (shoe) as best, first(crop order by round(score, 5) desc, crop = 0, area) as near, any_value(f) filter (crop = 0) as f, any_value(j) filter (crop = 0) as j, any_value(o) filter (crop = 0) as o, any_value(s) filter (crop = 0) as s
+  from scored group by 1),
+texts as (select notice_id as image_id, notice_id % 3 = 0 and strong_order as strong_order, notice_id % 3 = 0 and strong_delivery as strong_delivery, case when notice_id % 3 = 0 then kind end as doc from scanned),
+told as (
+  select b.*, coalesce(strong_order, false) as strong_order, coalesce(strong_delivery, false) as strong_delivery,
+    coalesce(doc, case when o >= s and o >= j then 'order' when s >= j then 'delivery_notice' else 'garbage' end) as told,
+    case when o >= f and o >= j then 'order' when f >= j then 'shoe' else 'garbage' end as scene
+  from best b left join texts using (image_id)),
+kinds as (
+  select *, case when strong_order then 'order' when strong_delivery then 'delivery_notice' when best is not null then 'shoe' when told in ('order', 'delivery_notice') then told
+    when scene = 'garbage' then 'garbage' else 'unknown' end as kind from told),
+chosen as (select *, case kind when 'shoe' then best when 'unknown' then near else 0 end as crop from kinds)"""
+)
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    e, at = T.read(spark, d, "embeddings"), F.col("vec_id")
+    prompts = matching.Prompts(*[tuple(map(tuple, _prompts(e, low, low + 2))) for low in (0, 3, 6, 9)])
+    share = F.get(F.array(*map(F.lit, (1.0, 0.5, 0.3, 0.05))), (at % 4).cast("int"))
+    crops = e.select((F.floor(at / 4) + 1).alias("image_id"), (at % 4).cast("int").alias("crop"), share.alias("area_share"), F.col("embedding").cast("array<double>").alias("vector"))
+    texts = T.scans(spark, d).filter("notice_id % 3 = 0").select(F.col("notice_id").alias("image_id"), "text")
+    pictures = crops.select("image_id").distinct().join(texts, "image_id", "left")
+    return matching.match_images(pictures, crops, T.images(spark, d).filter("position % 16 < 3"), prompts, top=5, verify_top=3)
+
+
+@query(
+    MATCHED
+    + f""", listed as (select image_id, crop, string_agg(model, ',' order by rank) as models, max(score) as score from models where rank <= 5 group by 1, 2)
+select image_id, kind, case when kind in ('shoe', 'unknown') then 'needs_verification' else kind end as status, c.crop::int as crop, c.crop > 0 as isolated,
+  case when kind in ('shoe', 'unknown') then models else '' end as models, case when kind in ('shoe', 'unknown') then {M.format('score')} end as score_micro
+from chosen c join listed using (image_id, crop)"""
+)
+def matched_images(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array_join(F.transform("candidates", lambda c: c["model"]), ",")
+    return _matched(spark, d).select("image_id", "kind", "status", "crop", "isolated", names.alias("models"), micro(F.col("catalog_score")).alias("score_micro"))
+
+
+@query(
+    MATCHED
+    + """, slots as (
+  select image_id, crop, rank, m.model, i.kind + 1 as spot from chosen c join models m using (image_id, crop)
+  left join (select distinct label::varchar as model, vec_id % 3 as kind from embeddings where label <> 4) i on i.model = m.model where c.kind in ('shoe', 'unknown') and rank <= 3)
+select image_id, 'customer,' || string_agg('candidate_' || rank || '/' || model || '/' || ['main', 'pers', 'side'][coalesce(spot, 1)], ',' order by rank, coalesce(spot, 1)) as slots, count(*) filter (spot is null) as without_views from slots group by 1"""
+)
+def matched_requests(spark: SparkSession, d: str) -> DataFrame:
+    """What a verifier is asked; the models' views are those of all images, but one model has none."""
+    views = T.images(spark, d).filter("model <> '4'").select("model", "image_type", F.concat_ws("/", F.lit("http://images"), "model", "image_type").alias("url")).distinct()
+    asked = matching.verifier_request(_matched(spark, d), views, 3)
+    told = F.transform("slots", lambda s: F.concat_ws("/", s["label"], s["model"], s["image_type"]))
+    return asked.select("image_id", joined(told).alias("slots"), F.size(F.filter("slots", lambda s: s["model"].isNotNull() & s["url"].isNull())).cast("long").alias("without_views"))
+
+
 REFRESH = """with images as (
   select vec_id, label::varchar as model, 'v' || vec_id as image_type, vec_id % 11 = 0 as changed, vec_id % 13 = 0 as blank from embeddings)
 """
