@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .retrieval import rank_models_by_best
+
 
 def recall(rank: Column, k: int) -> Column:
     """Missing ranks are misses."""
@@ -58,6 +60,43 @@ def retrieval_metrics(found: DataFrame, expected: DataFrame) -> DataFrame:
     return per.cube("mode").agg(F.count(F.lit(1)).alias("queries"), F.avg("h1").alias("hit_1"), F.avg("h3").alias("hit_3"), F.avg("r5").alias("recall_5"))
 
 
+def paired_ranks(cases: DataFrame, images: DataFrame, top: int = 10) -> DataFrame:
+    """case_id, kind, expected, and of both queries top1, rank (null beyond top) and margin (of the best two models).
+
+    cases: case_id, kind, expected, original, isolated (vectors; a null one finds nothing). images: model, image_type, position, embedding. Both
+    queries of all cases go through the images in one pass.
+    """
+    asked = cases.select("case_id", F.explode(F.array(F.struct(F.lit("original").alias("way"), F.col("original").alias("vector")), F.struct(F.lit("isolated").alias("way"), F.col("isolated").alias("vector")))).alias("q"))
+    asked = asked.select(F.concat_ws("|", "case_id", "q.way").alias("query_id"), "case_id", "q.way", "q.vector").filter("vector is not null")
+    found = rank_models_by_best(asked.select("query_id", "vector"), images, top)
+    found = found.withColumns({"case_id": F.regexp_extract("query_id", r"(?s)^(.*)\|", 1), "way": F.substring_index("query_id", "|", -1)})
+    met = cases.select("case_id", "kind", "expected").join(found, "case_id", "left")
+
+    def of(way: str) -> list[Column]:
+        own = F.col("way") == way
+        score = lambda r: F.max(F.when(own & (F.col("rank") == r), F.col("model_score")))
+        return [
+            F.max(F.when(own & (F.col("rank") == 1), F.col("model"))).alias(f"{way}_top1"),
+            F.min(F.when(own & (F.col("model") == F.col("expected")), F.col("rank"))).alias(f"{way}_rank"),
+            (score(1) - score(2)).alias(f"{way}_margin"),
+        ]
+
+    return met.groupBy("case_id", "kind", "expected").agg(*of("original"), *of("isolated"))
+
+
+def benchmark_verdict(paired: DataFrame, ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
+    """One row: cases, recalls of both ways at each k, and whether a reranker is not_required or warranted.
+
+    It isn't required if every screenshot and packshot is found first when isolated, and isolated recall at 1 is no less than the original's.
+    """
+    share = lambda way, k: F.coalesce(F.avg(F.when(F.col(f"{way}_rank") <= k, 1.0).otherwise(0.0)), F.lit(0.0))
+    ways = ("original", "isolated")
+    missed = F.count_if(F.col("kind").isin("screenshot", "packshot") & ~F.coalesce(F.col("isolated_rank") == 1, F.lit(False)))
+    one = paired.agg(F.count(F.lit(1)).alias("cases"), *[share(w, k).alias(f"{w}_recall_{k}") for w in ways for k in ks], missed.alias("_missed"))
+    good = (F.col("_missed") == 0) & (F.col(f"isolated_recall_{ks[0]}") >= F.col(f"original_recall_{ks[0]}"))
+    return one.withColumn("verdict", F.when(good, "not_required").otherwise("warranted")).drop("_missed")
+
+
 def decision_metrics(results: DataFrame) -> DataFrame:
     """One row: precision among matches, coverage. results: expected, predicted (null: undecided)."""
     made = F.col("predicted").isNotNull()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import extraction as E
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import calibration, customers, decisions, encoders, examples, integrity, lookups, matching, memory_index, metrics, purchases, ranking, retrieval, scorer, towers
+from ..operators import artifact, calibration, customers, decisions, encoders, examples, integrity, lookups, matching, memory_index, metrics, purchases, ranking, retrieval, scorer, towers
 from ..sources import datasets, procs, snapshots
 from ..sources.shared import kept, shared_folder
 from ..sources.versions import VersionStore
@@ -331,7 +331,7 @@ def rank_with_recency(spark: SparkSession, d: str) -> DataFrame:
 def _arriving(spark: SparkSession, d: str) -> tuple[scorer.CustomerCache, list[dict[str, int]]]:
     """A cache after three updates: most purchases, then some that are earlier and later ones mixed, then the rest."""
     bought = kept(T.prepared(spark, d).withColumn("arrival", F.when(F.col("purchase_id") % 10 < 8, 1).when(F.col("purchase_id") % 1000 == 8, 2).otherwise(3).cast("long")))
-    cache, looks = scorer.CustomerCache(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", ties=T.TIES), T.catalog(spark, d)
+    cache, looks = scorer.CustomerCache(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", ties=T.TIES, dimension=T.DIMENSION), T.catalog(spark, d)
     return cache, [cache.update(bought.filter(F.col("arrival") <= n), looks, "arrival") for n in (1, 2, 3)]
 
 
@@ -1003,24 +1003,84 @@ def procedure_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT * FROM models_like(TABLE(fernweave_parts), :value)", {"value": procs.argument({"brand": least, "size": 7})})
 
 
-@query()
-def tower_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Best models of each customer by the two towers, with weights from a seed."""
-    catalog = T.catalog(spark, d)
-    fields = ("main_category", "theme", "color")
-    indexed, sizes = catalog.filter("visual is not null"), {}
-    for f in fields:
-        vocabulary = encoders.vocabulary(catalog, f, "model_id").persist()
-        sizes[f] = vocabulary.count() + 2
-        indexed = encoders.index_of(indexed, f, vocabulary, f"_{f}")
-    ages = encoders.vocabulary(T.customers(spark, d), "age_group", "customer_id")
-    now = encoders.index_of(_current(spark, d).filter("excluded is null"), "age_group", ages, "age")
+TOWER_FIELDS = ("main_category", "theme", "color")
+
+
+def _artifact(spark: SparkSession, d: str) -> artifact.Artifact:
+    """Encoders fitted on these tables and weights from a seed, saved and loaded again."""
+    catalog, numeric = T.catalog(spark, d), _tower_numeric(spark, d)
+    vocabularies, scaler = artifact.fit_encoders(catalog, T.customers(spark, d), numeric.select(*[F.col("numeric")[i].alias(c) for i, c in enumerate(S.NUMERIC_FEATURES)]), TOWER_FIELDS)
+    n = artifact.sizes(vocabularies)
+    weights = towers.random_weights(T.DIMENSION, 64, {f: n[f] for f in TOWER_FIELDS}, n[artifact.AGE], len(S.NUMERIC_FEATURES), seed=42)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    artifact.save_artifact(artifact.Artifact(vocabularies, scaler, weights, {}, {"model_version": "seeded"}), path)
+    return artifact.load_artifact(spark, path)
+
+
+def _tower_numeric(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("history_length")
     numeric = S.numeric_features(n, n, F.col("recency_days"), F.col("tenure_days"), F.col("full_prices") / n, F.col("discounts") / n, F.col("avg_discount"))
-    now = now.select("customer_id", "catalog_history", "age", F.array(*numeric).alias("numeric"))
-    weights = towers.random_weights(T.DIMENSION, 64, sizes, ages.count() + 2, len(S.NUMERIC_FEATURES), seed=42)
-    models = towers.model_vectors(indexed.select("model", "visual", F.array(*[F.col(f"_{f}") for f in fields]).alias("categories")), weights)
-    return ranking.rank_models(towers.customer_vectors(now, models, weights), models, 6).select("customer_id", "rank_for_customer", "model", micro(F.col("score")).alias("score_micro"))
+    return kept(_current(spark, d).filter("excluded is null").select("customer_id", "catalog_history", "age_group", F.array(*numeric).alias("numeric")))
+
+
+@query()
+def tower_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Best models of each customer by the two towers, through a loaded artifact with weights from a seed."""
+    loaded = _artifact(spark, d)
+    indexed = loaded.indexed(T.catalog(spark, d).filter("visual is not null"), TOWER_FIELDS)
+    models = kept(towers.model_vectors(indexed.select("model", "visual", F.array(*[F.col(f"_{f}") for f in TOWER_FIELDS]).alias("categories")), loaded.weights))
+    now = loaded.indexed(_tower_numeric(spark, d), ("age_group",)).select("customer_id", "catalog_history", F.col("_age_group").alias("age"), loaded.scaled("numeric").alias("numeric"))
+    return ranking.rank_models(towers.customer_vectors(now, models, loaded.weights), models, 6).select("customer_id", "rank_for_customer", "model", micro(F.col("score")).alias("score_micro"))
+
+
+@query(
+    with_tables("catalog")
+    + " "
+    + " union all ".join(f"select '{f}' as field, {f} as token, (row_number() over (order by min(model_id), {f}) + 1)::int as index from catalog group by {f}" for f in TOWER_FIELDS)
+    + " union all select 'age_group', c_mktsegment, (row_number() over (order by min(c_custkey::varchar), c_mktsegment) + 1)::int from customer group by c_mktsegment"
+)
+def artifact_vocabularies(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabularies of a loaded artifact."""
+    return _artifact(spark, d).vocabularies.select("field", "token", F.col("index").cast("int").alias("index"))
+
+
+CASES = """with c as (
+  select a.vec_id::varchar as case_id, case when a.vec_id % 40 = 0 then 'screenshot' else 'packshot' end as kind, a.label::varchar as expected, b.embedding::double[] as original, a.embedding::double[] as isolated
+  from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 20 = 0),
+asked as (select case_id, kind, expected, unnest(['original', 'isolated']) as way, unnest([original, isolated]) as q from c),
+best as (
+  select case_id, kind, expected, way, label::varchar as model, max(list_dot_product(q, embedding::double[])) as score from asked, embeddings group by all),
+ranked as (select *, row_number() over (partition by case_id, way order by score desc, model) as rank from best qualify rank <= 10),
+paired as (
+  select case_id, kind, expected, max(model) filter (way = 'original' and rank = 1) as original_top1, min(rank) filter (way = 'original' and model = expected) as original_rank,
+    max(score) filter (way = 'original' and rank = 1) - max(score) filter (way = 'original' and rank = 2) as original_margin,
+    max(model) filter (way = 'isolated' and rank = 1) as isolated_top1, min(rank) filter (way = 'isolated' and model = expected) as isolated_rank,
+    max(score) filter (way = 'isolated' and rank = 1) - max(score) filter (way = 'isolated' and rank = 2) as isolated_margin
+  from ranked group by 1, 2, 3)"""
+
+
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    e, at = T.read(spark, d, "embeddings"), F.col("vec_id")
+    isolated = e.filter(at % 20 == 0).select(at.cast("string").alias("case_id"), F.when(at % 40 == 0, "screenshot").otherwise("packshot").alias("kind"), F.col("label").cast("string").alias("expected"), (at + 1).alias("_o"), F.col("embedding").alias("isolated"))
+    cases = isolated.join(e.select(at.alias("_o"), F.col("embedding").alias("original")), "_o").drop("_o")
+    return metrics.paired_ranks(cases, T.images(spark, d))
+
+
+@query(CASES + f" select case_id, kind, original_top1, original_rank::int as original_rank, {M.format('original_margin')} as original_margin, isolated_top1, isolated_rank::int as isolated_rank, {M.format('isolated_margin')} as isolated_margin from paired")
+def benchmark_cases(spark: SparkSession, d: str) -> DataFrame:
+    out = _paired(spark, d)
+    return out.select("case_id", "kind", *[c for w in ("original", "isolated") for c in (f"{w}_top1", f"{w}_rank", micro(F.col(f"{w}_margin")).alias(f"{w}_margin"))])
+
+
+@query(
+    CASES
+    + " select count(*) as cases, "
+    + ", ".join(f"{M.format(f'avg(case when {w}_rank <= {k} then 1.0 else 0.0 end)')} as {w}_recall_{k}" for w in ("original", "isolated") for k in (1, 3, 5, 10))
+    + ", case when bool_and(coalesce(isolated_rank = 1, false)) and count(*) filter (isolated_rank = 1) >= count(*) filter (original_rank = 1) then 'not_required' else 'warranted' end as verdict from paired"
+)
+def benchmark_verdict(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.benchmark_verdict(_paired(spark, d))
+    return out.select("cases", *[micro(F.col(c)).alias(c) for c in out.columns if "recall" in c], "verdict")
 
 
 @query(
