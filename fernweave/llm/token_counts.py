@@ -26,7 +26,8 @@ from .pretokens import KEPT, Recent, pre_tokens, ranks_of, read_vocabulary
 UNIT = 1 << 16  # scores are whole numbers of 1 / UNIT, so that sums and ties are exact
 NODES, WORDS = 800_000, 300_000  # that a worker keeps: nodes, and words of each generation
 FIELD, LOWEST = 32, -(1 << 128)  # bits of a token count in a packed number (a text has fewer tokens than bytes); less than any such
-TALLY = 200_000  # distinct pre-tokens that a worker counts before it sends them on
+TALLY = 200_000  # distinct pre-tokens, of KEPT characters at most, that a worker counts before it sends them on
+LONG_BYTES = 8 << 20  # characters of longer ones that are sent at a time
 ADDED = ("n_pretokens", "n_tokens", "score")
 
 
@@ -161,7 +162,7 @@ def piece_counts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
     """How often each rank of the vocabulary is a piece of the texts' pre-tokens, segmented under the law by rank.
 
     Distinct pre-tokens are counted over the whole corpus and segmented once each; only a number for each piece of the
-    vocabulary reaches the driver.
+    vocabulary reaches the driver. A worker holds TALLY pre-tokens of KEPT characters at most, and of longer ones LONG_BYTES and one more.
     """
     spark = docs.sparkSession
     reachable(spark)
@@ -170,18 +171,30 @@ def piece_counts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: collections.Counter = collections.Counter()
 
-        def sent() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
+        def sent(counts: collections.Counter) -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            counts.clear()
             return rows
 
         for batch in batches:
             for text in batch.column(0):
                 for some in pre_tokens(text.as_py() or "", pattern):
+                    if max(map(len, some), default=0) > KEPT:
+                        # long ones go on at once, in batches of bounded bytes
+                        long, size = collections.Counter(), 0
+                        for word in some:
+                            if len(word) > KEPT:
+                                long[word] += 1
+                                size += len(word)
+                                if size > LONG_BYTES:
+                                    yield sent(long)
+                                    size = 0
+                        yield sent(long)
+                        some = [word for word in some if len(word) <= KEPT]
                     held.update(some)
-                if len(held) > TALLY:
-                    yield sent()
-        yield sent()
+                    if len(held) > TALLY:
+                        yield sent(held)
+        yield sent(held)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ranks = counter(file.value, None), ranks_of(file.value)

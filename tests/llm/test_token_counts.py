@@ -61,3 +61,17 @@ def test_edge_cases(spark):
     scores = K.fitted(RANKS, fitted(texts))
     assert [(r.n_pretokens, r.n_tokens, r.score) for r in rows] == [plain(t, scores) for t in texts]
     assert K.token_counts(spark.createDataFrame([], "text string"), PATH, P.PATTERN).collect() == []
+
+
+def test_long_pretokens_are_sent_in_bounded_batches(spark, monkeypatch):
+    """Encoded data: many distinct pre-tokens too long to keep. Counts don't depend on how they are sent."""
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdef", k=400)) for _ in range(40)]
+    rows = [(1, " ".join(words + words[:5])), (2, "plain words " * 50), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = K.piece_counts(df, PATH, P.PATTERN)
+    monkeypatch.setattr(K, "LONG_BYTES", 1000)
+    monkeypatch.setattr(K, "TALLY", 3)
+    assert K.piece_counts(df, PATH, P.PATTERN) == want and sum(want.values()) > 45 * 20
