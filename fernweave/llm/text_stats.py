@@ -32,21 +32,25 @@ CLASS = _class_table()
 SYMBOL = CLASS == CLASSES.index("symbol")
 
 
-def _common() -> tuple[np.ndarray, list[str]]:
-    words = sorted({w for line in COMMON_WORDS for w in line.split()})
+def common_words(words: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The hashes of distinct words, rising, and the words in that order."""
+    words = sorted(set(words))
     (chunk,) = chunks(pa.array([" ".join(words)]))
     value = chunk.words()[3]
     order = np.argsort(value)
     return value[order], [words[i] for i in order]
 
 
-COMMON, COMMON_NAMES = _common()
+COMMON, COMMON_NAMES = common_words([w for line in COMMON_WORDS for w in line.split()])
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_chars")
 
 
-def chunk_stats(c: Chunk) -> dict[str, np.ndarray]:
-    """COUNTS as arrays with a value for each text; classes and common as histograms with a row for each text."""
+def chunk_stats(c: Chunk, listed: np.ndarray = COMMON) -> dict[str, np.ndarray]:
+    """COUNTS as arrays with a value for each text; classes and common as histograms with a row for each text.
+
+    listed: rising hashes of the words that common counts one by one; its last column is all other words.
+    """
     text, _, _, value = c.words()
     n = c.n
     begins = (c.data & 0xC0) != 0x80
@@ -68,20 +72,20 @@ def chunk_stats(c: Chunk) -> dict[str, np.ndarray]:
         places = np.flatnonzero(begins[slab])
         classes += np.bincount(c.text_of(places + slab.start) * k + CLASS[c.data[slab][places]], minlength=n * k)
     out["classes"] = classes.reshape(n, k)
-    k = len(COMMON) + 1
+    k = len(listed) + 1
     common = np.zeros(n * k, np.int64)
     for i in range(0, len(value), SLAB):
         own = value[i : i + SLAB]
-        found = np.minimum(np.searchsorted(COMMON, own), len(COMMON) - 1)
-        found[COMMON[found] != own] = len(COMMON)
+        found = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
+        found[listed[found] != own] = len(listed)
         common += np.bincount(text[i : i + SLAB] * k + found, minlength=n * k)
     out["common"] = common.reshape(n, k)
     return out
 
 
-def stats(column: pa.Array) -> dict[str, np.ndarray]:
+def stats(column: pa.Array, listed: np.ndarray = COMMON) -> dict[str, np.ndarray]:
     """chunk_stats of a whole column."""
-    parts = [chunk_stats(c) for c in chunks(column)]
+    parts = [chunk_stats(c, listed) for c in chunks(column)]
     if not parts:
-        return {k: np.zeros(0, np.int64) for k in COUNTS} | {"classes": np.zeros((0, len(CLASSES)), np.int64), "common": np.zeros((0, len(COMMON) + 1), np.int64)}
+        return {k: np.zeros(0, np.int64) for k in COUNTS} | {"classes": np.zeros((0, len(CLASSES)), np.int64), "common": np.zeros((0, len(listed) + 1), np.int64)}
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}

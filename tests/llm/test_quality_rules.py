@@ -103,3 +103,18 @@ def test_rare_languages(spark):
     more = df.union(spark.createDataFrame([*plain, (40_000, junk, "ru")], df.schema))
     got = {r.doc_id: r.kept for r in Q.quality_rules(more).collect()}
     assert not got[40_000] and all(got[i] for i, _, _ in plain)
+
+
+def test_word_salad_of_a_fifth_language_goes(spark):
+    """Its common words are counted in the corpus: prose that has them stays, the same words without them go."""
+    rng = random.Random(9)
+    small = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(20)]
+    large = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(4000)]
+    prose = lambda n: " ".join(rng.choice(small) if rng.random() < 0.45 else rng.choice(large) for _ in range(n))
+    salad = lambda n: " ".join(rng.choice(large) for _ in range(n))
+    rows = [(i, prose(300), "zz") for i in range(400)] + [(1000 + i, salad(300), "zz") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(small) <= set(Q.frequent_words(df, ["zz"], 20))
+    got = {r.doc_id: r.kept for r in Q.quality_rules(df).collect()}
+    assert all(got[i] for i in range(400)) and not any(got[1000 + i] for i in range(20))
+    assert Q.frequent_words(df.limit(0), ["zz"], 20) == []
