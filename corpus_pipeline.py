@@ -1,4 +1,7 @@
-"""A corpus pipeline of five stages: rules, line dedup, near dedup, mixing, tokens."""
+"""A corpus pipeline of five stages: rules, line dedup, near dedup, mixing, tokens.
+
+In all stages very long texts are read whole, in chunks where they are large, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.llm.bpe import bpe
-from fernweave.llm.common import table, written
+from fernweave.llm.common import discard, table, written
 from fernweave.llm.line_dedup import dedup_lines
 from fernweave.llm.mixing import mix_sources
 from fernweave.llm.near_dedup import drop_near_duplicates
@@ -32,7 +35,8 @@ def restored(out: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFram
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules. Null and empty texts fail them; of rows that repeat all stay or go. Other columns stay."""
+    """Documents that pass the quality rules. Null and empty texts fail them; of rows that repeat all stay or go; a distance
+    at its threshold passes. Other columns stay."""
     own, names = shielded(docs)
     return restored(quality_rules(own).filter("kept"), docs, names)
 
@@ -40,7 +44,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones have; those of which nothing is left go. n_chars is that of the new text.
 
-    Texts that were empty or null before stay as they are; rows that repeat are one document, and all lose the same lines.
+    Texts that were empty or null before stay as they are; rows that repeat are one document, and all lose the same lines. Of
+    documents with equal passages that of the smallest id keeps them.
     """
     own, names = shielded(docs)
     out = dedup_lines(own).filter((F.col("removed_lines") == 0) | (F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) > 0))
@@ -51,12 +56,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of the smallest id, nulls first. Null and empty texts are one class; of rows that repeat one stays."""
+    """One document of each class of near duplicates: that of the smallest id, nulls first. Null and empty texts are one
+    class; of rows that repeat one stays; pairs at the threshold are alike."""
     return drop_near_duplicates(docs).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target rate says, in random order. A null source is a source of its own; rows that repeat are drawn alike."""
+    """Each document as often as its source's target rate says, in random order. A null source is a source of its own; rows that repeat are drawn alike.
+    Rows of equal keys come in any order."""
     own, names = shielded(docs)
     return restored(mix_sources(own), docs, names)
 
@@ -74,7 +81,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table goes when the next one is written, so one corpus at a time is kept."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
