@@ -12,8 +12,9 @@ NORM_TOLERANCE = 1e-3
 
 
 def parse_vector(value: Column) -> Column:
-    """A vector from JSON text; null for what isn't a list of finite numbers, and for an empty list."""
-    return valid_vector(F.from_json(F.trim(value), "array<float>"))
+    """A vector from JSON text, nested lists one after the other; null for what isn't a list of finite numbers, and for an empty list."""
+    flat = valid_vector(F.from_json(F.trim(value), "array<float>"))
+    return F.coalesce(flat, valid_vector(F.flatten(F.from_json(F.trim(value), "array<array<float>>"))))
 
 
 def valid_vector(value: Column) -> Column:

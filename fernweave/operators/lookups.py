@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import last_rows
+
 #: The order of views, the part of an image from which a crop isolates nothing, and the least production score.
 VIEW_ORDER = ("main", "pers", "side", "other")
 WHOLE_SHARE, PRODUCTION_MIN = 0.92, 0.2
+LEAST_SIDE = 8
 
 
 def selected_rows(rows: DataFrame, models: Sequence[str] = (), limit: int = 0, order: Sequence[str] = ("model", "image_type")) -> DataFrame:
@@ -63,12 +66,13 @@ def runs(rows: DataFrame, group: str, position: str, flag: Column, least: int =
 
 
 def clamp_box(box: Column, width: Column, height: Column) -> Column:
-    """left, top, right, bottom inside the image, each side at least one pixel."""
+    """left, top, right, bottom inside the image; null where a side has less than LEAST_SIDE pixels."""
     left = F.least(F.greatest(box["left"], F.lit(0)), width - 1)
     top = F.least(F.greatest(box["top"], F.lit(0)), height - 1)
     right = F.least(F.greatest(box["right"], left + 1), width)
     bottom = F.least(F.greatest(box["bottom"], top + 1), height)
-    return F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
+    large = (right - left >= LEAST_SIDE) & (bottom - top >= LEAST_SIDE)
+    return F.when(large, F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
 
 
 def isolates(box: Column, width: Column, height: Column) -> Column:
@@ -86,12 +90,12 @@ def attach_candidates(decided: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def verifier_requests(candidates: DataFrame, images: DataFrame, n: int = 10) -> DataFrame:
-    """request_id, slots: of each of the first n candidates by rank its model and views in order, as a nested request.
+    """request_id, slots: of each of the first n candidates by rank its model and views in order (main where none is known), as a nested request.
 
     candidates: request_id, rank, model.
     """
     some = candidates.filter(F.col("rank") <= n).join(ordered_views(images), "model", "left")
-    slot = F.struct("rank", "model", F.coalesce("views", F.array().cast("array<string>")).alias("views"))
+    slot = F.struct("rank", "model", F.coalesce("views", F.array(F.lit("main"))).alias("views"))
     return some.groupBy("request_id").agg(F.sort_array(F.collect_list(slot)).alias("slots"))
 
 
@@ -100,6 +104,41 @@ def hit_lines(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", F.format_string("%3d  %-16s %-5s %.4f", "rank", "model", "image_type", "similarity").alias("line"))
 
 
+def image_table(hits: DataFrame) -> DataFrame:
+    """query_id, rank (0: the head), line: hits of images as a table of text."""
+    head = hits.select("query_id").distinct().select("query_id", F.lit(0).alias("rank"), F.lit("rank | model | image_type | similarity").alias("line"))
+    line = F.format_string("%d | %s | %s | %.6f", "rank", "model", "image_type", "similarity")
+    return head.unionByName(hits.select("query_id", F.col("rank").cast("int"), line.alias("line")))
+
+
+def model_table(hits: DataFrame) -> DataFrame:
+    """query_id, rank (0: the head), line: hits of models as a table of text. hits: query_id, rank, model, model_score, best_image_type."""
+    head = hits.select("query_id").distinct().select("query_id", F.lit(0).alias("rank"), F.lit("rank | model | model_score | best_image_type | best_image_similarity").alias("line"))
+    line = F.format_string("%d | %s | %.6f | %s | %.6f", "rank", "model", "model_score", "best_image_type", "model_score")
+    return head.unionByName(hits.select("query_id", F.col("rank").cast("int"), line.alias("line")))
+
+
+def hits_json(images: DataFrame, models: DataFrame) -> DataFrame:
+    """query_id, json: {"images": [...], "models": [...]} of each query, in order of rank; a list may be empty."""
+    image = F.struct("rank", "model", "image_type", "similarity")
+    model = F.struct("rank", "model", "model_score", "best_image_type", F.col("model_score").alias("best_image_similarity"))
+    a = images.groupBy("query_id").agg(F.sort_array(F.collect_list(image)).alias("images"))
+    b = models.groupBy("query_id").agg(F.sort_array(F.collect_list(model)).alias("models"))
+    out = a.join(b, "query_id", "full")
+    empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
+    return out.select("query_id", F.to_json(F.struct(empty("images"), empty("models"))).alias("json"))
+
+
+def model_status(asked: DataFrame, catalog: DataFrame, missing: Column, order: str = "model_id") -> DataFrame:
+    """model, vector_generated, missing: of each asked model whether it has a vector, and what it lacks, not_in_catalog for unknown ones.
+
+    missing: of a catalog row the names of what it lacks. Of several rows of a model the last by order counts; models asked twice have a row each.
+    """
+    last = last_rows(catalog.withColumn("_lacks", missing), ["model"], [order]).select("model", "visual", "_lacks", F.lit(True).alias("_there"))
+    found = asked.select("model").join(last, "model", "left")
+    return found.select("model", F.col("visual").isNotNull().alias("vector_generated"), F.when(F.col("_there"), F.col("_lacks")).otherwise(F.array(F.lit("not_in_catalog"))).alias("missing"))
+
+
 def in_sequence(*parts: DataFrame) -> DataFrame:
     """All rows of the tables, with part (from 0): the order that vocabularies are read in."""
     out = parts[0].withColumn("part", F.lit(0))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
+from ..sources.snapshots import last_rows
 from .ranking import _matrix, best_of_rows, by_blocks, rank_models, tiles, top_of_columns
 
 
@@ -107,6 +108,36 @@ def rank_candidates(candidates: DataFrame, query: Column, k: int = 100) -> DataF
     return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
 
 
+#: What one request may hold.
+TEXTS, CANDIDATES, TOP = 64, 5_000, 100
+
+
+def check_request(texts: int = 1, candidates: int = 1, top: int = 1) -> None:
+    """ValueError for a request beyond its bounds."""
+    for name, n, most in (("texts", texts, TEXTS), ("candidates", candidates, CANDIDATES), ("top", top, TOP)):
+        if not 1 <= n <= most:
+            raise ValueError(f"{name} must be between 1 and {most}, not {n}")
+
+
+def rank_for_queries(queries: DataFrame, candidates: DataFrame, k: int = 100) -> DataFrame:
+    """query_id, id, score, rank: the best candidates of each query by cosine, ties by id. Both sides may be large.
+
+    queries: query_id, vector. candidates: id, embedding. Blank and repeated ids, and zero vectors, raise as in rank_candidates.
+    """
+    unit = lambda c: F.coalesce(V.l2_normalize(F.col(c)), F.raise_error(F.lit("ZERO_VECTOR")).cast("array<double>")).alias("vector")
+    twice = F.count(F.lit(1)).over(W.partitionBy("id")) > 1
+    wrong = F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "BLANK_CANDIDATE_ID").when(F.col("_twice"), "DUPLICATE_CANDIDATE_ID")
+    ident = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(F.col("id"))
+    once = candidates.withColumn("_twice", twice).select(ident.alias("model"), unit("embedding"))
+    found = rank_models(queries.select(F.col("query_id").alias("customer_id"), unit("vector")), once, k)
+    return found.select(F.col("customer_id").alias("query_id"), F.col("model").alias("id"), "score", F.col("rank_for_customer").alias("rank"))
+
+
+def load_catalog(rows: DataFrame, order: str = "row_id") -> DataFrame:
+    """The rows of a catalog, of several ones of a model and view the last by order; blank models go."""
+    return last_rows(rows.filter(F.coalesce(F.trim("model"), F.lit("")) != "").withColumn("model", F.trim("model")), ["model", "image_type"], [order])
+
+
 def repeated_ids(candidates: DataFrame) -> DataFrame:
     """Ids that more than one candidate has: such a request is wrong."""
     return candidates.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

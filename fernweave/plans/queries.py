@@ -222,8 +222,8 @@ def model_status(spark: SparkSession, d: str) -> DataFrame:
     base = T.catalog(spark, d)
     asked = base.select("model").unionByName(base.filter("model_id % 100 = 0").select(F.concat(F.lit("x"), "model").alias("model")))
     lacking = encoders.missing_attributes(("main_category", "theme", "color"))
-    found = asked.join(base.withColumn("_there", F.lit(True)), "model", "left")
-    return found.select("model", F.col("visual").isNotNull().alias("vector_generated"), joined(F.when(F.col("_there"), lacking).otherwise(F.array(F.lit("not_in_catalog")))).alias("missing"))
+    out = lookups.model_status(asked, base, lacking)
+    return out.withColumn("missing", joined(F.col("missing")))
 
 
 @query(
@@ -532,15 +532,14 @@ def _prompts(d: DataFrame, low: int, high: int) -> list[list[float]]:
 
 
 @query(
-    f"""with q as (select embedding::double[] as q from embeddings where vec_id = 0),
-scored as (select vec_id::varchar as id, list_dot_product(q, embedding::double[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::double[], embedding::double[]))) as score from embeddings, q)
-select id, {M.format("score")} as score_micro, row_number() over (order by score desc, id)::int as rank from scored qualify rank <= 100"""
+    f"""with q as (select vec_id::varchar as query_id, embedding::double[] as q from embeddings where vec_id % 20 = 0),
+scored as (select query_id, vec_id::varchar as id, list_dot_product(q, embedding::double[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::double[], embedding::double[]))) as score from embeddings, q)
+select query_id, id, {M.format("score")} as score_micro, row_number() over (partition by query_id order by score desc, id)::int as rank from scored qualify rank <= 100"""
 )
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    e = T.read(spark, d, "embeddings")
-    (vector,) = _prompts(e, 0, 0)
-    found = retrieval.rank_candidates(e.select(F.col("vec_id").cast("string").alias("id"), "embedding"), V.literal(vector), 100)
-    return found.select("id", micro(F.col("score")).alias("score_micro"), "rank")
+    candidates = T.read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    found = retrieval.rank_for_queries(_queries(spark, d), candidates, 100)
+    return found.select("query_id", "id", micro(F.col("score")).alias("score_micro"), "rank")
 
 
 MEMORY = (
@@ -566,13 +565,13 @@ def memory_search(spark: SparkSession, d: str) -> DataFrame:
 @query(
     MEMORY
     + f""", per as (
-  select 'mode' || (query_id::int % 2) as mode, max(case when rank = 1 and query_id = case_key then 1.0 else 0.0 end) as h1,
+  select 'mode' || (query_id::int // 20 % 2) as mode, max(case when rank = 1 and query_id = case_key then 1.0 else 0.0 end) as h1,
          max(case when rank <= 3 and query_id = case_key then 1.0 else 0.0 end) as h3, max(case when query_id = case_key then 1.0 else 0.0 end) as r5
   from asked left join found using (query_id) group by query_id)
 select coalesce(mode, 'all') as mode, count(*) as queries, {M.format("avg(h1)")} as hit_1, {M.format("avg(h3)")} as hit_3, {M.format("avg(r5)")} as recall_5 from per group by grouping sets ((mode), ())"""
 )
 def hit_recall(spark: SparkSession, d: str) -> DataFrame:
-    expected = _queries(spark, d).select("query_id", F.concat(F.lit("mode"), (F.col("query_id").cast("int") % 2).cast("string")).alias("mode"), F.array("query_id").alias("keys"))
+    expected = _queries(spark, d).select("query_id", F.concat(F.lit("mode"), (F.col("query_id").cast("int") / 20 % 2).cast("int").cast("string")).alias("mode"), F.array("query_id").alias("keys"))
     out = metrics.retrieval_metrics(_memory(spark, d), expected)
     return out.select(F.coalesce("mode", F.lit("all")).alias("mode"), "queries", *[micro(F.col(c)).alias(c) for c in ("hit_1", "hit_3", "recall_5")])
 
@@ -755,18 +754,6 @@ def document_kind(spark: SparkSession, d: str) -> DataFrame:
     return T.notices(spark, d).select("notice_id", E.document_kind(F.col("text")).alias("kind"))
 
 
-@query(
-    with_tables("notices")
-    + """ select notice_id, case notice_id % 6 when 0 then 'order' when 1 then 'order' when 2 then 'order' when 3 then 'delivery_notice'
-  else case notice_id % 4 when 0 then 'shoe' when 1 then 'order' when 2 then 'garbage' else case when notice_id % 3 = 0 then 'garbage' else 'unknown' end end end as kind from notices"""
-)
-def image_routing(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("notice_id")
-    scene = F.when(n % 4 == 1, "order").when(n % 4 == 2, "garbage").otherwise("unknown")
-    junk = F.when(n % 3 == 0, 0.4).otherwise(0.12)
-    return T.notices(spark, d).select("notice_id", decisions.route(F.col("text"), n % 4 == 0, scene, F.lit(0.1), junk).alias("kind"))
-
-
 SCANNED = with_tables("scans") + r""", numbers as (
   select notice_id, text,
     list_concat(regexp_extract_all(text, '(?i)\b(CS\d{8,12})\b', 1), regexp_extract_all(text, '(?i)\b(BS\d{8,12})\b', 1)) as apps,
@@ -789,6 +776,19 @@ scanned as (
     tracking_number is not null and coalesce(kind, '') = 'delivery_notice' as strong_delivery from fields)"""
 
 
+@query(
+    SCANNED.replace("from scans)", "from notices)", 1).replace(T.SQL["scans"], T.SQL["notices"])
+    + """, seen as (select *, notice_id % 4 = 0 as shoe, case notice_id % 4 when 1 then 'order' when 2 then 'garbage' else 'unknown' end as scene, case when notice_id % 3 = 0 then 0.4 else 0.12 end as junk from scanned)
+select notice_id, case when strong_order then 'order' when strong_delivery then 'delivery_notice' when shoe then 'shoe' when coalesce(kind, scene) in ('order', 'delivery_notice') then coalesce(kind, scene)
+  when scene = 'garbage' or (scene = 'unknown' and junk >= 0.1 + 0.05) then 'garbage' else 'unknown' end as kind from seen"""
+)
+def image_routing(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("notice_id")
+    scene = F.when(n % 4 == 1, "order").when(n % 4 == 2, "garbage").otherwise("unknown")
+    junk = F.when(n % 3 == 0, 0.4).otherwise(0.12)
+    return T.notices(spark, d).select("notice_id", decisions.route(F.col("text"), n % 4 == 0, scene, F.lit(0.1), junk).alias("kind"))
+
+
 @query(SCANNED + " select notice_id, order_number, size, tracking_number, case when moving then 'on_the_way' end as status, kind, strong_order, strong_delivery from scanned")
 def scanned_fields(spark: SparkSession, d: str) -> DataFrame:
     """Fields of texts in Hebrew, with misread prefixes, and with several numbers."""
@@ -1124,6 +1124,11 @@ def hit_lines(spark: SparkSession, d: str) -> DataFrame:
     return lookups.hit_lines(_hits(spark, d))
 
 
+@query(HITS + """ select query_id, rank::int as rank, format('{} | {} | {} | {:.6f}', rank, model, image_type, s) as line from hits union all select distinct query_id, 0, 'rank | model | image_type | similarity' from hits""")
+def hit_table(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.image_table(_hits(spark, d))
+
+
 @query(
     HITS
     + f""", expected as (select vec_id::varchar as query_id, label::varchar as model from embeddings where vec_id % 20 = 0),
@@ -1140,14 +1145,15 @@ def match_margins(spark: SparkSession, d: str) -> DataFrame:
 ORDERED = "array_to_string(list_sort(list(distinct case image_type when 'main' then '1main' when 'pers' then '2pers' when 'side' then '3side' else '4' || image_type end)), ',')"
 
 
-@query(with_tables("images") + f" select model, regexp_replace({ORDERED}, '[0-9]', '', 'g') as views from images where position % 7 <> 0 group by 1")
+@query(with_tables("images") + f" select model, regexp_replace({ORDERED}, '[0-9]', '', 'g') as views from images group by 1")
 def views_of_models(spark: SparkSession, d: str) -> DataFrame:
-    return lookups.ordered_views(T.images(spark, d).filter("position % 7 <> 0")).select("model", joined(F.col("views")).alias("views"))
+    return lookups.ordered_views(T.images(spark, d)).select("model", joined(F.col("views")).alias("views"))
 
 
-@query(HITS + f", views as (select model, regexp_replace({ORDERED}, '[0-9]', '', 'g') as v from images group by 1) select query_id as request_id, string_agg(rank || ':' || model || ':' || v, ';' order by rank) as slots from hits join views using (model) group by 1")
+@query(HITS + f", views as (select model, regexp_replace({ORDERED}, '[0-9]', '', 'g') as v from images where model <> '4' group by 1) select query_id as request_id, string_agg(rank || ':' || model || ':' || coalesce(v, 'main'), ';' order by rank) as slots from hits left join views using (model) group by 1")
 def verifier_requests(spark: SparkSession, d: str) -> DataFrame:
-    out = lookups.verifier_requests(_hits(spark, d).select(F.col("query_id").alias("request_id"), "rank", "model"), T.images(spark, d))
+    """One model has no known views, and is asked about by its main one."""
+    out = lookups.verifier_requests(_hits(spark, d).select(F.col("query_id").alias("request_id"), "rank", "model"), T.images(spark, d).filter("model <> '4'"))
     told = F.transform("slots", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["model"], joined(x["views"])))
     return out.select("request_id", F.array_join(told, ";").alias("slots"))
 
@@ -1172,13 +1178,13 @@ def value_runs(spark: SparkSession, d: str) -> DataFrame:
     """with b as (select l_orderkey, l_linenumber, (l_partkey % 300)::int - 50 as x0, (l_suppkey % 200)::int - 40 as y0, (l_partkey % 300)::int + l_quantity::int * 4 - 60 as x1, (l_suppkey % 200)::int + l_quantity::int * 3 as y1 from lineitem),
 c as (select *, least(greatest(x0, 0), 199) as l, least(greatest(y0, 0), 99) as t from b),
 e as (select *, least(greatest(x1, l + 1), 200) as r, least(greatest(y1, t + 1), 100) as m from c)
-select l_orderkey, l_linenumber, l as "left", t as top, r as "right", m as bottom, (r - l) * (m - t) < 0.92 * 200 * 100 as isolates from e"""
+select l_orderkey, l_linenumber, l as "left", t as top, r as "right", m as bottom, (r - l) * (m - t) < 0.92 * 200 * 100 as isolates from e where r - l >= 8 and m - t >= 8"""
 )
 def crop_boxes(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
     x, y = (F.col("l_partkey") % 300).cast("int"), (F.col("l_suppkey") % 200).cast("int")
     raw = F.struct((x - 50).alias("left"), (y - 40).alias("top"), (x + q * 4 - 60).alias("right"), (y + q * 3).alias("bottom"))
-    box = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", lookups.clamp_box(raw, F.lit(200), F.lit(100)).alias("box"))
+    box = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", lookups.clamp_box(raw, F.lit(200), F.lit(100)).alias("box")).filter("box is not null")
     return box.select("l_orderkey", "l_linenumber", "box.*", lookups.isolates(F.col("box"), F.lit(200), F.lit(100)).alias("isolates"))
 
 

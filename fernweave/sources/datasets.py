@@ -6,11 +6,12 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .versions import VersionStore
+
 #: The splits, each a folder of its own.
 SPLITS = ("train", "validation", "test")
 
@@ -59,17 +60,17 @@ def select(df: DataFrame, fields: Sequence[str] = (), order_by: Sequence[str] =
 def cached_catalog(spark: SparkSession, path: str, source: str, embedding_model: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
     """The catalog of a cache that was written for the same source and embedding model, else a new one, which is then cached.
 
-    An empty catalog is an error and is not cached.
+    An empty catalog is an error and is not cached. A new one is written beside the old one and becomes the cache when it
+    is whole, so a failed write or build leaves what was there.
     """
-    if not refresh:
-        try:
-            kept = spark.read.parquet(path).filter((F.col("_source") == source) & (F.col("_embedding_model") == embedding_model))
-            if not kept.isEmpty():
-                return kept.drop("_source", "_embedding_model")
-        except AnalysisException:
-            pass  # no cache yet
-    made = build()
+    store = VersionStore(spark, path)
+    held, of = store.current(), {"source": source, "embedding_model": embedding_model}
+    if not refresh and held.number and held.facts == of:
+        return store.segment(held.segments[-1])
+    name = store.write(build())
+    made = store.segment(name)
     if made.isEmpty():
+        store.discard(name)
         raise ValueError("the catalog is empty")
-    made.withColumns({"_source": F.lit(source), "_embedding_model": F.lit(embedding_model)}).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).drop("_source", "_embedding_model")
+    store.swap(held, [name], of)
+    return made

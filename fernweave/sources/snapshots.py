@@ -62,11 +62,16 @@ def last_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def read_codes(spark: SparkSession, path: str, headers: tuple[str, ...] = ("model", "sku", "model_code")) -> DataFrame:
-    """model, position: the first column of a CSV file without a schema, in order of first appearance, without blanks and headers."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("position"), F.regexp_replace("value", "^﻿", "").alias("line"))
+    """model, position (file and line): the first column of CSV files without a schema, at its first appearance, without
+    blanks and headers. ValueError if no code is left. A list of codes is short: a file is one row."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    lines = files.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("at", "line"))
     code = F.trim(F.regexp_replace(F.split("line", ",")[0], '^"|"$', ""))
-    found = lines.select("position", code.alias("model")).filter((F.col("model") != "") & ~F.lower("model").isin(*headers))
-    return found.groupBy("model").agg(F.min("position").alias("position"))
+    found = lines.select(F.struct("file", "at").alias("position"), code.alias("model")).filter((F.col("model") != "") & ~F.lower("model").isin(*headers))
+    found = found.groupBy("model").agg(F.min("position").alias("position"))
+    if found.isEmpty():
+        raise ValueError(f"no model codes in {path}")
+    return found
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
