@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, line_dedup, merkle, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, warc, whitening
+from . import bpe, chat_format, checks, exact_dedup, line_dedup, merkle, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, warc, whitening
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -18,6 +18,7 @@ QUERIES = {
     "op11_merkle": merkle.op11_merkle,
     "op12_whitening": whitening.op12_whitening,
     "op13_warc": warc.op13_warc,
+    **checks.QUERIES,
 }
 
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op11_merkle": merkle.SQL,
     "op13_warc": warc.SQL,
+    **checks.SQL,
 }
