@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import dropped, kept
 from .versions import VersionStore
 
 #: The splits, each a folder of its own.
@@ -17,9 +18,11 @@ SPLITS = ("train", "validation", "test")
 
 
 def write_dataset(examples: DataFrame, root: str, metadata: Mapping[str, Any], split_col: str = "split") -> None:
-    """The examples of each split under root, and metadata as JSON text. Fails where a split is there already."""
+    """The examples of each split under root, and metadata as JSON text. Fails where a split is there already. What makes the examples runs once."""
+    examples = kept(examples)
     for split in SPLITS:
         examples.filter(F.col(split_col) == split).drop(split_col).write.mode("errorifexists").parquet(f"{root}/{split}.parquet")
+    dropped(examples)
     spark = examples.sparkSession
     spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").coalesce(1).write.text(f"{root}/metadata")
 
