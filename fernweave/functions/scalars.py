@@ -44,6 +44,14 @@ def discount_value(discount: Column) -> Column:
     return F.coalesce(finite(discount), F.lit(0.0))
 
 
+def as_utc(value: Column) -> Column:
+    """A moment from text, whatever the session's zone: text without a zone is UTC, bad text null. Dates are midnights."""
+    text = F.regexp_replace(F.trim(value.cast("string")), r"^(\d{4}-\d\d-\d\d) ", "$1T")
+    zoned = text.rlike(r"T.*(?:[Zz]|[+-]\d\d:?\d\d)$")
+    whole = F.when(zoned, text).when(text.contains("T"), F.concat(text, F.lit("Z"))).otherwise(F.concat(text, F.lit("T00:00:00Z")))
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(whole))
+
+
 def days_between(later: Column, earlier: Column) -> Column:
     """Days with their fraction."""
     return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(86_400_000_000.0)

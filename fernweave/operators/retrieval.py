@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
+from ..sources.shared import kept
 from ..sources.snapshots import last_rows
 from .ranking import _matrix, best_of_rows, by_blocks, rank_models, tiles, top_of_columns
 
@@ -98,6 +99,47 @@ def rank_models_by_best(queries: DataFrame, images: DataFrame, k: int = 100) ->
     return top(per, ["query_id"], [F.desc("model_score"), F.col("model"), F.col("best_image_type")], k)
 
 
+def view_ranks(queries: DataFrame, targets: DataFrame, images: DataFrame) -> DataFrame:
+    """query_id, model, image_type, position, similarity, rank, norm: of each target model's images how near they are, and how many images are nearer.
+
+    queries: query_id, vector. targets: query_id, model: a few a query. images as in rank_images. A query meets each block of images
+    once, and counts for all its targets' images at a time who is ahead: more similar, or as much at an earlier position.
+    Models without images, and targets of queries that aren't there, have no rows.
+    """
+    asked, among = queries.select("query_id", _vector("vector")), images.select("model", "image_type", F.col("position").cast("long").alias("position"), _vector("embedding"))
+    own = targets.select("query_id", "model").distinct().join(among.withColumnRenamed("vector", "own"), "model").join(asked, "query_id")
+    own = kept(own.select("query_id", "model", "image_type", "position", "own", "vector"))
+    wanted = own.groupBy("query_id").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list(F.struct("position", "own"))).alias("t"))
+    wanted = wanted.select("query_id", "vector", F.transform("t", lambda x: x["position"]).alias("positions"), F.flatten(F.transform("t", lambda x: x["own"])).alias("owns"))
+
+    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return AHEAD.empty_table()
+        vectors, others, position = _matrix(x["vector"]), _matrix(y["vector"]), y["position"].to_numpy()
+        dimension, parts = vectors.shape[1], []
+        owns = [np.asarray(v, float).reshape(-1, dimension) for v in x["owns"].to_pylist()]
+        for part in tiles(len(vectors), len(others)):
+            dots = vectors[part] @ others.T
+            for i, row in enumerate(dots, part.start):
+                places = np.array(x["positions"][i].as_py(), np.int64)
+                at = np.searchsorted(position, places)
+                here = (at < len(position)) & (position[np.minimum(at, len(position) - 1)] == places)
+                # a target in this block has the very product that it is compared with
+                score = np.where(here, row[np.minimum(at, len(position) - 1)], owns[i] @ vectors[i])
+                ahead = ((row[None, :] > score[:, None]) | ((row[None, :] == score[:, None]) & (position[None, :] < places[:, None]))) & (position[None, :] != places[:, None])
+                parts.append((np.full(len(places), i), places, ahead.sum(axis=1)))
+        rows, places, ahead = (np.concatenate(c) for c in zip(*parts))
+        return pa.table([x["query_id"].take(pa.array(rows)), pa.array(places), pa.array(ahead)], schema=AHEAD)
+
+    counts = by_blocks(wanted, among.select("position", "vector"), "query_id", "position", count, "query_id string, position long, ahead long")
+    ranks = counts.groupBy("query_id", "position").agg((1 + F.sum("ahead")).alias("rank"))
+    made = own.withColumns({"similarity": V.dot(F.col("vector"), F.col("own")), "norm": V.norm(F.col("own"))}).drop("vector", "own")
+    return made.join(ranks, ["query_id", "position"]).select("query_id", "model", "image_type", "position", "similarity", "rank", "norm")
+
+
+AHEAD = pa.schema([("query_id", pa.string()), ("position", pa.int64()), ("ahead", pa.int64())])
+
+
 def rank_candidates(candidates: DataFrame, query: Column, k: int = 100) -> DataFrame:
     """id, score, rank by cosine, ties by id. Raises on blank and repeated ids, other dimensions and zero vectors."""
     ident = F.when(F.trim("id") != "", F.col("id")).otherwise(F.raise_error(F.lit("BLANK_CANDIDATE_ID")).cast("string"))

@@ -248,3 +248,34 @@ def self_test_specs_read(spark: SparkSession, d: str) -> DataFrame:
     spec = lookups.self_test(F.concat(F.lit(" MODEL_"), (i % 3).cast("string"), F.lit("/"), kind))
     rows = T.read(spark, d, "documents").filter("lang is not null and source is not null")
     return rows.select("doc_id", F.concat_ws("/", spec["model"], spec["image_type"]).alias("spec"), joined(F.array("lang", "source")).alias("joined"))
+
+
+DIAGNOSED = """with asked as (select vec_id, vec_id::varchar as query_id, embedding::double[] as q, label as expected, (label + 1) % 10 as compare from embeddings where vec_id % 20 = 0),
+scored as (select query_id, e.vec_id as position, e.label, expected, compare, list_dot_product(q, embedding::double[]) as s, sqrt(list_dot_product(embedding::double[], embedding::double[])) as norm from asked, embeddings e),
+ranked as (select *, row_number() over (partition by query_id order by s desc, position) as rank from scored)"""
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    """Each asked image's own model, and the next one to compare with."""
+    e = T.read(spark, d, "embeddings").filter("vec_id % 20 = 0")
+    both = F.explode(F.array(F.col("label"), (F.col("label") + 1) % 10).cast("array<string>"))
+    return e.select(F.col("vec_id").cast("string").alias("query_id"), both.alias("model"))
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return T.read(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(DIAGNOSED + f" select query_id, label::varchar as model, position, rank, {M.format('s')} as similarity_micro, {M.format('norm')} as norm_micro from ranked where label in (expected, compare)")
+def match_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """How near the images of the expected model and of another one are to each query, among all images."""
+    out = retrieval.view_ranks(_asked(spark, d), _targets(spark, d), T.images(spark, d))
+    return out.select("query_id", "model", "position", "rank", micro(F.col("similarity")).alias("similarity_micro"), micro(F.col("norm")).alias("norm_micro"))
+
+
+@query("select event_id, epoch_us(ts + case event_id % 4 when 2 then interval (-2) hour when 3 then interval 5 hour else interval 0 hour end) // 1000000 as seconds from events")
+def utc_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Moments from texts without a zone, and with zones, in whole seconds."""
+    i, text = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    told = F.when(i % 4 == 0, text).when(i % 4 == 1, F.concat(F.replace(text, F.lit(" "), F.lit("T")), F.lit("Z"))).when(i % 4 == 2, F.concat(text, F.lit("+02:00"))).otherwise(F.concat(text, F.lit("-05:00")))
+    return T.read(spark, d, "events").select("event_id", F.unix_seconds(S.as_utc(told)).alias("seconds"))

@@ -80,3 +80,36 @@ def test_failed_build_leaves_the_cache(spark, tmp_path):
     with pytest.raises(ValueError):
         datasets.cached_catalog(spark, cache, "a", "m", lambda: spark.range(0), refresh=True)
     assert first.count() == 3 and datasets.cached_catalog(spark, cache, "a", "m", broken).count() == 3
+
+
+def test_ranks_of_several_targets_over_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from fernweave.operators import ranking
+
+    monkeypatch.setattr(ranking, "MODELS", 7)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(40, 3)), 1)
+    x[5] = x[9]  # a tie
+    images = spark.createDataFrame([(f"m{i % 8}", "main", i, [float(v) for v in r]) for i, r in enumerate(x)], "model string, image_type string, position int, embedding array<double>")
+    q = np.round(rng.normal(size=(6, 3)), 1)
+    queries = spark.createDataFrame([(str(i), [float(v) for v in r]) for i, r in enumerate(q)], "query_id string, vector array<double>")
+    targets = spark.createDataFrame([(str(i), m) for i in range(7) for m in ("m1", "m5", "m1", "gone")], "query_id string, model string")
+    got = {(r.query_id, r.position): r["rank"] for r in retrieval.view_ranks(queries, targets, images).collect()}
+    s = q @ x.T
+    want = {(str(i), j): 1 + sum((s[i, k], -k) > (s[i, j], -j) for k in range(40)) for i in range(6) for j in range(40) if j % 8 in (1, 5)}
+    assert got == want
+
+
+def test_moments_dont_depend_on_the_zone(spark):
+    from fernweave.functions import scalars as S
+
+    given = ["2020-01-02", "2020-01-02 03:04:05", "2020-01-02T03:04:05Z", "2020-01-02 03:04:05+02:00", "2020-01-02T03:04:05-0500", "x", None, ""]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, g string")
+    results = []
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        results.append([r.s for r in df.select("i", F.unix_seconds(S.as_utc(F.col("g"))).alias("s")).orderBy("i").collect()])
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    base = 1577934245
+    assert results[0] == results[1] == [1577923200, base, base, base - 7200, base + 18000, None, None, None]
