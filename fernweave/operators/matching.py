@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extraction as E
+from ..functions import scalars as S
 from ..functions import vectors as V
 from ..sources.shared import kept
 from .decisions import best_crop, confident_garbage, is_shoe, status_of
@@ -92,17 +93,20 @@ def match_images(images: DataFrame, crops: DataFrame, catalog: DataFrame, prompt
     )
 
 
-def verifier_request(matched: DataFrame, views: DataFrame, verify_top: int = 10) -> DataFrame:
+def verifier_request(matched: DataFrame, views: DataFrame, verify_top: int = 10, base_url: str | None = None) -> DataFrame:
     """image_id, slots: what a verifier is asked about each image that needs it: the customer's crop, then its first models with their views.
 
     matched: of match_images. views: model, image_type, url. A slot is label, model, image_type, url; the customer's has
-    neither. A model without known views is asked about by its main one, at the address that the views' table would have.
+    neither. A model without known views is asked about by its main one. Where an address isn't known, it is that under base_url, if given.
     """
     some = matched.filter("status = 'needs_verification'").select("image_id", F.explode(F.filter("candidates", lambda c: c["rank"] <= verify_top)).alias("c"))
     order = F.array_position(F.array(*map(F.lit, ("main", "pers", "side"))), F.col("image_type"))
     known = views.select("model", F.struct(order.alias("at"), "image_type", "url").alias("view"))
     per = some.select("image_id", F.col("c.rank").alias("rank"), F.col("c.model").alias("model")).join(known, "model", "left")
-    slot = F.struct("rank", F.coalesce("view.at", F.lit(1).cast("long")).alias("at"), "model", F.coalesce("view.image_type", F.lit("main")).alias("image_type"), F.col("view.url").alias("url"))
+    url = F.col("view.url")
+    if base_url is not None:
+        url = F.coalesce(url, S.image_url(base_url, F.col("model"), F.coalesce("view.image_type", F.lit("main"))))
+    slot = F.struct("rank", F.coalesce("view.at", F.lit(1).cast("long")).alias("at"), "model", F.coalesce("view.image_type", F.lit("main")).alias("image_type"), url.alias("url"))
     gathered = per.groupBy("image_id").agg(F.sort_array(F.collect_list(slot)).alias("s"))
     models = F.transform("s", lambda x: F.struct(F.concat(F.lit("candidate_"), x["rank"].cast("string")).alias("label"), x["model"].alias("model"), x["image_type"].alias("image_type"), x["url"].alias("url")))
     customer = F.array(F.struct(F.lit("customer").alias("label"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("image_type"), F.lit(None).cast("string").alias("url")))

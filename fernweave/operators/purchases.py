@@ -147,8 +147,8 @@ def availability_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def quality_report(prepared: DataFrame, customers: DataFrame, catalog: DataFrame, ties: Sequence[str] = TIE_BREAKS) -> DataFrame:
     """metric, value (text): the counts and dates of a dataset build. catalog: model, visual.
 
-    The purchases are read once: a purchase is an example unless it is its customer's first, which a row number tells,
-    so one sorted exchange and one aggregation give all of it. The split's bounds need the dates beforehand.
+    The purchases are sorted once: a purchase is an example unless it is its customer's first, which a row number tells,
+    so one sorted exchange and one aggregation give all of it. The split's bounds need the dates beforehand, in a scan of their own.
     """
     known = catalog.groupBy("model").agg(F.max(F.col("visual").isNotNull()).alias("_visual"))
     first = F.row_number().over(in_order(prepared, ties)) == 1

@@ -91,3 +91,13 @@ def test_images_matched_whole(spark):
         "junk": ("garbage", "garbage", 0, False, []), "scene": ("order", "order", 0, False, []), "order": ("order", "order", 0, False, []),
         "near": ("garbage", "garbage", 0, False, []), "blind": ("unknown", "uncertain", 0, False, []), "bare": ("order", "order", None, False, []),
     }
+
+
+def test_requests_to_a_verifier(spark):
+    hits = "array<struct<rank:int,model:string,model_score:double,best_image_type:string>>"
+    matched = spark.createDataFrame([("i", "needs_verification", [(1, "A", 0.9, "main"), (2, "B", 0.8, "side"), (3, "C", 0.7, "main")]), ("j", "garbage", [])], f"image_id string, status string, candidates {hits}")
+    views = spark.createDataFrame([("A", "side", "http://a/side"), ("A", "main", None)], "model string, image_type string, url string")
+    rows = matching.verifier_request(matched, views, 2, "http://base").collect()
+    assert [r.image_id for r in rows] == ["i"]
+    assert [tuple(s) for s in rows[0].slots] == [("customer", None, None, None), ("candidate_1", "A", "main", "http://base/A.jpg"), ("candidate_1", "A", "side", "http://a/side"), ("candidate_2", "B", "main", "http://base/B.jpg")]
+    assert [s.url for s in matching.verifier_request(matched, views, 2).first().slots] == [None, None, "http://a/side", None]
