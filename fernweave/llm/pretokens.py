@@ -43,20 +43,19 @@ class Recent:
     def hold(self, keys: Iterable[str], make: Callable[[str], Any]) -> dict[str, Any]:
         """A dictionary with all keys: the younger generation, or one of these keys alone if some are too long to keep."""
         keys = set(keys)
-        missing = keys.difference(self.young)
-        if len(self.young) + len(missing) > self.size:
+        if len(self.young) + len(keys) > self.size:
             self.old, self.young = self.young, {}
-            missing = keys
-        young, old = self.young, self.old
+        young = self.young
         passing: dict[str, Any] = {}
-        for k in missing:
-            value = old.get(k)
-            if value is None:
-                value = make(k)
-            if len(k) > KEPT:
-                passing[k] = value
-            else:
-                young[k] = value
+        for k in keys:
+            if k not in young:
+                value = self.old.get(k)
+                if value is None:
+                    value = make(k)
+                if len(k) > KEPT:
+                    passing[k] = value
+                else:
+                    young[k] = value
         return {k: passing[k] if k in passing else young[k] for k in keys} if passing else young
 
 
