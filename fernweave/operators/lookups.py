@@ -65,14 +65,19 @@ def runs(rows: DataFrame, group: str, position: str, flag: Column, least: int =
     return out.select(group, "start", "stop", (F.col("stop") - F.col("start")).alias("length")).filter(F.col("length") >= least)
 
 
-def clamp_box(box: Column, width: Column, height: Column) -> Column:
-    """left, top, right, bottom inside the image; null where a side has less than LEAST_SIDE pixels."""
+def clamped_box(box: Column, width: Column, height: Column) -> Column:
+    """left, top, right, bottom inside the image, of a pixel at least."""
     left = F.least(F.greatest(box["left"], F.lit(0)), width - 1)
     top = F.least(F.greatest(box["top"], F.lit(0)), height - 1)
     right = F.least(F.greatest(box["right"], left + 1), width)
     bottom = F.least(F.greatest(box["bottom"], top + 1), height)
-    large = (right - left >= LEAST_SIDE) & (bottom - top >= LEAST_SIDE)
-    return F.when(large, F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+    return F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
+
+
+def clamp_box(box: Column, width: Column, height: Column) -> Column:
+    """clamped_box; null where a side has less than LEAST_SIDE pixels."""
+    own = clamped_box(box, width, height)
+    return F.when((own["right"] - own["left"] >= LEAST_SIDE) & (own["bottom"] - own["top"] >= LEAST_SIDE), own)
 
 
 def isolates(box: Column, width: Column, height: Column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fernweave.functions import vectors as V
 from fernweave.operators import lookups, retrieval
+from fernweave.plans import queries
 from fernweave.sources import datasets, snapshots
 
 
@@ -35,6 +36,16 @@ def test_small_boxes_and_missing_views(spark):
     assert [(s.model, s.views) for s in lookups.verifier_requests(hits, views).first().slots] == [("A", ["main", "side"]), ("B", ["main"])]
 
 
+def test_crop_boxes_has_every_line(spark):
+    """Lines whose box has a side of less than 8 pixels too."""
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    got = queries.crop_boxes(spark, d)
+    small = got.filter('right - `left` < 8 or bottom - top < 8')
+    assert got.count() == lines.count() and small.count() > 0
+    assert small.filter('`left` < 0 or right <= `left` or right > 200 or top < 0 or bottom <= top or bottom > 100 or not isolates').count() == 0
+
+
 def test_tables_and_json_of_hits(spark):
     images = spark.createDataFrame([("q", 1, "A", "main", 0.5), ("q", 2, "B", "side", 0.25)], "query_id string, rank int, model string, image_type string, similarity double")
     models = spark.createDataFrame([("q", 1, "A", 0.5, "main"), ("p", 1, "C", 0.1, "pers")], "query_id string, rank int, model string, model_score double, best_image_type string")
