@@ -40,6 +40,12 @@ class Recent:
         self.young: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those of the keys that hold has to make, if it is called with them next."""
+        if len(self.young) + len(keys) > self.size:
+            self.old, self.young = self.young, {}
+        return keys.difference(self.young).difference(self.old)
+
     def hold(self, keys: Iterable[str], make: Callable[[str], Any]) -> dict[str, Any]:
         """A dictionary with all keys: the younger generation, or one of these keys alone if some are too long to keep."""
         keys = set(keys)

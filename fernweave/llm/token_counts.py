@@ -1,7 +1,8 @@
 """Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
 Distinct pre-tokens go into a trie. A node's forward score is that of the best segmentation of its prefix; it is
-computed once, for all pre-tokens that share the prefix. A pre-token's last node has its count.
+computed once, for all pre-tokens that share the prefix. A pre-token's last node has its count. Where many are new at
+once, as in most lists of texts, segments.py takes them together instead.
 
 The model is fitted to the corpus: its distinct pre-tokens, by how often they occur, are segmented under Zipf's law by
 rank, and a piece's log-probability is that of its count among them.
@@ -12,21 +13,24 @@ from __future__ import annotations
 import collections
 import math
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, reachable, table, without
-from .pretokens import KEPT, Recent, pre_tokens, ranks_of, read_vocabulary
+from .pretokens import KEPT, LONG, Recent, pre_tokens, ranks_of, read_vocabulary
+from .segments import FIELD, LONGEST, Segments
 
 UNIT = 1 << 16  # scores are whole numbers of 1 / UNIT, so that sums and ties are exact
 NODES, WORDS = 800_000, 300_000  # that a worker keeps: nodes, and words of each generation
-FIELD, LOWEST = 32, -(1 << 128)  # bits of a token count in a packed number (a text has fewer tokens than bytes); less than any such
+LOWEST = -(1 << 128)  # less than any packed number; FIELD bits of such hold a token count (a text has fewer tokens than bytes)
 TALLY = 200_000  # distinct pre-tokens, of KEPT characters at most, that a worker counts before it sends them on
+MANY = 50  # new pre-tokens from which arrays are faster than the trie
 LONG_BYTES = 8 << 20  # characters of longer ones that are sent at a time
 ADDED = ("n_pretokens", "n_tokens", "score")
 
@@ -59,19 +63,28 @@ class Counter:
 
     def __init__(self, scores: dict[bytes, int]) -> None:
         self.scores = scores
-        # the pieces spelled backwards: what ends at a place is found by walking back as long as some piece goes on.
-        # A node is its children, the packed number of the piece that it spells (None if none), and the depth
-        self.tails: tuple[dict, int | None, int] = ({}, None, 0)
-        for piece, score in sorted(scores.items(), key=lambda x: len(x[0])):
-            node = self.tails
+        self.span = max(map(len, scores))
+        self.words = Recent(WORDS)
+        self._start()
+
+    @cached_property
+    def tails(self) -> tuple[dict, int | None, int]:
+        """The pieces spelled backwards: what ends at a place is found by walking back as long as some piece goes on.
+
+        A node is its children, the packed number of the piece that it spells (None if none), and the depth."""
+        root: tuple[dict, int | None, int] = ({}, None, 0)
+        for piece, score in sorted(self.scores.items(), key=lambda x: len(x[0])):
+            node = root
             for depth, b in enumerate(reversed(piece), 1):
                 above, node = node, node[0].get(b)
                 if node is None:
                     node = above[0][b] = ({}, None, depth)
             above[0][piece[0]] = (node[0], packed(score, 1), node[2])
-        self.span = max(map(len, scores))
-        self.words = Recent(WORDS)
-        self._start()
+        return root
+
+    @cached_property
+    def segments(self) -> Segments:
+        return Segments({piece: packed(score, 1) for piece, score in self.scores.items()})
 
     def _start(self) -> None:
         self.children: dict[int, int] = {}
@@ -139,14 +152,45 @@ class Counter:
             d -= sizes[d]
         return out[::-1]
 
+    def _held(self, words: set[str]) -> dict[str, int]:
+        """A dictionary with the packed numbers of all these pre-tokens, and maybe more."""
+        new = [w for w in self.words.missing(words) if len(w) <= KEPT]
+        raws = [w.encode() for w in new] if len(new) >= MANY else []
+        some = [i for i, raw in enumerate(raws) if 0 < len(raw) <= LONGEST]
+        made = dict(zip([new[i] for i in some], self.segments.values([raws[i] for i in some]))) if some else {}
+        return self.words.hold(words, lambda w: made[w] if w in made else self.fresh_word(w))
+
     def count_text(self, text: str, pattern: str) -> tuple[int, int, int]:
         """(pre-tokens, tokens, score) of the text."""
         n = total = 0
         for some in pre_tokens(text, pattern):
             n += len(some)
-            total += sum(map(self.words.hold(some, self.fresh_word).__getitem__, some))
+            total += sum(map(self._held(set(some)).__getitem__, some))
         return n, *unpacked(total)
 
+    def count_texts(self, texts: Iterable[str], pattern: str) -> list[tuple[int, int, int]]:
+        """count_text of each; those that are not very long in groups of LONG characters and one more text at most."""
+        out: list[tuple[int, int, int]] = []
+        group: list[list[str]] = []
+        size = 0
+
+        def close() -> None:
+            held = self._held(set().union(*group))
+            out.extend((len(some), *unpacked(sum(map(held.__getitem__, some)))) for some in group)
+            group.clear()
+
+        for text in texts:
+            if len(text) > LONG or size > LONG:
+                close()
+                size = 0
+            if len(text) > LONG:
+                out.append(self.count_text(text, pattern))
+            else:
+                group.extend(pre_tokens(text, pattern))
+                size += len(text)
+        close()
+        return out
+
 
 @lru_cache(1)
 def counter(file: bytes, counts: bytes | None) -> Counter:
@@ -199,10 +243,15 @@ def piece_counts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ranks = counter(file.value, None), ranks_of(file.value)
         held: collections.Counter = collections.Counter()
+        nodes = np.zeros(len(own.segments.own), np.int64)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for piece in own.pieces(word):
-                    held[ranks[piece]] += n
+            raws, counts = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_numpy()
+            short = np.fromiter((0 < len(raw) <= LONGEST for raw in raws), bool, len(raws))
+            nodes += own.segments.tally([raws[i] for i in np.flatnonzero(short).tolist()], counts[short])
+            for i in np.flatnonzero(~short).tolist():
+                for piece in own.pieces(raws[i].decode()):
+                    held[ranks[piece]] += int(counts[i])
+        held.update({ranks[own.segments.pieces[node]]: int(nodes[node]) for node in np.flatnonzero(nodes).tolist()})
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.int64())], ["piece", "n"])
 
     words = docs.select(F.col(text_col).cast("string")).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -231,7 +280,7 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(*model.value)
         for batch in batches:
-            made = [own.count_text(x.as_py() or "", pattern) for x in batch.column(batch.num_columns - 1)]
+            made = own.count_texts((x.as_py() or "" for x in batch.column(batch.num_columns - 1)), pattern)
             columns = [pa.array(list(c), pa.int64()) for c in (zip(*made) if made else ((), (), ()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *ADDED])
 

@@ -75,3 +75,33 @@ def test_long_pretokens_are_sent_in_bounded_batches(spark, monkeypatch):
     monkeypatch.setattr(K, "LONG_BYTES", 1000)
     monkeypatch.setattr(K, "TALLY", 3)
     assert K.piece_counts(df, PATH, P.PATTERN) == want and sum(want.values()) > 45 * 20
+
+
+def test_many_new_pretokens_are_segmented_together(monkeypatch):
+    """Arrays give what the trie gives, which they leave as it was; of pieces too where segmentations tie."""
+    import random
+
+    import numpy as np
+
+    from fernweave.llm.segments import Segments
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices(["th", "e", "ing", "é", "日", "\x00", "7", "-"], k=rng.randint(1, 40))) for _ in range(600)]
+    texts = ["", " ".join(words), "the " * 30, "x" * 300 + " " + "日" * 250, " ".join(words[:90] + ["z" * 700])]
+    want = [plain(t) for t in texts]
+    own = K.Counter(SCORES)
+    assert own.count_texts(texts[:3], P.PATTERN) == want[:3] and len(own.best) == 1
+    assert own.count_texts(texts, P.PATTERN) == want
+    monkeypatch.setattr(K, "LONG", 20)
+    monkeypatch.setattr(K, "WORDS", 100)
+    assert K.Counter(SCORES).count_texts(texts, P.PATTERN) == want
+    ties = {bytes([b]): K.packed(-3, 1) for b in range(256)} | {p: K.packed(s, 1) for p, s in {b"ab": -5, b"bc": -5, b"abc": -8, b"cab": -9}.items()}
+    raws = ["".join(rng.choices("abcd", k=rng.randint(1, 12))).encode() for _ in range(300)]
+    made, small = Segments(ties), {p: v + 1 >> K.FIELD for p, v in ties.items()}
+    counts = collections.Counter()
+    for i, raw in enumerate(raws):
+        for piece in segment(raw, small):
+            counts[piece] += i
+    got = made.tally(raws, np.arange(len(raws)))
+    assert {made.pieces[node]: n for node, n in enumerate(got.tolist()) if n} == counts
+    assert [K.unpacked(v) for v in made.values(raws)] == [unigram(raw, small)[::-1] for raw in raws]
