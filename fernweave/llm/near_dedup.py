@@ -9,7 +9,7 @@ similarity of their elements and, after it, the plain one decide.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -304,8 +304,8 @@ def _prefixes(sets: DataFrame, counts: Broadcast, threshold: float) -> DataFrame
 
     With the elements from rare to common, all that a pair has in common is in what follows the rarest common element, in
     both. For a pair at the threshold t that rest has t / (1 + t) of the pair's elements or more, in both. So a row holds
-    the rest's size. longer: a row for the longer of the pair, in its class of sizes; the shorter has a row in each class
-    that the longer may have. Elements that one set alone has are left out.
+    the rest's size. longer: whether the set may be the longer of the pair, which counts in its class of sizes, own; last:
+    the last class that the longer may have where it is the shorter, null where it can't be.
     """
     t = threshold * (1 - 1e-9)
 
@@ -316,30 +316,31 @@ def _prefixes(sets: DataFrame, counts: Broadcast, threshold: float) -> DataFrame
             for at, x in enumerate(batch.column(2).to_pylist()):
                 element = np.frombuffer(x, U)
                 a, b = _cells(element)
-                held = np.minimum(cells[a], cells[b])
                 total = len(element)
-                first = np.lexsort((element, held))[: int(total * (1 - t)) + 1]  # no rest behind it is large enough
-                element, held = element[first], held[first]
+                first = np.lexsort((element, np.minimum(cells[a], cells[b])))[: int(total * (1 - t)) + 1]  # no rest behind it is large enough
                 rest = total - np.arange(len(first))
-                own = int(np.floor(np.log(total) / GRAIN))
-                longer = np.flatnonzero((rest >= t * total) & (held > 1))
                 # the largest partner for which this element is in the prefix
                 most = rest * (1 + t) / t - total
-                shorter = np.flatnonzero((most >= total * (1 - 1e-9)) & (held > 1))
-                last = np.floor(np.log(np.maximum(most[shorter], total)) / GRAIN).astype(np.int64)
-                times = last - own + 1
-                turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                places = np.concatenate([longer, np.repeat(shorter, times)])
-                n = len(places)
+                longer, shorter = rest >= t * total, most >= total * (1 - 1e-9)
+                some = np.flatnonzero(longer | shorter)
+                n = len(some)
                 if n:
-                    sizes = np.concatenate([np.full(len(longer), own), own + turn]).astype(np.int32)
-                    kind = np.arange(n) < len(longer)
+                    own = np.full(n, np.floor(np.log(total) / GRAIN))
+                    last = np.floor(np.log(np.maximum(most[some], total)) / GRAIN)
+                    sizes = [pa.array(own.astype(np.int32)), pa.array(last.astype(np.int32), mask=~shorter[some])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(element[places].view(np.int64)), pa.array(sizes), pa.array(kind), pa.array(np.full(n, keys[at])), pa.array(np.full(n, labels[at])), pa.array(np.full(n, total, np.int32)), pa.array(rest[places].astype(np.int32))],
-                        ["element", "size", "longer", "k1", "label", "total", "rest"],
+                        [pa.array(element[first[some]].view(np.int64)), pa.array(np.full(n, keys[at])), pa.array(np.full(n, labels[at])), pa.array(np.full(n, total, np.int32)), pa.array(rest[some].astype(np.int32)), pa.array(longer[some]), *sizes],
+                        ["element", "k1", "label", "total", "rest", "longer", "own", "last"],
                     )
 
-    return sets.select("k1", "label", "elements").mapInArrow(cut, "element long, size int, longer boolean, k1 long, label long, total int, rest int")
+    return sets.select("k1", "label", "elements").mapInArrow(cut, "element long, k1 long, label long, total int, rest int, longer boolean, own int, last int")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """rows of _prefixes. A row for the longer of a pair in its class of sizes, and rows for the shorter in each class that the longer may have."""
+    long = rows.filter("longer").select("element", F.col("own").alias("size"), "longer", "k1", "label", "total", "rest")
+    short = rows.filter("last is not null").select("element", F.explode(F.sequence("own", "last")).alias("size"), F.lit(False).alias("longer"), "k1", "label", "total", "rest")
+    return long.unionByName(short)
 
 
 def _missed_links(met: DataFrame, sets: DataFrame, labels: DataFrame, sketch: Broadcast, settings: Settings) -> DataFrame:
@@ -355,11 +356,14 @@ def _missed_links(met: DataFrame, sets: DataFrame, labels: DataFrame, sketch: Br
     discard(met)
     sets = written(sets.hint("merge").join(open_ones.hint("merge"), "v").select("v", F.col("v.k1").alias("k1"), "label", "elements"))
     counts = spark.sparkContext.broadcast(_share_counts(sets))
-    rows = written(_prefixes(sets, counts, settings.threshold))
+    prefixes = written(_prefixes(sets, counts, settings.threshold))
     discard(open_ones)
-    several = _of_several_labels(rows)
-    some = written(rows.join(several, KEY, "left_semi"))
-    discard(rows)
+    # exactly, as a sketch fills up: few elements are in sets of several labels, and only these get a row for each class of sizes
+    shared = written(prefixes.join(_of_several_labels(prefixes, ["element"]), "element", "left_semi"))
+    discard(prefixes)
+    rows = _sized(shared)
+    some = written(rows.join(_of_several_labels(rows), KEY, "left_semi"))
+    discard(shared)
     if some.isEmpty():
         discard(sets, some)
         kind = labels.schema["v"].dataType.simpleString()
@@ -382,12 +386,12 @@ def _missed_links(met: DataFrame, sets: DataFrame, labels: DataFrame, sketch: Br
 KEY = ["element", "size"]
 
 
-def _of_several_labels(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEY).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select(*KEY)
+def _of_several_labels(rows: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    return rows.groupBy(*key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select(*key)
 
 
 def _proposed(rows: DataFrame, settings: Settings) -> DataFrame:
-    """rows of _prefixes. x, y: the k1 of pairs of different labels that have a key in common and may reach the threshold."""
+    """rows of _sized. x, y: the k1 of pairs of different labels that have a key in common and may reach the threshold."""
     long = rows.filter("longer").select(*KEY, F.col("k1").alias("x"), F.col("label").alias("lx"), F.col("total").alias("tx"), F.col("rest").alias("rx"))
     short = rows.filter("not longer").select(*KEY, F.col("k1").alias("y"), F.col("label").alias("ly"), F.col("total").alias("ty"), F.col("rest").alias("ry"))
     t = settings.threshold * (1 - 1e-9)

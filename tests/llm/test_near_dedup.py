@@ -198,3 +198,25 @@ def test_query_over_documents(spark):
     got = N.op10_near_dedup(spark, "/root/testdata/sf0.001")
     assert {r.doc_id: r.class_id for r in got.collect()} == near_classes(rows, N.Settings())
     assert got.filter("kept").select(F.count_distinct("class_id"), F.count("*")).first()[0] == got.filter("kept").count()
+
+
+def test_prefix_rows_grow_with_the_sets(spark):
+    """Five times the sets, five times the rows, although the sketch of so many elements is full. Only elements of several labels get rows by size."""
+    def made(n):
+        rng = np.random.default_rng(1)
+        common = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+        sets = [(i, i % 7, bytearray(np.sort(np.append(rng.integers(0, 1 << 64, 360, dtype=np.uint64), common[i % 20 :: 20])).tobytes())) for i in range(n)]
+        df = spark.createDataFrame(sets, "k1 long, label long, elements binary").repartition(4)
+        counts = spark.sparkContext.broadcast(N._share_counts(df))
+        rows = N._prefixes(df, counts, 0.8).persist()
+        shared = rows.join(N._of_several_labels(rows, ["element"]), "element", "left_semi")
+        return rows.count(), N._sized(shared).select("element").distinct().count(), df, rows
+
+    few, _, _, _ = made(300)
+    many, elements, df, rows = made(1500)
+    assert 4.9 * few <= many <= 5.1 * few
+    assert elements <= 40
+    # the sizes of a set's rows: the longer's own, and up to 1 / 0.8 of its own for the shorter's
+    own = int(np.floor(np.log(362) / N.GRAIN))
+    sizes = N._sized(rows).groupBy("longer").agg(F.min("size").alias("low"), F.max("size").alias("high")).orderBy("longer").collect()
+    assert [(r.longer, r.low, r.high) for r in sizes] == [(False, own, int(np.floor(np.log(362 / 0.8) / N.GRAIN))), (True, own, own)]
