@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
+from ..session import importable
 from ..sources.shared import kept
 from ..sources.snapshots import last_rows
 from .ranking import _matrix, best_of_rows, by_blocks, rank_models, tiles, top_of_columns
@@ -99,45 +100,88 @@ def rank_models_by_best(queries: DataFrame, images: DataFrame, k: int = 100) ->
     return top(per, ["query_id"], [F.desc("model_score"), F.col("model"), F.col("best_image_type")], k)
 
 
+#: Numbers of the vectors of a block of images, 64 MB of doubles, and rows that a pair of blocks gives, about.
+NUMBERS, ROWS = 8 << 20, 1 << 20
+
+
+def falling(scores: np.ndarray) -> np.ndarray:
+    """Places of the scores from the largest on; of equal ones the first. NaN counts as largest, as in SQL."""
+    keys = np.where(np.isnan(scores), -np.inf, -scores)
+    order = np.argsort(keys)
+    row = keys[order]
+    return np.argsort(keys, kind="stable") if (row[1:] == row[:-1]).any() else order
+
+
+def first_alike(vectors: np.ndarray) -> np.ndarray | None:
+    """Of each row the place of the first equal one; None if all differ. Products of equal rows may differ in their last bits, by where they stand."""
+    rows = np.ascontiguousarray(vectors + 0.0).view(f"V{vectors.itemsize * vectors.shape[1]}").ravel()
+    _, first, inverse = np.unique(rows, return_index=True, return_inverse=True)
+    return first[inverse] if len(first) < len(rows) else None
+
+
 def view_ranks(queries: DataFrame, targets: DataFrame, images: DataFrame) -> DataFrame:
     """query_id, model, image_type, position, similarity, rank, norm: of each target model's images how near they are, and how many images are nearer.
 
-    queries: query_id, vector. targets: query_id, model: a few a query. images as in rank_images. A query meets each block of images
-    once, and counts for all its targets' images at a time who is ahead: more similar, or as much at an earlier position.
-    Models without images, and targets of queries that aren't there, have no rows.
-    """
-    asked, among = queries.select("query_id", _vector("vector")), images.select("model", "image_type", F.col("position").cast("long").alias("position"), _vector("embedding"))
-    own = targets.select("query_id", "model").distinct().join(among.withColumnRenamed("vector", "own"), "model").join(asked, "query_id")
-    own = kept(own.select("query_id", "model", "image_type", "position", "own", "vector"))
-    wanted = own.groupBy("query_id").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list(F.struct("position", "own"))).alias("t"))
-    wanted = wanted.select("query_id", "vector", F.transform("t", lambda x: x["position"]).alias("positions"), F.flatten(F.transform("t", lambda x: x["own"])).alias("owns"))
+    queries: query_id, vector. targets: query_id, model: a few a query. images as in rank_images. Ahead of an image is who is more
+    similar, or as much at an earlier position. Models without images, and targets of queries that aren't there, have no rows.
 
-    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+    A block of queries brings the names of its targets, never their vectors: it meets the images of one block, among which its targets
+    are found, and those of one block, which are counted. Most often these are one block, and the counts are the ranks; else they
+    are summed. Blocks of queries are as many as keep what a task gives near ROWS.
+    """
+    importable(queries.sparkSession)
+    among = kept(images.select("model", "image_type", F.col("position").cast("long").alias("position"), F.col("embedding").alias("vector"), V.norm(F.col("embedding")).alias("norm")))
+    wanted = targets.groupBy("query_id").agg(F.collect_set("model").alias("models"))
+    asked = kept(queries.select("query_id", "vector").join(wanted, "query_id"))
+    dimension = among.select(F.size("vector")).first()
+    m = max(1, -(-among.count() * dimension[0] // NUMBERS)) if dimension else 1
+    made = asked.select(F.explode("models").alias("model")).join(among.groupBy("model").agg(F.count(F.lit(1)).alias("n")), "model").agg(F.sum("n")).first()[0] or 0
+    n = max(1, -(-made // ROWS), min(queries.sparkSession.sparkContext.defaultParallelism, made // (ROWS >> 6)))
+
+    def count(key: tuple[pa.Scalar, ...], x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return AHEAD.empty_table()
-        vectors, others, position = _matrix(x["vector"]), _matrix(y["vector"]), y["position"].to_numpy()
-        dimension, parts = vectors.shape[1], []
-        owns = [np.asarray(v, float).reshape(-1, dimension) for v in x["owns"].to_pylist()]
+        y = y.sort_by("position")
+        block, (_, found_in, counted_in) = y["_b"].to_numpy(), (k.as_py() for k in key)
+        counted, own = block == counted_in, np.flatnonzero(block == found_in)
+        codes = y["model"].combine_chunks().take(pa.array(own)).dictionary_encode()
+        indices = codes.indices.fill_null(len(codes.dictionary)).to_numpy()
+        order = np.argsort(indices, kind="stable")
+        places = dict(zip(codes.dictionary.to_pylist(), np.split(own[order], np.cumsum(np.bincount(indices))[:-1])))
+        vectors, others, out = _matrix(x["vector"]), _matrix(y["vector"]), []
+        alike = first_alike(others)
         for part in tiles(len(vectors), len(others)):
-            dots = vectors[part] @ others.T
-            for i, row in enumerate(dots, part.start):
-                places = np.array(x["positions"][i].as_py(), np.int64)
-                at = np.searchsorted(position, places)
-                here = (at < len(position)) & (position[np.minimum(at, len(position) - 1)] == places)
-                # a target in this block has the very product that it is compared with
-                score = np.where(here, row[np.minimum(at, len(position) - 1)], owns[i] @ vectors[i])
-                ahead = ((row[None, :] > score[:, None]) | ((row[None, :] == score[:, None]) & (position[None, :] < places[:, None]))) & (position[None, :] != places[:, None])
-                parts.append((np.full(len(places), i), places, ahead.sum(axis=1)))
-        rows, places, ahead = (np.concatenate(c) for c in zip(*parts))
-        return pa.table([x["query_id"].take(pa.array(rows)), pa.array(places), pa.array(ahead)], schema=AHEAD)
-
-    counts = by_blocks(wanted, among.select("position", "vector"), "query_id", "position", count, "query_id string, position long, ahead long")
-    ranks = counts.groupBy("query_id", "position").agg((1 + F.sum("ahead")).alias("rank"))
-    made = own.withColumns({"similarity": V.dot(F.col("vector"), F.col("own")), "norm": V.norm(F.col("own"))}).drop("vector", "own")
-    return made.join(ranks, ["query_id", "position"]).select("query_id", "model", "image_type", "position", "similarity", "rank", "norm")
-
-
-AHEAD = pa.schema([("query_id", pa.string()), ("position", pa.int64()), ("ahead", pa.int64())])
+            dots, rows, at, ahead = vectors[part] @ others.T, [], [], []
+            if alike is not None:
+                dots = dots[:, alike]
+            for i, row in enumerate(dots):
+                mine = [places[model] for model in x["models"][part.start + i].as_py() if model in places]
+                if mine:
+                    order, before = falling(row), np.empty(len(row), np.int64)
+                    before[order] = np.cumsum(counted[order]) - counted[order]
+                    at.append(np.concatenate(mine))
+                    rows.append(np.full(len(at[-1]), i))
+                    ahead.append(before[at[-1]])
+            if rows:
+                rows, at, ahead = np.concatenate(rows), np.concatenate(at), np.concatenate(ahead)
+                there = pa.array(at)
+                out.append(pa.table([x["query_id"].take(pa.array(part.start + rows)), *[y[c].take(there) for c in ("model", "image_type", "position")], pa.array(dots[rows, at]), y["norm"].take(there), pa.array(ahead)], schema=AHEAD))
+        return pa.concat_tables(out) if out else AHEAD.empty_table()
+
+    blocks = F.sequence(F.lit(0), F.lit(m - 1))
+    pairs = F.flatten(F.transform(blocks, lambda t: F.transform(blocks, lambda r: F.struct(t.alias("_t"), r.alias("_r")))))
+    met = F.filter(pairs, lambda p: (p["_t"] == F.col("_b")) | (p["_r"] == F.col("_b")))
+    a = asked.withColumn("_l", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).select("*", F.inline(pairs))
+    b = among.withColumn("_b", F.pmod(F.xxhash64("position"), F.lit(m)).cast("int")).select("*", F.inline(met)).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    keys = ["_l", "_t", "_r"]
+    schema = "query_id string, model string, image_type string, position long, similarity double, norm double, ahead long"
+    counts = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(count, schema)
+    if m > 1:
+        counts = counts.groupBy("query_id", "position").agg(*[F.first(c).alias(c) for c in ("model", "image_type", "similarity", "norm")], F.sum("ahead").alias("ahead"))
+    return counts.select("query_id", "model", "image_type", "position", "similarity", (1 + F.col("ahead")).alias("rank"), "norm")
+
+
+AHEAD = pa.schema([("query_id", pa.string()), ("model", pa.string()), ("image_type", pa.string()), ("position", pa.int64()), ("similarity", pa.float64()), ("norm", pa.float64()), ("ahead", pa.int64())])
 
 
 def rank_candidates(candidates: DataFrame, query: Column, k: int = 100) -> DataFrame:

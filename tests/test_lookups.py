@@ -112,6 +112,30 @@ def test_ranks_of_several_targets_over_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_ranks_of_targets_send_no_vectors_by_pair(spark, monkeypatch):
+    import numpy as np
+
+    rng, tables, kept = np.random.default_rng(4), [], retrieval.kept
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    x[60:] = x[:60]  # ties, in blocks of their own and in others
+    images = spark.createDataFrame([(f"m{i % 2}", "main", i, [float(v) for v in r]) for i, r in enumerate(x)], "model string, image_type string, position int, embedding array<float>")
+    x = x.astype(np.float32).astype(float)
+    queries = spark.createDataFrame([(str(i), [float(v) for v in x[i]]) for i in range(20)], "query_id string, vector array<float>")
+    targets = spark.createDataFrame([(str(i), m) for i in range(20) for m in (f"m{i % 2}", "gone")], "query_id string, model string")
+    monkeypatch.setattr(retrieval, "kept", lambda df: tables.append(out := kept(df)) or out)
+    s = [[sum(a * b for a, b in zip(x[i], r)) for r in x] for i in range(20)]
+    want = {(str(i), j): 1 + sum((s[i][k], -k) > (s[i][j], -j) for k in range(120)) for i in range(20) for j in range(i % 2, 120, 2)}
+    for numbers, rows in ((8 << 20, 1 << 20), (100, 200)):  # one block of images, and four
+        monkeypatch.setattr(retrieval, "NUMBERS", numbers, raising=False)
+        monkeypatch.setattr(retrieval, "ROWS", rows, raising=False)
+        tables.clear()
+        got = retrieval.view_ranks(queries, targets, images).collect()
+        assert len(got) == len(want) and {(r.query_id, r.position): r["rank"] for r in got} == want
+        assert all(abs(r.similarity - s[int(r.query_id)][r.position]) < 1e-9 and r.model == f"m{r.position % 2}" for r in got)
+        # a row a query and a row an image, not one a query and target's image
+        assert sum(t.count() for t in tables) <= 20 + 120
+
+
 def test_moments_dont_depend_on_the_zone(spark):
     from fernweave.functions import scalars as S
 
