@@ -112,6 +112,60 @@ def test_ties_beyond_k_and_blocks_of_models(spark, monkeypatch):
     assert ranking.rank_models(c, m, 2).filter("customer_id = '07'").orderBy("rank_for_customer").collect()[1].model == "m1"
 
 
+def test_several_rankings_of_one_product(monkeypatch):
+    curve, rng = calibration.Calibrator((0.10, 0.40, 0.55, 0.70), (0.0, 1 / 3, 1.0, 1.0)), np.random.default_rng(5)
+    for n, m, k in ((211, 7, 5), (90, 13, 40), (3, 4, 6)):
+        x, y = np.repeat(rng.normal(size=(n, 9)), 3, axis=0) / 4, rng.normal(size=(m, 9))  # three times each, so that ties are everywhere
+        x[4] = np.nan
+        some = rng.random(len(x)) < 0.7
+        monkeypatch.setattr(ranking, "TILE", 16 * m)
+        found = ranking.best_of_columns(x, y, k, [(np.ones(len(x), bool), None), (some, curve)])
+        for (rows, columns, worth, dots), (among, values) in zip(found, ((some | True, lambda v: v), (some, curve.values))):
+            for j in range(m):
+                value = values(np.array([np.einsum("ij,ij->i", x[i : i + 1], y[j : j + 1])[0] for i in range(len(x))]))
+                want = sorted(np.flatnonzero(among), key=lambda i: (np.inf if np.isnan(value[i]) else -value[i], i))[:k]
+                assert sorted(rows[columns == j]) == sorted(want)
+                assert np.array_equal(worth[columns == j], value[rows[columns == j]], equal_nan=True)
+
+
+def test_equal_customers_tie_wherever_they_stand(spark):
+    rng = np.random.default_rng(6)
+    v = [float(x) for x in rng.normal(size=64)]
+    for n in (5, 17, 101):
+        c = spark.createDataFrame([(f"{i:03d}", v) for i in range(n)], "customer_id string, vector array<double>")
+        m = spark.createDataFrame([(f"m{i}", [float(x) for x in rng.normal(size=64)]) for i in range(13)], "model string, vector array<double>")
+        got = ranking.rank_customers(c, m, 3).collect()
+        assert {(r.customer_rank, r.customer_id) for r in got} == {(1, "000"), (2, "001"), (3, "002")}
+
+
+def test_what_a_curve_isnt_above():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        curve = calibration.Calibrator(tuple(np.sort(rng.random(6))), tuple(np.sort(np.round(rng.random(6), rng.integers(1, 9)))))
+        at = np.concatenate([rng.random(400) * 1.4 - 0.2, curve.x])
+        value, most = curve.values(at), curve.up_to(curve.values(at))
+        assert not any(((at <= t) & (value > v)).any() for t, v in zip(most, value))
+
+
+def test_both_rankings_read_the_purchases_once(spark, monkeypatch):
+    from fernweave.plans import queries, tables
+
+    d, read, made = "/root/testdata/sf0.001", [], []
+    prepared, best = tables.prepared, ranking.by_blocks
+    monkeypatch.setattr(tables, "prepared", lambda *a: read.append(a) or prepared(*a))
+    monkeypatch.setattr(ranking, "by_blocks", lambda *a: made.append(a) or best(*a))
+    out = queries.like_score_report(spark, d)
+    assert len(read) == len(made) == 1 and {r.ranking for r in out.collect()} == {"similarity", "like_score"}
+    people, models = queries._vectors(spark, d), queries._models(spark, d)
+    both = ranking.rank_both(people, models, tables.AS_OF, 5, queries.CURVE).collect()
+    alone = {"similarity": ranking.rank_customers(people, models, 5), "like_score": ranking.rank_eligible(people, models, tables.AS_OF, 5, queries.CURVE)}
+    for name, ranked in alone.items():
+        assert {(r.model, r.customer_rank, r.customer_id, r.score) for r in both if r.ranking == name} == {(r.model, r.customer_rank, r.customer_id, r.score) for r in ranked.collect()}
+    now = queries._current(spark, d).filter("excluded is null")
+    now = {(r.customer_id, r.last_purchase_date, tuple(r.catalog_history[-3:])) for r in now.collect()}
+    assert {(r.customer_id, r.last_purchase_date, tuple(r.catalog_history)) for r in customers.recent_histories(prepared(spark, d), tables.catalog(spark, d), tables.TIES, 3).collect()} == now
+
+
 def test_target_ranks(spark, monkeypatch):
     monkeypatch.setattr(ranking, "MODELS", 2)
     models = spark.createDataFrame([("A", 0, [1.0, 0.0]), ("B", 1, [0.0, 1.0]), ("C", 2, [1.0, 0.0]), ("D", 3, [2.0, 0.0])], "model string, position long, vector array<double>")
