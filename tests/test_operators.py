@@ -166,6 +166,40 @@ def test_both_rankings_read_the_purchases_once(spark, monkeypatch):
     assert {(r.customer_id, r.last_purchase_date, tuple(r.catalog_history)) for r in customers.recent_histories(prepared(spark, d), tables.catalog(spark, d), tables.TIES, 3).collect()} == now
 
 
+def test_violations_make_the_histories_once(spark, monkeypatch):
+    from fernweave.plans import queries, tables
+
+    read, prepared = [], tables.prepared
+    monkeypatch.setattr(tables, "prepared", lambda *a: read.append(a) or prepared(*a))
+    got = {(r.model, r.problem) for r in queries.ranking_violations(spark, "/root/testdata/sf0.001").collect()}
+    assert len(read) == 1 and {p for _, p in got} == {"rank", "order", "repeated", "anonymous", "absent", "history"} and (None, "history") in got
+
+
+def test_histories_where_the_catalog_is_sent_to_all_tasks_or_not(spark, monkeypatch):
+    rows = [dict(customer_id=str(i % 3), model=m, purchase_date=f"2021-01-{1 + i:02d}", size=str(i), discount=float(i % 2)) for i, m in enumerate(["A", "GONE", "B", "A", "C", "GONE", "B", "5.0", "A", "GONE"])]
+    known, prepared = catalog(spark, A=[1.0], B=[1.0], C=None, **{"5": [1.0]}), P.prepare_purchases(bought(spark, rows))
+    profiles, found = spark.createDataFrame([(str(i), "35-44") for i in range(3)], "customer_id string, age_group string"), []
+    for most in (200_000, 0):
+        monkeypatch.setattr(customers, "KNOWN", most, raising=False)
+        now = customers.current_customers(prepared, profiles, known, "2022-01-31")
+        found.append((sorted(now.collect()), sorted(customers.recent_histories(prepared, known, max_history=2).collect())))
+    assert found[0] == found[1]
+    assert {r.customer_id: r.catalog_history for r in found[0][1]} == {"0": ["A", "B"], "1": ["5"], "2": ["B", "A"]}
+    assert {r.customer_id: str(r.last_purchase_date) for r in found[0][1]} == {"0": "2021-01-10", "1": "2021-01-08", "2": "2021-01-09"}
+
+
+def test_amounts_and_ids_of_any_kind(spark):
+    nan, inf = float("nan"), float("inf")
+    for kind, values in (("double", [1.0, 0.0, -1.0, nan, inf, None, 1e-300]), ("string", ["1", "0", "-1", "NaN", "Infinity", None, "1e-300", "x"])):
+        df = spark.createDataFrame([("1", str(i), v) for i, v in enumerate(values)], f"customer_id string, model string, quantity {kind}").withColumn("purchase_date", F.lit("2021-01-01").cast("timestamp"))
+        assert {r.model for r in P.prepare_purchases(df).collect()} == {"0", "6"}
+    from fernweave.functions import scalars as S
+
+    ids = {"12.0": "12", " 7.0 ": "7", "1.05": "1.05", "--3.0": "--3", "a.0": "a.0", "1.0.0": "1.0.0", "None": None, "": None, "8": "8"}
+    got = spark.createDataFrame([(i,) for i in ids], "i string").select("i", S.normalize_id(F.col("i")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == ids
+
+
 def test_target_ranks(spark, monkeypatch):
     monkeypatch.setattr(ranking, "MODELS", 2)
     models = spark.createDataFrame([("A", 0, [1.0, 0.0]), ("B", 1, [0.0, 1.0]), ("C", 2, [1.0, 0.0]), ("D", 3, [2.0, 0.0])], "model string, position long, vector array<double>")
